@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-_PLACEHOLDER = re.compile(r"\$\{([^}|]*)(?:\|[^}]*)?\}")
+from siftline.functions.text import snake_case
 
 
 def path_glob(glob: str) -> str:
@@ -63,25 +63,19 @@ def is_valid(spark: SparkSession, pattern: str) -> bool:
         return False
 
 
-def fill_template(template: str, field) -> Column:
-    """`${field}` / `${payload.X}` filled from the event; unknown stays as is.
-
-    `field(name)` gives the attribute Column. The template is a literal of the
-    rule, so it becomes one concat of literals and attributes.
-    """
-    pieces, last = [], 0
-    for match in _PLACEHOLDER.finditer(template):
-        pieces.append(F.lit(template[last:match.start()]))
-        name = match.group(1).removeprefix("payload.")
-        snake = re.sub(r"(?<!^)([A-Z])", r"_\1", name).lower().replace(" ", "_")
-        pieces.append(
-            F.coalesce(
-                F.when(field(name) != "", field(name)),
-                F.when(field(snake) != "", field(snake)),
-                F.lit(match.group(0)),
-            )
+def fill_template(template: Column, fields: Column) -> Column:
+    """`${field}` / `${payload.X}` filled from a map of the event's fields, by
+    its own name and then in snake case; an unknown one stays as it is."""
+    pieces = F.split(template, r"(?=\$\{)")
+
+    def filled(piece: Column) -> Column:
+        mark = r"^\$\{([^}|]*)(?:\|[^}]*)?\}"
+        name = F.regexp_replace(F.regexp_extract(piece, mark, 1), r"^payload\.", "")
+        value = F.coalesce(
+            F.when(fields[name] != "", fields[name]),
+            F.when(fields[snake_case(name)] != "", fields[snake_case(name)]),
+            F.regexp_extract(piece, mark, 0),
         )
-        last = match.end()
-    if not pieces:
-        return F.lit(template)
-    return F.concat(*pieces, F.lit(template[last:]))
+        return F.when(piece.rlike(mark), F.concat(value, F.regexp_replace(piece, mark, ""))).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, filled), "")
