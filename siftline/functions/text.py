@@ -32,9 +32,14 @@ def one_line(col: Column, limit: int = 200) -> Column:
     return ellipsis(F.substring_index(trimmed, "\n", 1), limit)
 
 
+def one_decimal(col: Column) -> Column:
+    """One decimal, ties to even (Java's own `%.1f` rounds ties up)."""
+    return F.format_string("%.1f", F.bround(col, 1))
+
+
 def human_bytes(col: Column) -> Column:
     def scaled(shift: int, unit: str) -> Column:
-        return F.format_string("%.1f" + unit, col.cast("double") / float(1 << shift))
+        return F.concat(one_decimal(col.cast("double") / float(1 << shift)), F.lit(unit))
 
     return (
         F.when(col >= 1 << 30, scaled(30, "GB"))
@@ -48,17 +53,18 @@ def human_cpu(cycles: Column) -> Column:
     """Cycle time (100 ns) -> `1.2h`, `3.4m` or `5s`."""
     seconds = cycles.cast("double") / 1.0e7
     return (
-        F.when(seconds > 3600, F.format_string("%.1fh", seconds / 3600))
-        .when(seconds > 60, F.format_string("%.1fm", seconds / 60))
-        .otherwise(F.format_string("%.0fs", seconds))
+        F.when(seconds > 3600, F.concat(one_decimal(seconds / 3600), F.lit("h")))
+        .when(seconds > 60, F.concat(one_decimal(seconds / 60), F.lit("m")))
+        .otherwise(F.format_string("%.0fs", F.bround(seconds, 0)))
     )
 
 
-def human_duration(seconds: Column, minute_format: str = "%.1fm") -> Column:
+def human_duration(seconds: Column, minute_decimals: int = 1) -> Column:
     """Whole seconds -> hours / minutes / seconds text."""
+    minutes = F.format_string(f"%.{minute_decimals}fm", F.bround(seconds.cast("double") / 60, minute_decimals))
     return (
-        F.when(seconds >= 3600, F.format_string("%.1fh", seconds.cast("double") / 3600))
-        .when(seconds >= 60, F.format_string(minute_format, seconds.cast("double") / 60))
+        F.when(seconds >= 3600, F.concat(one_decimal(seconds.cast("double") / 3600), F.lit("h")))
+        .when(seconds >= 60, minutes)
         .otherwise(F.format_string("%ds", seconds.cast("long")))
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.text import base_name, parent_dir
+from siftline.functions.text import base_name, one_decimal, parent_dir
 from siftline.functions.times import epoch_ms, event_time, filetime
 from siftline.functions.values import parse_map
 from siftline.operators.build import Emit, build, builder, rec, say, word
@@ -243,7 +243,7 @@ def recycle_bin(df: DataFrame) -> DataFrame:
     size = F.coalesce(rec("file_size").try_cast("long"), F.lit(0))
     return build(df, Emit(
         event_type="file_deleted", data_type="windows:shell_items:recycle_bin",
-        message=say("Deleted: {path} ({k} KB)", k=F.format_string("%.1f", size.cast("double") / 1024)),
+        message=say("Deleted: {path} ({k} KB)", k=one_decimal(size.cast("double") / 1024)),
         times=[(filetime(rec("deletion_time")), "File Deletion Time")],
         source=("CT-RecycleBin", "Recycle Bin"),
         attrs={"file_path": "path", "file_size": size, "file_name": "file_name"},

@@ -411,7 +411,7 @@ def usage_connectivity(df: DataFrame) -> DataFrame:
         event_type="srum_network", data_type="windows:srum:network_connectivity",
         message=F.concat(
             say("SRUM Network: {a} via {l}", a=base_name(_app()), l=link),
-            opt(" ({t} connected)", t=F.when(seconds > 0, human_duration(seconds, "%.0fm"))),
+            opt(" ({t} connected)", t=F.when(seconds > 0, human_duration(seconds, 0))),
         ),
         times=[(event_time(rec("timestamp")), "SRUM Network Connectivity Recorded")],
         source=("CT-SRUM", "SRUM - Network Connectivity"),
