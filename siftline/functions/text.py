@@ -123,17 +123,20 @@ def base_name(col: Column) -> Column:
 
 def extension(col: Column) -> Column:
     """Lower-case text after the last dot, '' when there is none."""
-    return F.lower(F.regexp_extract(col, r"\.([^.]+)$", 1))
+    return F.when(F.contains(col, F.lit(".")), F.lower(F.substring_index(col, ".", -1))).otherwise(F.lit(""))
 
 
 def without_extension(col: Column) -> Column:
-    return F.regexp_replace(col, r"^(.+)\.[^.]*$", "$1")
+    """Name without its last extension; a leading dot starts no extension."""
+    kept = F.length(col) - F.length(F.substring_index(col, ".", -1)) - 1
+    return F.when(kept > 0, F.substring(col, F.lit(1), kept)).otherwise(col)
 
 
 def url_host(col: Column) -> Column:
     """Host of a URL, also without a scheme: scheme, path, port and query cut in
     this order (`parse_url` gives NULL for scheme-less input)."""
-    host = F.regexp_replace(col, r"^.*?://", "")
+    scheme = F.instr(col, "://")
+    host = F.when(scheme > 0, F.substring(col, scheme + 3, F.length(col))).otherwise(col)
     for stop in ("/", ":", "?"):
         host = F.substring_index(host, stop, 1)
     return host

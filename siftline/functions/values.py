@@ -36,9 +36,9 @@ def drop_empty(col: Column) -> Column:
 
 
 def overlay(base: Column, top: Column) -> Column:
-    """Union of two attribute maps; on a shared name `top` wins."""
-    rest = F.map_filter(base, lambda k, _: ~F.map_contains_key(top, k))
-    return F.map_concat(rest, top)
+    """Union of two attribute maps; on a shared name `top` wins (see the map
+    key policy in `siftline.session`)."""
+    return F.map_concat(base, top)
 
 
 def parse_map(col: Column) -> Column:

@@ -64,7 +64,9 @@ class Emit:
     `times` lists (timestamp, description[, word]) candidates: by default the
     first non-NULL one is used; with `fan_out` every non-NULL one gives an event.
     `message` may use `word()` for the third element. `attrs` maps attribute
-    names to record fields (text) or Columns; `spread` adds a whole map.
+    names to record fields (text) or Columns; `spread` adds a whole map. With
+    `fan_out`, `attrs` is evaluated once per record, before the explode;
+    attributes that use `word()` go into `event_attrs`.
     """
 
     event_type: Text
@@ -73,6 +75,7 @@ class Emit:
     times: list[tuple]
     source: tuple[Text, Text]
     attrs: dict[str, Text] = field(default_factory=dict)
+    event_attrs: dict[str, Column] = field(default_factory=dict)
     where: Column | None = None
     fan_out: bool = False
     spread: Column | None = None
@@ -100,13 +103,17 @@ def build(df: DataFrame, spec: Emit) -> DataFrame:
         )
         for t in spec.times
     ]
+    pairs = {k: (rec(v) if isinstance(v, str) else v) for k, v in spec.attrs.items()}
+    attrs = attribute_map(pairs)
     if spec.fan_out:
-        df = df.withColumn("_at", F.explode(F.array(*stamps))).where(F.col("_at.ts").isNotNull())
+        filled = F.filter(F.array(*stamps), lambda s: s["ts"].isNotNull())
+        df = df.withColumn("_attrs", attrs).withColumn("_at", F.explode(filled))
+        attrs = F.col("_attrs")
+        if spec.event_attrs:
+            attrs = F.map_concat(attrs, attribute_map(spec.event_attrs))
     else:
         df = df.withColumn("_at", F.coalesce(*[F.when(s["ts"].isNotNull(), s) for s in stamps]))
         df = df.where(F.col("_at.ts").isNotNull())
-    pairs = {k: (rec(v) if isinstance(v, str) else v) for k, v in spec.attrs.items()}
-    attrs = attribute_map(pairs)
     if spec.spread is not None:
         attrs = overlay(attrs, drop_empty(spec.spread))
     return df.select(

@@ -26,6 +26,7 @@ HIT = (
     "mitre:array<string>,tool_name:string>"
 )
 NO_HITS = f"cast(array() as array<{HIT}>)"
+NONE = "cast(array() as array<int>)"
 CHUNK = 64
 
 # What the remote-management plugin reports, library extensions.
@@ -34,65 +35,75 @@ LIBRARY_TYPE, LIBRARY_EXTENSIONS = "DLL_INJECTION", ["dll", "sys", "drv"]
 POWERSHELL = "powershell"
 
 
-def _none() -> Column:
-    return F.expr(NO_HITS)
+class Numbering:
+    """Numbers the rule entries in the order they are asked for; a row's hits
+    are these numbers until the few rows that have any are spelled out."""
 
+    def __init__(self):
+        self.entries: list[dict] = []
 
-def _text(col: Column) -> Column:
-    return F.coalesce(col, F.lit(""))
+    def add(self, rule: dict, plugin: str, tool: str | None = "") -> int:
+        """`tool` None means the event's own program or file name."""
+        self.entries.append({
+            "rule_id": rule["rule_id"], "plugin": plugin, "analysis_type": rule.get("analysis_type", ""),
+            "score": rule.get("score", ""), "justification": rule.get("justification", ""),
+            "mitre": rule.get("mitre", []), "tool": tool,
+        })
+        return len(self.entries) - 1
 
 
-def _hit(rule: dict, plugin: str, tool: Column | str, fields: Column, justification: Column | None = None) -> Column:
-    text = rule.get("justification", "")
-    if justification is None:
-        justification = fill_template(F.lit(text), fields) if "${" in text else F.lit(text)
-    return F.struct(
-        F.lit(rule["rule_id"]).alias("rule_id"), F.lit(plugin).alias("plugin"),
-        F.lit(rule.get("analysis_type", "")).alias("analysis_type"), F.lit(rule.get("score", "")).alias("score"),
-        justification.alias("justification"),
-        F.array(*[F.lit(m) for m in rule.get("mitre", [])]).cast("array<string>").alias("mitre"),
-        (F.lit(tool) if isinstance(tool, str) else _text(tool)).alias("tool_name"),
-    ).cast(HIT)
-
-
-def _collect(hits: list[tuple[Column, Column]]) -> Column:
-    """(condition, hit) pairs -> array of the hits whose condition holds."""
-    if not hits:
-        return _none()
+def _collect(pairs: list[tuple[Column, int]]) -> Column:
+    """(condition, number) pairs -> numbers whose condition holds."""
+    if not pairs:
+        return F.expr(NONE)
     parts = [
-        F.array_compact(F.array(*[F.when(c, h) for c, h in hits[i:i + CHUNK]])) for i in range(0, len(hits), CHUNK)
+        F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in pairs[i:i + CHUNK]])) for i in range(0, len(pairs), CHUNK)
     ]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-class Facets:
-    """Attributes the rules look at, as Columns of one event frame."""
-
-    def __init__(self, df: DataFrame):
-        def a(name: str) -> Column:
-            return F.when(attr(df, name) != "", attr(df, name))
-
-        self.process, self.own_name = a("process_name"), a("file_name")
-        self.process_path, self.own_path = a("process_path"), a("file_path")
-        self.command, self.parent = a("command_line"), a("parent_path")
-        self.task = F.coalesce(a("task_name"), a("service_name"))
-        self.signed = a("file_signed_status")
-        self.source = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("source_short", "source_long")])
-        self.name = F.coalesce(self.own_name, self.process)
-        self.path = F.coalesce(self.own_path, self.process_path)
-        self.event_id, self.log_event_id = a("event_id"), a("event_identifier")
-        self.channel, self.log_name = a("channel"), a("log_name")
-        self.domain, self.url, self.remote_host = a("domain"), a("url"), a("remote_host")
-        self.remote_domain, self.remote_host_name = a("remote_domain"), a("remote_host_name")
-        self.remote_port = a("remote_port")
-        self.attrs = F.col("attrs") if "attrs" in df.columns else F.expr("cast(map() as map<string,string>)")
-
-    def fields(self) -> Column:
-        """Everything a justification template may name."""
-        base = F.create_map(*[
-            c for n in ("message", "event_type", "host_name", "data_type", "source_short") for c in (F.lit(n), F.col(n))
-        ])
-        return overlay(base, self.attrs)
+def _gated(gate: Column, numbers: Column) -> Column:
+    return F.when(gate, numbers).otherwise(F.expr(NONE))
+
+
+def with_facets(df: DataFrame) -> DataFrame:
+    """Add what the rules look at as `_f_*` columns, each evaluated once per
+    event; empty text counts as missing."""
+    def a(name: str) -> Column:
+        return F.when(attr(df, name) != "", attr(df, name))
+
+    raw = {
+        "process": a("process_name"), "own_name": a("file_name"), "command": a("command_line"), "signed": a("file_signed_status"),
+        "task": F.coalesce(a("task_name"), a("service_name")), "channel": a("channel"), "log_name": a("log_name"),
+        "parent": forward_slashes(a("parent_path")), "process_path": forward_slashes(a("process_path")),
+        "own_path": forward_slashes(a("file_path")),
+        "source": F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("source_short", "source_long")]),
+        "event_id": a("event_id").try_cast("int"), "log_event_id": a("event_identifier").try_cast("int"),
+        "domain": a("domain"), "remote_host": a("remote_host"), "remote_domain": a("remote_domain"),
+        "remote_host_name": a("remote_host_name"), "url_host": url_host(a("url")),
+        "remote_port": F.coalesce(a("remote_port").try_cast("double").cast("int"), F.lit(0)),
+    }
+    df = df.select("*", *[c.alias(f"_f_{n}") for n, c in raw.items()])
+    own, process = F.col("_f_own_name"), F.col("_f_process")
+    name = F.coalesce(own, process)
+
+    def ext(one: Column, other: Column) -> Column:
+        first = extension(F.coalesce(one, F.lit("")))
+        return F.when(first != "", first).otherwise(extension(F.coalesce(other, F.lit(""))))
+
+    path = F.coalesce("_f_own_path", "_f_process_path")
+    derived = {
+        "name": name, "tool": F.coalesce(process, own), "path": F.lower(path), "process_path_low": F.lower("_f_process_path"),
+        "name_low": F.lower(name), "process_low": F.lower(process), "stem_low": F.lower(without_extension(name)),
+        "process_stem_low": F.lower(without_extension(process)), "process_stem": without_extension(process),
+        "own_stem": without_extension(own), "ext": ext(own, process), "name_ext": ext(name, process),
+        "library_ext": ext(name, path), "command_low": F.lower("_f_command"),
+    }
+    return df.select("*", *[c.alias(f"_f_{n}") for n, c in derived.items()])
+
+
+def f(name: str) -> Column:
+    return F.col(f"_f_{name}")
 
 
 def _find(pattern: str, *cols: Column) -> Column:
@@ -100,102 +111,86 @@ def _find(pattern: str, *cols: Column) -> Column:
     return F.coalesce(any_of([F.coalesce(c.rlike(pattern), F.lit(False)) for c in cols]), F.lit(False))
 
 
-def _extension_of(f: Facets) -> Column:
-    own = extension(_text(f.own_name))
-    return F.when(own != "", own).otherwise(extension(_text(f.process)))
-
-
-def file_condition(rule: dict, f: Facets) -> Column | None:
+def file_condition(rule: dict) -> Column | None:
     """All criteria that are set must hold; at least one must look at content."""
     tests: list[Column] = []
     if rule["name"]:
-        tests.append(_find(rule["name"], f.process, f.own_name))
+        tests.append(_find(rule["name"], f("process"), f("own_name")))
     if rule["stem"]:
-        tests.append(_find(rule["stem"], without_extension(f.process), without_extension(f.own_name)))
+        tests.append(_find(rule["stem"], f("process_stem"), f("own_stem")))
     if rule["path"]:
-        tests.append(_find(rule["path"], forward_slashes(f.process_path), forward_slashes(f.own_path)))
+        tests.append(_find(rule["path"], f("process_path"), f("own_path")))
     if rule["extensions"]:
-        ext = _extension_of(f)
-        tests.append((ext != "") & any_of([ext.rlike(p) for p in rule["extensions"]]))
-    tests += [_find(p, f.command) for p in rule["arguments"]]
+        tests.append((f("ext") != "") & any_of([f("ext").rlike(p) for p in rule["extensions"]]))
+    tests += [_find(p, f("command")) for p in rule["arguments"]]
     if rule["parent"]:
-        tests.append(_find(rule["parent"], forward_slashes(f.parent)))
+        tests.append(_find(rule["parent"], f("parent")))
     if rule["task"]:
-        tests.append(_find(rule["task"], f.task))
+        tests.append(_find(rule["task"], f("task")))
     if not tests:
         return None
     if rule["signed"]:
-        tests.append(_find(rule["signed"], f.signed))
+        tests.append(_find(rule["signed"], f("signed")))
     if rule["sources"]:
-        tests.append(_find(rule["sources"], f.source))
+        tests.append(_find(rule["sources"], f("source")))
     return all_of(tests)
 
 
-def file_hits(f: Facets, rules: RuleSet) -> Column:
+def file_hits(rules: RuleSet, n: Numbering) -> Column:
     """File-correlated rules, grouped by the event types that gate them."""
     by_gate: dict[tuple, list] = defaultdict(list)
-    tool = F.coalesce(f.process, f.own_name)
-    for position, rule in enumerate(rules.files):
-        condition = file_condition(rule, f)
+    for rule in rules.files:
+        condition = file_condition(rule)
         if condition is not None:
-            by_gate[tuple(rule["event_types"])].append((position, condition, rule))
-    arrays = []
-    for gate, members in by_gate.items():
-        hits = [
-            (c, F.struct(F.lit(p).alias("p"), _hit(r, "FileCorrelated", tool, f.fields()).alias("h"))) for p, c, r in members
-        ]
-        found = F.array_compact(F.array(*[F.when(c, h) for c, h in hits]))
-        if gate:
-            empty = F.expr(f"cast(array() as array<struct<p:int,h:{HIT}>>)")
-            found = F.when(F.col("event_type").isin(list(gate)), found).otherwise(empty)
-        arrays.append(found)
+            by_gate[tuple(rule["event_types"])].append((condition, n.add(rule, "FileCorrelated", None)))
+    arrays = [
+        _gated(F.col("event_type").isin(list(gate)), _collect(pairs)) if gate else _collect(pairs)
+        for gate, pairs in by_gate.items()
+    ]
     if not arrays:
-        return _none()
-    # Back to rule order across gates.
-    return F.transform(F.array_sort(F.concat(*arrays)), lambda e: e["h"])
+        return F.expr(NONE)
+    # Numbers ascend in rule order, so sorting restores it across gates.
+    return F.array_sort(F.concat(*arrays)) if len(arrays) > 1 else arrays[0]
 
 
-def token_hits(f: Facets, rules: RuleSet) -> Column:
+def token_hits(rules: RuleSet, n: Numbering) -> Column:
     """Argument tokens in the command line of PowerShell processes."""
-    if not rules.tokens:
-        return _none()
-    command = F.lower(f.command)
-    hits = _collect([(command.contains(r["token"]), _hit(r, "PowershellArgs", r["token"], f.fields())) for r in rules.tokens])
-    gate = F.lower(f.process).contains(POWERSHELL) & f.command.isNotNull()
-    return F.when(gate, hits).otherwise(_none())
+    pairs = [(f("command_low").contains(r["token"]), n.add(r, "PowershellArgs", r["token"])) for r in rules.tokens]
+    return _gated(f("process_low").contains(POWERSHELL) & f("command").isNotNull(), _collect(pairs))
 
 
-def event_condition(rule: dict, f: Facets) -> Column:
+def event_condition(rule: dict) -> Column:
     tests: list[Column] = []
     if rule["log_file"]:
-        file_name = F.concat(F.replace(f.channel, F.lit("/"), F.lit("%4")), F.lit(".evtx"))
-        tests.append(_find(rule["log_file"], f.channel, f.log_name, file_name))
+        file_name = F.concat(F.replace(f("channel"), F.lit("/"), F.lit("%4")), F.lit(".evtx"))
+        tests.append(_find(rule["log_file"], f("channel"), f("log_name"), file_name))
     if rule["log_names"]:
-        tests.append(_find(rule["log_names"], f.channel, f.log_name))
+        tests.append(_find(rule["log_names"], f("channel"), f("log_name")))
     for name, pattern in rule["payload"].items():
         snake = "".join("_" + c.lower() if c.isupper() and i else c.lower() for i, c in enumerate(name)).replace(" ", "_")
         spellings = dict.fromkeys([name, snake, name.lower().replace(" ", "_")])
-        value = F.coalesce(*[F.when(f.attrs[s] != "", f.attrs[s]) for s in spellings])
+        value = F.coalesce(*[F.when(F.col("attrs")[s] != "", F.col("attrs")[s]) for s in spellings])
         tests.append(_find(pattern, value))
     return all_of(tests) if tests else F.lit(True)
 
 
-def event_hits(f: Facets, rules: RuleSet, log_ids: bool = True) -> Column:
+def event_hits(rules: RuleSet, n: Numbering, log_ids: bool = True) -> Column:
     """Event-log rules, indexed by event id. With `log_ids` the id of event-log
     records counts too, not only that of log lines."""
     by_id: dict[int, list] = defaultdict(list)
     for rule in rules.events:
-        for event_id in dict.fromkeys(rule["event_ids"]):
-            by_id[event_id].append(rule)
+        if rule["event_ids"]:
+            pair = (event_condition(rule), n.add(rule, "EventsMatching"))
+            for event_id in dict.fromkeys(rule["event_ids"]):
+                by_id[event_id].append(pair)
     if not by_id:
-        return _none()
-    seen = (F.coalesce(f.event_id, f.log_event_id) if log_ids else f.event_id).try_cast("int")
-    chain = F.when(F.lit(False), _none())
-    for event_id, members in by_id.items():
-        hits = _collect([(event_condition(r, f), _hit(r, "EventsMatching", "", f.fields())) for r in members])
-        chain = chain.when(seen == event_id, hits)
+        return F.expr(NONE)
+    seen = F.coalesce(f("event_id"), f("log_event_id")) if log_ids else f("event_id")
+    chain = F.when(F.lit(False), F.expr(NONE))
+    for event_id, pairs in by_id.items():
+        chain = chain.when(seen == event_id, _collect(pairs))
     # One hash test keeps events without a rule out of the chain.
-    return F.when(seen.isin(list(by_id)), chain.otherwise(_none())).otherwise(_none())
+    return _gated(seen.isin(list(by_id)), chain.otherwise(F.expr(NONE)))
 
 
 def host_suffixes(host: Column) -> Column:
@@ -204,138 +199,172 @@ def host_suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def excluded_network(f: Facets, rules: RuleSet, wide: bool = True) -> Column:
+def _any_like(values: Column, pattern: str) -> Column:
+    return F.exists(values, lambda v: v.rlike(pattern))
+
+
+def excluded_network(rules: RuleSet, wide: bool = True) -> Column:
     """Common domains and host/port pairs that never count."""
-    hosts = [f.domain, f.remote_host] + ([f.remote_domain, f.remote_host_name] if wide else [])
+    hosts = [f("domain"), f("remote_host")] + ([f("remote_domain"), f("remote_host_name")] if wide else [])
     target = F.coalesce(*hosts)
-    port = F.coalesce(f.remote_port.try_cast("double").cast("int"), F.lit(0))
     tests = [_find(p, target) for p in rules.common_domains]
-    tests += [(port == number) & _find(p, target) for p, number in rules.host_ports]
+    tests += [(f("remote_port") == number) & _find(p, target) for p, number in rules.host_ports]
     return any_of(tests) if tests else F.lit(False)
 
 
-def domain_hits(f: Facets, rules: RuleSet, wide: bool = True, one_label: bool = False) -> Column:
+def domain_hits(rules: RuleSet, n: Numbering, wide: bool = True, one_label: bool = False) -> Column:
     """Domain rules on the domain, remote host and URL host of an event.
 
     `**.name` globs are looked up by host suffix (a hash test per label); other
     globs stay regexes. `one_label` restricts `**.` to a single leading label.
     """
     if not rules.domains:
-        return _none()
-    hosts = [f.domain, f.remote_host, url_host(f.url)] + ([f.remote_domain, f.remote_host_name] if wide else [])
+        return F.expr(NONE)
+    hosts = [f("domain"), f("remote_host"), f("url_host")] + ([f("remote_domain"), f("remote_host_name")] if wide else [])
+    some = any_of([h.isNotNull() for h in hosts])
     present = F.array_distinct(F.transform(F.array_compact(F.array(*hosts)), F.lower))
+
     def base_of(rule: dict) -> str | None:
         base = rule["glob"].removeprefix("**.")
         plain = rule["glob"].startswith("**.") and "*" not in base and not one_label
         return base if plain else None
 
     known = sorted({base_of(r) for r in rules.domains} - {None})
-    suffixes = F.array_distinct(F.flatten(F.transform(present, host_suffixes)))
+    suffixes = F.flatten(F.transform(present, host_suffixes))
     matched = F.filter(suffixes, lambda s: s.isin(known)) if known else F.expr("cast(array() as array<string>)")
     pairs, residual = [], False
     for rule in rules.domains:
-        hit, base = _hit(rule, "Domain", rule["provider"], f.fields()), base_of(rule)
+        number, base = n.add(rule, "Domain", rule["provider"]), base_of(rule)
         if base is not None:
-            pairs.append((F.array_contains(matched, base), hit))
+            pairs.append((F.array_contains(matched, base), number))
         else:
-            pattern = anywhere(domain_glob(rule["glob"], one_label))
-            pairs.append((F.exists(present, lambda h, p=pattern: h.rlike(p)), hit))
+            pairs.append((_any_like(present, anywhere(domain_glob(rule["glob"], one_label))), number))
             residual = True
-    gate = F.size(present) > 0
-    if not residual:
-        gate = gate & (F.size(matched) > 0)
-    return F.when(gate & ~excluded_network(f, rules, wide), _collect(pairs)).otherwise(_none())
+    gate = some if residual else some & (F.size(matched) > 0)
+    return _gated(gate & ~excluded_network(rules, wide), _collect(pairs))
 
 
-def remote_hits(f: Facets, rules: RuleSet) -> Column:
+def remote_hits(rules: RuleSet, n: Numbering) -> Column:
     """Remote-management paths: entries are alternatives, the fields of an
     entry must all hold."""
-    names = [F.lower(_text(f.name)), F.lower(_text(f.process))]
-    stems = [F.lower(without_extension(n)) for n in (_text(f.name), _text(f.process))]
-    paths = [F.lower(forward_slashes(p)) for p in (f.path, f.process_path)]
-    own = extension(_text(f.name))
-    ext = F.when(own != "", own).otherwise(extension(_text(f.process)))
-    pairs, literal_names, literal_stems, open_rule = [], set(), set(), False
+    pairs, names, stems, open_rule = [], set(), set(), False
     for rule in rules.remote:
         entries = []
         for entry in rule["entries"]:
             tests = []
             if entry["name"]:
-                tests.append((names[0] == entry["name"]) | (names[1] == entry["name"]))
-                literal_names.add(entry["name"])
+                tests.append(F.coalesce(f("name_low") == entry["name"], F.lit(False)) | F.coalesce(f("process_low") == entry["name"], F.lit(False)))
+                names.add(entry["name"])
             if entry["stem"]:
-                tests.append((stems[0] == entry["stem"]) | (stems[1] == entry["stem"]))
-                literal_stems.add(entry["stem"])
+                tests.append(F.coalesce(f("stem_low") == entry["stem"], F.lit(False)) | F.coalesce(f("process_stem_low") == entry["stem"], F.lit(False)))
+                stems.add(entry["stem"])
             open_rule |= not (entry["name"] or entry["stem"])
             if entry["path"]:
-                tests.append(_find(entry["path"], *paths))
+                tests.append(_find(entry["path"], f("path"), f("process_path_low")))
             if entry["extensions"]:
-                tests.append(ext.isin(entry["extensions"]))
+                tests.append(f("name_ext").isin(entry["extensions"]))
             if tests:
                 entries.append(all_of(tests))
         if entries:
             shown = {"rule_id": rule["rule_id"], "analysis_type": REMOTE_TYPE, "score": REMOTE_SCORE}
-            pairs.append((any_of(entries), _hit(shown, "RemoteManagement", rule["tool"], f.fields())))
+            pairs.append((any_of(entries), n.add(shown, "RemoteManagement", rule["tool"])))
     if not pairs:
-        return _none()
-    gate = f.name.isNotNull() | f.path.isNotNull()
+        return F.expr(NONE)
+    gate = f("name").isNotNull() | f("path").isNotNull()
     if not open_rule:
         # Every entry names a file, so a hash test on the names decides first.
-        tests = [n.isin(list(literal_names)) for n in names if literal_names]
-        tests += [s.isin(list(literal_stems)) for s in stems if literal_stems]
-        gate = gate & any_of(tests)
-    return F.when(gate, _collect(pairs)).otherwise(_none())
+        tests = [f(c).isin(list(names)) for c in ("name_low", "process_low") if names]
+        tests += [f(c).isin(list(stems)) for c in ("stem_low", "process_stem_low") if stems]
+        gate = any_of([F.coalesce(t, F.lit(False)) for t in tests])
+    return _gated(gate, _collect(pairs))
 
 
-def tool_hits(f: Facets, rules: RuleSet) -> Column:
+def tool_hits(rules: RuleSet, n: Numbering) -> Column:
     """Transfer-tool file names, optionally limited to event types."""
-    name = F.lower(f.name)
     pairs, known = [], set()
     for rule in rules.tools:
         tests = []
         for entry in rule["entries"]:
-            test = name == entry["name"]
+            test = f("name_low") == entry["name"]
             known.add(entry["name"])
             if entry["event_types"]:
                 test = test & F.col("event_type").isin(entry["event_types"])
             tests.append(test)
         if tests:
-            pairs.append((any_of(tests), _hit(rule, "ExecutableType", rule["tool"], f.fields())))
-    if not pairs:
-        return _none()
-    return F.when(name.isin(list(known)), _collect(pairs)).otherwise(_none())
+            pairs.append((any_of(tests), n.add(rule, "ExecutableType", rule["tool"])))
+    return _gated(f("name_low").isin(list(known)), _collect(pairs)) if pairs else F.expr(NONE)
 
 
-def library_hits(f: Facets, rules: RuleSet) -> Column:
+def library_hits(rules: RuleSet, n: Numbering) -> Column:
     """Paths of loaded libraries; `{0}` in the text is the file name."""
-    path, stem = F.lower(forward_slashes(f.path)), F.lower(without_extension(_text(f.name)))
-    own = extension(_text(f.name))
-    ext = F.when(own != "", own).otherwise(extension(_text(f.path)))
     pairs, wanted = [], set()
     for rule in rules.libraries:
-        tests = [ext.isin(rule["extensions"] or LIBRARY_EXTENSIONS)]
-        wanted |= set(rule["extensions"] or LIBRARY_EXTENSIONS)
+        extensions = rule["extensions"] or LIBRARY_EXTENSIONS
+        wanted |= set(extensions)
+        tests = [f("library_ext").isin(extensions)]
         if rule["path"]:
-            tests.append(_find(rule["path"], path))
+            tests.append(_find(rule["path"], f("path")))
         if rule["stem"]:
-            tests.append(_find(rule["stem"], stem))
+            tests.append(_find(rule["stem"], f("stem_low")))
         if len(tests) > 1:
-            text = F.replace(F.lit(rule["justification"]), F.lit("{0}"), _text(f.name))
-            shown = {"rule_id": rule["rule_id"], "analysis_type": LIBRARY_TYPE, "score": rule["score"]}
-            pairs.append((all_of(tests), _hit(shown, "LibNotOnDisk", "", f.fields(), text)))
-    if not pairs:
-        return _none()
-    return F.when(f.path.isNotNull() & ext.isin(list(wanted)), _collect(pairs)).otherwise(_none())
-
-
-def detect(df: DataFrame, rules: RuleSet, log_ids: bool = True, wide: bool = True) -> DataFrame:
-    """Add `detections`: every rule hit of the event, in plugin and rule order."""
-    f = Facets(df)
-    parts = [
-        file_hits(f, rules), token_hits(f, rules), event_hits(f, rules, log_ids), domain_hits(f, rules, wide),
-        remote_hits(f, rules), tool_hits(f, rules), library_hits(f, rules),
-    ]
-    return df.withColumn("detections", F.concat(*parts))
+            shown = {
+                "rule_id": rule["rule_id"], "analysis_type": LIBRARY_TYPE, "score": rule["score"],
+                "justification": rule["justification"],
+            }
+            pairs.append((all_of(tests), n.add(shown, "LibNotOnDisk")))
+    return _gated(f("path").isNotNull() & f("library_ext").isin(list(wanted)), _collect(pairs)) if pairs else F.expr(NONE)
+
+
+def template_fields() -> Column:
+    """Everything a justification template may name."""
+    base = F.create_map(*[
+        c for name in ("message", "event_type", "host_name", "data_type", "source_short") for c in (F.lit(name), F.col(name))
+    ])
+    return overlay(base, F.col("attrs"))
+
+
+def spell_out(numbers: Column, entries: list[dict]) -> Column:
+    """Hit numbers -> hit structs. Rows without hits skip all of it."""
+    if not entries:
+        return F.expr(NO_HITS)
+    table = F.array(*[
+        F.struct(
+            F.lit(e["rule_id"]).alias("rule_id"), F.lit(e["plugin"]).alias("plugin"), F.lit(e["analysis_type"]).alias("analysis_type"),
+            F.lit(e["score"]).alias("score"), F.lit(e["justification"]).alias("justification"),
+            F.array(*[F.lit(m) for m in e["mitre"]]).cast("array<string>").alias("mitre"), F.lit(e["tool"]).cast("string").alias("tool"),
+        )
+        for e in entries
+    ])
+    templated = any("${" in e["justification"] for e in entries)
+
+    def hit(number: Column) -> Column:
+        e = F.get(table, number)
+        text = F.replace(e["justification"], F.lit("{0}"), F.coalesce(f("name"), F.lit("")))
+        if templated:
+            text = F.when(text.contains("${"), fill_template(text, template_fields())).otherwise(text)
+        return F.struct(
+            e["rule_id"].alias("rule_id"), e["plugin"].alias("plugin"), e["analysis_type"].alias("analysis_type"),
+            e["score"].alias("score"), text.alias("justification"), e["mitre"].alias("mitre"),
+            F.coalesce(e["tool"], f("tool"), F.lit("")).alias("tool_name"),
+        ).cast(HIT)
+
+    return F.when(F.size(numbers) > 0, F.transform(numbers, hit)).otherwise(F.expr(NO_HITS))
+
+
+PLUGINS = (file_hits, token_hits, event_hits, domain_hits, remote_hits, tool_hits, library_hits)
+
+
+def detect(df: DataFrame, rules: RuleSet, plugins: tuple = PLUGINS, **options: dict) -> DataFrame:
+    """Add `detections`: every rule hit of the event, in plugin and rule order.
+
+    `options` maps a plugin name to keyword arguments, such as
+    `domain_hits={"one_label": True}`.
+    """
+    n = Numbering()
+    wide = with_facets(df)
+    numbers = F.concat(*[p(rules, n, **options.get(p.__name__, {})) for p in plugins])
+    marked = wide.withColumn("_hits", numbers)
+    return marked.withColumn("detections", spell_out(F.col("_hits"), n.entries)).select(*df.columns, "detections")
 
 
 def detections(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -42,7 +42,8 @@ def _macb_emit(times: list[tuple], prefix: Column, path: Column, source: tuple[s
             source[0],
             F.concat(F.lit(source[1]), F.when(by_name, F.lit("$FILE_NAME")).otherwise(F.lit("$STANDARD_INFORMATION"))),
         ),
-        attrs=attrs | {"timestompNote": F.when(by_name, F.lit(TIMESTOMP_NOTE))},
+        attrs=attrs,
+        event_attrs={"timestompNote": F.when(by_name, F.lit(TIMESTOMP_NOTE))},
     )
 
 
@@ -128,44 +129,34 @@ def resolve_paths(
     """Path of every node whose parent chain reaches `root`; broken or cyclic
     chains are dropped. Returns keys, node, `path` (joined names, root left out).
 
-    Pointer doubling: in each round a node's pointer jumps to its pointer's
-    pointer and the path grows by that much, so a chain of depth d needs log2(d)
-    joins instead of d, and every join is an equi join on (keys, node). Chains
-    that are cyclic never reach the root and are left over at the end.
+    Pointer doubling: in each round a node takes over its pointer's pointer and
+    path, so a chain of depth d needs log2(d) equi joins instead of d. A node
+    whose pointer is missing drops out of the join; once a round completes no
+    further node, only cycles are left. The pointed-at side has one row per
+    node, so a directory with very many children is a one-sided skew that the
+    adaptive skew join splits.
     """
-    step = nodes.select(
-        *keys, F.col(node).cast("long").alias("node"), F.col(parent).cast("long").alias("up"), F.col(name).alias("path"),
-    ).where(F.col("path") != "")
-    step = step.withColumn("up", F.when(F.col("up") == root, F.lit(None)).otherwise(F.col("up")))
-    done = step.where(F.col("up").isNull()).select(*keys, "node", "path")
-    open_ = step.where(F.col("up").isNotNull())
-    open_ = cut_lineage(open_)
-    results = [cut_lineage(done)]
+    name_of, up_of = F.col(name), F.col(parent).cast("long")
+    state = nodes.where(name_of != "").select(
+        *keys, F.col(node).cast("long").alias("node"), F.when(up_of != root, up_of).alias("up"), name_of.alias("path"),
+    )
+    state = cut_lineage(state)
+    done = -1
     for _ in range(max_rounds):
-        finished = results[0]
-        for extra in results[1:]:
-            finished = finished.unionByName(extra)
-        above_done = finished.select(*keys, F.col("node").alias("up"), F.col("path").alias("above"))
-        closed = open_.join(above_done, [*keys, "up"]).select(
-            *keys, "node", F.concat("above", F.lit(sep), "path").alias("path")
-        )
-        above_open = open_.select(
-            *keys, F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("above")
+        count = state.agg(F.count_if(F.col("up").isNull()).alias("done"), F.count("up").alias("open")).first()
+        if count["open"] == 0 or count["done"] == done:
+            break
+        done = count["done"]
+        above = state.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
+        moved = state.where(F.col("up").isNotNull()).join(above, [*keys, "up"]).where(
+            F.coalesce(F.col("next") != F.col("node"), F.lit(True))
         )
-        still = open_.join(above_open, [*keys, "up"]).where(F.col("next") != F.col("node")).select(
-            *keys, "node", F.col("next").alias("up"), F.concat("above", F.lit(sep), "path").alias("path")
+        state = cut_lineage(
+            state.where(F.col("up").isNull()).unionByName(
+                moved.select(*keys, "node", F.col("next").alias("up"), F.concat("above", F.lit(sep), "path").alias("path"))
+            )
         )
-        closed, still = cut_lineage(closed), cut_lineage(still)
-        closed_any = not closed.isEmpty()
-        if closed_any:
-            results.append(closed)
-        if still.isEmpty() or not closed_any:
-            break
-        open_ = still
-    out = results[0]
-    for extra in results[1:]:
-        out = out.unionByName(extra)
-    return out
+    return state.where(F.col("up").isNull()).select(*keys, "node", "path")
 
 
 def mft_events(entries: DataFrame, captures: DataFrame, drive: str = "C") -> DataFrame:

@@ -253,7 +253,7 @@ def _data_fields(data: Column) -> Column:
         ),
     )
     items = F.filter(items, lambda e: e["key"] != "")
-    return overlay(overlay(plain, _last_wins(nested)), _last_wins(items))
+    return overlay(overlay(plain, F.map_from_entries(nested)), F.map_from_entries(items))
 
 
 def _inner_fields(data: Column) -> Column:
@@ -265,13 +265,4 @@ def _inner_fields(data: Column) -> Column:
             lambda e: F.map_entries(_no_markup(parse_map(e["value"]))),
         )
     )
-    return _last_wins(nested)
-
-
-def _last_wins(entries: Column) -> Column:
-    """Entries -> map, the last value of a repeated key kept."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    latest = F.transform(
-        keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value"))
-    )
-    return F.map_from_entries(latest)
+    return F.map_from_entries(nested)

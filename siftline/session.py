@@ -12,6 +12,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Attribute maps are laid over each other: the later value of a key wins.
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 
