@@ -14,6 +14,17 @@ LEVEL_RANK = {"critical": 5, "high": 4, "medium": 3, "low": 2, "informational":
 STRING_MAP = "map<string,string>"
 
 
+def once(col: Column) -> Column:
+    """The same value, but evaluated where it stands.
+
+    A filter on a derived column is otherwise moved below it with the whole
+    expression copied in, once per mention; for parsed JSON or rule conditions
+    the copies cost more than the filter saves. The partition id is never
+    negative, and being non-deterministic it keeps the filter above.
+    """
+    return F.when(F.spark_partition_id() >= 0, col)
+
+
 def loose_boolean(col: Column) -> Column:
     """True only for true / "true" in any case; NULL and anything else is false."""
     return F.coalesce(F.lower(col.cast("string")) == "true", F.lit(False))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from siftline.functions.labels import literal_map
 from siftline.functions.patterns import anywhere, domain_glob, fill_template
 from siftline.functions.text import extension, forward_slashes, join_capped, url_host, without_extension
-from siftline.functions.values import LEVEL_RANK, SCORE_RANK, all_of, any_of, highest, overlay
+from siftline.functions.values import LEVEL_RANK, SCORE_RANK, all_of, any_of, highest, once, overlay
 from siftline.operators.filters import attr
 from siftline.sources.rules import RuleSet
 
@@ -363,7 +363,7 @@ def detect(df: DataFrame, rules: RuleSet, plugins: tuple = PLUGINS, **options: d
     n = Numbering()
     wide = with_facets(df)
     numbers = F.concat(*[p(rules, n, **options.get(p.__name__, {})) for p in plugins])
-    marked = wide.withColumn("_hits", numbers)
+    marked = wide.withColumn("_hits", once(numbers))
     return marked.withColumn("detections", spell_out(F.col("_hits"), n.entries)).select(*df.columns, "detections")
 
 

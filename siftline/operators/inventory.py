@@ -48,12 +48,14 @@ def ancestors(entries: DataFrame) -> DataFrame:
 
 
 def policy_totals(entries: DataFrame) -> DataFrame:
-    head = entries.agg(
-        F.count(F.lit(1)).alias("entries"), F.count_distinct("path").alias("paths"), F.count_distinct("policy").alias("policies")
+    """Entries, distinct paths, policies and directories, in one aggregation."""
+    rows = entries.select("path", "policy", F.lit(None).cast("string").alias("dir")).unionByName(
+        ancestors(entries).select("dir").distinct(), allowMissingColumns=True
+    )
+    return rows.agg(
+        F.count("path").alias("entries"), F.count_distinct("path").alias("paths"),
+        F.count_distinct("policy").alias("policies"), F.count("dir").alias("directories"),
     )
-    dirs = ancestors(entries).agg(F.count_distinct("dir").alias("directories"))
-    # Two one-row frames side by side.
-    return head.join(dirs, F.lit(True))
 
 
 def policies(entries: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions.text import ellipsis, human_cpu, human_bytes, human_duration, base_name, rid_of_sid
 from siftline.functions.times import epoch_ms, event_time
 from siftline.functions.labels import activity_description
-from siftline.functions.values import analysis_attributes, first_non_empty, parse_map, parse_maps
+from siftline.functions.values import analysis_attributes, first_non_empty, once, parse_map, parse_maps
 from siftline.operators.build import Emit, build, builder, collected, described, opt, rec, say, word
 from siftline.operators.windows import source_info
 
@@ -22,7 +22,7 @@ def with_analysis(spec: Emit) -> Emit:
 
 
 def _info(df: DataFrame) -> DataFrame:
-    return df.withColumn("_info", source_info())
+    return df.withColumn("_info", once(source_info()))
 
 
 def info(name: str) -> Column:
@@ -57,7 +57,7 @@ def _extractor() -> Column:
 @builder("section.process")
 def processes(df: DataFrame) -> DataFrame:
     """Process records, routed by the extractor that wrote them."""
-    df = _info(df).withColumn("_route", _extractor())
+    df = _info(df).withColumn("_route", once(_extractor()))
     start = epoch_ms(rec("startTime"))
     common = {
         "process_name": _program(), "process_path": "path", "raw_path_data": "rawPathData",
@@ -165,7 +165,7 @@ def accounts(df: DataFrame) -> DataFrame:
 @builder("section.nwConnectionDescriptor")
 def connections(df: DataFrame) -> DataFrame:
     """Connection records, routed by the extractor that wrote them."""
-    df = _info(df).withColumn("_route", _extractor())
+    df = _info(df).withColumn("_route", once(_extractor()))
     seen = epoch_ms(rec("time"))
     ends = {
         "local_ip": "localIP", "local_port": "localPort", "remote_ip": "remoteIP", "remote_port": "remotePort",

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import labels
-from siftline.functions.times import epoch_ms, filetime
-from siftline.functions.values import flatten_one_level, overlay, parse_map, parse_maps
+from siftline.functions.times import filetime
+from siftline.functions.values import flatten_one_level, once, overlay, parse_map, parse_maps
 from siftline.operators.build import Emit, build, builder, rec
 
 # ---------------------------------------------------------------- fixed values
@@ -157,7 +157,7 @@ def source_info() -> Column:
 def section_events(df: DataFrame) -> DataFrame:
     """Pre-parsed Windows event records; only those of the system-API extractor."""
     info = F.col("_info")
-    df = df.withColumn("_info", source_info())
+    df = df.withColumn("_info", once(source_info()))
     named = F.coalesce(
         F.when(rec("logName") != "", rec("logName")),
         F.when(info["eventLogName"] != "", info["eventLogName"]),

@@ -388,9 +388,8 @@ def delete_captures(spark, sf):
 
 @query("a01_parse_timeline", f"""{WITH_TIMELINE} SELECT id, strftime(datetime, '{ISO}') AS datetime, event_type, nullif(host_name, '') AS host_name, coalesce(is_suspicious, FALSE) AS is_suspicious FROM tl WHERE k % 6 <> 0""")
 def parse_timeline(spark, sf):
-    df = timeline(spark, sf)
-    k = F.col("k")
-    body = event_json(df)
+    df = event_json(timeline(spark, sf), "body")
+    k, body = F.col("k"), F.col("body")
     lines = df.select(
         "upload_id", "site_id", "seq",
         F.when(k % 12 == 0, F.lit("{broken")).when(k % 12 == 6, F.lit('{"datetime":"noon","message":"x"}'))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="siftline-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder name for intermediate tables: below the shared folder the
+    session names in `spark.checkpoint.dir`, else a temporary one (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if root:
+        return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix=f"siftline-{name}-")

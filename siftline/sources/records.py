@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from siftline.functions.labels import full_channel
 from siftline.functions.times import event_time
-from siftline.functions.values import first_non_empty, parse_map, parse_maps
+from siftline.functions.values import first_non_empty, once, parse_map, parse_maps
 from siftline.operators.lines import dash_table, split_lines
 from siftline.schema import MANIFEST_SCHEMA
 
@@ -93,7 +93,7 @@ def read_bag(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Files that hold one JSON object -> one record."""
     whole = spark.read.option("wholetext", True).text(paths)
     return _numbered(
-        whole.select(file_path().alias("file"), parse_map(F.col("value")).alias("rec"))
+        whole.select(file_path().alias("file"), once(parse_map(F.col("value"))).alias("rec"))
         .where(F.col("rec").isNotNull()).select(upload_of(F.col("file")).alias("upload_id"), "file", "rec")
     )
 
@@ -104,7 +104,7 @@ def read_sections(spark: SparkSession, paths: str | list[str]) -> dict[str, Data
     entries = rows.select("upload_id", "file", "seq", F.explode("rec").alias("kind", "body")).where(
         F.col("kind").isin(SECTION_KINDS)
     )
-    parsed = entries.withColumn("rec", parse_map(F.col("body"))).where(F.col("rec").isNotNull()).drop("body")
+    parsed = entries.withColumn("rec", once(parse_map(F.col("body")))).where(F.col("rec").isNotNull()).drop("body")
     return {f"section.{k}": parsed.where(F.col("kind") == k).drop("kind") for k in SECTION_KINDS}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.text import blank_to_null, strip_control_escapes
 from siftline.functions.times import INGEST_FORMATS
-from siftline.functions.values import loose_boolean, parse_map
+from siftline.functions.values import drop_empty, loose_boolean, once, parse_map
 from siftline.schema import EVENT_COLUMNS, PROMOTED
 
 BASE_KEYS = [
@@ -20,6 +20,12 @@ def ingest_time(col: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in INGEST_FORMATS])
 
 
+def _json_object(line: Column) -> Column:
+    """Attribute map of a line that holds one valid JSON object, else NULL."""
+    valid = F.startswith(F.ltrim(line), F.lit("{")) & F.try_parse_json(line).isNotNull()
+    return F.when(valid, parse_map(line))
+
+
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (`line`, `upload_id`, `site_id`, `seq`) -> (events, rejects).
 
@@ -29,8 +35,8 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = (
         lines.where(F.trim("line") != "")
         .withColumn("line", strip_control_escapes(F.col("line")))
-        .withColumn("attrs", F.when(F.ltrim("line").startswith("{") & F.try_parse_json("line").isNotNull(), parse_map(F.col("line"))))
-        .withColumn("_at", ingest_time(F.col("attrs")["datetime"]))
+        .withColumn("attrs", once(_json_object(F.col("line"))))
+        .withColumn("_at", once(ingest_time(F.col("attrs")["datetime"])))
     )
 
     def text(name: str) -> Column:
@@ -68,9 +74,10 @@ def count_lines(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).where(F.length("value") > 0).count()
 
 
-def event_json(df: DataFrame) -> Column:
-    """One JSON object per event: base fields first, then its attributes; the
-    base fields stay authoritative, empties are left out."""
+def event_json(df: DataFrame, name: str = "value") -> DataFrame:
+    """Add one JSON object per event: base fields, then attributes. The base
+    fields stay authoritative: an attribute of the same name but another value
+    is written as `data.<name>`. Empties are left out."""
     base = {
         "datetime": F.date_format("datetime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
         **{k: F.col(k) for k in BASE_KEYS if k != "datetime"},
@@ -79,19 +86,16 @@ def event_json(df: DataFrame) -> Column:
     }
     flat = [c for k, v in base.items() for c in (F.lit(k), v)]
     filled = F.map_filter(F.create_map(*flat), lambda _, v: v.isNotNull() & (v != ""))
+    df = df.withColumn("_base", once(filled)).withColumn("_rest", drop_empty(F.coalesce("attrs", F.expr("cast(map() as map<string,string>)"))))
+    kept = F.map_filter("_rest", lambda k, v: ~F.coalesce(F.col("_base")[k] == v, F.lit(False)))
     renamed = F.transform_keys(
-        F.coalesce(F.col("attrs"), F.expr("cast(map() as map<string,string>)")),
-        lambda k, _: F.when(F.map_contains_key(filled, k), F.concat(F.lit("data."), k)).otherwise(k),
-    )
-    # Attributes that merely repeat a base field are not written twice.
-    extra = F.map_filter(
-        renamed, lambda k, v: v.isNotNull() & (v != "") & ~F.coalesce(filled[F.regexp_replace(k, r"^data\.", "")] == v, F.lit(False))
+        kept, lambda k, _: F.when(F.map_contains_key(F.col("_base"), k), F.concat(F.lit("data."), k)).otherwise(k)
     )
-    return F.to_json(F.map_concat(filled, extra))
+    return df.withColumn(name, F.to_json(F.map_concat("_base", renamed))).drop("_base", "_rest")
 
 
 def write_timeline(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.select(event_json(df).alias("value")).write.mode(mode).text(path)
+    event_json(df).select("value").write.mode(mode).text(path)
 
 
 def with_id(df: DataFrame) -> DataFrame:
