@@ -85,7 +85,8 @@ def split_host_port(col: Column, dots: bool = False) -> tuple[Column, Column]:
 
     host = pick(1, text)
     if dots:
-        host = F.when(host == "*", F.lit("")).otherwise(host)
+        # Only the dotted dialect writes "any address" as an empty host.
+        host = F.when((host == "*") & text.rlike(dot), F.lit("")).otherwise(host)
     return host, pick(2, F.lit(""))
 
 

@@ -168,53 +168,59 @@ def _raw() -> Column:
     return F.to_json(F.col("rec"))
 
 
-def _table(kind: str, key: Column, message: Column, event_type: str, data_type: str, desc: str, part: str,
-           raw: bool = True, times: list | None = None, **attrs) -> None:
-    """Register the builder of one dash table: rows without `key` are dropped."""
+TABLE_KINDS = [
+    "accounts", "permissions", "firewall_rulesets", "firewall_rules", "filesystems", "packages", "multipath_devices",
+    "multipath_paths", "fc_adapters", "iscsi_adapters", "security_policies", "nics", "nics_v6", "port_groups",
+    "wbem_config", "wbem_providers", "cpus", "pci_devices",
+]
 
-    @builder(kind)
-    def rows(df: DataFrame) -> DataFrame:
-        return build(df, Emit(
+
+def _table_emits() -> dict[str, Emit]:
+    """How the rows of each dash table become events; rows without the key
+    column are dropped."""
+    emits: dict[str, Emit] = {}
+
+    def _table(kind: str, key: Column, message: Column, event_type: str, data_type: str, desc: str, part: str,
+               raw: bool = True, times: list | None = None, **attrs) -> None:
+        emits[kind] = Emit(
             where=key != "", event_type=event_type, data_type=data_type, message=message,
             times=times or [(collected(), desc)], source=_source(part),
             attrs=attrs | ({"raw": _raw()} if raw else {}),
-        ))
-
+        )
 
-def _register_tables() -> None:
     user = _pick("User ID", "Account ID")
     _table(
-        "esxi.accounts", user, F.concat(say("ESXi account: {u}", u=user), opt(" ({Description})")),
+        "accounts", user, F.concat(say("ESXi account: {u}", u=user), opt(" ({Description})")),
         "account_created", "esxi:user:account", "Account Created/Modified", "esxcli system account",
         username=user, description="Description",
     )
     _table(
-        "esxi.permissions", rec("Principal"), say("Permission: {Principal} -> {Role}"),
+        "permissions", rec("Principal"), say("Permission: {Principal} -> {Role}"),
         "account_permission", "esxi:user:permission", "Collection Time (Permission Configured)",
         "esxcli system permission", raw=False,
         principal="Principal", role="Role", is_group="Is Group", propagate="Propagate",
     )
     _table(
-        "esxi.firewall_rulesets", rec("Name"), say("Firewall ruleset: {Name} [Enabled={Enabled}]"),
+        "firewall_rulesets", rec("Name"), say("Firewall ruleset: {Name} [Enabled={Enabled}]"),
         "firewall_rule", "esxi:firewall:ruleset", "Collection Time (Firewall Rule)", "firewall ruleset",
         setting=F.lit("ruleset"), ruleset_name="Name", enabled="Enabled",
     )
     name = _pick("Ruleset", "Name")
     _table(
-        "esxi.firewall_rules", name,
+        "firewall_rules", name,
         say("Firewall rule: {n} {Direction} {Protocol} {Port Type}/{Port}-{End Port}", n=name),
         "firewall_rule", "esxi:firewall:rule", "Collection Time (Firewall Rule)", "firewall rule",
         setting=F.lit("rule"), ruleset_name=name, direction="Direction", protocol="Protocol",
         port_type="Port Type", port_begin="Port", port_end="End Port",
     )
     _table(
-        "esxi.filesystems", rec("Mount Point"), say("Datastore: {Volume Name} ({Type}) at {Mount Point}"),
+        "filesystems", rec("Mount Point"), say("Datastore: {Volume Name} ({Type}) at {Mount Point}"),
         "datastore", "esxi:storage:filesystem", "Collection Time (Datastore Mounted)", "storage filesystem", raw=False,
         volume_name="Volume Name", mount_point="Mount Point", fs_type="Type", uuid="UUID", size="Size", free="Free",
     )
     installed = F.when(rec("Install Date") != "", event_time(F.concat(rec("Install Date"), F.lit("T00:00:00"))))
     _table(
-        "esxi.packages", rec("Name"), say("VIB: {Name} v{Version} [{Vendor}, {Acceptance Level}]"),
+        "packages", rec("Name"), say("VIB: {Name} v{Version} [{Vendor}, {Acceptance Level}]"),
         "installed_program", "esxi:vib:installed", "", "software vib list", raw=False,
         times=[
             (installed, "Program Install Date"),
@@ -225,29 +231,29 @@ def _register_tables() -> None:
     )
     device = _pick("Device", "Device Display Name")
     _table(
-        "esxi.multipath_devices", device,
+        "multipath_devices", device,
         say("Multipath Device: {d} [{Path Selection Policy}, {Storage Array Type}]", d=device),
         "esxi_multipath", "esxi:storage:multipath", "Collection Time (Multipath Device)", "Multipathing",
         device=device, path_policy="Path Selection Policy", storage_array_type="Storage Array Type",
     )
     _table(
-        "esxi.multipath_paths", rec("Runtime Name"), say("Multipath Path: {Runtime Name} -> {Device} [{State}]"),
+        "multipath_paths", rec("Runtime Name"), say("Multipath Path: {Runtime Name} -> {Device} [{State}]"),
         "esxi_multipath_path", "esxi:storage:multipath_path", "Collection Time (Multipath Path)", "Multipathing",
         runtime_name="Runtime Name", device="Device", state="State", adapter="Adapter",
     )
     _table(
-        "esxi.fc_adapters", rec("Adapter"), say("FC Adapter: {Adapter} WWPN={Port Name}"),
+        "fc_adapters", rec("Adapter"), say("FC Adapter: {Adapter} WWPN={Port Name}"),
         "esxi_scsi", "esxi:storage:scsi_adapter", "Collection Time (SCSI FC Adapter)", "SCSI",
         adapter="Adapter", wwnn="Node Name", wwpn="Port Name",
     )
     _table(
-        "esxi.iscsi_adapters", rec("Adapter"), say("iSCSI Adapter: {Adapter} ({Name})"),
+        "iscsi_adapters", rec("Adapter"), say("iSCSI Adapter: {Adapter} ({Name})"),
         "esxi_iscsi", "esxi:storage:iscsi_adapter", "Collection Time (SCSI iSCSI Adapter)", "SCSI",
         adapter="Adapter", name="Name", driver="Driver",
     )
     domain = _pick("Domain", "Name")
     _table(
-        "esxi.security_policies", domain,
+        "security_policies", domain,
         say("Security Policy: {d} [Enforcement={Enforcement Level}, Enabled={Enabled}]", d=domain),
         "esxi_secpolicy", "esxi:security:policy", "Collection Time (Security Policy)", "SecurityPolicy",
         domain=domain, enforcement_level="Enforcement Level", enabled="Enabled",
@@ -255,46 +261,56 @@ def _register_tables() -> None:
     nic = _pick("Name", "Interface")
     ip4, mask = _pick("IPv4 Address", "Address"), _pick("IPv4 Netmask", "Netmask")
     _table(
-        "esxi.nics", nic, say("VMkernel NIC: {n} {a}/{m} [{Address Type}]", n=nic, a=ip4, m=mask),
+        "nics", nic, say("VMkernel NIC: {n} {a}/{m} [{Address Type}]", n=nic, a=ip4, m=mask),
         "esxi_vmknic", "esxi:network:vmknic", "Collection Time (VMkernel NIC)", "VmkNic",
         interface=nic, ipv4_address=ip4, netmask=mask, gateway="IPv4 Gateway", address_type="Address Type",
     )
     ip6 = _pick("IPv6 Address", "Address")
     _table(
-        "esxi.nics_v6", nic, say("VMkernel NIC (IPv6): {n} {a}/{Prefix Length}", n=nic, a=ip6),
+        "nics_v6", nic, say("VMkernel NIC (IPv6): {n} {a}/{Prefix Length}", n=nic, a=ip6),
         "esxi_vmknic", "esxi:network:vmknic_ipv6", "Collection Time (VMkernel NIC IPv6)", "VmkNic",
         interface=nic, ipv6_address=ip6, prefix_length="Prefix Length", address_type="Type",
     )
     _table(
-        "esxi.port_groups", rec("Name"), say("Portgroup: {Name} on {Virtual Switch} (VLAN {VLAN ID})"),
+        "port_groups", rec("Name"), say("Portgroup: {Name} on {Virtual Switch} (VLAN {VLAN ID})"),
         "esxi_portgroup", "esxi:network:portgroup", "Collection Time (vSwitch Portgroup)", "VmkNic",
         name="Name", virtual_switch="Virtual Switch", vlan_id="VLAN ID",
     )
     _table(
-        "esxi.wbem_config", F.concat(rec("Enabled"), rec("Port"), rec("Loglevel")),
+        "wbem_config", F.concat(rec("Enabled"), rec("Port"), rec("Loglevel")),
         say("WBEM Config: Enabled={Enabled} Port={Port} Loglevel={Loglevel}"),
         "esxi_wbem", "esxi:system:wbem_config", "Collection Time (WBEM Configuration)", "WBEM",
         enabled="Enabled", port="Port", loglevel="Loglevel",
     )
     _table(
-        "esxi.wbem_providers", rec("Name"), say("WBEM Provider: {Name} [{Status}]"),
+        "wbem_providers", rec("Name"), say("WBEM Provider: {Name} [{Status}]"),
         "esxi_wbem_provider", "esxi:system:wbem_provider", "Collection Time (WBEM Provider)", "WBEM",
         provider_name="Name", status="Status",
     )
     cpu = _pick("CPU", "Id")
     _table(
-        "esxi.cpus", cpu, say("CPU: {c} - {Brand} (Family {Family}, Model {Model})", c=cpu),
+        "cpus", cpu, say("CPU: {c} - {Brand} (Family {Family}, Model {Model})", c=cpu),
         "esxi_cpu", "esxi:hardware:cpu", "Collection Time (CPU Info)", "Hardware",
         cpu_id=cpu, family="Family", model="Model", brand="Brand",
     )
     _table(
-        "esxi.pci_devices", rec("Address"), say("PCI: {Address} - {Vendor Name} {Device Name} ({Device Class Name})"),
+        "pci_devices", rec("Address"), say("PCI: {Address} - {Vendor Name} {Device Name} ({Device Class Name})"),
         "esxi_pci", "esxi:hardware:pci", "Collection Time (PCI Device)", "Hardware",
         address="Address", vendor_name="Vendor Name", device_name="Device Name", class_name="Device Class Name",
     )
 
+    return emits
+
+
+def _table_builder(kind: str):
+    def rows(df: DataFrame) -> DataFrame:
+        return build(df, _table_emits()[kind])
+
+    return rows
+
 
-_register_tables()
+for _kind in TABLE_KINDS:
+    builder(f"esxi.{_kind}")(_table_builder(_kind))
 
 
 @builder("esxi.logons")

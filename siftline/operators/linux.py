@@ -141,8 +141,8 @@ def firewall(df: DataFrame) -> DataFrame:
         attrs={"setting": "label", "group": F.lit("Firewall"), "detail": body},
     )
     rules = df.where(rec("label").isin("iptables", "ip6tables")).withColumn(
-        "line", F.trim(F.explode(F.split(rec("text"), "\n")))
-    )
+        "line", F.explode(F.split(rec("text"), "\n"))
+    ).withColumn("line", F.trim("line"))
     single = Emit(
         where=F.col("line").startswith("-A "),
         event_type="firewall_rule", data_type="linux:firewall:rule",

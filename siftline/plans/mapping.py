@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.values import attribute_map
+from siftline.session import spread
 
 SPARK_K = "CAST(get_json_object(props, '$.k') AS INT)"
 DUCK_K = "CAST(props->>'$.k' AS INT)"
@@ -141,7 +142,7 @@ BASE = [
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def _run(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:

@@ -50,6 +50,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores, spread over them.
+
+    Builders and rules work row by row, so a small file in one piece would keep
+    one core busy. Tables of cluster size have more partitions than that and are
+    returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name for intermediate tables: below the shared folder the
     session names in `spark.checkpoint.dir`, else a temporary one (tests)."""
