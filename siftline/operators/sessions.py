@@ -6,7 +6,7 @@ source order (`seq`), by map-side-combined aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.labels import logon_type
@@ -90,47 +90,56 @@ def terminal_events(f: DataFrame) -> DataFrame:
     return f.where(F.col("event_type") == "windows_rdp").withColumn("account", F.when(user != "", user))
 
 
-def terminal_sessions(t: DataFrame) -> DataFrame:
-    """One row per (capture, session id) out of terminal logons and logoffs."""
-    return (
-        t.where(F.col("eid").isin("21", "23") & F.col("session_id").isNotNull())
-        .groupBy("upload_id", "session_id")
+def terminal_users(t: DataFrame) -> DataFrame:
+    """One row per (capture, session id, user) out of terminal events, with the
+    facts of the whole session id (`o_*`) on the row of its last user."""
+    on, off = F.col("eid") == "21", F.col("eid") == "23"
+    per_user = (
+        t.where(F.col("session_id").isNotNull())
+        .groupBy("upload_id", "session_id", F.col("account").alias("username"))
         .agg(
-            _last("account").alias("username"), _last("datetime", F.col("eid") == "21").alias("logon_time"),
-            _last("datetime", F.col("eid") == "23").alias("logoff_time"), _last("connection").alias("connection_type"),
+            F.collect_set("eid").alias("t_ids"), F.min_by("connection", "seq").alias("t_connection"),
+            F.max(F.when(on, F.struct("seq", "datetime"))).alias("on"), F.max(F.when(off, F.struct("seq", "datetime"))).alias("off"),
+            F.max(F.when(on | off, F.struct("seq", "connection"))).alias("last"),
         )
     )
+    # Post-aggregation rows: a session id has as many as it has users.
+    whole = Window.partitionBy("upload_id", "session_id")
+    named = F.when(F.col("username").isNotNull(), F.col("last.seq"))
+    owner = F.max_by("username", named).over(whole)
+    facts = F.when(F.col("username") == owner, F.struct(
+        F.max("on").over(whole)["datetime"].alias("logon"), F.max("off").over(whole)["datetime"].alias("logoff"),
+        F.max("last").over(whole)["connection"].alias("connection"),
+    ))
+    return per_user.withColumn("own", facts).where(F.col("username").isNotNull()).select(
+        "upload_id", "session_id", "username", "t_ids", "t_connection", F.col("on.datetime").alias("t_logon"),
+        F.col("off.datetime").alias("t_logoff"), "own",
+    )
 
 
 def merge_terminal(sessions: DataFrame, t: DataFrame) -> DataFrame:
     """Terminal events go into the logon session of the same session id and
-    user; terminal sessions without one become sessions of their own."""
-    key = ["upload_id", "session_id", "username"]
-    per_user = (
-        t.where(F.col("session_id").isNotNull() & F.col("account").isNotNull())
-        .groupBy("upload_id", "session_id", F.col("account").alias("username"))
-        .agg(
-            F.collect_set("eid").alias("t_ids"), _last("datetime", F.col("eid") == "23").alias("t_logoff"),
-            _last("datetime", F.col("eid") == "21").alias("t_logon"), F.min_by("connection", "seq").alias("t_connection"),
-        )
-    )
-    merged = (
-        sessions.join(per_user, key, "left")
-        .withColumn("logoff_time", F.greatest("logoff_time", "t_logoff"))
-        .withColumn("logon_time", F.coalesce("logon_time", "t_logon"))
-        .withColumn("connection_type", F.coalesce("connection_type", "t_connection"))
-        .withColumn("event_ids", F.array_union("event_ids", F.coalesce("t_ids", F.expr("cast(array() as array<string>)"))))
-        .withColumn("data_source", F.lit("EventLog"))
-        .drop("t_ids", "t_logoff", "t_logon", "t_connection")
-    )
-    own = terminal_sessions(t).where(F.col("username").isNotNull() & F.col("logon_time").isNotNull())
-    known = sessions.select(*key).where(F.col("session_id").isNotNull() & F.col("username").isNotNull()).distinct()
-    alone = own.join(known, key, "left_anti").select(
-        "upload_id", F.concat(F.lit("rdp_"), "session_id").alias("logon_id"), "session_id", "username",
-        F.lit("").alias("domain"), "logon_time", "logoff_time", "connection_type", F.lit("10").alias("logon_type"),
-        F.array(F.lit("rdp_terminal")).alias("event_ids"), F.lit("EventLog").alias("data_source"),
-    )
-    return merged.unionByName(alone, allowMissingColumns=True)
+    user; terminal sessions without one become sessions of their own. One full
+    outer join decides both."""
+    no_ids = F.expr("cast(array() as array<string>)")
+    joined = sessions.join(terminal_users(t), ["upload_id", "session_id", "username"], "full_outer")
+    alone = F.col("logon_id").isNull()
+
+    def either(own: Column, merged: Column) -> Column:
+        return F.when(alone, own).otherwise(merged)
+
+    columns = {
+        "logon_id": either(F.concat(F.lit("rdp_"), "session_id"), F.col("logon_id")),
+        "domain": either(F.lit(""), F.col("domain")),
+        "logon_time": either(F.col("own.logon"), F.coalesce("logon_time", "t_logon")),
+        "logoff_time": either(F.col("own.logoff"), F.greatest("logoff_time", "t_logoff")),
+        "connection_type": either(F.col("own.connection"), F.coalesce("connection_type", "t_connection")),
+        "logon_type": either(F.lit("10"), F.col("logon_type")),
+        "event_ids": either(F.array(F.lit("rdp_terminal")), F.array_union("event_ids", F.coalesce("t_ids", no_ids))),
+    }
+    kept = joined.where(~alone | F.col("own.logon").isNotNull())
+    untouched = [c for c in kept.columns if c not in {*columns, "t_ids", "t_connection", "t_logon", "t_logoff", "own"}]
+    return kept.select(*untouched, *[c.alias(n) for n, c in columns.items()], F.lit("EventLog").alias("data_source"))
 
 
 def registry_sessions(f: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ LANDING = r"/([^/]+)/([^/]+)/[^/]*$"
 
 
 def arriving_lines(spark: SparkSession, landing: str, max_files: int = 1000) -> DataFrame:
-    """Lines of new files under `<landing>/<site>/<capture>/`."""
+    """Lines of new files under `<landing>/<site>/<capture>/`. A stream has no
+    row counter, so `seq` is the start of the line's file block."""
     raw = (
         spark.readStream.format("text").option("maxFilesPerTrigger", max_files)
         .option("recursiveFileLookup", True).load(landing)
@@ -26,7 +27,7 @@ def arriving_lines(spark: SparkSession, landing: str, max_files: int = 1000) ->
     path = F.col("_metadata.file_path")
     return raw.select(
         F.regexp_extract(path, LANDING, 1).alias("site_id"), F.regexp_extract(path, LANDING, 2).alias("upload_id"),
-        F.col("value").alias("line"), F.monotonically_increasing_id().alias("seq"),
+        F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("seq"),
     )
 
 
@@ -59,7 +60,7 @@ def stream_captures(spark: SparkSession, landing: str, table: str, checkpoint: s
     """Like `stream_timeline`, but each micro-batch replaces the captures it
     carries, so a capture that lands again overwrites itself."""
     def load(batch: DataFrame, _: int) -> None:
-        save_events(emit(batch), table)
+        save_events(emit(batch.withColumn("seq", F.monotonically_increasing_id())), table)
 
     writer = arriving_events(spark, landing).writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
