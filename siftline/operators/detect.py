@@ -437,7 +437,12 @@ def tag_sigma(df: DataFrame, found: DataFrame, prefix: str = "hayabusa") -> Data
     )
     item = F.struct("seq", "title", "rule_id", "level", "mitre", "n")
     folded = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_s"))
-    left = df.withColumn("_channel", F.coalesce(attr(df, "channel"), F.lit(""))).withColumn("_record", attr(df, "record_number"))
+    # Events without a record number match nothing; as NULL keys they would all
+    # meet in one task, so they are given spread keys instead.
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("message", "seq"), F.lit(100_000)).cast("string"))
+    left = df.withColumn("_channel", F.coalesce(attr(df, "channel"), F.lit(""))).withColumn(
+        "_record", F.coalesce(attr(df, "record_number"), spread)
+    )
     right = folded.select(
         F.col("upload_id"), F.col("channel").alias("_channel"), F.col("record_number").alias("_record"), "_s"
     )

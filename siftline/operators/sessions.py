@@ -122,8 +122,21 @@ def merge_terminal(sessions: DataFrame, t: DataFrame) -> DataFrame:
     user; terminal sessions without one become sessions of their own. One full
     outer join decides both."""
     no_ids = F.expr("cast(array() as array<string>)")
-    joined = sessions.join(terminal_users(t), ["upload_id", "session_id", "username"], "full_outer")
+    # Many logon sessions carry no session id. They match nothing; keyed by
+    # their own logon id they stay spread instead of meeting as NULLs.
+    matchable = F.col("session_id").isNotNull() & F.col("username").isNotNull()
+    key = F.when(matchable, F.struct("session_id", "username")).otherwise(
+        F.struct(F.concat(F.lit("\u0000"), "logon_id").alias("session_id"), F.lit("").alias("username"))
+    )
+    left = sessions.withColumn("_key", key)
+    right = terminal_users(t).select(
+        "upload_id", F.struct("session_id", "username").alias("_key"), "t_ids", "t_connection", "t_logon", "t_logoff", "own"
+    )
+    joined = left.join(right, ["upload_id", "_key"], "full_outer")
     alone = F.col("logon_id").isNull()
+    joined = joined.withColumn("session_id", F.when(alone, F.col("_key.session_id")).otherwise(F.col("session_id"))).withColumn(
+        "username", F.when(alone, F.col("_key.username")).otherwise(F.col("username"))
+    )
 
     def either(own: Column, merged: Column) -> Column:
         return F.when(alone, own).otherwise(merged)
@@ -138,7 +151,7 @@ def merge_terminal(sessions: DataFrame, t: DataFrame) -> DataFrame:
         "event_ids": either(F.array(F.lit("rdp_terminal")), F.array_union("event_ids", F.coalesce("t_ids", no_ids))),
     }
     kept = joined.where(~alone | F.col("own.logon").isNotNull())
-    untouched = [c for c in kept.columns if c not in {*columns, "t_ids", "t_connection", "t_logon", "t_logoff", "own"}]
+    untouched = [c for c in kept.columns if c not in {*columns, "_key", "t_ids", "t_connection", "t_logon", "t_logoff", "own"}]
     return kept.select(*untouched, *[c.alias(n) for n, c in columns.items()], F.lit("EventLog").alias("data_source"))
 
 

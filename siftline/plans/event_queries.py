@@ -79,9 +79,9 @@ def hide_machines(spark, sf):
     return flt.hide_machine_accounts(summaries.logon_summary(timeline(spark, sf)), "DOM4").select("username")
 
 
-@query("d17_jump", f"{WITH_TIMELINE} SELECT id FROM tl WHERE datetime BETWEEN TIMESTAMP '2024-01-10 23:15:00' AND TIMESTAMP '2024-01-10 23:15:59'")
+@query("d17_jump", f"{WITH_TIMELINE} SELECT id FROM tl WHERE datetime BETWEEN TIMESTAMP '2024-01-10 10:15:00' AND TIMESTAMP '2024-01-10 11:15:59'")
 def jump(spark, sf):
-    start, end = flt.jump_window("2024-01-10", "23:15")
+    start, end = flt.jump_window("2024-01-10", "10:15")
     return flt.query_events(timeline(spark, sf), start=start, end=end).select("id")
 
 

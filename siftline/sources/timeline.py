@@ -112,11 +112,15 @@ def promote(df: DataFrame) -> DataFrame:
 
 def save_events(df: DataFrame, path: str) -> None:
     """Write events into the table, one partition per site and capture. A
-    capture that is loaded again replaces itself (dynamic overwrite). Rows are
-    clustered by capture and sorted by type and time inside a file."""
+    capture that is loaded again replaces itself (dynamic overwrite).
+
+    The rebalance hint lets Spark split a capture that holds much of the data
+    over many tasks and join small ones; inside a file rows are sorted by type
+    and time, so that row-group statistics prune.
+    """
     out = promote(with_id(df.select(*EVENT_COLUMNS)))
     (
-        out.repartition("site_id", "upload_id", F.pmod("id", F.lit(64)))
+        out.hint("rebalance", "site_id", "upload_id")
         .sortWithinPartitions("site_id", "upload_id", "event_type", "datetime")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("site_id", "upload_id").parquet(path)

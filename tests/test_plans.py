@@ -107,3 +107,24 @@ def test_first_matching_tool_wins(spark):
     df = spark.createDataFrame([("uses psexec then AnyDesk",), ("vnc",), ("none",)], "message string")
     names = [summaries.REMOTE_TOOLS[r["t"]][0] if r["t"] is not None else None for r in df.select(summaries.remote_tool(F.col("message")).alias("t")).collect()]
     assert names == ["AnyDesk", "VNC (various)", None]
+
+
+def test_jump_window_does_not_leave_the_day():
+    assert filters.jump_window("2024-01-10", "10:15") == ("2024-01-10 10:15:00", "2024-01-10 11:15:59")
+    assert filters.jump_window("2024-01-10", "23:15") == ("2024-01-10 23:15:00", "2024-01-10 23:15:59")
+
+
+def test_events_without_a_record_number_are_kept_by_the_sigma_join(spark):
+    from siftline.operators.detect import tag_sigma
+
+    df = spark.createDataFrame(
+        [("u", 1, "a", {"channel": "Security", "record_number": "5"}), ("u", 2, "b", {})],
+        "upload_id string, seq long, message string, attrs map<string,string>",
+    )
+    found = spark.createDataFrame(
+        [("u", "Security", "5", i, t, r, "low", "") for i, (t, r) in enumerate([("A", "r1"), ("B", "r2"), ("A", "r1")])],
+        "upload_id string, channel string, record_number string, seq long, title string, rule_id string, level string, mitre string",
+    )
+    rows = {r["seq"]: r for r in tag_sigma(df, found).collect()}
+    assert set(rows) == {1, 2} and rows[2]["tags"] == []
+    assert rows[1]["attrs"]["hayabusa_detection_count"] == "3" and rows[1]["attrs"]["hayabusa_rule"] == "A; B"
