@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftline.functions.values import real_number, whole_number
+
 # Epoch offsets of the source formats.
 FILETIME_UNIX_TICKS = 116444736000000000
 WEBKIT_UNIX_MICROS = 11644473600000000
@@ -67,7 +69,7 @@ def event_time(col: Column, apply_offset: bool = False) -> Column:
 def epoch_ms(col: Column) -> Column:
     """Epoch milliseconds as number or text; 0 and blank -> NULL; other text is
     read as a timestamp."""
-    number = col.try_cast("long")
+    number = whole_number(col)
     return (
         F.when(number.isNotNull() & (number != 0), F.timestamp_millis(number))
         .when(number.isNull(), event_time(col.cast("string")))
@@ -75,13 +77,13 @@ def epoch_ms(col: Column) -> Column:
 
 
 def epoch_seconds(col: Column) -> Column:
-    number = col.try_cast("long")
+    number = whole_number(col)
     return F.when(number > 0, F.timestamp_seconds(number))
 
 
 def filetime(col: Column) -> Column:
     """100 ns ticks since 1601; before 1970 -> NULL."""
-    ticks = col.try_cast("long")
+    ticks = whole_number(col)
     return F.when(
         ticks >= FILETIME_UNIX_TICKS,
         F.timestamp_micros(_whole_div(ticks - F.lit(FILETIME_UNIX_TICKS), 10)),
@@ -90,19 +92,19 @@ def filetime(col: Column) -> Column:
 
 def webkit_micros(col: Column) -> Column:
     """Microseconds since 1601; not positive or before 1970 -> NULL."""
-    micros = col.try_cast("long")
+    micros = whole_number(col)
     return F.when(micros >= WEBKIT_UNIX_MICROS, F.timestamp_micros(micros - F.lit(WEBKIT_UNIX_MICROS)))
 
 
 def unix_micros(col: Column) -> Column:
     """Microseconds since 1970 as number or text (browser and journal records)."""
-    micros = col.try_cast("long")
+    micros = whole_number(col)
     return F.when(micros > 0, F.timestamp_micros(micros))
 
 
 def mac_absolute(col: Column) -> Column:
     """Seconds since 2001 as a double; 0 and NaN -> NULL."""
-    seconds = col.try_cast("double")
+    seconds = real_number(col)
     return F.when(
         ~F.isnan(seconds) & (seconds != 0),
         F.timestamp_micros(F.round((seconds + F.lit(MAC_UNIX_SECONDS)) * 1000000.0).cast("long")),
@@ -111,14 +113,14 @@ def mac_absolute(col: Column) -> Column:
 
 def ole_date(col: Column) -> Column:
     """Days since 1899-12-30 as a double; outside 1970-2100 -> NULL."""
-    days = col.try_cast("double")
+    days = real_number(col)
     ts = F.timestamp_micros(F.round((days - F.lit(OLE_UNIX_DAYS)) * 86400000000.0).cast("long"))
     return F.when(~F.isnan(days) & (days != 0) & (F.abs(days) < 1.0e6) & F.year(ts).between(1970, 2100), ts)
 
 
 def seconds_or_filetime(col: Column) -> Column:
     """Large magnitudes are ticks since 1601, small ones Unix seconds."""
-    number = col.try_cast("double").cast("long")
+    number = real_number(col).try_cast("long")
     return F.when(number > FILETIME_THRESHOLD, filetime(number)).otherwise(epoch_seconds(number))
 
 

@@ -25,6 +25,19 @@ def once(col: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, col)
 
 
+def whole_number(col: Column) -> Column:
+    """Text or number -> long, NULL when it is no whole number. The pattern
+    test comes first: a failing cast costs an exception per row."""
+    text = col.cast("string")
+    return F.when(text.rlike(r"^\s*[+-]?\d{1,19}\s*$"), text.try_cast("long"))
+
+
+def real_number(col: Column) -> Column:
+    """Text or number -> double, NULL when it is no number."""
+    text = col.cast("string")
+    return F.when(text.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), text.try_cast("double"))
+
+
 def loose_boolean(col: Column) -> Column:
     """True only for true / "true" in any case; NULL and anything else is false."""
     return F.coalesce(F.lower(col.cast("string")) == "true", F.lit(False))
@@ -36,10 +49,15 @@ def first_non_empty(*cols: Column) -> Column:
 
 def attribute_map(pairs: dict[str, Column]) -> Column:
     """name -> text map without NULL and empty entries."""
+    return drop_empty(raw_map(pairs))
+
+
+def raw_map(pairs: dict[str, Column]) -> Column:
+    """name -> text map with NULL and empty entries still in it."""
     if not pairs:
         return F.expr("cast(map() as map<string,string>)")
     flat = [c for name, value in pairs.items() for c in (F.lit(name), value.cast("string"))]
-    return drop_empty(F.create_map(*flat))
+    return F.create_map(*flat)
 
 
 def drop_empty(col: Column) -> Column:

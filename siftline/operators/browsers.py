@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.text import base_name, ellipsis
 from siftline.functions.times import iso_ms, mac_absolute, unix_micros, webkit_micros
-from siftline.functions.values import overlay
+from siftline.functions.values import overlay, whole_number
 from siftline.operators.build import Emit, build, builder, collected, rec, say
 
 LINUX = "Collector-Linux"
@@ -69,7 +69,7 @@ def _linux(kind: str, desc: str, message: Column, at: Column, browser: Column, e
 
 
 def _whole(name: str) -> Column:
-    return F.coalesce(rec(name).try_cast("long"), F.lit(0))
+    return F.coalesce(whole_number(rec(name)), F.lit(0))
 
 
 @builder("linux.chromium_visits")

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.values import attribute_map, drop_empty, overlay
+from siftline.functions.values import attribute_map, drop_empty, once, overlay, raw_map
 from siftline.schema import DEDUPE_KEY, EVENT_COLUMNS, EVENT_SCHEMA
 
 Text = str | Column
@@ -104,16 +104,17 @@ def build(df: DataFrame, spec: Emit) -> DataFrame:
         for t in spec.times
     ]
     pairs = {k: (rec(v) if isinstance(v, str) else v) for k, v in spec.attrs.items()}
-    attrs = attribute_map(pairs)
+    # `once` keeps the map and the times in generated code: inside the lambda of
+    # `map_filter` Spark would interpret the expressions they are made of.
+    df = df.withColumn("_attrs", once(raw_map(pairs)))
     if spec.fan_out:
-        filled = F.filter(F.array(*stamps), lambda s: s["ts"].isNotNull())
-        df = df.withColumn("_attrs", attrs).withColumn("_at", F.explode(filled))
-        attrs = F.col("_attrs")
-        if spec.event_attrs:
-            attrs = F.map_concat(attrs, attribute_map(spec.event_attrs))
+        df = df.withColumn("_at", F.explode(F.array(*stamps))).where(F.col("_at.ts").isNotNull())
     else:
-        df = df.withColumn("_at", F.coalesce(*[F.when(s["ts"].isNotNull(), s) for s in stamps]))
-        df = df.where(F.col("_at.ts").isNotNull())
+        first = F.coalesce(*[F.when(s["ts"].isNotNull(), s) for s in stamps])
+        df = df.withColumn("_at", first).where(F.col("_at.ts").isNotNull())
+    attrs = drop_empty(F.col("_attrs"))
+    if spec.event_attrs:
+        attrs = F.map_concat(attrs, attribute_map(spec.event_attrs))
     if spec.spread is not None:
         attrs = overlay(attrs, drop_empty(spec.spread))
     return df.select(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from siftline.functions.labels import literal_map
 from siftline.functions.patterns import anywhere, domain_glob, fill_template
 from siftline.functions.text import extension, forward_slashes, join_capped, url_host, without_extension
-from siftline.functions.values import LEVEL_RANK, SCORE_RANK, all_of, any_of, highest, once, overlay
+from siftline.functions.values import LEVEL_RANK, SCORE_RANK, all_of, any_of, highest, once, overlay, real_number, whole_number
 from siftline.operators.filters import attr
 from siftline.sources.rules import RuleSet
 
@@ -27,7 +27,6 @@ HIT = (
 )
 NO_HITS = f"cast(array() as array<{HIT}>)"
 NONE = "cast(array() as array<int>)"
-CHUNK = 64
 
 # What the remote-management plugin reports, library extensions.
 REMOTE_TYPE, REMOTE_SCORE = "REMOTE_ACCESS_SOFTWARE", "NOTABLE"
@@ -53,13 +52,11 @@ class Numbering:
 
 
 def _collect(pairs: list[tuple[Column, int]]) -> Column:
-    """(condition, number) pairs -> numbers whose condition holds."""
+    """(condition, number) pairs -> numbers whose condition holds, NULL for the
+    others (taken out once at the end)."""
     if not pairs:
         return F.expr(NONE)
-    parts = [
-        F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in pairs[i:i + CHUNK]])) for i in range(0, len(pairs), CHUNK)
-    ]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    return F.array(*[F.when(c, F.lit(n)) for c, n in pairs])
 
 
 def _gated(gate: Column, numbers: Column) -> Column:
@@ -78,10 +75,10 @@ def with_facets(df: DataFrame) -> DataFrame:
         "parent": forward_slashes(a("parent_path")), "process_path": forward_slashes(a("process_path")),
         "own_path": forward_slashes(a("file_path")),
         "source": F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("source_short", "source_long")]),
-        "event_id": a("event_id").try_cast("int"), "log_event_id": a("event_identifier").try_cast("int"),
+        "event_id": whole_number(a("event_id")).try_cast("int"), "log_event_id": whole_number(a("event_identifier")).try_cast("int"),
         "domain": a("domain"), "remote_host": a("remote_host"), "remote_domain": a("remote_domain"),
         "remote_host_name": a("remote_host_name"), "url_host": url_host(a("url")),
-        "remote_port": F.coalesce(a("remote_port").try_cast("double").cast("int"), F.lit(0)),
+        "remote_port": F.coalesce(real_number(a("remote_port")).try_cast("int"), F.lit(0)),
     }
     df = df.select("*", *[c.alias(f"_f_{n}") for n, c in raw.items()])
     own, process = F.col("_f_own_name"), F.col("_f_process")
@@ -149,8 +146,7 @@ def file_hits(rules: RuleSet, n: Numbering) -> Column:
     ]
     if not arrays:
         return F.expr(NONE)
-    # Numbers ascend in rule order, so sorting restores it across gates.
-    return F.array_sort(F.concat(*arrays)) if len(arrays) > 1 else arrays[0]
+    return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
 
 
 def token_hits(rules: RuleSet, n: Numbering) -> Column:
@@ -363,7 +359,9 @@ def detect(df: DataFrame, rules: RuleSet, plugins: tuple = PLUGINS, **options: d
     n = Numbering()
     wide = with_facets(df)
     numbers = F.concat(*[p(rules, n, **options.get(p.__name__, {})) for p in plugins])
-    marked = wide.withColumn("_hits", once(numbers))
+    # The conditions stay in generated code; only their result meets the lambda
+    # of `array_compact`. Numbers ascend in rule order, so sorting restores it.
+    marked = wide.withColumn("_found", once(numbers)).withColumn("_hits", once(F.sort_array(F.array_compact("_found"))))
     return marked.withColumn("detections", spell_out(F.col("_hits"), n.entries)).select(*df.columns, "detections")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.text import base_name, one_decimal, parent_dir
 from siftline.functions.times import epoch_ms, event_time, filetime
-from siftline.functions.values import parse_map
+from siftline.functions.values import parse_map, whole_number
 from siftline.operators.build import Emit, build, builder, rec, say, word
 from siftline.operators.sections import with_analysis
 from siftline.session import cut_lineage
@@ -212,7 +212,7 @@ def prefetch(df: DataFrame) -> DataFrame:
     """Prefetch rows: one event per recorded run time."""
     runs = F.from_json(rec("last_run_times"), "array<string>")
     df = df.withColumn("_run", F.explode(runs)).withColumn("_ts", event_time(F.col("_run")))
-    count = rec("run_count").try_cast("long")
+    count = whole_number(rec("run_count"))
     return build(df, Emit(
         where=F.year("_ts").between(1970, 2100),
         event_type="prefetch_execution", data_type="windows:prefetch:execution",
@@ -231,7 +231,7 @@ def prefetch(df: DataFrame) -> DataFrame:
 
 @builder("recycle_bin")
 def recycle_bin(df: DataFrame) -> DataFrame:
-    size = F.coalesce(rec("file_size").try_cast("long"), F.lit(0))
+    size = F.coalesce(whole_number(rec("file_size")), F.lit(0))
     return build(df, Emit(
         event_type="file_deleted", data_type="windows:shell_items:recycle_bin",
         message=say("Deleted: {path} ({k} KB)", k=one_decimal(size.cast("double") / 1024)),

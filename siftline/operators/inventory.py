@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.values import whole_number
 from siftline.functions.times import install_date, iso_ms
 from siftline.operators.filters import attr, contains_ci
 from siftline.operators.paging import first_children
@@ -131,7 +132,7 @@ def collected_summary(files: DataFrame) -> DataFrame:
     return files.agg(
         F.count(F.lit(1)).alias("files"), F.count("date_created").alias("with_created"),
         F.count("date_modified").alias("with_modified"),
-        F.coalesce(F.sum(F.col("file_size").try_cast("long")), F.lit(0)).alias("total_size"),
+        F.coalesce(F.sum(whole_number(F.col("file_size"))), F.lit(0)).alias("total_size"),
         F.count_if(F.coalesce("md5", "sha1", "sha256").isNotNull()).alias("with_hash"),
     )
 

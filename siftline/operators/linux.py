@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.values import real_number, whole_number
 from siftline.functions.text import base_name, ellipsis, one_line, redact_secret, split_host_port
 from siftline.functions.times import epoch_seconds, event_time, login_list_date, unix_micros, webkit_micros
 from siftline.operators.build import Emit, build, build_all, builder, collected, opt, rec, say
@@ -242,7 +243,7 @@ def passwd(df: DataFrame) -> DataFrame:
     df = _records(
         _content(df), ["user", "pw", "uid", "gid", "gecos", "home", "shell"], F.split(F.trim("line"), ":", 7), 7
     )
-    system = F.coalesce(rec("uid").try_cast("int") < 1000, F.lit(False))
+    system = F.coalesce(whole_number(rec("uid")).try_cast("int") < 1000, F.lit(False))
     return build(df, Emit(
         event_type="account_created", data_type="linux:user:account",
         message=F.concat(
@@ -592,7 +593,7 @@ def docker_volumes(df: DataFrame) -> DataFrame:
 @builder("linux.docker_info")
 def docker_info(df: DataFrame) -> DataFrame:
     def whole(name: str) -> Column:
-        return F.coalesce(rec(name).try_cast("double").cast("int"), F.lit(0))
+        return F.coalesce(real_number(rec(name)).try_cast("int"), F.lit(0))
 
     return build(df, Emit(
         where=rec("ServerVersion") != "",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.text import ellipsis, split_domain_user
 from siftline.functions.times import event_time
-from siftline.functions.values import loose_boolean
+from siftline.functions.values import loose_boolean, whole_number
 from siftline.operators.build import Emit, build, builder, collected, opt, rec, say
 
 SHORT = "Collector-Windows"
@@ -64,7 +64,7 @@ def connections(df: DataFrame) -> DataFrame:
         .when(kind == "udpListener", say("UDP Listener: {local_address}:{local_port}"))
         .otherwise(say("Connected: {local_address}:{local_port} -> {remote_address}:{remote_port}"))
     )
-    pid = rec("pid").try_cast("int")
+    pid = whole_number(rec("pid")).try_cast("int")
     return build(df, Emit(
         event_type="active_connection", data_type="windows:network:connection",
         message=F.concat(text, F.when(pid > 0, say(" (PID:{pid} {process_name})")).otherwise(F.lit(""))),

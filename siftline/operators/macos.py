@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions import labels
 from siftline.functions.text import base_name, ellipsis, one_line, split_host_port
 from siftline.functions.times import epoch_seconds, event_time, history_date, mac_absolute
-from siftline.functions.values import first_non_empty, loose_boolean
+from siftline.functions.values import first_non_empty, loose_boolean, real_number, whole_number
 from siftline.operators.build import Emit, build, builder, collected, opt, rec, say
 from siftline.operators.lines import as_record, block_records, blocks, carry_forward, whitespace_fields
 from siftline.operators.linux import (
@@ -39,7 +39,7 @@ def processes(df: DataFrame) -> DataFrame:
     df = df.withColumn("rec", as_record(PROCESS_COLUMNS, F.col("_parts")))
     program = F.substring_index(rec("cmd"), " ", 1)
     plain = [n for n in PROCESS_COLUMNS if n not in ("cmd", "pid")]
-    pid = rec("pid").try_cast("int")
+    pid = whole_number(rec("pid")).try_cast("int")
     return build(df, Emit(
         where=F.coalesce(pid, F.lit(0)) != 0,
         event_type="running_process", data_type="darwin:process:running",
@@ -225,7 +225,7 @@ def launch_plists(df: DataFrame) -> DataFrame:
     label = F.when(rec("Label") != "", rec("Label")).otherwise(F.regexp_replace(base_name(rel), r"\.[^.]*$", ""))
     args = F.from_json(rec("ProgramArguments"), "array<string>")
     program = F.coalesce(first_non_empty(rec("Program"), F.get(args, F.lit(0))), F.lit(""))
-    every = rec("StartInterval").try_cast("long")
+    every = whole_number(rec("StartInterval"))
     watched = F.from_json(rec("WatchPaths"), "array<string>")
     trigger = (
         F.when(loose_boolean(rec("KeepAlive")), F.lit("keepAlive"))
@@ -345,7 +345,7 @@ def users(df: DataFrame) -> DataFrame:
     df = blocks(df, FILE_KEYS, F.trim("line") == "").withColumn("block", F.coalesce("block", F.lit(0)))
     df = block_records(df, FILE_KEYS, ["name", "uid", "shell", "dir", "gecos"])
     df = df.withColumn("seq", F.col("block").cast("long"))
-    system = F.coalesce(rec("uid").try_cast("int") < 500, F.lit(False))
+    system = F.coalesce(whole_number(rec("uid")).try_cast("int") < 500, F.lit(False))
     return build(df, Emit(
         where=rec("name") != "",
         event_type="account_created", data_type="darwin:user:account",
@@ -441,7 +441,7 @@ def usage_streams(df: DataFrame) -> DataFrame:
 
     locked, lock = flag("/device/isLocked", "locked", "unlocked")
     lit_, light = flag("/display/isBacklit", "on", "off")
-    percent = F.coalesce(rec("ZVALUEDOUBLE").try_cast("double"), F.lit(0.0)) * 100
+    percent = F.coalesce(real_number(rec("ZVALUEDOUBLE")), F.lit(0.0)) * 100
     kind = F.when(locked, F.concat(F.lit("device_"), lock)).when(lit_, F.concat(F.lit("display_"), light)).otherwise(kind)
     text = (
         F.when(stream.isin("/app/usage", "/app/inFocus", "/app/intents", "/app/activity"), say("App used: {ZVALUESTRING}"))
@@ -453,7 +453,7 @@ def usage_streams(df: DataFrame) -> DataFrame:
     )
 
     def stamp(name: str) -> Column:
-        return F.when(rec(name).try_cast("double") > 0, mac_absolute(rec(name)))
+        return F.when(real_number(rec(name)) > 0, mac_absolute(rec(name)))
 
     at = F.coalesce(stamp("ZSTARTDATE"), stamp("ZCREATIONDATE"), collected())
     return build(df, Emit(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siftline.functions import labels
 from siftline.functions.text import human_bytes, human_duration, mac_address, printable, sid_of_path
 from siftline.functions.times import event_time, ole_date, seconds_or_filetime
-from siftline.functions.values import any_of, drop_empty, first_application, first_non_empty, flatten_one_level
+from siftline.functions.values import any_of, drop_empty, first_application, first_non_empty, flatten_one_level, real_number, whole_number
 from siftline.operators.build import Emit, build, builder, collected, opt, rec, say
 
 # ---------------------------------------------------------------- fixed values
@@ -34,7 +34,7 @@ def name_usage_ids(rows: DataFrame, ids: DataFrame, app_context: str = "App") ->
     `<context>-<id>` (connectivity rows use the context `Network`). `ids`:
     upload_id, id_index, name (one row per id)."""
     def named(df: DataFrame, field: str, out: str, context: str) -> DataFrame:
-        key = F.coalesce(rec(field).try_cast("long"), F.lit(0))
+        key = F.coalesce(whole_number(rec(field)), F.lit(0))
         lookup = ids.select("upload_id", F.col("id_index").alias("_id"), F.col("name").alias("_name"))
         joined = df.withColumn("_id", key).join(lookup, ["upload_id", "_id"], "left")
         fallback = F.concat(F.lit(context), F.lit("-"), F.col("_id").cast("string"))
@@ -51,7 +51,7 @@ def usage_stamp() -> Column:
 
 
 def _count(name: str) -> Column:
-    return F.coalesce(rec(name).try_cast("long"), F.lit(0))
+    return F.coalesce(whole_number(rec(name)), F.lit(0))
 
 
 def _usage(kind: str, event: str, desc: str, message: Column, **attrs) -> Emit:
@@ -105,12 +105,12 @@ def engaged_seconds(start: Column, end: Column) -> Column:
 @builder("activity.table")
 def activities(df: DataFrame) -> DataFrame:
     """Rows of the activity database; kind 6 is user engagement."""
-    kind = F.coalesce(rec("ActivityType").try_cast("int"), F.lit(0))
+    kind = F.coalesce(whole_number(rec("ActivityType")).try_cast("int"), F.lit(0))
     app = F.when(F.col("rec")["AppId"].isNull(), F.lit("Unknown")).otherwise(first_application(F.col("rec")["AppId"]))
     app = F.when(app == "", F.lit("Unknown")).otherwise(app)
-    at = F.when(rec("LastModifiedTime").try_cast("double") > 0, seconds_or_filetime(rec("LastModifiedTime")))
+    at = F.when(real_number(rec("LastModifiedTime")) > 0, seconds_or_filetime(rec("LastModifiedTime")))
     seconds = F.coalesce(
-        engaged_seconds(rec("StartTime").try_cast("double"), rec("EndTime").try_cast("double")), F.lit(0)
+        engaged_seconds(real_number(rec("StartTime")), real_number(rec("EndTime"))), F.lit(0)
     )
     engaged = Emit(
         where=kind == 6,

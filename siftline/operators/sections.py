@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions.text import ellipsis, human_cpu, human_bytes, human_duration, base_name, rid_of_sid
 from siftline.functions.times import epoch_ms, event_time
 from siftline.functions.labels import activity_description
-from siftline.functions.values import analysis_attributes, first_non_empty, once, parse_map, parse_maps
+from siftline.functions.values import analysis_attributes, first_non_empty, once, parse_map, parse_maps, whole_number
 from siftline.operators.build import Emit, build, builder, collected, described, opt, rec, say, word
 from siftline.operators.windows import source_info
 
@@ -155,7 +155,7 @@ def accounts(df: DataFrame) -> DataFrame:
         source=("CT-SAM", "CollectionTool - User Account"),
         attrs={
             "username": "userID", "account_rid": rid_of_sid(rec("userSID")),
-            "login_count": rec("loginCount").try_cast("int"), "user_domain": "userDomain",
+            "login_count": whole_number(rec("loginCount")).try_cast("int"), "user_domain": "userDomain",
             "user_sid": "userSID", "account_type": "accountType", "account_status": "accountStatus",
             "admin_priv": "adminPriv", "home_dir": "userHomeDir",
         },
@@ -301,7 +301,7 @@ def attached_devices(df: DataFrame) -> DataFrame:
 
 @builder("section.logLine")
 def log_lines(df: DataFrame) -> DataFrame:
-    event_id = F.coalesce(rec("eventID").try_cast("int"), F.lit(0)).cast("string")
+    event_id = F.coalesce(whole_number(rec("eventID")).try_cast("int"), F.lit(0)).cast("string")
     return build(df, with_analysis(Emit(
         event_type="log_line", data_type="ct:log:line",
         message=F.concat(say("Log: {logName} Event {e}", e=event_id), opt(" (User: {userID})")),
@@ -387,7 +387,7 @@ def task_cache(df: DataFrame) -> DataFrame:
 
 @builder("usage_record.application")
 def usage_application(df: DataFrame) -> DataFrame:
-    cycles = [F.coalesce(rec(f"{g}_cycle_time").try_cast("long"), F.lit(0)) for g in ("foreground", "background")]
+    cycles = [F.coalesce(whole_number(rec(f"{g}_cycle_time")), F.lit(0)) for g in ("foreground", "background")]
     total = cycles[0] + cycles[1]
     return build(df, Emit(
         event_type="srum_application", data_type="windows:srum:application_usage",
@@ -406,7 +406,7 @@ def usage_application(df: DataFrame) -> DataFrame:
 @builder("usage_record.connectivity")
 def usage_connectivity(df: DataFrame) -> DataFrame:
     link = F.when(rec("interface_type") != "", rec("interface_type")).otherwise(F.lit("Unknown"))
-    seconds = F.coalesce(rec("connected_time").try_cast("long"), F.lit(0))
+    seconds = F.coalesce(whole_number(rec("connected_time")), F.lit(0))
     return build(df, Emit(
         event_type="srum_network", data_type="windows:srum:network_connectivity",
         message=F.concat(
@@ -424,7 +424,7 @@ def usage_connectivity(df: DataFrame) -> DataFrame:
 
 @builder("usage_record.bytes")
 def usage_bytes(df: DataFrame) -> DataFrame:
-    got, sent = [F.coalesce(rec(n).try_cast("long"), F.lit(0)) for n in ("bytes_received", "bytes_sent")]
+    got, sent = [F.coalesce(whole_number(rec(n)), F.lit(0)) for n in ("bytes_received", "bytes_sent")]
     return build(df, Emit(
         where=(got + sent) != 0,
         event_type="srum_network_data", data_type="windows:srum:network_usage",
@@ -441,7 +441,7 @@ def usage_bytes(df: DataFrame) -> DataFrame:
 @builder("activity.record")
 def activity_records(df: DataFrame) -> DataFrame:
     """Activity-timeline entries with decoded text timestamps."""
-    kind = F.coalesce(rec("activity_type").try_cast("int"), F.lit(0))
+    kind = F.coalesce(whole_number(rec("activity_type")).try_cast("int"), F.lit(0))
     shown = F.coalesce(first_non_empty(rec("activity_type_str")), F.concat(F.lit("Type-"), kind.cast("string")))
     return build(df, Emit(
         event_type="timeline_activity", data_type="windows:timeline:generic",
@@ -457,7 +457,7 @@ def activity_records(df: DataFrame) -> DataFrame:
 
 @builder("activity.engaged")
 def activity_engaged(df: DataFrame) -> DataFrame:
-    seconds = F.coalesce(rec("duration_seconds").try_cast("long"), F.lit(0))
+    seconds = F.coalesce(whole_number(rec("duration_seconds")), F.lit(0))
     return build(df, Emit(
         event_type="timeline_engaged", data_type="windows:timeline:user_engaged",
         message=F.concat(say("User Engaged: {a}", a=_app()), opt(" ({t})", t=F.when(seconds > 0, human_duration(seconds)))),
@@ -471,7 +471,7 @@ def activity_engaged(df: DataFrame) -> DataFrame:
 def client_access(df: DataFrame) -> DataFrame:
     address = F.when(rec("address") != "", rec("address")).otherwise(F.lit("Unknown"))
     role = F.when(rec("role_name") != "", rec("role_name")).otherwise(F.lit("Unknown Service"))
-    total = F.coalesce(rec("total_accesses").try_cast("int"), F.lit(0))
+    total = F.coalesce(whole_number(rec("total_accesses")).try_cast("int"), F.lit(0))
     who = F.when(rec("username") == "", F.lit("Anonymous")).otherwise(F.substring_index(rec("username"), "\\", -1))
     return build(df, Emit(
         event_type="ual_client_access", data_type="windows:user_access_logging:clients",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.times import iso_ms
-from siftline.functions.values import any_of
+from siftline.functions.values import any_of, whole_number
 from siftline.operators.filters import NOTABLE, attr
 
 LOGON_EVENTS = ["windows_logon", "windows_authentication", "windows_rdp", "session_logon"]
@@ -110,7 +110,7 @@ def files_in(df: DataFrame, path: str | None = None) -> DataFrame:
     else:
         files = files.where(attr(df, "file_path") == _directory(path))
     return files.groupBy(*keys).agg(
-        F.max(given("file_size").try_cast("long")).alias("size"),
+        F.max(whole_number(given("file_size"))).alias("size"),
         iso_ms(F.max("datetime")).alias("latest_time"),
         F.max(given("md5")).alias("md5"),
         F.max(given("sha256")).alias("sha256"),

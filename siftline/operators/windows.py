@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import labels
 from siftline.functions.times import filetime
-from siftline.functions.values import flatten_one_level, once, overlay, parse_map, parse_maps
+from siftline.functions.values import flatten_one_level, once, overlay, parse_map, parse_maps, whole_number
 from siftline.operators.build import Emit, build, builder, rec
 
 # ---------------------------------------------------------------- fixed values
@@ -165,7 +165,7 @@ def section_events(df: DataFrame) -> DataFrame:
     )
     df = (
         df.where((rec("extractor") == "SystemAPI") | (info["extractor"] == "SystemAPI"))
-        .withColumn("_eid", F.coalesce(rec("eventID").try_cast("int"), F.lit(0)))
+        .withColumn("_eid", F.coalesce(whole_number(rec("eventID")).try_cast("int"), F.lit(0)))
         .withColumn("_named", named)
         .withColumn(
             "_channel",
@@ -182,7 +182,7 @@ def section_events(df: DataFrame) -> DataFrame:
             event_type=category(eid, channel),
             data_type="windows:evtx:record",
             message=message(eid, channel, payload_getter(F.col("_payload"))),
-            times=[(F.timestamp_millis(F.nullif(rec("time").try_cast("long"), F.lit(0))), "Windows Event Log Entry")],
+            times=[(F.timestamp_millis(F.nullif(whole_number(rec("time")), F.lit(0))), "Windows Event Log Entry")],
             source=("CT-EventLog", F.concat(F.lit("SystemAPI - "), channel)),
             attrs={
                 "source_name": labels.provider(channel), "channel": channel,
@@ -199,7 +199,7 @@ def evtx_events(df: DataFrame) -> DataFrame:
     """Decoded event-log records (`file_time` ticks, `event_data` / `user_data`
     JSON): on a shared field name the event data wins. All fields are kept."""
     df = (
-        df.withColumn("_eid", rec("event_id").try_cast("int"))
+        df.withColumn("_eid", whole_number(rec("event_id")).try_cast("int"))
         .where(F.coalesce(F.col("_eid"), F.lit(0)) != 0)
         .withColumn("_event", _data_fields(F.col("rec")["event_data"]))
         .withColumn("_user", _inner_fields(F.col("rec")["user_data"]))

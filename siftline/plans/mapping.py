@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.functions.values import attribute_map
+from siftline.functions.values import drop_empty, once, raw_map
 from siftline.session import spread
 
 SPARK_K = "CAST(get_json_object(props, '$.k') AS INT)"
@@ -154,9 +154,10 @@ def _run(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
 def _frame(df: DataFrame, attrs: list[str], extra: list[str] = (), rename: dict[str, str] | None = None) -> DataFrame:
     rename = rename or {}
     pairs: dict[str, Column] = {rename.get(a, a): F.col(a) for a in attrs}
-    return df.select(
+    wide = df.withColumn("_raw", once(raw_map(pairs)))
+    return wide.select(
         *[F.col(c).cast("timestamp").alias(c) if c == "datetime" else F.col(c) for c in BASE],
-        *extra, attribute_map(pairs).alias("attrs"),
+        *extra, drop_empty(F.col("_raw")).alias("attrs"),
     )
 
 

@@ -13,6 +13,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # The JVM does not compile methods beyond this size; wide builders run faster
+    # as split functions than as one interpreted method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Attribute maps are laid over each other: the later value of a key wins.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
