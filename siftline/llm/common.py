@@ -36,3 +36,25 @@ def count_words(text: Column) -> Column:
 def unit_interval(hashed: Column) -> Column:
     """A 64-bit hash as a double strictly between 0 and 1."""
     return (F.shiftrightunsigned(hashed, 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def arrow_map(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
+    """`mapInArrow` with small batches: documents may be very long, and a batch
+    is held in a Python worker's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df.mapInArrow(fn, schema)
+
+
+class Memo(dict):
+    """Results of `make` by argument, at most `limit` of them: it starts anew
+    when full, so a worker's memory stays bounded and every result is exact."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import mixing, sharding
+from siftline.llm import mixing, sharding, token_counts
 from siftline.llm.common import Query, table
 
 SHARDS = 8
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = sharding.assign_shards(table(spark, sf_dir, "documents"), weights=(1.0,) * SHARDS)
     return sharding.with_slots(assigned).withColumn("law", F.lit("key"))
@@ -20,5 +24,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_shards, op9_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_shards, op9_mixing)}
 ORACLES: dict[str, str] = {}
