@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import mixing, sharding, token_counts
+from siftline.llm import mixing, prefix_bpe, sharding, token_counts
 from siftline.llm.common import Query, table
 
 SHARDS = 8
@@ -20,9 +20,13 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_slots(assigned).withColumn("law", F.lit("key"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_shards, op9_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_shards, op5_byte_bpe, op9_mixing)}
 ORACLES: dict[str, str] = {}
