@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import mixing, prefix_bpe, sharding, token_counts
+from siftline.llm import mixing, prefix_bpe, sharding, token_counts, token_files
 from siftline.llm.common import Query, table
+from siftline.session import shared_folder
 
 SHARDS = 8
 
@@ -24,9 +25,15 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path)
+    return token_files.read(spark, path, digest=True).withColumnRenamed("key", "doc_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_shards, op5_byte_bpe, op9_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_shards, op5_byte_bpe, op6_token_files, op9_mixing)}
 ORACLES: dict[str, str] = {}
