@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import mixing, prefix_bpe, quality, sharding, token_counts, token_files
+from siftline.llm import lsh_forest, mixing, prefix_bpe, quality, sharding, token_counts, token_files
 from siftline.llm.common import Query, table
 from siftline.session import shared_folder
 
@@ -31,6 +31,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, digest=True).withColumnRenamed("key", "doc_id")
 
 
+def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_shards, op5_byte_bpe, op6_token_files, op9_mixing, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_shards, op5_byte_bpe, op6_token_files, op8_lsh_forest, op9_mixing, op10_quality)}
 ORACLES: dict[str, str] = {}
