@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import lsh_forest, mixing, prefix_bpe, quality, sharding, token_counts, token_files
+from siftline.llm import ann, lsh_forest, mixing, prefix_bpe, quality, sharding, token_counts, token_files
 from siftline.llm.common import Query, table
 from siftline.session import shared_folder
 
 SHARDS = 8
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_shards, op5_byte_bpe, op6_token_files, op8_lsh_forest, op9_mixing, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest, op2_token_counts, op3_shards, op5_byte_bpe, op6_token_files, op8_lsh_forest, op9_mixing, op10_quality)}
 ORACLES: dict[str, str] = {}
