@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import ann, lsh_forest, mixing, prefix_bpe, quality, sharding, token_counts, token_files
+from siftline.llm import (
+    ann, lsh_forest, mixing, prefix_bpe, quality, sharding, substring_dedup, token_counts, token_files,
+)
 from siftline.llm.common import Query, table
 from siftline.session import shared_folder
 
@@ -35,6 +37,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, digest=True).withColumnRenamed("key", "doc_id")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removals(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,5 +53,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest, op2_token_counts, op3_shards, op5_byte_bpe, op6_token_files, op8_lsh_forest, op9_mixing, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest, op2_token_counts, op3_shards, op5_byte_bpe, op6_token_files, op7_substrings, op8_lsh_forest, op9_mixing, op10_quality)}
 ORACLES: dict[str, str] = {}
