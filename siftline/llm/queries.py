@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm import (
     ann, lsh_forest, mixing, prefix_bpe, quality, sharding, substring_dedup, token_counts, token_files,
+    toxicity,
 )
 from siftline.llm.common import Query, table
 from siftline.session import shared_folder
@@ -27,6 +28,13 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_slots(assigned).withColumn("law", F.lit("key"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), toxicity.fold(F.col("doc_id")) == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"), "doc_id", "text", "toxic")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -53,5 +61,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest, op2_token_counts, op3_shards, op5_byte_bpe, op6_token_files, op7_substrings, op8_lsh_forest, op9_mixing, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest, op2_token_counts, op3_shards, op4_toxicity, op5_byte_bpe, op6_token_files, op7_substrings, op8_lsh_forest, op9_mixing, op10_quality)}
 ORACLES: dict[str, str] = {}
