@@ -7,14 +7,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftline.llm import lsh_forest, mixing, prefix_bpe, quality, substring_dedup
 from siftline.llm.common import table, written
-from siftline.llm import mixing  # noqa: F401
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
 
-#: Stages two to five can't be said in SQL; the tests compare them with brute force.
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays (similarity 0.8 of 5-word shingles)."""
+    return lsh_forest.keep_one(docs, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that an earlier document has are taken out."""
+    return substring_dedup.remove(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.take(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, beside the columns of documents."""
+    return prefix_bpe.encode(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages),
+    ("source_mix", source_mix), ("byte_bpe", byte_bpe),
+]
+
+#: The later stages can't be said in SQL; the tests compare them with brute force.
 ORACLE_SQL = None
 
 

@@ -9,7 +9,8 @@ pattern has to give is then taken from its documents in a seeded order.
 Patterns (and so sources) are bounded by `max_patterns`; more raise an error,
 since that many sources are no mix. Only the table of patterns reaches the
 driver; documents are chosen by a radix search for the cut in the seeded order,
-which never orders a source in one task.
+which never orders a source in one task. Rows that share key and text stand at one
+place of that order.
 
 A null source is a source of its own, last in order. A null or blank text has
 size 0 and nothing is taken from it. Rows that share an id count one by one.
@@ -21,7 +22,7 @@ import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.common import count_words, written
@@ -120,29 +121,29 @@ def _plan_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "_pattern string, _whole long, _rest long, _cut long, _left long")
 
 
-def mix(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-    weights: Sequence[float] = (1.0, 2.0, 3.0), limit: int = 3, seed: int = 11, max_patterns: int = MAX_PATTERNS,
-) -> DataFrame:
-    """One row per input row: key, size (words), source_size, target, taken.
-
-    `source` is a string column (one source a document) or an array of strings
-    (several); with several, source_size and target are sums over them.
-    `taken` is a multiple of `size` up to `limit`.
-    """
-    spark = docs.sparkSession
-    if len(REPEAT_COSTS) < limit:
-        raise ValueError("a repetition cost is needed for every repetition")
+def _measured(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
+    """`_doc` (the input row as a struct), _key, _size, _members, _pattern, and the
+    place in the seeded order: _hash, of which _place is the beginning."""
     many = docs.schema[source].dataType.typeName() == "array"
     members = F.array_sort(F.array_distinct(F.coalesce(F.col(source), F.array(F.lit(None).cast("string"))))) if many \
         else F.array(F.col(source))
-    kept = written(docs.select(
-        F.col(key).alias("_key"), count_words(F.col(text)).alias("_size"), members.alias("_members"),
+    hashed = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(key).alias("_key"),
+        count_words(F.col(text)).alias("_size"), members.alias("_members"),
         F.to_json(F.struct(members.alias("m")), {"ignoreNullFields": "false"}).alias("_pattern"),
-        F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_hash"),
-    ), "mix-sizes").withColumn(
-        "_place", F.shiftrightunsigned("_hash", 64 - _LEVEL_BITS * _LEVELS)
+        # Flipping the sign makes the order of longs that of the bits.
+        hashed.bitwiseXOR(F.lit(-(1 << 63))).alias("_hash"),
+        F.shiftrightunsigned(hashed, 64 - _LEVEL_BITS * _LEVELS).alias("_place"),
     )
+
+
+def _plan(kept: DataFrame, weights: Sequence[float], limit: int, max_patterns: int) -> DataFrame:
+    """Per pattern: whole takings of its documents, the last place of the order
+    that gets one more, and source_size and target (sums over its sources)."""
+    spark = kept.sparkSession
+    if len(REPEAT_COSTS) < limit:
+        raise ValueError("a repetition cost is needed for every repetition")
     found = kept.groupBy("_pattern").agg(F.sum("_size").alias("n"), F.first("_members").alias("m")) \
         .limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
@@ -156,15 +157,18 @@ def mix(
     targets = targets_for(sizes, weights, limit)
     flow = route(patterns, targets, REPEAT_COSTS[:limit])
 
-    # pattern → [whole takings, words still to take, cut so far, words left at the cut]
+    # pattern → [whole takings, words still to take, beginning of the cut, words left there]
     plan = {name[p]: [f // patterns[p], f % patterns[p], 0, f % patterns[p]] if patterns[p] else [0, 0, 0, 0]
             for p, f in flow.items()}
+
+    def open_() -> DataFrame:
+        return F.broadcast(spark.createDataFrame([(k, v[2], v[3]) for k, v in plan.items() if v[1]],
+                                                 "_pattern string, _cut long, _left long"))
+
     running = Window.partitionBy("_pattern").orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
     for level in range(_LEVELS):
         shift = _LEVEL_BITS * (_LEVELS - 1 - level)
-        cuts = F.broadcast(_plan_frame(spark, [(k, *v) for k, v in plan.items() if v[1]]))
-        inside = kept.join(cuts, "_pattern").where(
-            F.shiftrightunsigned("_place", shift + _LEVEL_BITS) == F.col("_cut"))
+        inside = kept.join(open_(), "_pattern").where(F.shiftrightunsigned("_place", shift + _LEVEL_BITS) == F.col("_cut"))
         digit = F.shiftrightunsigned("_place", shift).bitwiseAND(F.lit((1 << _LEVEL_BITS) - 1))
         digits = inside.groupBy("_pattern", "_left", digit.alias("_digit")).agg(F.sum("_size").alias("_n"))
         below = digits.withColumn("_below", F.coalesce(F.sum("_n").over(running), F.lit(0)))
@@ -174,19 +178,46 @@ def mix(
             v = plan[r["_pattern"]]
             v[2] = (v[2] << _LEVEL_BITS) | int(r["b"]["_digit"])
             v[3] -= int(r["b"]["_below"])
-    facts = {name[p]: (sum(sizes[s] for s in p), float(sum(targets[s] for s in p))) for p in patterns}
-    last = F.broadcast(spark.createDataFrame(
-        [(k, *v, *facts[k]) for k, v in plan.items()],
-        "_pattern string, _whole long, _rest long, _cut long, _left long, source_size long, target double"))
-    rows = kept.join(last, "_pattern")
-    at_cut = (F.col("_rest") > 0) & (F.col("_place") == F.col("_cut"))
-    order = Window.partitionBy("_pattern").orderBy("_hash", "_key", "_size")
-    sums = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # The document at the very cut is taken when more than half of it fits.
-    chosen = rows.where(at_cut).withColumn("_extra", (2 * sums - F.col("_size") <= 2 * F.col("_left")).cast("long"))
-    others = rows.where(~at_cut).withColumn(
-        "_extra", ((F.col("_rest") > 0) & (F.col("_place") < F.col("_cut"))).cast("long"))
-    return others.unionByName(chosen).select(
+    # The document at the cut itself is taken when more than half of it fits.
+    at_cut = kept.join(open_(), "_pattern").where(F.col("_place") == F.col("_cut"))
+    sums = F.sum("_size").over(Window.partitionBy("_pattern").orderBy("_hash").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    last = at_cut.withColumn("_fits", 2 * sums - F.col("_size") <= 2 * F.col("_left")).where("_fits").groupBy("_pattern") \
+        .agg(F.max("_hash").alias("h")).collect()
+    ends = {k: (v[2] << (64 - _LEVEL_BITS * _LEVELS)) - (1 << 63) - 1 for k, v in plan.items() if v[1]}
+    ends |= {r["_pattern"]: r["h"] for r in last}
+    rows = [(name[p], plan[name[p]][0], max(ends.get(name[p], -(1 << 63)), -(1 << 63)), name[p] in ends,
+             sum(sizes[s] for s in p), float(sum(targets[s] for s in p))) for p in patterns]
+    return F.broadcast(spark.createDataFrame(
+        rows, "_pattern string, _whole long, _end long, _more boolean, source_size long, target double"))
+
+
+def _times():
+    return F.col("_whole") + (F.col("_more") & (F.col("_hash") <= F.col("_end"))).cast("long")
+
+
+def mix(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+    weights: Sequence[float] = (1.0, 2.0, 3.0), limit: int = 3, seed: int = 11, max_patterns: int = MAX_PATTERNS,
+) -> DataFrame:
+    """One row per input row: key, size (words), source_size, target, taken.
+
+    `source` is a string column (one source a document) or an array of strings
+    (several); with several, source_size and target are sums over them.
+    `taken` is a multiple of `size` up to `limit`.
+    """
+    kept = written(_measured(docs, key, text, source, seed).drop("_doc"), "mix-sizes")
+    return kept.join(_plan(kept, weights, limit, max_patterns), "_pattern").select(
         F.col("_key").alias(key), F.col("_size").alias("size"), "source_size", "target",
-        (F.col("_size") * (F.col("_whole") + F.col("_extra"))).alias("taken"),
-    )
+        (F.col("_size") * _times()).alias("taken"))
+
+
+def take(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+    weights: Sequence[float] = (1.0, 2.0, 3.0), limit: int = 3, seed: int = 11, max_patterns: int = MAX_PATTERNS,
+) -> DataFrame:
+    """The mix itself: every input row as often as `mix` takes it. Texts are read
+    twice and not shuffled."""
+    rows = _measured(docs, key, text, source, seed)
+    plan = _plan(written(rows.drop("_doc"), "mix-sizes"), weights, limit, max_patterns)
+    times = F.when(F.col("_size") > 0, _times()).otherwise(0).cast("int")
+    return rows.join(plan, "_pattern").withColumn("_again", F.explode(F.array_repeat(F.lit(0), times))).select("_doc.*")

@@ -101,9 +101,12 @@ def with_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", la
         F.log(chars / n), F.sqrt(F.col("n_symbols") / chars),
         F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), F.sqrt(F.col("n_repeat_words") / n),
     )
+    # A row number is never negative, but a filter cannot be moved below it and so
+    # cannot multiply the expressions above.
+    never = F.monotonically_increasing_id() < 0
     return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
-    )).withColumns({x: v.cast("double") for x, v in zip(_X, vector, strict=True)}).drop("n_lines")
+    ) | never).withColumns({x: v.cast("double") for x, v in zip(_X, vector, strict=True)}).drop("n_lines")
 
 
 def _bin_quantile(df: DataFrame, keys: list[str], bin_: Column, fraction: float, out: str) -> DataFrame:

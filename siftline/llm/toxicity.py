@@ -108,11 +108,11 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0) ->
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     x, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 0.05 * np.eye(len(w)), x.T @ (p - y) + 0.05 * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + 0.05 * np.eye(len(w)), x.T @ (weight * (p - y)) + 0.05 * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -122,8 +122,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Model:
     """Weights of subsequences, and the curve over a document's features."""
 
-    def __init__(self, texts: list[str], toxic: list[int]):
-        self.prior = sum(toxic) / max(1, len(toxic))
+    def __init__(self, texts: list[str], toxic: list[int], share: float | None = None):
+        """`share` of toxic documents among all, if not as in these."""
+        self.prior = sum(toxic) / max(1, len(toxic)) if share is None else share
         self.curve = None
         if 0 < sum(toxic) < len(toxic):
             self._fit([[words(s) for s in sentences(t)] for t in texts], np.array(toxic))
@@ -160,7 +161,8 @@ class Model:
             hard += [clean[i] for i in np.argsort(-scores, kind="stable")[:3000] if clean[i] not in known and scores[i] > -0.7]
         memo = dict(zip(all_ := sorted(set().union(*seen)), self.score_words(all_).tolist(), strict=True))
         x = np.array([self.document(memo[w] for s in d for w in s) for d in docs])
-        self.curve = _logistic(x, toxic)
+        own = toxic.mean()
+        self.curve = _logistic(x, toxic, np.where(toxic == 1, self.prior / own, (1 - self.prior) / (1 - own)))
 
     def _train(self, bad: list[str], times: list[int], clean: list[str], hard: list[str]) -> None:
         every, random = bad + clean, np.random.default_rng(9)
@@ -222,6 +224,7 @@ def _grams(word: str) -> set[str]:
 def fit(labelled: DataFrame, key: str, text: str, label: str, most: int = FIT_DOCS, most_bytes: int = FIT_BYTES) -> Model:
     """A model of labelled rows (label 0 or 1; others take no part)."""
     texts, labels = [], []
+    share = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0]
     picked = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(
         F.col(label).cast("int").alias("label"), F.xxhash64(F.lit("fit"), F.col(key)).alias("h"), F.col(key).alias("k"),
         F.octet_length(text).alias("n"), F.col(text).alias("t"))
@@ -232,7 +235,7 @@ def fit(labelled: DataFrame, key: str, text: str, label: str, most: int = FIT_DO
             if total > most_bytes // 2:
                 break
             texts.append(r["t"]), labels.append(value)
-    return Model(texts, labels)
+    return Model(texts, labels, share or 0.0)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
