@@ -60,7 +60,7 @@ _BASE = f"""{WITH_EVENTS}, e AS (SELECT *, 'u' || (user_id % 4) AS upload_id, 'h
 
 @query("j02_stream_dedupe", f"{_BASE} SELECT DISTINCT upload_id, strftime(h, '{ISO}') AS datetime, message, event_type FROM e")
 def stream_dedupe(spark, sf):
-    out = _finish(spark, jobs.dedupe_stream(_stream(spark, sf), "400 days"), "append")
+    out = _finish(spark, jobs.dedupe_stream(_stream(spark, sf)), "append")
     return out.select("upload_id", iso_ms(F.col("datetime")).alias("datetime"), "message", "event_type")
 
 

@@ -10,7 +10,7 @@ from siftline.operators.build import emit
 from siftline.operators.detect import detect, fold
 from siftline.operators.filters import NOTABLE
 from siftline.operators.summaries import NOISY_EVENTS, REMOTE_TOOLS, remote_tool
-from siftline.schema import DEDUPE_KEY, EVENT_COLUMNS
+from siftline.schema import DEDUPE_KEY, EVENT_COLUMNS, EVENT_SCHEMA
 from siftline.sources.rules import RuleSet
 from siftline.sources.timeline import parse_lines, promote, save_events, with_id
 
@@ -36,8 +36,13 @@ def arriving_events(spark: SparkSession, landing: str, max_files: int = 1000) ->
 
 
 def dedupe_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop repeats of the dedupe key that arrive within the watermark."""
-    return events.withWatermark("datetime", delay).dropDuplicatesWithinWatermark(DEDUPE_KEY)
+    """Drop repeats of the dedupe key that arrive within `delay` of the first.
+
+    The watermark follows the time of arrival. Captures hold years of events in
+    any order, so a watermark on the event's own time would drop history.
+    """
+    arriving = events.withColumn("_arrived", F.current_timestamp())
+    return arriving.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(DEDUPE_KEY).drop("_arrived")
 
 
 def stream_timeline(
@@ -57,15 +62,35 @@ def stream_timeline(
 
 
 def stream_captures(spark: SparkSession, landing: str, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Like `stream_timeline`, but each micro-batch replaces the captures it
-    carries, so a capture that lands again overwrites itself."""
-    def load(batch: DataFrame, _: int) -> None:
-        save_events(emit(batch.withColumn("seq", F.monotonically_increasing_id())), table)
+    """Like `stream_timeline`, but whole captures stay deduplicated: a micro-batch
+    is laid together with what the table holds of its captures, and the result
+    replaces these. A capture may so arrive in any number of files and batches, and
+    files that land again add nothing. The merged rows are staged beside the
+    checkpoint first, so a failed batch is repeated from the old table."""
+    def load(batch: DataFrame, number: int) -> None:
+        new = emit(batch.withColumn("seq", F.monotonically_increasing_id()))
+        held = _stored(spark, table)
+        if held is not None:
+            carried = new.select("site_id", "upload_id").distinct()
+            old = held.select(*EVENT_COLUMNS).join(carried, ["site_id", "upload_id"], "left_semi")
+            # Stored rows come first, so the first arrival of an event wins.
+            new = emit(old.withColumn("seq", F.col("seq") - F.lit(1 << 62)).unionByName(new.select(*EVENT_COLUMNS))).withColumn(
+                "seq", F.when(F.col("seq") < 0, F.col("seq") + F.lit(1 << 62)).otherwise(F.col("seq")))
+        staged = f"{checkpoint}/staged/{number}"
+        new.select(*EVENT_COLUMNS).write.mode("overwrite").parquet(staged)
+        save_events(spark.read.schema(EVENT_SCHEMA).parquet(staged), table)
 
     writer = arriving_events(spark, landing).writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
+def _stored(spark: SparkSession, table: str) -> DataFrame | None:
+    """The event table, None where there is none yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.parquet(table) if there else None
+
+
 def type_counters(events: DataFrame) -> DataFrame:
     """Running events per type, with notable and suspicious ones."""
     return events.groupBy("event_type").agg(
@@ -88,13 +113,16 @@ def tag_stream(events: DataFrame, rules: RuleSet) -> DataFrame:
     return fold(detect(events, rules), rules)
 
 
-def failure_windows(events: DataFrame, width: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
-    """Logon failures per host and tumbling window, late data up to `delay`."""
+def failure_windows(events: DataFrame, width: str = "10 minutes", delay: str | None = None) -> DataFrame:
+    """Logon failures per host and tumbling window. Every row counts, however old,
+    for complete or update output. Append output needs a `delay`; it closes windows
+    for good, and rows that come later than that are not in them."""
     failed = (F.col("event_type") == "logon_failed") | (
         (F.col("event_type") == "windows_logon") & (F.col("attrs")["event_identifier"] == "4625")
     )
+    found = events.where(failed)
     return (
-        events.where(failed).withWatermark("datetime", delay)
+        (found if delay is None else found.withWatermark("datetime", delay))
         .groupBy(F.window("datetime", width).alias("w"), "host_name").agg(F.count(F.lit(1)).alias("failures"))
         .select("host_name", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "failures")
     )

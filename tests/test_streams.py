@@ -29,13 +29,28 @@ def test_new_files_are_appended_once(spark, tmp_path):
     assert sorted((r["upload_id"], r["message"]) for r in rows) == [("u1", "a"), ("u1", "b"), ("u2", "c")]
 
 
-def test_a_capture_that_lands_again_replaces_itself(spark, tmp_path):
+def test_a_capture_in_several_batches_is_kept_whole(spark, tmp_path):
     landing, table, ckpt = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "c")
-    land(landing, "s1", "u1", "a.jsonl", [line(1, "old"), line(2, "gone")])
+    old = dict(line(1, "years before"), datetime="2019-05-01T00:00:00.000Z")
+    land(landing, "s1", "u1", "a.jsonl", [line(1, "first", user="x"), line(2, "second")])
+    land(landing, "s1", "u2", "a.jsonl", [line(1, "other capture")])
     jobs.stream_captures(spark, str(landing), table, ckpt).awaitTermination()
-    land(landing, "s1", "u1", "b.jsonl", [line(1, "new")])
+    land(landing, "s1", "u1", "b.jsonl", [line(1, "first", user="y"), line(3, "third"), old])
+    land(landing, "s1", "u1", "c.jsonl", [line(3, "third")])
     jobs.stream_captures(spark, str(landing), table, ckpt).awaitTermination()
-    assert [r["message"] for r in spark.read.parquet(table).collect()] == ["new"]
+    rows = {(r["upload_id"], r["message"]): r["attrs"] for r in spark.read.parquet(table).collect()}
+    assert set(rows) == {("u1", m) for m in ("first", "second", "third", "years before")} | {("u2", "other capture")}
+    assert rows["u1", "first"]["user"] == "x" and spark.read.parquet(table).count() == 5
+
+
+def test_history_is_not_late(spark, tmp_path):
+    landing, table, ckpt = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "c")
+    at = lambda day, text: dict(line(1, text), datetime=f"{day}T00:00:00.000Z")
+    land(landing, "s1", "u1", "a.jsonl", [at("2024-06-01", "a")])
+    jobs.stream_timeline(spark, str(landing), table, ckpt).awaitTermination()
+    land(landing, "s1", "u2", "a.jsonl", [at("2023-01-01", "b"), at("2024-05-01", "c"), at("2024-06-02", "d")])
+    jobs.stream_timeline(spark, str(landing), table, ckpt).awaitTermination()
+    assert sorted(r["message"] for r in spark.read.parquet(table).collect()) == ["a", "b", "c", "d"]
 
 
 def test_rules_tag_a_stream(spark, tmp_path):
