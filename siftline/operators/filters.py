@@ -18,7 +18,6 @@ from siftline.functions.values import all_of, any_of
 from siftline.schema import TOP_LEVEL
 
 NOTABLE = "LikelyNotable"
-MAX_PAGE = 1000
 
 # Fixed value: words the full-text part ignores.
 STOP_WORDS = (
@@ -103,7 +102,9 @@ def search(df: DataFrame, query: str, whole_record: bool = True) -> Column:
     anywhere in the record. The cheap substring tests come first."""
     tests = [contains_ci(F.col("message"), query), words_match(F.col("message"), query)]
     if whole_record and "attrs" in df.columns:
-        tests.insert(1, contains_ci(F.to_json("attrs"), query))
+        # Keys and values as they are: in JSON text backslashes and quotes are escaped.
+        bag = F.concat(F.map_keys("attrs"), F.map_values("attrs"))
+        tests.insert(1, F.exists(bag, lambda v: F.coalesce(contains_ci(v, query), F.lit(False))))
     return any_of([F.coalesce(t, F.lit(False)) for t in tests])
 
 

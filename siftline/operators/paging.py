@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.operators.browsers import newest_per_group
-from siftline.operators.filters import MAX_PAGE, attr
+from siftline.operators.filters import attr
+from siftline.session import shared_folder
 
 SORT_KEYS = ["datetime", "event_type", "message", "id", "name", "state"]
 
@@ -35,14 +36,34 @@ def sort_events(df: DataFrame, by: str = "datetime", direction: str = "desc") ->
     return df.orderBy(*ordering(df, by, direction))
 
 
+def numbered(df: DataFrame, by: str = "datetime", direction: str = "desc") -> DataFrame:
+    """(id, pos) of every event: its place in the whole order, from 1.
+
+    The sort keys are dealt into ranges, numbered inside each, and start at the
+    count of the ranges before, so no task holds the whole order.
+    """
+    tie = F.col("id").asc_nulls_last()
+    path = shared_folder(df.sparkSession, "order")
+    key = sort_key(df, by if by in SORT_KEYS else "datetime")
+    main = F.col("_key").desc_nulls_first() if direction.lower() == "desc" or by not in SORT_KEYS else F.col("_key").asc_nulls_last()
+    keys = df.select("id", key.alias("_key"))
+    keys.repartitionByRange(main, tie).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    kept = df.sparkSession.read.parquet(path)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(main, tie))
+    return kept.withColumn("_place", place).join(starts, "_range").select("id", (F.col("_start") + F.col("_place")).alias("pos"))
+
+
 def page(df: DataFrame, offset: int = 0, limit: int = 100, by: str = "datetime", direction: str = "desc") -> DataFrame:
     """One page; with a limit Spark keeps only the top rows of each task."""
-    return sort_events(df, by, direction).offset(offset).limit(min(limit, MAX_PAGE))
+    return sort_events(df, by, direction).offset(offset).limit(limit)
 
 
 def page_info(df: DataFrame, offset: int, limit: int) -> DataFrame:
     """`total` and `has_more` of a filtered set (one distributed count)."""
-    limit = min(limit, MAX_PAGE)
     return df.agg(F.count(F.lit(1)).alias("total")).select(
         "total", F.lit(offset).alias("offset"), F.lit(limit).alias("limit"),
         (F.lit(offset + limit) < F.col("total")).alias("has_more"),
@@ -54,7 +75,7 @@ def next_page(df: DataFrame, after_time, after_id, limit: int = 100) -> DataFram
     filter, so deep pages cost no more than the first one."""
     at = F.lit(after_time).cast("timestamp")
     later = (F.col("datetime") < at) | ((F.col("datetime") == at) & (F.col("id") > after_id))
-    return df.where(later).orderBy(*ordering(df)).limit(min(limit, MAX_PAGE))
+    return df.where(later).orderBy(*ordering(df)).limit(limit)
 
 
 def top_counts(df: DataFrame, col: Column, name: str, k: int = 5) -> DataFrame:

@@ -140,7 +140,7 @@ def merge_extensions(spark, sf):
 SELECT strftime(make_timestamp((1700000000 + key) * 1000000), '{ISO}') AS at, kind AS timestamp_desc, CASE WHEN key % 3 = 0 THEN 'Directory' ELSE 'File' END || CASE WHEN kind LIKE '%FN)' THEN ' ($FN)' ELSE '' END || ': C:' || path AS message,
  '/c' || replace(left(path, length(path) - length('f' || key)), '\\', '/') AS file_path, 'f' || key AS file_name FROM u WHERE NOT (kind LIKE '%FN)' AND key % 6 = 0)""")
 def mft_events(spark, sf):
-    captures = read(spark, sf, "region").limit(1).select(F.lit("u0").alias("upload_id"), F.lit("s0").alias("site_id"), F.lit("h").alias("host_name"))
+    captures = _entries(spark, sf).select("upload_id").distinct().select("upload_id", F.lit("s0").alias("site_id"), F.lit("h").alias("host_name"))
     out = files.mft_events(_entries(spark, sf), captures)
     return out.select(
         iso_ms(F.col("datetime")).alias("at"), "timestamp_desc", "message", F.col("attrs")["file_path"].alias("file_path"),

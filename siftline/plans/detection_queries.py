@@ -298,10 +298,10 @@ def latest_before_one_key(spark, sf):
     return correlate.latest_before(signins, clicks, ["user"]).select("id", "micros", "match_micros")
 
 
-@query("g16_hash_across_sources", f"""{WITH_FILES}, a AS (SELECT md5(p_name) AS hash, min(p_partkey) AS first_mail, count(DISTINCT p_partkey) AS mail_count FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+@query("g16_hash_across_sources", f"""{WITH_FILES}, a AS (SELECT md5(p_name) AS hash, min(p_partkey) AS first_mail, count(DISTINCT p_partkey) AS mail_count FROM part GROUP BY 1)
 SELECT id AS file_id, hash, first_mail, mail_count FROM ft JOIN a ON md5 = hash""")
 def hash_across_sources(spark, sf):
-    part = read(spark, sf, "part").where("p_partkey % 3 = 0")
+    part = read(spark, sf, "part")
     attachments = part.select(F.upper(F.md5("p_name")).alias("sha256"), F.col("p_partkey").alias("mail_id"))
     endpoint = file_timeline(spark, sf).select("id", F.col("attrs")["md5"].alias("sha256"))
     return correlate.files_with_attachment(attachments, endpoint)

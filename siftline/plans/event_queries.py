@@ -150,10 +150,9 @@ def artifact_regex(spark, sf):
 
 # ------------------------------------------------------------- sorting, paging
 
-@query("e01_sort", f"{WITH_TIMELINE} SELECT id, row_number() OVER (ORDER BY coalesce(param1, '') DESC, id) AS pos FROM tl ORDER BY 2 LIMIT 500")
+@query("e01_sort", f"{WITH_TIMELINE} SELECT id, row_number() OVER (ORDER BY coalesce(param1, '') DESC, id) AS pos FROM tl")
 def sort_events(spark, sf):
-    top = paging.page(timeline(spark, sf), 0, 500, by="name", direction="desc")
-    return top.select(F.collect_list("id").alias("ids")).select(F.posexplode("ids").alias("p", "id")).select("id", (F.col("p") + 1).cast("long").alias("pos"))
+    return paging.numbered(timeline(spark, sf), by="name", direction="desc").select("id", "pos")
 
 
 @query("e02_page", f"{WITH_TIMELINE} SELECT id, datetime FROM (SELECT id, strftime(datetime, '{ISO}') AS datetime FROM tl ORDER BY tl.datetime DESC, id LIMIT 100 OFFSET 300)")
@@ -161,7 +160,7 @@ def page(spark, sf):
     return paging.page(timeline(spark, sf), 300, 100).select("id", summaries.iso_ms(F.col("datetime")).alias("datetime"))
 
 
-@query("e02_page_info", f"{WITH_TIMELINE} SELECT count(*) AS total, 300 AS \"offset\", 1000 AS \"limit\", 1300 < count(*) AS has_more FROM tl WHERE event_type = 'windows_logon'")
+@query("e02_page_info", f"{WITH_TIMELINE} SELECT count(*) AS total, 300 AS \"offset\", 5000 AS \"limit\", 5300 < count(*) AS has_more FROM tl WHERE event_type = 'windows_logon'")
 def page_info(spark, sf):
     return paging.page_info(flt.query_events(timeline(spark, sf), event_types=["windows_logon"]), 300, 5000)
 
@@ -255,7 +254,7 @@ _TOOL_CASE = "CASE " + " ".join(
 _TERM_LIST = "[" + ", ".join(f"'{t}'" for t in _TERMS) + "]"
 _TOOL_NAMES = "[" + ", ".join(f"'{n}'" for n, _, _ in summaries.REMOTE_TOOLS) + "]"
 _TOOL_CATS = "[" + ", ".join(f"'{c}'" for _, c, _ in summaries.REMOTE_TOOLS) + "]"
-_TOOLS_SQL = f"""{WITH_TIMELINE}, m AS (SELECT upload_id, event_type, datetime, 'ran ' || upper({_TERM_LIST}[k % {len(_TERMS)} + 1]) || ' and ' || {_TERM_LIST}[user_id % {len(_TERMS)} + 1] AS message FROM tl WHERE k % 3 = 0),
+_TOOLS_SQL = f"""{WITH_TIMELINE}, m AS (SELECT upload_id, event_type, datetime, 'ran ' || upper({_TERM_LIST}[k % {len(_TERMS)} + 1]) || ' and ' || {_TERM_LIST}[user_id % {len(_TERMS)} + 1] AS message FROM tl),
 g AS (SELECT {_TOOL_CASE} AS tool, event_type, datetime FROM m)
 """
 
@@ -263,7 +262,7 @@ g AS (SELECT {_TOOL_CASE} AS tool, event_type, datetime FROM m)
 def _with_tool_messages(df):
     terms = F.array(*[F.lit(t) for t in _TERMS])
     one, two = F.get(terms, F.col("k") % len(_TERMS)), F.get(terms, F.col("user_id") % len(_TERMS))
-    return df.where(F.col("k") % 3 == 0).withColumn("message", F.concat(F.lit("ran "), F.upper(one), F.lit(" and "), two))
+    return df.withColumn("message", F.concat(F.lit("ran "), F.upper(one), F.lit(" and "), two))
 
 
 @query("f07_remote_access", f"""{_TOOLS_SQL} SELECT {_TOOL_NAMES}[tool + 1] AS tool_name, {_TOOL_CATS}[tool + 1] AS category, count(*) AS event_count,
@@ -299,11 +298,11 @@ def platform_summary(spark, sf):
 @query("f11_site_list", """
 SELECT n_nationkey AS site_id, n_name AS name, coalesce(u.c, 0) AS upload_count, coalesce(e.c, 0) AS event_count FROM nation
 LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) u ON u.c_nationkey = n_nationkey
-LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 20 GROUP BY 1) e ON e.c_nationkey = n_nationkey""")
+LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) e ON e.c_nationkey = n_nationkey""")
 def site_list(spark, sf):
     customers = read(spark, sf, "customer")
     sites = read(spark, sf, "nation").select(F.col("n_nationkey").alias("site_id"), F.col("n_name").alias("name"))
-    events = read(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).where("c_nationkey < 20")
+    events = read(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     return summaries.site_list(
         sites, customers.select(F.col("c_nationkey").alias("site_id")), events.select(F.col("c_nationkey").alias("site_id"))
     )

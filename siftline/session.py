@@ -45,29 +45,19 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder so that a lost executor
     costs one stage, not the whole history of an iterative job."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="siftline-ckpt-"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than there are cores, spread over them.
-
-    Builders and rules work row by row, so a small file in one piece would keep
-    one core busy. Tables of cluster size have more partitions than that and are
-    returned as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder name for intermediate tables: below the shared folder the
-    session names in `spark.checkpoint.dir`, else a temporary one (tests)."""
+    """A fresh folder name for intermediate tables, below the shared folder the
+    session names in `spark.checkpoint.dir`. Where that is unset, a temporary one
+    serves a local session (tests); on a cluster the executors would not see it."""
     root = spark.conf.get("spark.checkpoint.dir", "")
     if root:
         return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"siftline-{name}-")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{tempfile.mkdtemp(prefix=f'siftline-{name}-')}/{uuid.uuid4().hex}"
