@@ -70,16 +70,19 @@ def human_duration(seconds: Column, minute_decimals: int = 1) -> Column:
 
 
 def split_host_port(col: Column, dots: bool = False) -> tuple[Column, Column]:
-    """`ip:port` and `[v6]:port`; with `dots` also the `ip.port` dialect."""
+    """`ip:port` and `[v6]:port`; with `dots` also the `ip.port` dialect. A colon
+    before a port wins where what stands before it is no IPv6 address."""
     text = F.trim(col)
     bracket = r"^\[([^\]]*)\][:.]?(.*)$"
     colon = r"^(.+):([^:]*)$"
     dot = r"^(.+)\.([^.]*)$"
+    one_colon = r"^([^:]+):(\d+|\*)$"
 
     def pick(n: int, whole: Column) -> Column:
         chain = F.when(text.rlike(bracket), F.regexp_extract(text, bracket, n))
         if dots:
             chain = F.when(text == "*", F.lit("")).when(text.rlike(bracket), F.regexp_extract(text, bracket, n))
+            chain = chain.when(text.rlike(one_colon), F.regexp_extract(text, one_colon, n))
             chain = chain.when(text.rlike(dot), F.regexp_extract(text, dot, n))
         return chain.when(text.rlike(colon), F.regexp_extract(text, colon, n)).otherwise(whole)
 

@@ -14,8 +14,6 @@ LINUX = "Collector-Linux"
 MACOS = "Collector-macOS"
 DB_KEYS = ["upload_id", "site_id", "host_name", "db_path"]
 
-# Newest rows the Linux readers keep per database and table.
-NEWEST_VISITS, NEWEST_DOWNLOADS, NEWEST_COOKIES, NEWEST_LOGINS = 10_000, 5_000, 5_000, 2_000
 BROWSER_WORDS = ["chrome", "chromium", "brave", "vivaldi", "edge", "opera", "firefox"]
 
 
@@ -74,8 +72,7 @@ def _whole(name: str) -> Column:
 
 @builder("linux.chromium_visits")
 def linux_chromium_visits(df: DataFrame) -> DataFrame:
-    """Visits joined to URLs (`join_visits`), newest 10,000 per database."""
-    df = newest_per_group(df, DB_KEYS, [_whole("visit_time").desc()], NEWEST_VISITS, tie=F.col("seq"))
+    """Visits joined to URLs (`join_visits`). All rows are read; `newest_per_group` cuts them where asked to."""
     return build(df, _linux(
         "history", "Web History Entry", _titled("Web visit: "), webkit_micros(rec("visit_time")),
         browser_of_path(F.col("db_path")), "web_history", url="url", title="title", visit_count="visit_count",
@@ -84,7 +81,6 @@ def linux_chromium_visits(df: DataFrame) -> DataFrame:
 
 @builder("linux.chromium_downloads")
 def linux_chromium_downloads(df: DataFrame) -> DataFrame:
-    df = newest_per_group(df, DB_KEYS, [_whole("start_time").desc()], NEWEST_DOWNLOADS, tie=F.col("seq"))
     return build(df, _linux(
         "download", "File Downloaded", say("Downloaded: {b} from {tab_url}", b=base_name(rec("target_path"))),
         webkit_micros(rec("start_time")), browser_of_path(F.col("db_path")), "web_download",
@@ -94,7 +90,6 @@ def linux_chromium_downloads(df: DataFrame) -> DataFrame:
 
 @builder("linux.chromium_cookies")
 def linux_chromium_cookies(df: DataFrame) -> DataFrame:
-    df = newest_per_group(df, DB_KEYS, [_whole("last_access_utc").desc()], NEWEST_COOKIES, tie=F.col("seq"))
     return build(df, _linux(
         "cookie", "Web Cookie", say("Cookie: {name} on {host_key}"), webkit_micros(rec("last_access_utc")),
         browser_of_path(F.col("db_path")), "web_cookie", host="host_key", name="name", path="path",
@@ -104,7 +99,6 @@ def linux_chromium_cookies(df: DataFrame) -> DataFrame:
 
 @builder("linux.chromium_logins")
 def linux_chromium_logins(df: DataFrame) -> DataFrame:
-    df = newest_per_group(df, DB_KEYS, [_whole("date_last_used").desc()], NEWEST_LOGINS, tie=F.col("seq"))
     return build(df, _linux(
         "login", "Web Login Saved", say("Saved login: {username_value} @ {origin_url}"),
         webkit_micros(rec("date_last_used")), browser_of_path(F.col("db_path")), "web_login",
@@ -115,7 +109,6 @@ def linux_chromium_logins(df: DataFrame) -> DataFrame:
 @builder("linux.firefox_places")
 def linux_firefox_places(df: DataFrame) -> DataFrame:
     df = df.where(rec("last_visit_date") != "")
-    df = newest_per_group(df, DB_KEYS, [_whole("last_visit_date").desc()], NEWEST_VISITS, tie=F.col("seq"))
     return build(df, _linux(
         "history", "Web History Entry", _titled("Web visit: "), unix_micros(rec("last_visit_date")),
         F.lit("Firefox"), "web_history", url="url", title="title", visit_count="visit_count",
@@ -124,7 +117,6 @@ def linux_firefox_places(df: DataFrame) -> DataFrame:
 
 @builder("linux.firefox_cookies")
 def linux_firefox_cookies(df: DataFrame) -> DataFrame:
-    df = newest_per_group(df, DB_KEYS, [_whole("lastAccessed").desc()], NEWEST_COOKIES, tie=F.col("seq"))
     return build(df, _linux(
         "cookie", "Web Cookie", say("Cookie: {name} on {host}"), unix_micros(rec("lastAccessed")),
         F.lit("Firefox"), "web_cookie", host="host", name="name", path="path",

@@ -90,8 +90,9 @@ def identity_values(df: DataFrame, fields: list[Column], names: list[str]) -> Da
 
 
 def identity_activity(values: DataFrame) -> DataFrame:
-    """Per identity: in how many events and through which fields it appears."""
-    per_field = values.groupBy("value", "field").agg(F.count_distinct("id").alias("n"))
+    """Per identity: in how many events and through which fields it appears.
+    `identity_values` gives one row per event and field, so rows are counted."""
+    per_field = values.groupBy("value", "field").agg(F.count(F.lit(1)).alias("n"))
     return per_field.groupBy("value").agg(
         F.sum("n").alias("mentions"), F.array_join(F.array_sort(F.collect_set("field")), ", ").alias("fields")
     )

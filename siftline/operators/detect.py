@@ -484,10 +484,10 @@ def drop_excluded_sigma(df: DataFrame, excluded: set[str], prefix: str = "hayabu
 
 
 def sigma_summary(found: DataFrame) -> DataFrame:
-    """Detections per level and per rule title (cut at 60 characters)."""
-    title = F.when(F.length("title") > 60, F.concat(F.substring("title", 1, 60), F.lit("..."))).otherwise(F.col("title"))
+    """Detections per level and per rule title. Titles are whole: rules that begin
+    alike stay apart, and a display may cut them."""
     facet = F.explode(F.array(
         F.struct(F.lit("level").alias("facet"), F.col("level").alias("value")),
-        F.struct(F.lit("rule").alias("facet"), title.alias("value")),
+        F.struct(F.lit("rule").alias("facet"), F.col("title").alias("value")),
     ))
     return found.select(facet.alias("f")).groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("n"))

@@ -217,7 +217,7 @@ def test_macos_texts(spark):
     ]
     lsof = "COMMAND\nsshd 12 root 3u IPv4 0x1 0t0 TCP 10.0.0.5:22->10.0.0.6:51 (ESTABLISHED)\nmdns 2 _m 7u IPv4 0x2 0t0 UDP *:5353"
     assert messages(build_lines(spark, "macos.open_sockets", lsof)) == [
-        "Connected: 10.0.0:5:22 -> 10.0.0:6:51 (sshd PID:12 root)", "UDP Listener: *:5353 (mdns PID:2 _m)",
+        "Connected: 10.0.0.5:22 -> 10.0.0.6:51 (sshd PID:12 root)", "UDP Listener: *:5353 (mdns PID:2 _m)",
     ]
     alf = "Total number of apps = 1\n1 : /A.app\n   (Allow incoming connections)\nnoise"
     assert messages(build_lines(spark, "macos.firewall_apps", alf)) == ["Firewall rule: /A.app -- Allow incoming connections"]
