@@ -199,7 +199,8 @@ def listing_where_no_mft(listing_events: DataFrame, mft: DataFrame) -> DataFrame
 
 
 def timestomp_candidates(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Files whose name record was created after their content record: the two
+    """Files (`keys` name the capture and the path) whose name record was created
+    after their content record: the two
     creation times meet in one aggregation per file, without a self-join."""
     created = events.where(F.col("timestamp_desc").isin("File Created", "File Created ($FN)"))
     si = F.max(F.when(F.col("timestamp_desc") == "File Created", F.col("datetime"))).alias("si_created")

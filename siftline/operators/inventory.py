@@ -10,6 +10,8 @@ from siftline.functions.times import install_date, iso_ms
 from siftline.operators.filters import attr, contains_ci
 from siftline.operators.paging import first_children
 
+#: Reports stand for one capture: equal paths of two hosts are two files.
+CAPTURE = ["upload_id"]
 FILE_DATA = "fs:stat:ntfs:"
 POLICY_SHARE = "SYSVOL"
 POLICY_PATTERN = r"(?i)/Policies/(\{[A-F0-9-]+\})/"
@@ -27,7 +29,7 @@ def policy_entries(df: DataFrame) -> DataFrame:
     """File events on the policy share: path, name, size, kind of time."""
     path = either(df, "filePath", "file_path")
     return df.where(F.startswith("data_type", F.lit(FILE_DATA)) & contains_ci(path, POLICY_SHARE)).select(
-        "id", path.alias("path"), either(df, "fileName", "file_name").alias("name"),
+        "id", "upload_id", path.alias("path"), either(df, "fileName", "file_name").alias("name"),
         either(df, "fileSize", "file_size").alias("size"), "datetime", "timestamp_desc",
         F.when(path.rlike(POLICY_PATTERN), F.regexp_extract(path, POLICY_PATTERN, 1)).alias("policy"),
     )
@@ -59,13 +61,13 @@ def policy_totals(entries: DataFrame) -> DataFrame:
     )
 
 
-def policies(entries: DataFrame) -> DataFrame:
-    """Per policy: files, key files, earliest creation, latest change."""
+def policies(entries: DataFrame, keys: list[str] = CAPTURE) -> DataFrame:
+    """Per policy of a capture (`keys`): files, key files, earliest creation, latest change."""
     desc, name = F.col("timestamp_desc"), F.lower(F.coalesce("name", F.lit("")))
     key = F.lit(False)
     for k in KEY_FILES:
         key = key | name.contains(k)
-    return entries.where(F.col("policy").isNotNull()).groupBy("policy").agg(
+    return entries.where(F.col("policy").isNotNull()).groupBy(*keys, "policy").agg(
         F.count(F.lit(1)).alias("files"), F.count_if(key).alias("key_files"),
         iso_ms(F.min(F.when(desc.contains("Created"), F.col("datetime")))).alias("created"),
         iso_ms(F.max(F.when(desc.contains("Modified") | desc.contains("Changed"), F.col("datetime")))).alias("modified"),
@@ -94,8 +96,8 @@ def policy_tree(entries: DataFrame, n: int = 3) -> DataFrame:
 
 # ---------------------------------------------------------- collected files
 
-def collected_files(df: DataFrame) -> DataFrame:
-    """One row per collected path: earliest creation, latest other times (only
+def collected_files(df: DataFrame, keys: list[str] = CAPTURE) -> DataFrame:
+    """One row per collected path of a capture (`keys`): earliest creation, latest other times (only
     content times), and the details of its first record in source order."""
     path = either(df, "filePath", "file_path", "path")
     status = either(df, "fileContentStatus", "file_content_status")
@@ -107,16 +109,16 @@ def collected_files(df: DataFrame) -> DataFrame:
         either(df, "userSID", "user_sid").alias("user_sid"),
     )
     rows = df.where(F.startswith("data_type", F.lit(FILE_DATA)) & (status == "Collected") & path.isNotNull()).select(
-        path.alias("file_path"), "seq", "datetime", details.alias("d"), time_kind(F.col("timestamp_desc")).alias("kind")
+        *keys, path.alias("file_path"), "seq", "datetime", details.alias("d"), time_kind(F.col("timestamp_desc")).alias("kind")
     )
 
     def of(kind: str, agg) -> Column:
         return iso_ms(agg(F.when(F.col("kind") == kind, F.col("datetime"))))
 
-    return rows.groupBy("file_path").agg(
+    return rows.groupBy(*keys, "file_path").agg(
         F.min_by("d", "seq").alias("d"), of("Created", F.min).alias("date_created"),
         *[of(k, F.max).alias(f"date_{k.lower()}") for k in ("Modified", "Accessed", "Changed")],
-    ).select("file_path", "d.*", "date_created", "date_modified", "date_accessed", "date_changed")
+    ).select(*keys, "file_path", "d.*", "date_created", "date_modified", "date_accessed", "date_changed")
 
 
 def time_kind(desc: Column) -> Column:
@@ -151,10 +153,10 @@ SOFTWARE_FIELDS = {
 }
 
 
-def software_inventory(df: DataFrame) -> DataFrame:
-    """Installed software out of registry and inventory events.
+def software_inventory(df: DataFrame, keys: list[str] = CAPTURE) -> DataFrame:
+    """Installed software of a capture (`keys`) out of registry and inventory events.
 
-    Key: product code, else name and publisher. Registry rows create an entry
+    Key of an entry: product code, else name and publisher. Registry rows create an entry
     and fill an empty name or publisher; inventory rows override with what they
     have. `Both` needs the first registry row before an inventory row.
     """
@@ -167,7 +169,7 @@ def software_inventory(df: DataFrame) -> DataFrame:
     by = F.lower(F.trim(F.coalesce(either(df, "publisher"), F.lit(""))))
     key = F.coalesce(F.concat(F.lit("msi:"), code), F.concat(F.lit("name:"), named, F.lit("|publisher:"), by))
     rows = df.where(registry | listed).select(
-        key.alias("key"), "seq", registry.alias("reg"),
+        *keys, key.alias("key"), "seq", registry.alias("reg"),
         F.when(registry, either(df, "software_name", "program_name")).otherwise(either(df, "program_name")).alias("program_name"),
         *[either(df, *names).alias(out) for out, names in SOFTWARE_FIELDS.items() if names],
         F.coalesce(
@@ -178,7 +180,7 @@ def software_inventory(df: DataFrame) -> DataFrame:
         iso_ms(F.col("datetime")).alias("timestamp"), F.col("host_name").alias("hostname"),
     )
     seq, reg = F.col("seq"), F.col("reg")
-    merged = rows.groupBy("key").agg(
+    merged = rows.groupBy(*keys, "key").agg(
         F.min(F.when(reg, seq)).alias("first_reg"), F.min(F.when(~reg, seq)).alias("first_inv"),
         *[_merged(c) for c in (*SOFTWARE_FIELDS, "timestamp", "hostname", "install_date")],
     )
@@ -196,7 +198,7 @@ def software_inventory(df: DataFrame) -> DataFrame:
         return F.coalesce(parts["inv"], F.when(created_by_registry, kept), F.lit(default)).alias(name)
 
     names = [*SOFTWARE_FIELDS, "timestamp", "hostname", "install_date"]
-    return merged.select("key", *[value(n) for n in names], source.alias("data_source"))
+    return merged.select(*keys, "key", *[value(n) for n in names], source.alias("data_source"))
 
 
 def _merged(name: str) -> Column:

@@ -155,12 +155,12 @@ def listing_without_mft(spark, sf):
     return files.listing_where_no_mft(listing, df.where(F.col("l_suppkey") % 5 > 1)).select("id")
 
 
-@query("g18_timestomp", f"""{WITH_FILES} SELECT file_path, file_name, strftime(si, '{ISO}') AS si_created, strftime(fn, '{ISO}') AS fn_created FROM (SELECT file_path, file_name,
- max(datetime) FILTER (timestamp_desc = 'File Created') AS si, max(datetime) FILTER (timestamp_desc = 'File Created ($FN)') AS fn FROM ft GROUP BY 1, 2) WHERE fn > si""")
+@query("g18_timestomp", f"""{WITH_FILES} SELECT upload_id, file_path, file_name, strftime(si, '{ISO}') AS si_created, strftime(fn, '{ISO}') AS fn_created FROM (SELECT upload_id, file_path, file_name,
+ max(datetime) FILTER (timestamp_desc = 'File Created') AS si, max(datetime) FILTER (timestamp_desc = 'File Created ($FN)') AS fn FROM ft GROUP BY 1, 2, 3) WHERE fn > si""")
 def timestomp(spark, sf):
     df = file_timeline(spark, sf).select("*", F.col("attrs")["file_path"].alias("file_path"), F.col("attrs")["file_name"].alias("file_name"))
-    out = files.timestomp_candidates(df, ["file_path", "file_name"])
-    return out.select("file_path", "file_name", iso_ms(F.col("si_created")).alias("si_created"), iso_ms(F.col("fn_created")).alias("fn_created"))
+    out = files.timestomp_candidates(df, ["upload_id", "file_path", "file_name"])
+    return out.select("upload_id", "file_path", "file_name", iso_ms(F.col("si_created")).alias("si_created"), iso_ms(F.col("fn_created")).alias("fn_created"))
 
 
 # ---------------------------------------------------------- Windows event text

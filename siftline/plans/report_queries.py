@@ -99,8 +99,8 @@ def policy_totals(spark, sf):
     return inventory.policy_totals(inventory.policy_entries(_policy_events(spark, sf)))
 
 
-@query("f15_policies", f"""{_POLICY} SELECT policy, count(*) AS files, count(*) FILTER (contains(lower(file_name), 'user') OR contains(lower(file_name), 'machine')) AS key_files,
- strftime(min(datetime) FILTER (timestamp_desc LIKE '%Created%'), '{ISO}') AS created, strftime(max(datetime) FILTER (timestamp_desc LIKE '%Modified%' OR timestamp_desc LIKE '%Changed%'), '{ISO}') AS modified FROM pe GROUP BY 1""")
+@query("f15_policies", f"""{_POLICY} SELECT upload_id, policy, count(*) AS files, count(*) FILTER (contains(lower(file_name), 'user') OR contains(lower(file_name), 'machine')) AS key_files,
+ strftime(min(datetime) FILTER (timestamp_desc LIKE '%Created%'), '{ISO}') AS created, strftime(max(datetime) FILTER (timestamp_desc LIKE '%Modified%' OR timestamp_desc LIKE '%Changed%'), '{ISO}') AS modified FROM pe GROUP BY 1, 2""")
 def policies(spark, sf):
     return inventory.policies(inventory.policy_entries(_policy_events(spark, sf)))
 
@@ -120,8 +120,8 @@ def policy_tree(spark, sf):
 # ------------------------------------------------------------- collected files
 
 _COLLECTED = f"""{WITH_FILES}, c AS (SELECT *, file_path || file_name AS p, CASE WHEN timestamp_desc LIKE '%FN)' THEN NULL WHEN timestamp_desc LIKE '%Created%' THEN 'C' WHEN timestamp_desc LIKE '%Modified%' THEN 'M' WHEN timestamp_desc LIKE '%Accessed%' THEN 'A' ELSE 'H' END AS kind FROM ft WHERE file_content_status = 'Collected'),
-g AS (SELECT p AS file_path, arg_min(file_name, seq) AS file_name, arg_min(file_size, seq) AS file_size, arg_min(coalesce(md5, '~'), seq) AS md5, min(datetime) FILTER (kind = 'C') AS created, max(datetime) FILTER (kind = 'M') AS modified,
- max(datetime) FILTER (kind = 'A') AS accessed, max(datetime) FILTER (kind = 'H') AS changed FROM c GROUP BY 1)"""
+g AS (SELECT upload_id, p AS file_path, arg_min(file_name, seq) AS file_name, arg_min(file_size, seq) AS file_size, arg_min(coalesce(md5, '~'), seq) AS md5, min(datetime) FILTER (kind = 'C') AS created, max(datetime) FILTER (kind = 'M') AS modified,
+ max(datetime) FILTER (kind = 'A') AS accessed, max(datetime) FILTER (kind = 'H') AS changed FROM c GROUP BY 1, 2)"""
 
 
 def _collected(spark, sf):
@@ -131,9 +131,9 @@ def _collected(spark, sf):
     return inventory.collected_files(df.withColumn("attrs", whole))
 
 
-@query("f16_collected_files", f"""{_COLLECTED} SELECT file_path, file_name, file_size, nullif(md5, '~') AS md5, strftime(created, '{ISO}') AS date_created, strftime(modified, '{ISO}') AS date_modified, strftime(accessed, '{ISO}') AS date_accessed, strftime(changed, '{ISO}') AS date_changed FROM g""")
+@query("f16_collected_files", f"""{_COLLECTED} SELECT upload_id, file_path, file_name, file_size, nullif(md5, '~') AS md5, strftime(created, '{ISO}') AS date_created, strftime(modified, '{ISO}') AS date_modified, strftime(accessed, '{ISO}') AS date_accessed, strftime(changed, '{ISO}') AS date_changed FROM g""")
 def collected_files(spark, sf):
-    return _collected(spark, sf).select("file_path", "file_name", "file_size", "md5", "date_created", "date_modified", "date_accessed", "date_changed")
+    return _collected(spark, sf).select("upload_id", "file_path", "file_name", "file_size", "md5", "date_created", "date_modified", "date_accessed", "date_changed")
 
 
 @query("f16_collected_summary", f"{_COLLECTED} SELECT count(*) AS files, count(created) AS with_created, count(modified) AS with_modified, sum(CAST(file_size AS BIGINT))::BIGINT AS total_size, count(*) FILTER (md5 <> '~') AS with_hash FROM g")
@@ -143,13 +143,13 @@ def collected_summary(spark, sf):
 
 # -------------------------------------------------------------------- software
 
-_SOFTWARE = """WITH e AS (SELECT o_orderkey AS seq, o_custkey % 500 AS prog, o_orderkey % 3 > 0 AS reg, CASE WHEN o_custkey % 500 % 4 = 0 THEN 'P' || (o_custkey % 500) END AS code, 'App ' || (o_custkey % 500) AS name,
+_SOFTWARE = """WITH e AS (SELECT 'u' || (o_orderkey % 4) AS upload_id, o_orderkey AS seq, o_custkey % 500 AS prog, o_orderkey % 3 > 0 AS reg, CASE WHEN o_custkey % 500 % 4 = 0 THEN 'P' || (o_custkey % 500) END AS code, 'App ' || (o_custkey % 500) AS name,
  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'Pub' || (o_custkey % 500) END AS publisher0, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE '1.' || (o_orderkey % 10) END AS version, o_orderdate AS d FROM orders),
 k AS (SELECT *, CASE WHEN code IS NOT NULL THEN publisher0 ELSE 'Pub' || prog END AS publisher FROM e),
 kk AS (SELECT *, CASE WHEN code IS NOT NULL THEN 'msi:' || lower(code) ELSE 'name:' || lower(name) || '|publisher:' || lower(publisher) END AS key FROM k),
-g AS (SELECT key, min(seq) FILTER (reg) AS fr, min(seq) FILTER (NOT reg) AS fi, arg_max(publisher, seq) FILTER (NOT reg AND publisher IS NOT NULL) AS ip, arg_min(publisher, seq) FILTER (reg AND publisher IS NOT NULL) AS rp,
- arg_max(version, seq) FILTER (NOT reg AND version IS NOT NULL) AS iv, arg_min(coalesce(version, '~'), seq) FILTER (reg) AS rv, arg_max(d, seq) FILTER (NOT reg) AS idt, arg_min(d, seq) FILTER (reg) AS rdt FROM kk GROUP BY 1)"""
-_SOFT_OUT = """SELECT key, coalesce(ip, rp, '') AS publisher, coalesce(iv, CASE WHEN fi IS NULL OR coalesce(fr < fi, FALSE) THEN nullif(rv, '~') END, '') AS version,
+g AS (SELECT upload_id, key, min(seq) FILTER (reg) AS fr, min(seq) FILTER (NOT reg) AS fi, arg_max(publisher, seq) FILTER (NOT reg AND publisher IS NOT NULL) AS ip, arg_min(publisher, seq) FILTER (reg AND publisher IS NOT NULL) AS rp,
+ arg_max(version, seq) FILTER (NOT reg AND version IS NOT NULL) AS iv, arg_min(coalesce(version, '~'), seq) FILTER (reg) AS rv, arg_max(d, seq) FILTER (NOT reg) AS idt, arg_min(d, seq) FILTER (reg) AS rdt FROM kk GROUP BY 1, 2)"""
+_SOFT_OUT = """SELECT upload_id, key, coalesce(ip, rp, '') AS publisher, coalesce(iv, CASE WHEN fi IS NULL OR coalesce(fr < fi, FALSE) THEN nullif(rv, '~') END, '') AS version,
  CASE WHEN fi IS NULL THEN 'Registry' WHEN fr < fi THEN 'Both' ELSE 'Amcache' END AS data_source, strftime(coalesce(idt, rdt), '%Y-%m-%dT%H:%M:%S.%gZ') AS install_date FROM g"""
 
 
@@ -161,7 +161,7 @@ def _software(spark, sf):
     pub = F.concat(F.lit("Pub"), prog.cast("string"))
     publisher = F.when(code.isNull() | (key % 5 != 0), pub)
     df = o.select(
-        key.alias("seq"), F.col("o_orderdate").cast("timestamp").alias("datetime"), F.lit("host").alias("host_name"),
+        F.concat(F.lit("u"), (key % 4).cast("string")).alias("upload_id"), key.alias("seq"), F.col("o_orderdate").cast("timestamp").alias("datetime"), F.lit("host").alias("host_name"),
         F.when(reg, F.lit("registry_software")).otherwise(F.lit("installed_program")).alias("event_type"), F.lit("x").alias("data_type"),
         attribute_map({
             "msi_product_code": code, "software_name": F.when(reg, name), "program_name": F.when(~reg, name), "publisher": publisher,
@@ -173,7 +173,7 @@ def _software(spark, sf):
 
 @query("f17_software_inventory", f"{_SOFTWARE} {_SOFT_OUT}")
 def software_inventory(spark, sf):
-    return _software(spark, sf).select("key", "publisher", "version", "data_source", "install_date")
+    return _software(spark, sf).select("upload_id", "key", "publisher", "version", "data_source", "install_date")
 
 
 @query("f17_software_summary", f"""{_SOFTWARE}, o AS ({_SOFT_OUT}) SELECT data_source, count(*) AS programs, count(*) FILTER (version <> '') AS with_version, count(*) FILTER (install_date <> '') AS with_install_date, count(*) FILTER (publisher <> '') AS with_publisher, count(*) FILTER (key LIKE 'msi:%') AS with_product_code FROM o GROUP BY 1""")
