@@ -2,7 +2,7 @@
 
 A document's set are its distinct 5-word shingles (A-Z lower-cased; fewer words:
 the whole sequence). Equal sets are one node, named by their smallest key. Nodes
-get `HASHES` minimum hashes; each of `TREES` trees orders them by some of these.
+get `HASHES` minimum hashes; each of `trees_for` trees orders them by some of these.
 
 * Regions: nodes that share the first `DEPTH` values of a tree. Two sets at the
   threshold share a region in one tree or more but for 3 in 10 million cases.
@@ -11,8 +11,8 @@ get `HASHES` minimum hashes; each of `TREES` trees orders them by some of these.
   longest common prefix so meet first. Only if a region's nodes have not come
   together then, its parts are compared with each other, so no cut loses a pair.
 * Inside a part, nodes are compared by their hashes' low bytes, within the task.
-  Pairs that may reach the threshold (less than one in a million that do is below
-  `AGREEING`) are not emitted, only each node's head among those they tie it to.
+  Pairs that may reach the threshold (about one in a million that do is below
+  `agreeing`) are not emitted, only each node's head among those they tie it to.
 * Families, the components of these ties, are confirmed on full sets: a task gets
   a family's sets once and tests pairs that no chain of links has joined yet. A
   family beyond a task's size is cut into chunks, which are paired only where
@@ -38,15 +38,29 @@ from siftline.llm.common import arrow_map, written
 from siftline.llm.graph import components
 from siftline.llm.words import mixed, runs, shingles, words_of
 
-WORDS, HASHES, TREES, DEPTH, BELOW = 5, 128, 32, 6, 8
+WORDS, HASHES, MOST_TREES, DEPTH, BELOW = 5, 128, 128, 6, 8
 DENSE, CHUNK_NODES, CHUNK_SHINGLES = 512, 2048, 1 << 22
-#: Of HASHES low bytes, so many agree where sets reach 85 %, but for 1 in a million.
-AGREEING = 90
 
 _random = np.random.Generator(np.random.PCG64(8))
 _FACTOR = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _TERM = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-_PATHS = np.stack([_random.permutation(HASHES)[: DEPTH + BELOW] for _ in range(TREES)])
+_PATHS = np.stack([_random.permutation(HASHES)[: DEPTH + BELOW] for _ in range(MOST_TREES)])
+
+
+def trees_for(percent: int) -> int:
+    """So many trees that sets of that similarity all part in each of them in 3 of
+    10 million cases (32 for 85 %, 50 for 80 %)."""
+    n = int(np.ceil(np.log(3e-7) / np.log1p(-(percent / 100) ** DEPTH))) if percent < 100 else 1
+    if n > MOST_TREES:
+        raise ValueError("the similarity is too low for this forest")
+    return n
+
+
+def agreeing(percent: int) -> int:
+    """Of HASHES low bytes, at least so many agree for sets of that similarity, but
+    for about 1 case in a million (90 for 85 %, 81 for 80 %)."""
+    p = percent / 100
+    return int(HASHES * p - 4.65 * np.sqrt(HASHES * p * (1 - p)))
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -64,10 +78,10 @@ def _signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketches(docs: DataFrame, kind: str) -> DataFrame:
+def _sketches(docs: DataFrame, kind: str, n_trees: int) -> DataFrame:
     """key, n_shingles, digest of the set, low bytes of the signature, and per
     tree the region and the place in it."""
-    trees = np.arange(TREES, dtype=np.uint64)
+    trees, paths = np.arange(n_trees, dtype=np.uint64), _PATHS[:n_trees]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,8 +95,8 @@ def _sketches(docs: DataFrame, kind: str) -> DataFrame:
                 values = _signature(s)
                 key = trees
                 for i in range(DEPTH):
-                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[_PATHS[:, i]])
-                place = values.astype(np.uint8)[_PATHS[:, DEPTH:]].copy().view(">u8")[:, 0].astype(np.uint64)
+                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[paths[:, i]])
+                place = values.astype(np.uint8)[paths[:, DEPTH:]].copy().view(">u8")[:, 0].astype(np.uint64)
                 low.append(values.astype(np.uint8).tobytes())
                 regions.append(key.view(np.int64).tolist())
                 places.append(place.view(np.int64).tolist())
@@ -115,7 +129,7 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tie_parts(parts: DataFrame, low: DataFrame, kind: str) -> DataFrame:
+def _tie_parts(parts: DataFrame, low: DataFrame, kind: str, least: int) -> DataFrame:
     """Ties (a, b) inside every part (part, nodes): a node and the first node of
     those that may be similar, over chains."""
 
@@ -126,7 +140,7 @@ def _tie_parts(parts: DataFrame, low: DataFrame, kind: str) -> DataFrame:
                 nodes.sort(key=lambda x: x["node"])
                 names = [x["node"] for x in nodes]
                 bytes_ = np.frombuffer(b"".join(x["low"] for x in nodes), np.uint8).reshape(-1, HASHES)
-                for i, h in enumerate(_heads(_agreement(bytes_, bytes_) >= AGREEING)):
+                for i, h in enumerate(_heads(_agreement(bytes_, bytes_) >= least)):
                     if h != i:
                         a.append(names[h]), b.append(names[i])
             yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.types[0].value_type.field("node").type),
@@ -140,6 +154,8 @@ def _tie_parts(parts: DataFrame, low: DataFrame, kind: str) -> DataFrame:
 def _families_linked(grouped: DataFrame, kind: str, percent: int) -> DataFrame:
     """Links (a, b) inside every group (members: node, low, shingles)."""
 
+    least = agreeing(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
@@ -153,7 +169,7 @@ def _families_linked(grouped: DataFrame, kind: str, percent: int) -> DataFrame:
                 head = np.arange(len(names))
                 for at in range(0, len(names), 256):
                     near = _agreement(bytes_[at: at + 256], bytes_)
-                    x, y = np.nonzero(near >= AGREEING)
+                    x, y = np.nonzero(near >= least)
                     later = y > x + at
                     x, y = x[later], y[later]
                     for i in np.argsort(-near[x, y], kind="stable").tolist():
@@ -180,7 +196,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     (the key is the component's, or there is no key)."""
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = picked.schema["key"].dataType.simpleString()
-    sketches = written(_sketches(picked, kind), "sketches")
+    sketches = written(_sketches(picked, kind, trees_for(percent)), "sketches")
     with_set = sketches.where("key is not null and n_shingles > 0")
     nodes = written(with_set.groupBy("digest").agg(
         F.min("key").alias("node"), F.max("low").alias("low"), F.max("n_shingles").alias("n"),
@@ -200,7 +216,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     low = nodes.select("node", "low")
     # The same nodes meet in many trees.
     parts = whole.where(F.size("nodes") > 1).select(F.xxhash64("nodes").alias("part"), "nodes").dropDuplicates(["part"])
-    ties = _tie_parts(parts, low, kind)
+    ties = _tie_parts(parts, low, kind, agreeing(percent))
     ties = written(ties, "ties")
     family = components(ties)
     crossed = whole.where(F.col("size") > DENSE)
@@ -211,7 +227,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         other = apart.select("region", F.col("p").alias("q"), F.col("nodes").alias("more"))
         pairs = apart.join(other, "region").where("p < q").select(
             F.xxhash64("region", "p", "q").alias("part"), F.array_union("nodes", "more").alias("nodes"))
-        ties = written(ties.unionByName(_tie_parts(pairs, low, kind)), "ties")
+        ties = written(ties.unionByName(_tie_parts(pairs, low, kind, agreeing(percent))), "ties")
         family = components(ties)
 
     # Families in chunks of what a task can hold.
