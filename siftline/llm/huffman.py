@@ -57,17 +57,28 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bits, and the bit offset of every STRIDE-th id."""
+        (bits,), (offsets,) = self.encode_all(ids, np.array([len(ids)]))
+        return bits, offsets
+
+    def encode_all(self, ids: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[np.ndarray]]:
+        """The same for many sequences, whose ids stand one behind the other."""
         bits = self.lengths[ids].astype(np.int64)
-        ends = np.cumsum(bits)
-        starts = ends - bits
-        total = int(ends[-1]) if len(ids) else 0
+        sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(bits)])
+        last = np.cumsum(counts)
+        first = last - counts
+        size = (sums[last] - sums[first] + 7) // 8
+        at = np.cumsum(size) - size  # every sequence begins at a whole byte
+        starts = sums[:-1] + np.repeat(at * 8 - sums[first], counts)
         # A code lies in one 32-bit word or ends in the next; words add up without carry.
         word, shift = starts >> 5, 64 - (starts & 31) - bits
         value = self.codes[ids].astype(np.uint64) << shift.astype(np.uint64)
-        n = (total + 31) // 32 + 1
+        n = (int(size.sum()) + 3) // 4 + 1
         words = np.bincount(word, weights=(value >> np.uint64(32)).astype(np.float64), minlength=n)
         words[1:] += np.bincount(word, weights=(value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n)[: n - 1]
-        return words.astype(np.uint32).astype(">u4").tobytes()[: (total + 7) // 8], starts[::STRIDE].astype(np.uint32)
+        data = words.astype(np.uint32).astype(">u4").tobytes()
+        own = (starts - np.repeat(at * 8, counts)).astype(np.uint32)
+        return ([data[a: a + s] for a, s in zip(at.tolist(), size.tolist(), strict=True)],
+                [own[a:b:STRIDE] for a, b in zip(first.tolist(), last.tolist(), strict=True)])
 
     def decode(self, data: bytes, offsets: np.ndarray, n: int) -> np.ndarray:
         """The `n` ids; all stretches between checkpoints advance side by side."""

@@ -22,9 +22,12 @@ across white space), so a stretch is given to the library once per worker.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,44 +37,74 @@ from pyspark.sql import functions as F
 from siftline.llm import vocabulary
 from siftline.llm.common import Memo, arrow_map
 from siftline.llm.huffman import STRIDE, Code, code_lengths
+from siftline.llm.words import runs, words_of
 from siftline.session import shared_folder
 
 BLOCK_IDS = 1 << 16
-_MEMO = 400_000
-#: Latin words with marks behind them: the two are always split.
-_WORD_AND_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]+)")
+_MEMO, _RUN = 800_000, 4 << 20
+#: A Latin word (not normalized further, one match of the splitting pattern) and
+#: the marks behind it (another).
+_WORD_AND_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 @lru_cache(maxsize=1)
 def _stretches(file: str) -> Memo:
     t = vocabulary.tokenizer(file)
     specials = tuple(s.content for s in t.get_added_tokens_decoder().values())
+    #: What the pre-tokenizer makes of a letter's bytes.
+    as_bytes = {i: t.pre_tokenizer.pre_tokenize_str(chr(i))[0][0] for i in (*range(97, 123), *range(0xDF, 0x100)) if chr(i).isalpha()}
+
+    def pack(ids: list[int]) -> bytes:
+        return array("H", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, "<u2").tobytes()
+
+    # Straight to the library's merges: its other steps are known for such words.
+    latin = Memo(lambda word: pack([x.id for x in t.model.tokenize(word if word.isascii() else word.translate(as_bytes))]), _MEMO // 2)
 
     def make(stretch: bytes) -> bytes:
         text = stretch.decode()
         parts = _WORD_AND_MARKS.fullmatch(text)
         if parts and not any(s in text for s in specials):
-            return memo[parts[1].lower().encode()] + memo[parts[2].encode()]
-        return np.asarray(t.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+            word, marks = parts.groups()
+            return latin[word.lower()] + memo[marks.encode()] if marks else latin[word.lower()]
+        return pack(t.encode(text, add_special_tokens=False).ids)
 
     memo = Memo(make, _MEMO)
     return memo
 
 
+def _batch_ids(memo: Memo, texts: list[str | None]) -> list[bytes]:
+    """Every text's ids. The stretches of many texts are told apart by their
+    hashes, and each different one is looked up once for all of them."""
+    out = []
+    for _, some in runs([(t or "").encode() for t in texts], _RUN):
+        w = words_of(some)
+        _, sample, which = np.unique(w.hashes, return_index=True, return_inverse=True)
+        made = [memo[w.data[a:b]] for a, b in zip(w.starts[sample].tolist(), w.ends[sample].tolist(), strict=True)]
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 2
+        ids = np.frombuffer(b"".join(made), "<u2")
+        n = sizes[which]
+        ends = np.cumsum(n)
+        place = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        bounds = np.concatenate([[0], ends])[w.first] * 2
+        data = ids[place].tobytes()
+        out += [data[a:b] for a, b in pairwise(bounds.tolist())]
+    return out
+
+
 def _encoded(docs: DataFrame, key: str, text: str, file: str, end_id: int) -> DataFrame:
     """key, hash of the text, n, ids (little-endian, two bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, end = _stretches(file), int(end_id).to_bytes(2, "little")
         for batch in batches:
-            made = [b"".join(map(memo.__getitem__, (t or "").encode().split())) + end for t in batch.column(2).to_pylist()]
+            made = [m + end for m in _batch_ids(memo, batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array([len(m) // 2 for m in made], pa.int64()), pa.array(made, pa.binary())],
                 ["key", "hash", "n", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
     picked = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
-    return arrow_map(picked, run, f"key {kind}, hash long, n long, ids binary")
+    return arrow_map(picked, run, f"key {kind}, hash long, n long, ids binary", rows=2048)
 
 
 def _global_counts(ids: DataFrame, size: int) -> np.ndarray:
@@ -133,10 +166,11 @@ def write(
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [code.value.encode(np.frombuffer(b, "<u2")) for b in batch.column(3).to_pylist()]
+            data, offsets = code.value.encode_all(
+                np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2"), batch.column(2).to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part_of(*batch.columns[:2]), pa.int32()), *batch.columns[:3], pa.array([m[0] for m in made], pa.binary()),
-                 pa.array([m[1].tobytes() for m in made], pa.binary())],
+                [pa.array(part_of(*batch.columns[:2]), pa.int32()), *batch.columns[:3], pa.array(data, pa.binary()),
+                 pa.array([o.tobytes() for o in offsets], pa.binary())],
                 ["part", "key", "hash", "n", "bits", "offsets"])
 
     kind = ids.schema["key"].dataType.simpleString()
