@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import arrow_map, written
 
-FIT_ROWS, FIT_BYTES, MAX_LISTS, PER_LIST, BLOCK = 65_536, 1 << 26, 16_384, 128, 512
+FIT_ROWS, FIT_BYTES, MAX_LISTS, PER_LIST, BLOCK = 65_536, 1 << 26, 16_384, 512, 512
 #: A list is looked at up to this ratio of its centroid's distance to the nearest
 #: one's; a vector stands in lists up to the other ratio, `COPIES` at most.
-SEARCH_RATIO, BORDER_RATIO, COPIES = 1.12, 1.05, 4
-_DEGREE, _ENTRIES = 24, 16
+SEARCH_RATIO, BORDER_RATIO, COPIES = 1.1, 1.04, 4
+_DEGREE, _ENTRIES, _STEPS = 24, 16, 8
+_HELD = 1 << 18
 
 
 def _balanced(x: np.ndarray, n: int, random: np.random.Generator) -> np.ndarray:
@@ -100,9 +101,9 @@ class CentroidGraph:
 
         look(np.unique(self.entries))
         steps = 0
-        while heap:
+        while heap and seen.sum() < len(seen):
             d, i = heapq.heappop(heap)
-            if steps >= 32 and d > max(ratio * 1.05, 1.15) * best:
+            if steps >= _STEPS and d > ratio * best:
                 break
             steps += 1
             new = self.links[i][~seen[self.links[i]]]
@@ -188,30 +189,61 @@ def nearest(
             F.collect_list(F.struct("name", "v", "ids")).alias(name)).select("list", name)
 
     plain = entries.select(F.col("entry").alias("name"), "v", "ids")
-    held = blocks(arrow_map(plain, lists(BORDER_RATIO, COPIES, True), "name long, v binary, ids array<long>, list long"), "held")
+    filled = blocks(arrow_map(plain, lists(BORDER_RATIO, COPIES, True), "name long, v binary, ids array<long>, list long"), "held")
     # Equal queries are searched once.
     questions = asked.select("v").distinct().select(F.xxhash64("v").alias("name"), "v", F.array().cast("array<long>").alias("ids"))
     asking = blocks(arrow_map(questions, lists(search_ratio, None, False), "name long, v binary, ids array<long>, list long"), "asking")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each pair of blocks every question's k + 1 best entries, with their ids."""
+        """Every question's k + 1 best entries of a task's block pairs, with their ids.
+        What is held is cut back to that whenever it has grown to _HELD rows."""
+        names, vectors_, ids_of = {}, [], {}
+        held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+
+        def cut_back() -> list[np.ndarray]:
+            q, s, e = held
+            order = np.lexsort((e, -s, q))
+            q, s, e = q[order], s[order], e[order]
+            new = np.concatenate([[True], (q[1:] != q[:-1]) | (e[1:] != e[:-1])]) if len(q) else np.zeros(0, bool)
+            q, s, e = q[new], s[new], e[new]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            return [x[place <= k] for x in (q, s, e)]
+
+        def out() -> pa.RecordBatch:
+            q, s, e = cut_back()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([vectors_[i] for i in q.tolist()], pa.binary()), pa.array([ids_of[i] for i in e.tolist()], pa.list_(pa.int64())),
+                 pa.array(s, pa.float64())], ["v", "ids", "score"])
+
         for b in batches:
-            out_v, out_ids, out_score = [], [], []
             for q, e in zip(b.column(0), b.column(1), strict=True):
                 q, e = q.values, e.values
-                asks, holds = _matrix(q.field("v"), dim), _matrix(e.field("v"), dim)
-                scores = _products(asks, holds)
-                best = min(k + 1, len(holds))
-                ids, first = e.field("ids").to_pylist(), np.asarray(e.field("name"))
-                vs = q.field("v").to_pylist()
-                for v, row in zip(vs, scores, strict=True):
-                    for j in np.lexsort((first, -row))[:best].tolist():
-                        out_v.append(v), out_ids.append(ids[j]), out_score.append(row[j])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_v, pa.binary()), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_score, pa.float64())],
-                ["v", "ids", "score"])
-
-    found = arrow_map(asking.join(held, "list").select("asking", "held"), multiply, "v binary, ids array<long>, score double", rows=4)
+                scores = _products(_matrix(q.field("v"), dim), _matrix(e.field("v"), dim))
+                first = np.asarray(e.field("name"))
+                asks = []
+                for v in q.field("v").to_pylist():
+                    if v not in names:
+                        names[v] = len(vectors_)
+                        vectors_.append(v)
+                    asks.append(names[v])
+                if scores.shape[1] > k + 1:
+                    # Ties at the border stay, for the smaller id to win.
+                    least = -np.partition(-scores, k, axis=1)[:, k]
+                    row, col = np.nonzero(scores >= least[:, None])
+                else:
+                    row, col = (x.ravel() for x in np.indices(scores.shape))
+                ids_of.update(zip(first.tolist(), e.field("ids").to_pylist(), strict=True))
+                held = [np.concatenate([h, x]) for h, x in zip(held, (np.asarray(asks)[row], scores[row, col], first[col]), strict=True)]
+                if len(held[0]) > _HELD:
+                    held = cut_back()
+                    ids_of = {i: ids_of[i] for i in set(held[2].tolist())}
+                    if len(held[0]) > _HELD // 2:
+                        yield out()
+                        names, vectors_, ids_of = {}, [], {}
+                        held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+        yield out()
+
+    found = arrow_map(asking.join(filled, "list").select("asking", "held"), multiply, "v binary, ids array<long>, score double", rows=4)
     # An entry found in several lists counts once; k + 1 entries hold at least k other ids.
     best = found.groupBy("v").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("minus"), "ids"))), 1, k + 1).alias("found"))
     answers = best.join(asked, "v").select("id", F.slice(F.array_sort(F.flatten(F.transform("found", lambda f: F.transform(
