@@ -31,7 +31,7 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), toxicity.fold(F.col("doc_id")) == 1
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"), "doc_id", "text", "toxic")
+    model = toxicity.fit(docs, labels)
     return toxicity.score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 

@@ -25,7 +25,7 @@ Null and empty texts have the lowest score the curve gives.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import Memo, arrow_map
 
-DECAY, SPAN, LANDMARKS, ROUNDS = 0.6, 7, 300, 3
-FIT_DOCS, FIT_BYTES = 2000, 24 << 20
+DECAY, SPAN, LANDMARKS, ROUNDS = 0.6, 7, 200, 3
+FIT_DOCS, FIT_BYTES = 2000, 12 << 20
+_GRAM_BUCKETS = 1 << 21
 _BUCKETS, _MEMO = 1 << 20, 1 << 19
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s+|$)")
 _MARKS = re.compile(r"[^\w\s]+|_+")
@@ -94,14 +95,17 @@ def _vectors(some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0) -> np.ndarray:
-    """Linear machine with squared hinge loss, by Newton steps; the last entry is
-    the (unpenalised) threshold."""
-    x = np.column_stack([x, np.ones(len(x))])
+    """Linear machine with squared hinge loss, by Newton steps; the last column is
+    the threshold and not penalised."""
     ridge, w = np.append(np.ones(x.shape[1] - 1), 1e-6), np.zeros(x.shape[1])
     for _ in range(30):
-        on = y * (x @ w) < 1
-        c = 2 * cost * weight[on]
-        new = np.linalg.solve(np.diag(ridge) + (x[on] * c[:, None]).T @ x[on], (x[on] * c[:, None]).T @ y[on])
+        left, right = np.diag(ridge), np.zeros(x.shape[1])
+        for at in range(0, len(x), 2048):
+            part, target = x[at: at + 2048].astype(np.float64), y[at: at + 2048]
+            c = 2 * cost * weight[at: at + 2048] * (target * (part @ w) < 1)
+            left = left + (part * c[:, None]).T @ part
+            right += part.T @ (c * target)
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -127,79 +131,89 @@ class Model:
         self.prior = sum(toxic) / max(1, len(toxic)) if share is None else share
         self.curve = None
         if 0 < sum(toxic) < len(toxic):
-            self._fit([[words(s) for s in sentences(t)] for t in texts], np.array(toxic))
-
-    def _fit(self, docs: list[list[list[str]]], toxic: np.ndarray) -> None:
-        seen = [set(w for s in d for w in s) for d in docs]
-        n = np.bincount(toxic, minlength=2)
-        in_docs: tuple[Counter, Counter] = (Counter(), Counter())
-        grams: tuple[Counter, Counter] = (Counter(), Counter())
-        for own, label in zip(seen, toxic.tolist(), strict=True):
-            in_docs[label].update(own)
-            grams[label].update(set(g for w in own for g in _grams(w)))
-        # How surely a sequence is more frequent in toxic documents.
-        marks = set()
-        for g, a in grams[1].items():
-            b = grams[0][g]
-            p, q, both = a / n[1], b / n[0], (a + b) / (n[0] + n[1])
-            if a >= 4 and p > 25 * q and p - q > 6 * np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1])):
-                marks.add(g)
-        bad = sorted((w for w in in_docs[1] if in_docs[1][w] / n[1] > 10 * in_docs[0][w] / n[0] and any(g in marks for g in _grams(w))),
-                     key=lambda w: (-in_docs[1][w], w))[:4000]
+            self._fit(texts, np.array(toxic))
+
+    def _fit(self, texts: list[str], toxic: np.ndarray) -> None:
+        ids: dict[str, int] = {}
+        docs = [np.array([ids.setdefault(w, len(ids)) for s in sentences(t) for w in words(s)], np.int32) for t in texts]
+        every, n = list(ids), np.bincount(toxic, minlength=2)
+        grams = [_grams(w) for w in every]
+        in_docs, gram_docs = np.zeros((2, len(every)), np.int32), np.zeros((2, _GRAM_BUCKETS), np.int32)
+        for own, label in zip(docs, toxic.tolist(), strict=True):
+            own = np.unique(own)
+            in_docs[label, own] += 1
+            if len(own):
+                gram_docs[label, np.unique(np.concatenate([grams[i] for i in own]))] += 1
+        # Sequences that are surely more frequent in toxic documents.
+        p, q, both = gram_docs[1] / n[1], gram_docs[0] / n[0], gram_docs.sum(axis=0) / n.sum()
+        marks = (gram_docs[1] >= 4) & (p > 25 * q) & (p - q > 6 * np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1])))
+        suspect = np.flatnonzero(in_docs[1] / n[1] > 10 * in_docs[0] / n[0])
+        bad = [int(i) for i in suspect if marks[grams[i]].any()]
+        bad = sorted(bad, key=lambda i: (-in_docs[1, i], every[i]))[:3000]
+        del grams, gram_docs, marks, p, q, both
         if not bad:
             return
-        random, chosen = np.random.default_rng(7), set(bad)
-        clean = sorted((w for w in in_docs[0] if w not in chosen), key=lambda w: (-in_docs[0][w], w))
-        often, rest = clean[:4000], clean[4000:]
-        start = often + [rest[i] for i in random.permutation(len(rest))[:8000]]
-        hard: list[str] = []
+        chosen, random = set(bad), np.random.default_rng(7)
+        clean = sorted((i for i in np.flatnonzero(in_docs[0]).tolist() if i not in chosen), key=lambda i: (-in_docs[0, i], every[i]))
+        often, rest = clean[:3000], clean[3000:]
+        start = [every[i] for i in often] + [every[rest[i]] for i in random.permutation(len(rest))[:7000]]
+        clean, hard, known = [every[i] for i in clean], [], set(start)
         for _ in range(ROUNDS):
-            self._train(bad, [in_docs[1][w] for w in bad], start + hard, hard)
+            self._train([every[i] for i in bad], in_docs[1, bad], start + hard, hard)
             # The clean words that look worst join the examples.
             scores = self.score_words(clean)
-            known = set(start) | set(hard)
-            hard += [clean[i] for i in np.argsort(-scores, kind="stable")[:3000] if clean[i] not in known and scores[i] > -0.7]
-        memo = dict(zip(all_ := sorted(set().union(*seen)), self.score_words(all_).tolist(), strict=True))
-        x = np.array([self.document(memo[w] for s in d for w in s) for d in docs])
-        own = toxic.mean()
+            new = [clean[i] for i in np.argsort(-scores, kind="stable")[:2000] if scores[i] > -0.7 and clean[i] not in known]
+            hard, known = hard + new, known | set(new)
+        scores = self.score_words(every)
+        x, own = np.array([self.document(scores[d]) for d in docs]), toxic.mean()
         self.curve = _logistic(x, toxic, np.where(toxic == 1, self.prior / own, (1 - self.prior) / (1 - own)))
 
-    def _train(self, bad: list[str], times: list[int], clean: list[str], hard: list[str]) -> None:
+    def _train(self, bad: list[str], times: np.ndarray, clean: list[str], hard: list[str]) -> None:
         every, random = bad + clean, np.random.default_rng(9)
         y = np.append(np.ones(len(bad)), -np.ones(len(clean)))
         weight = np.append(np.sqrt(times) / np.sqrt(times).sum(), np.full(len(clean), 2 / len(clean))) * 4000
-        of_clean = hard[: LANDMARKS // 4]
-        marks = bad[: LANDMARKS // 2] + of_clean
+        marks = bad[: LANDMARKS // 2] + hard[: LANDMARKS // 4]
         marks += [clean[i] for i in random.permutation(len(clean))[: LANDMARKS - len(marks)]]
         rows, buckets, values = _vectors(marks)
         used = np.unique(buckets)
-        place = np.full(_BUCKETS, -1)
+        place = np.full(_BUCKETS, -1, np.int32)
         place[used] = np.arange(len(used))
-        z = np.bincount(rows * len(used) + place[buckets], values, len(marks) * len(used)).reshape(len(marks), -1)
-        to_marks = np.zeros((len(every), len(marks)))
-        for at in range(0, len(every), 128):
-            part = every[at: at + 128]
-            rows, buckets, values = _vectors(part)
-            p, on = place[buckets], place[buckets] >= 0
-            to_marks[at: at + 128] = np.bincount(
-                rows[on] * len(used) + p[on], values[on], len(part) * len(used)).reshape(len(part), -1).astype(np.float32) @ z.T.astype(np.float32)
-        e, v = np.linalg.eigh(z @ z.T)
-        root = v @ np.diag(1 / np.sqrt(np.maximum(e, 1e-4))) @ v.T
-        w = _svm(to_marks @ root, y, weight)
+
+        def dense(rows: np.ndarray, buckets: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+            on = place[buckets] >= 0
+            at = rows[on] * len(used) + place[buckets[on]]
+            return np.bincount(at, values[on], n * len(used)).astype(np.float32).reshape(n, -1)
+
+        z = np.concatenate([dense(*_vectors(marks[i: i + 32]), len(marks[i: i + 32])) for i in range(0, len(marks), 32)])
+        e, v = np.linalg.eigh((z @ z.T).astype(np.float64))
+        root = (v @ np.diag(1 / np.sqrt(np.maximum(e, 1e-4))) @ v.T).astype(np.float32)
+        x = np.zeros((len(every), len(marks) + 1), np.float32)
+        x[:, -1] = 1
+        across = np.ascontiguousarray(z.T)
+        for at in range(0, len(every), 64):
+            rows, buckets, values = _vectors(every[at: at + 64])
+            on = np.flatnonzero(place[buckets] >= 0)
+            on = on[np.argsort(rows[on], kind="stable")]
+            if len(on):
+                word, first = np.unique(rows[on], return_index=True)
+                held = across[place[buckets[on]]] * values[on, None].astype(np.float32)
+                x[at + word, :-1] = np.add.reduceat(held, first, axis=0)
+        x[:, :-1] = x[:, :-1] @ root
+        w = _svm(x, y, weight)
         self.weights = np.zeros(_BUCKETS, np.float32)
-        self.weights[used] = z.T @ (root @ w[:-1])
+        self.weights[used] = z.T @ (root @ w[:-1].astype(np.float32))
         self.border = float(w[-1])
 
     def score_words(self, some: list[str]) -> np.ndarray:
         out = np.zeros(len(some))
-        for at in range(0, len(some), 4096):
-            part = some[at: at + 4096]
+        for at in range(0, len(some), 2048):
+            part = some[at: at + 2048]
             total = None
             for h, fits, weight in _features(part):
                 found = self.weights[h] * (fits * np.float32(weight))
                 total = found if total is None else total + found
             sums = np.bincount(_of_word(part)[: len(total)], total, len(part))
-            out[at: at + 4096] = sums / _sizes(part) + self.border
+            out[at: at + 2048] = sums / _sizes(part) + self.border
         return out
 
     @staticmethod
@@ -215,27 +229,37 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
-def _grams(word: str) -> set[str]:
-    """Sequences of 4 to 8 letters, with the start of the word as one."""
-    w = "\x02" + word
-    return {w[i: i + k] for k in (4, 5, 6, 8) for i in range(len(w) - k + 1)}
-
-
-def fit(labelled: DataFrame, key: str, text: str, label: str, most: int = FIT_DOCS, most_bytes: int = FIT_BYTES) -> Model:
-    """A model of labelled rows (label 0 or 1; others take no part)."""
-    texts, labels = [], []
-    share = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    picked = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(
-        F.col(label).cast("int").alias("label"), F.xxhash64(F.lit("fit"), F.col(key)).alias("h"), F.col(key).alias("k"),
-        F.octet_length(text).alias("n"), F.col(text).alias("t"))
-    for value in (0, 1):
-        total = 0
-        for r in picked.where(F.col("label") == value).orderBy("h", "k").limit(most).collect():
-            total += r["n"]
-            if total > most_bytes // 2:
-                break
-            texts.append(r["t"]), labels.append(value)
-    return Model(texts, labels, share or 0.0)
+def _grams(word: str) -> np.ndarray:
+    """Buckets of the sequences of 4, 5, 6 and 8 letters; the start counts as one."""
+    w = ("\x02" + word).encode()
+    return np.array([zlib.crc32(w[i: i + k]) % _GRAM_BUCKETS for k in (4, 5, 6, 8) for i in range(len(w) - k + 1)], np.int32)
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
+        most: int = FIT_DOCS, most_bytes: int = FIT_BYTES) -> Model:
+    """A model of the texts that `labels` (key, label 0 or 1; other labels take no
+    part) names. The sample is chosen among the labels, so only its own texts are
+    moved: a broadcast of at most 2 * `most` keys picks them. A key that `docs` holds
+    several times counts with its smallest text."""
+    spark = docs.sparkSession
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
+        F.col(key).alias("k"), F.col(label).cast("int").alias("label"), F.xxhash64(F.lit("fit"), F.col(key)).alias("h"))
+    share = known.agg(F.avg("label")).first()[0]
+    chosen = [r for v in (0, 1) for r in known.where(F.col("label") == v).orderBy("h", "k").limit(most).collect()]
+    own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+
+    def of(rows: list) -> DataFrame:
+        keys = spark.createDataFrame([(r["k"],) for r in rows], known.select("k").schema).distinct()
+        return own.join(F.broadcast(keys), "k").groupBy("k")
+
+    size = {r["k"]: r["n"] for r in of(chosen).agg(F.min(F.octet_length("t")).alias("n")).collect()}
+    taken, room = [], {0: most_bytes // 2, 1: most_bytes // 2}
+    for r in chosen:
+        room[r["label"]] -= size.get(r["k"], 0)
+        if r["k"] in size and room[r["label"]] >= 0:
+            taken.append(r)
+    found = {r["k"]: r["t"] for r in of(taken).agg(F.min_by("t", F.struct(F.octet_length("t"), "t")).alias("t")).collect()}
+    return Model([found[r["k"]] for r in taken], [r["label"] for r in taken], share or 0.0)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:

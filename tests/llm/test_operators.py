@@ -275,7 +275,7 @@ def test_toxicity(spark, odd):
     scores = toxicity.score(df, model).collect()
     assert len(scores) == len(rows) and all(0 <= r["score"] <= 1 for r in scores)
     assert toxicity.words("Such an i-d.i_o*t and s c u m!") == ["such", "an", "idiot", "and", "scum"]
-    empty = toxicity.fit(df.where("false").withColumn("toxic", F.lit(1)), "doc_id", "text", "toxic")
+    empty = toxicity.fit(df, df.where("false").withColumn("toxic", F.lit(1)))
     assert {r["score"] for r in toxicity.score(df, empty).collect()} == {0.0}
 
 
