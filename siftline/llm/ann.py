@@ -40,7 +40,8 @@ FIT_ROWS, FIT_BYTES, MAX_LISTS, PER_LIST, BLOCK = 65_536, 1 << 26, 16_384, 512,
 #: one's; a vector stands in lists up to the other ratio, `COPIES` at most.
 SEARCH_RATIO, BORDER_RATIO, COPIES = 1.1, 1.04, 4
 _DEGREE, _ENTRIES, _STEPS = 24, 16, 8
-_HELD = 1 << 18
+#: Rows a task holds, and candidates beyond k + 1 that near-ties may need.
+_HELD, _SPARE = 1 << 18, 4
 
 
 def _balanced(x: np.ndarray, n: int, random: np.random.Generator) -> np.ndarray:
@@ -202,23 +203,28 @@ def nearest(
 
         def cut_back() -> list[np.ndarray]:
             q, s, e = held
+            _, once = np.unique(np.column_stack([q, e]), axis=0, return_index=True)
+            q, s, e = q[once], s[once], e[once]
             order = np.lexsort((e, -s, q))
             q, s, e = q[order], s[order], e[order]
-            new = np.concatenate([[True], (q[1:] != q[:-1]) | (e[1:] != e[:-1])]) if len(q) else np.zeros(0, bool)
-            q, s, e = q[new], s[new], e[new]
             place = np.arange(len(q)) - np.searchsorted(q, q)
-            return [x[place <= k] for x in (q, s, e)]
+            return [x[place <= k + _SPARE] for x in (q, s, e)]
 
         def out() -> pa.RecordBatch:
             q, s, e = cut_back()
+            # Scores from the vectors in one order of summing: the same in every task.
+            for at in range(0, len(q), 8192):
+                a = np.frombuffer(b"".join(vectors_[i] for i in q[at: at + 8192].tolist()), np.float64).reshape(-1, dim)
+                b = np.frombuffer(b"".join(ids_of[i][1] for i in e[at: at + 8192].tolist()), np.float64).reshape(-1, dim)
+                s[at: at + 8192] = (a * b).sum(axis=1)
             return pa.RecordBatch.from_arrays(
-                [pa.array([vectors_[i] for i in q.tolist()], pa.binary()), pa.array([ids_of[i] for i in e.tolist()], pa.list_(pa.int64())),
+                [pa.array([vectors_[i] for i in q.tolist()], pa.binary()), pa.array([ids_of[i][0] for i in e.tolist()], pa.list_(pa.int64())),
                  pa.array(s, pa.float64())], ["v", "ids", "score"])
 
         for b in batches:
             for q, e in zip(b.column(0), b.column(1), strict=True):
                 q, e = q.values, e.values
-                scores = _products(_matrix(q.field("v"), dim), _matrix(e.field("v"), dim))
+                scores = _matrix(q.field("v"), dim) @ _matrix(e.field("v"), dim).T
                 first = np.asarray(e.field("name"))
                 asks = []
                 for v in q.field("v").to_pylist():
@@ -228,11 +234,15 @@ def nearest(
                     asks.append(names[v])
                 if scores.shape[1] > k + 1:
                     # Ties at the border stay, for the smaller id to win.
-                    least = -np.partition(-scores, k, axis=1)[:, k]
-                    row, col = np.nonzero(scores >= least[:, None])
+                    place = scores.shape[1] - k - 1
+                    least = np.partition(scores, place, axis=1)[:, place]
+                    row, col = np.nonzero(scores >= least[:, None] - 1e-12 * np.abs(least[:, None]))
                 else:
                     row, col = (x.ravel() for x in np.indices(scores.shape))
-                ids_of.update(zip(first.tolist(), e.field("ids").to_pylist(), strict=True))
+                used = np.unique(col)
+                some = pa.array(used)
+                ids_of.update(zip(first[used].tolist(), zip(
+                    e.field("ids").take(some).to_pylist(), e.field("v").take(some).to_pylist(), strict=True), strict=True))
                 held = [np.concatenate([h, x]) for h, x in zip(held, (np.asarray(asks)[row], scores[row, col], first[col]), strict=True)]
                 if len(held[0]) > _HELD:
                     held = cut_back()
@@ -251,12 +261,3 @@ def nearest(
     return answers.select(F.col("id").alias("query_id"), F.posexplode("top").alias("place", "hit")).select(
         "query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"),
         (-F.col("hit.minus")).alias("score"))
-
-
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in the order of components, so
-    that a pair's score is the same in every block."""
-    out = np.zeros((len(a), len(b)))
-    for i in range(a.shape[1]):
-        out += a[:, i, None] * b[None, :, i]
-    return out
