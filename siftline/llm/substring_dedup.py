@@ -17,8 +17,12 @@ windows name equal anchors, and a text of n words has about n / 22 of them.
    anchors, not to every document, so work grows with what repeats.
 4. Texts take the windows that a smaller key owns, and drop the words they cover.
 
-An anchor with very many different spans (`HOT_SPANS`) has them cut at their second
-smallest runs first, which equal windows share too, so no shard holds them all.
+An anchor with more than `HOT_SPANS` different spans (a passage that very many
+documents run into their own words) takes no part in 3: no shard could hold its spans.
+Their windows are shuffled by a 128-bit digest of their words, where minima of owners
+are combined on the map side, and get their first owner by a join. Windows that are
+themselves in more than `HOT_SPANS` spans are few and joined apart, so no task holds
+or reads a group.
 
 A null text has no words; texts under WINDOW words lose nothing. Rows without a key
 neither lose nor own words. Rows that share a key do not remove each other's words.
@@ -43,24 +47,17 @@ WINDOW, GRAM = 50, 8
 SHARD_WORDS, HOT_SPANS = 1 << 16, 4096
 
 
-def _anchored(hashes: np.ndarray, window: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _anchored(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Runs of windows that name the same anchor: their anchors and bounds, one
-    bound more than anchors. With `second`, the second smallest runs count too."""
+    bound more than anchors."""
     n = len(hashes) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     gram = min(GRAM, window)
     grams = shingles(hashes, gram)
-    view = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
-    at = view.argmin(axis=1) + np.arange(n)
-    change = at[1:] != at[:-1]
-    names = grams[at]
-    if second:
-        rest = np.where(view == names[:, None], np.uint64(0xFFFFFFFFFFFFFFFF), view)
-        names = shingles(names, 1) + rest.min(axis=1)
-        change |= names[1:] != names[:-1]
-    bounds = np.concatenate([[0], np.flatnonzero(change) + 1, [n]])
-    return names[bounds[:-1]], bounds
+    at = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1).argmin(axis=1) + np.arange(n)
+    bounds = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [n]])
+    return grams[at][bounds[:-1]], bounds
 
 
 class Automaton:
@@ -126,6 +123,35 @@ class Automaton:
         return out
 
 
+def _by_windows(references: DataFrame, kind: str, window: int, hot_spans: int) -> DataFrame:
+    """span, owners: the smallest owner of every window of the references (span,
+    owner, words), without bringing an anchor's spans together."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, at, digests = [], [], []
+            for i, text in enumerate(b.column(2).to_pylist()):
+                words = text.split(b" ")
+                n = len(words) - window + 1
+                row += [i] * n
+                at += range(n)
+                digests += [hashlib.blake2b(b" ".join(words[k: k + window]), digest_size=16).digest() for k in range(n)]
+            taken = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), pa.array(at, pa.int32()),
+                                              pa.array(digests, pa.binary())], ["span", "owner", "at", "window"])
+
+    windows = arrow_map(references.select("span", "owner", "words"), split, f"span binary, owner {kind}, at int, window binary")
+    firsts = written(windows.groupBy("window").agg(F.min("owner").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "window-owners")
+    common = written(firsts.where(F.col("n") > hot_spans).select("window", F.col("first").alias("a")), "common-windows")
+    # What is found among the common windows gets a key of its own, longer than a digest.
+    placed = windows.join(common, "window", "left").withColumn(
+        "window", F.when(F.col("a").isNull(), F.col("window")).otherwise(F.concat("span", F.encode(F.col("at").cast("string"), "utf-8"))))
+    rare = firsts.where(F.col("n") <= hot_spans).select("window", F.col("first").alias("b"))
+    owners = placed.join(rare, "window", "left").groupBy("span").agg(
+        F.array_sort(F.collect_list(F.struct("at", F.least("owner", "a", "b").alias("o")))).alias("found"))
+    return written(owners.select("span", F.transform("found", lambda x: x["o"]).alias("owners")), "hot-owners")
+
+
 def _owned_windows(docs: DataFrame, kind: str, window: int, hot_spans: int) -> tuple[DataFrame, DataFrame]:
     """(texts, found). texts: key, digest, first (the smallest key of that text).
     found: digest, key, and starts of windows that smaller keys own, in pieces."""
@@ -165,27 +191,11 @@ def _owned_windows(docs: DataFrame, kind: str, window: int, hot_spans: int) -> t
     chosen = docs.join(wanted, ["key", "digest"]).select("digest", "key", "text", "anchors")
     seen = written(arrow_map(chosen, spans, f"digest string, key {kind}, start int, anchor long, span binary, n int, words binary"), "spans")
     references = seen.groupBy("anchor", "span").agg(F.min("key").alias("owner"), F.max("n").alias("n"), F.max("words").alias("words"))
-    crowded = references.groupBy("anchor").agg(F.count(F.lit(1)).alias("spans"))
-    references = written(references.join(crowded, "anchor"), "references")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["span", "offset", "anchor", "owner", "words"]
-        for b in batches:
-            rows = {n: [] for n in names}
-            for s, o, text in zip(*(b.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
-                words = text.split(b" ")
-                found, bounds = _anchored(words_of([text]).hashes, window, second=True)
-                for i, a in enumerate(found):
-                    start, end = int(bounds[i]), int(bounds[i + 1]) + window - 1
-                    for n, v in zip(names, (s, start, int(a.astype(np.int64)), o, b" ".join(words[start:end])), strict=True):
-                        rows[n].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[n], t) for n, t in zip(names, b.schema.types, strict=True)], names)
-
-    plain = references.select("span", F.lit(0).alias("offset"), "anchor", "owner", "words", "spans")
-    schema = f"span binary, offset int, anchor long, owner {kind}, words binary"
-    pieces = plain.where(F.col("spans") <= hot_spans).drop("spans").unionByName(
-        arrow_map(plain.where(F.col("spans") > hot_spans).drop("spans"), cut, schema))
-    total = references.agg(F.sum("n")).first()[0] or 0
+    references = written(references, "references")
+    crowded = written(references.groupBy("anchor").agg(F.count(F.lit(1)).alias("spans")).where(F.col("spans") > hot_spans), "hot-anchors")
+    any_hot = not crowded.isEmpty()
+    pieces = references.join(crowded.select("anchor"), "anchor", "left_anti") if any_hot else references
+    total = pieces.agg(F.sum("n")).first()[0] or 0
     shards = int(total // SHARD_WORDS) + 1
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,14 +208,15 @@ def _owned_windows(docs: DataFrame, kind: str, window: int, hot_spans: int) -> t
                 firsts = [automaton.first_owners(s, window) for s in sequences]
                 owner = b.schema.types[0].value_type.field("owner").type
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["span"] for x in shard], pa.binary()), pa.array([x["offset"] for x in shard], pa.int32()),
-                     pa.array(firsts, pa.list_(owner))], ["span", "offset", "owners"])
+                    [pa.array([x["span"] for x in shard], pa.binary()), pa.array(firsts, pa.list_(owner))], ["span", "owners"])
 
     grouped = pieces.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).agg(
-        F.collect_list(F.struct("span", "offset", "owner", "words")).alias("held")).select("held")
-    answers = written(arrow_map(grouped, stream, f"span binary, offset int, owners array<{kind}>", rows=4), "first-owners")
+        F.collect_list(F.struct("span", "owner", "words")).alias("held")).select("held")
+    answers = written(arrow_map(grouped, stream, f"span binary, owners array<{kind}>", rows=4), "first-owners")
+    if any_hot:
+        answers = answers.unionByName(_by_windows(references.join(crowded.select("anchor"), "anchor", "left_semi"), kind, window, hot_spans))
     mine = seen.select("digest", "key", "start", "span").join(answers, "span")
-    at = F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("key"), F.col("start") + F.col("offset") + i)), lambda x: x.isNotNull())
+    at = F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("key"), F.col("start") + i)), lambda x: x.isNotNull())
     return texts, mine.select("digest", "key", at.alias("at")).where(F.size("at") > 0)
 
 

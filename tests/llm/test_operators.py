@@ -227,6 +227,23 @@ def test_substrings(case, hot):
     assert all((r["doc_id"], hashlib.sha256(b" ".join(brute.words(r["text"]))).hexdigest()) in sums for r in left.collect())
 
 
+class Bounded(substring_dedup.Automaton):
+    def __init__(self, sequences, owners):
+        assert len(sequences) <= 20
+        super().__init__(sequences, owners)
+
+
+@pytest.mark.parametrize("hot", [8, 30])
+def test_substrings_of_a_passage_in_many_documents(spark, monkeypatch, hot):
+    # No task may hold the spans of all documents, which run into their own words.
+    def own(i, n):
+        return [f"own{i}x{k}" for k in range(n)]
+    rows = [(i, " ".join([*own(i, 60), *PASSAGE.split()[:70 - i % 3], *own(-i, 60)])) for i in range(80)]
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 64), monkeypatch.setattr(substring_dedup, "Automaton", Bounded)
+    out = substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot_spans=hot)
+    assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == want(brute.windows_removed(rows, 50))
+
+
 def test_automaton_owners():
     rnd = random.Random(5)
     docs = [[rnd.randrange(3) for _ in range(rnd.randrange(1, 40))] for _ in range(12)]
