@@ -17,7 +17,9 @@ words beyond the border, by a logistic curve fitted on documents. Every word of
 every text is scored; nothing but the text is an input.
 
 The model is fitted on the driver, on at most `FIT_DOCS` labelled documents of a
-class and `FIT_BYTES` of text, taken in the order of a hash of their ids. Without
+class and `FIT_BYTES` of text, taken in the order of a hash of their ids. A text that
+would take more than a `FIT_PARTS`-th of its class's bytes is represented by sentences
+spread over all of it, so a few long texts can't crowd out the others. Without
 documents of both classes every score is the share of toxic ones (0 without any).
 Null and empty texts have the lowest score the curve gives.
 """
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from siftline.llm.common import Memo, arrow_map
 
 DECAY, SPAN, LANDMARKS, ROUNDS = 0.6, 7, 200, 3
-FIT_DOCS, FIT_BYTES = 2000, 12 << 20
+FIT_DOCS, FIT_BYTES, FIT_PARTS = 2000, 12 << 20, 16
 _GRAM_BUCKETS = 1 << 21
 _BUCKETS, _MEMO = 1 << 20, 1 << 19
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s+|$)")
@@ -235,6 +237,35 @@ def _grams(word: str) -> np.ndarray:
     return np.array([zlib.crc32(w[i: i + k]) % _GRAM_BUCKETS for k in (4, 5, 6, 8) for i in range(len(w) - k + 1)], np.int32)
 
 
+def spread(text: str, most: int) -> str:
+    """The text, or sentences of it in their order, of at most `most` bytes with their
+    ends: chosen by a hash, so from all over the text. Sentences of more than a
+    quarter of that are taken in stretches of words."""
+    if len(text.encode()) <= most:
+        return text
+    parts: list[str] = []
+    for s in sentences(text):
+        if len(s.encode()) <= most // 4:
+            parts.append(s)
+            continue
+        held, size = [], 0
+        for w in s.split():
+            n = len(w.encode()) + 1
+            if held and size + n > most // 4:
+                parts.append(" ".join(held))
+                held, size = [], 0
+            held.append(w)
+            size += n
+        parts.append(" ".join(held))
+    chosen, room = [], most
+    for i in sorted(range(len(parts)), key=lambda i: (zlib.crc32(b"%d" % i), i)):
+        n = len(parts[i].encode()) + 2
+        if n <= room:
+            chosen.append(i)
+            room -= n
+    return "".join(parts[i] + ".\n" for i in sorted(chosen))
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
         most: int = FIT_DOCS, most_bytes: int = FIT_BYTES) -> Model:
     """A model of the texts that `labels` (key, label 0 or 1; other labels take no
@@ -253,12 +284,22 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return own.join(F.broadcast(keys), "k").groupBy("k")
 
     size = {r["k"]: r["n"] for r in of(chosen).agg(F.min(F.octet_length("t")).alias("n")).collect()}
-    taken, room = [], {0: most_bytes // 2, 1: most_bytes // 2}
+    room, part = {0: most_bytes // 2, 1: most_bytes // 2}, most_bytes // 2 // FIT_PARTS
+    taken = []
     for r in chosen:
-        room[r["label"]] -= size.get(r["k"], 0)
-        if r["k"] in size and room[r["label"]] >= 0:
+        n = min(size.get(r["k"], 0), part)
+        if r["k"] in size and n <= room[r["label"]]:
+            room[r["label"]] -= n
             taken.append(r)
-    found = {r["k"]: r["t"] for r in of(taken).agg(F.min_by("t", F.struct(F.octet_length("t"), "t")).alias("t")).collect()}
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([spread(t, part) for t in b.column(1).to_pylist()], pa.string())], ["k", "t"])
+
+    texts = of(taken).agg(F.min_by("t", F.struct(F.octet_length("t"), "t")).alias("t"))
+    found = {r["k"]: r["t"] for r in arrow_map(texts, shorten, f"k {known.schema['k'].dataType.simpleString()}, t string", rows=16).collect()}
+    if len({r["label"] for r in chosen if r["k"] in size and size[r["k"]]}) == 2 and len({r["label"] for r in taken if found[r["k"]]}) < 2:
+        raise ValueError(f"{most_bytes} bytes hold no labelled text of one of the classes")
     return Model([found[r["k"]] for r in taken], [r["label"] for r in taken], share or 0.0)
 
 

@@ -296,6 +296,31 @@ def test_toxicity(spark, odd):
     assert {r["score"] for r in toxicity.score(df, empty).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("long", [(0, 1), (1, 1), (1, 60)])
+def test_toxicity_sample_survives_long_texts(spark, long):
+    label, n = long
+    ids = spark.range(120).select("id", F.xxhash64(F.lit("fit"), "id").alias("h")).orderBy("h").collect()
+    of_class = [r["id"] for r in ids if r["id"] % 2 == label]
+    texts = {i: f"you {['idiot', 'idiots'][i % 4 // 2]} number {i}. " if i % 2 else f"a fine day number {i}. " for i in range(120)}
+    for i in of_class[:n]:
+        texts[i] = texts[i] * 2000
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")), most_bytes=40_000)
+    assert model.curve is not None
+    new = spark.createDataFrame([(0, "such a fine day"), (1, "what an idiot you are")], "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(new, model).collect()}
+    assert scores[1] > 0.5 > scores[0]
+
+
+def test_toxicity_spread():
+    text = "".join(f"Sentence number {i} is here. " for i in range(5000))
+    some = toxicity.spread(text, 4000)
+    assert 2500 < len(some.encode()) <= 4000 and toxicity.spread("short.", 100) == "short."
+    numbers = [int(x) for x in some.split() if x.isdigit()]
+    assert numbers == sorted(numbers) and numbers[0] < 500 and numbers[-1] > 4500
+    assert 2500 < len(toxicity.spread("word " * 9000, 4000).encode()) <= 4000
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert token_counts.count_tokens(df).count() == 0 and sharding.with_slots(sharding.assign_shards(df)).count() == 0
