@@ -182,6 +182,21 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert all(r["kept"] == (r["quality"] == 1) for r in rows) and {r["kept"] for r in rows} == {True, False}
 
 
+def test_quality_rejects_outliers_of_each_statistic(spark):
+    def own(i, n):
+        return [f"word{i * 1000 + k:06d}" for k in range(n)]
+    texts = {i: "\n".join(" ".join(own(10 * i + k, 8)) for k in range(10)) for i in range(100)}
+    texts["long words"] = " ".join(w * 3 for w in own(2001, 80))
+    texts["symbols"] = " ".join(w + "#$" for w in own(2002, 80))
+    texts["lines"] = "\n".join("yes\nno\n" + " ".join(own(2003 + k, 3)) for k in range(30))
+    texts["phrases"] = " ".join([*own(2040, 45), *own(2041, 55), *own(2040, 45), *own(2042, 55)])
+    texts["one phrase"] = " ".join([*own(2050, 6), *own(2051, 54), *own(2050, 6), *own(2052, 54)])
+    rows = [(str(i), t, "en", "a") for i, t in texts.items()]
+    out = quality.verdicts(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")).collect()
+    assert not any(r["base_failed"] for r in out)
+    assert {r["doc_id"] for r in out if not r["kept"]} == {"long words", "symbols", "lines", "phrases"}
+
+
 def test_near_duplicates(case):
     df, rows = case
     own = {(r[0], r[1]) for r in rows}
