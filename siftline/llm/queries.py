@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import (
-    ann, lsh_forest, mixing, prefix_bpe, quality, sharding, substring_dedup, token_counts, token_files,
+    ann, lsh_forest, mixing, prefix_bpe, quality, sharding, spelling, substring_dedup, token_counts, token_files,
     toxicity,
 )
 from siftline.llm.common import Query, table
@@ -61,5 +61,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest, op2_token_counts, op3_shards, op4_toxicity, op5_byte_bpe, op6_token_files, op7_substrings, op8_lsh_forest, op9_mixing, op10_quality)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), damage=97)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_nearest, op2_token_counts, op3_shards, op4_toxicity, op5_byte_bpe, op6_token_files, op7_substrings, op8_lsh_forest,
+    op9_mixing, op10_quality, op11_spelling)}
 ORACLES: dict[str, str] = {}
