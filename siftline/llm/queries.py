@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import (
-    ann, lsh_forest, mixing, prefix_bpe, quality, sharding, spelling, substring_dedup, token_counts, token_files,
+    ann, group_join, lsh_forest, mixing, prefix_bpe, prefix_trie, quality, sharding, spelling, substring_dedup, token_counts, token_files,
     toxicity,
 )
 from siftline.llm.common import Query, table
@@ -65,7 +65,17 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), damage=97)
 
 
+def op12_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.near_sets(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(
+        table(spark, sf_dir, "conversations"), base=F.expr("conv - conv % 100"),
+        head=F.crc32(F.col("conv").cast("string").cast("binary")) % 6, most_head=5)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_nearest, op2_token_counts, op3_shards, op4_toxicity, op5_byte_bpe, op6_token_files, op7_substrings, op8_lsh_forest,
-    op9_mixing, op10_quality, op11_spelling)}
+    op9_mixing, op10_quality, op11_spelling, op12_group_join, op13_prefix_trie)}
 ORACLES: dict[str, str] = {}
