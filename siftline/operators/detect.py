@@ -1,15 +1,15 @@
 """Detection rules over events.
 
-Rules are configuration, so each becomes a literal condition of one projection:
-an event's detections are collected in its own row, folded in its own row, and
-nothing is shuffled or joined however many events there are. Cheap gates (event
-type, event id, a hash test on the file name) stand before every regex, and
-patterns are literals, which Spark compiles once per task.
+Rules are data (`rule_index`): an event looks its keys up, patterns without a literal
+key are gated by one combined pattern per field, and only the entries found that way
+are tested. An event's detections are collected and folded in its own row; nothing is
+shuffled or joined however many events there are, and the plan does not grow with the
+rules.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from siftline.functions.labels import literal_map
 from siftline.functions.patterns import anywhere, domain_glob, fill_template
 from siftline.functions.text import extension, forward_slashes, join_capped, url_host, without_extension
-from siftline.functions.values import LEVEL_RANK, SCORE_RANK, all_of, any_of, highest, once, overlay, real_number, whole_number
+from siftline.functions.values import LEVEL_RANK, SCORE_RANK, any_of, highest, once, overlay, real_number, whole_number
 from siftline.operators.filters import attr
+from siftline.operators.rule_index import NO_ENTRIES, Index
 from siftline.sources.rules import RuleSet
 
 HIT = (
@@ -26,41 +27,23 @@ HIT = (
     "mitre:array<string>,tool_name:string>"
 )
 NO_HITS = f"cast(array() as array<{HIT}>)"
-NONE = "cast(array() as array<int>)"
 
 # What the remote-management plugin reports, library extensions.
 REMOTE_TYPE, REMOTE_SCORE = "REMOTE_ACCESS_SOFTWARE", "NOTABLE"
 LIBRARY_TYPE, LIBRARY_EXTENSIONS = "DLL_INJECTION", ["dll", "sys", "drv"]
 POWERSHELL = "powershell"
 
-
-class Numbering:
-    """Numbers the rule entries in the order they are asked for; a row's hits
-    are these numbers until the few rows that have any are spelled out."""
-
-    def __init__(self):
-        self.entries: list[dict] = []
-
-    def add(self, rule: dict, plugin: str, tool: str | None = "") -> int:
-        """`tool` None means the event's own program or file name."""
-        self.entries.append({
-            "rule_id": rule["rule_id"], "plugin": plugin, "analysis_type": rule.get("analysis_type", ""),
-            "score": rule.get("score", ""), "justification": rule.get("justification", ""),
-            "mitre": rule.get("mitre", []), "tool": tool,
-        })
-        return len(self.entries) - 1
-
-
-def _collect(pairs: list[tuple[Column, int]]) -> Column:
-    """(condition, number) pairs -> numbers whose condition holds, NULL for the
-    others (taken out once at the end)."""
-    if not pairs:
-        return F.expr(NONE)
-    return F.array(*[F.when(c, F.lit(n)) for c, n in pairs])
-
-
-def _gated(gate: Column, numbers: Column) -> Column:
-    return F.when(gate, numbers).otherwise(F.expr(NONE))
+#: What tests look at, in the order in which the index numbers it.
+FACETS = [
+    "process", "own_name", "process_stem", "own_stem", "process_path", "own_path", "ext", "command", "parent", "task", "signed", "source",
+    "command_low", "process_low", "channel", "log_name", "log_file", "domain", "remote_host", "url_host", "remote_domain", "remote_host_name",
+    "name_low", "stem_low", "process_stem_low", "path", "process_path_low", "name_ext", "library_ext", "target",
+]
+#: Criteria of a file rule, the first one set being its gate: facets they look at.
+FILE_CRITERIA = {
+    "name": ["process", "own_name"], "stem": ["process_stem", "own_stem"], "path": ["process_path", "own_path"],
+    "extensions": ["ext"], "arguments": ["command"], "parent": ["parent"], "task": ["task"],
+}
 
 
 def with_facets(df: DataFrame) -> DataFrame:
@@ -80,6 +63,7 @@ def with_facets(df: DataFrame) -> DataFrame:
         "remote_host_name": a("remote_host_name"), "url_host": url_host(a("url")),
         "remote_port": F.coalesce(real_number(a("remote_port")).try_cast("int"), F.lit(0)),
     }
+    raw["log_file"] = F.concat(F.replace(raw["channel"], F.lit("/"), F.lit("%4")), F.lit(".evtx"))
     df = df.select("*", *[c.alias(f"_f_{n}") for n, c in raw.items()])
     own, process = F.col("_f_own_name"), F.col("_f_process")
     name = F.coalesce(own, process)
@@ -93,8 +77,8 @@ def with_facets(df: DataFrame) -> DataFrame:
         "name": name, "tool": F.coalesce(process, own), "path": F.lower(path), "process_path_low": F.lower("_f_process_path"),
         "name_low": F.lower(name), "process_low": F.lower(process), "stem_low": F.lower(without_extension(name)),
         "process_stem_low": F.lower(without_extension(process)), "process_stem": without_extension(process),
-        "own_stem": without_extension(own), "ext": ext(own, process), "name_ext": ext(name, process),
-        "library_ext": ext(name, path), "command_low": F.lower("_f_command"),
+        "own_stem": without_extension(own), "ext": F.nullif(ext(own, process), F.lit("")), "name_ext": ext(name, process),
+        "library_ext": ext(name, path), "target": F.coalesce("_f_domain", "_f_remote_host", "_f_remote_domain", "_f_remote_host_name"), "command_low": F.lower("_f_command"),
     }
     return df.select("*", *[c.alias(f"_f_{n}") for n, c in derived.items()])
 
@@ -108,85 +92,42 @@ def _find(pattern: str, *cols: Column) -> Column:
     return F.coalesce(any_of([F.coalesce(c.rlike(pattern), F.lit(False)) for c in cols]), F.lit(False))
 
 
-def file_condition(rule: dict) -> Column | None:
-    """All criteria that are set must hold; at least one must look at content."""
-    tests: list[Column] = []
-    if rule["name"]:
-        tests.append(_find(rule["name"], f("process"), f("own_name")))
-    if rule["stem"]:
-        tests.append(_find(rule["stem"], f("process_stem"), f("own_stem")))
-    if rule["path"]:
-        tests.append(_find(rule["path"], f("process_path"), f("own_path")))
-    if rule["extensions"]:
-        tests.append((f("ext") != "") & any_of([f("ext").rlike(p) for p in rule["extensions"]]))
-    tests += [_find(p, f("command")) for p in rule["arguments"]]
-    if rule["parent"]:
-        tests.append(_find(rule["parent"], f("parent")))
-    if rule["task"]:
-        tests.append(_find(rule["task"], f("task")))
-    if not tests:
-        return None
-    if rule["signed"]:
-        tests.append(_find(rule["signed"], f("signed")))
-    if rule["sources"]:
-        tests.append(_find(rule["sources"], f("source")))
-    return all_of(tests)
-
-
-def file_hits(rules: RuleSet, n: Numbering) -> Column:
-    """File-correlated rules, grouped by the event types that gate them."""
-    by_gate: dict[tuple, list] = defaultdict(list)
+def file_hits(rules: RuleSet, index: Index) -> None:
+    """File-correlated rules: all criteria that are set must hold, at least one of
+    which must look at content."""
     for rule in rules.files:
-        condition = file_condition(rule)
-        if condition is not None:
-            by_gate[tuple(rule["event_types"])].append((condition, n.add(rule, "FileCorrelated", None)))
-    arrays = [
-        _gated(F.col("event_type").isin(list(gate)), _collect(pairs)) if gate else _collect(pairs)
-        for gate, pairs in by_gate.items()
-    ]
-    if not arrays:
-        return F.expr(NONE)
-    return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-
-
-def token_hits(rules: RuleSet, n: Numbering) -> Column:
+        asked = {c: [p] if isinstance(p, str) else p for c in FILE_CRITERIA if (p := rule[c])}
+        if not asked:
+            continue
+        tests = []
+        for c, patterns in asked.items():
+            # Every argument must be found, one of the extensions.
+            tests += [index.test(FILE_CRITERIA[c], "find", some) for some in ([[p] for p in patterns] if c == "arguments" else [patterns])]
+        tests += [index.test([c], "find", [rule[k]]) for c, k in (("signed", "signed"), ("source", "sources")) if rule[k]]
+        gate = next(iter(asked))
+        index.entry(index.rule(rule, "FileCorrelated", None), tests, group=f"file {gate}",
+                    patterns=asked[gate][:1] if gate == "arguments" else asked[gate], types=rule["event_types"])
+
+
+def token_hits(rules: RuleSet, index: Index) -> None:
     """Argument tokens in the command line of PowerShell processes."""
-    pairs = [(f("command_low").contains(r["token"]), n.add(r, "PowershellArgs", r["token"])) for r in rules.tokens]
-    return _gated(f("process_low").contains(POWERSHELL) & f("command").isNotNull(), _collect(pairs))
-
-
-def event_condition(rule: dict) -> Column:
-    tests: list[Column] = []
-    if rule["log_file"]:
-        file_name = F.concat(F.replace(f("channel"), F.lit("/"), F.lit("%4")), F.lit(".evtx"))
-        tests.append(_find(rule["log_file"], f("channel"), f("log_name"), file_name))
-    if rule["log_names"]:
-        tests.append(_find(rule["log_names"], f("channel"), f("log_name")))
-    for name, pattern in rule["payload"].items():
-        snake = "".join("_" + c.lower() if c.isupper() and i else c.lower() for i, c in enumerate(name)).replace(" ", "_")
-        spellings = dict.fromkeys([name, snake, name.lower().replace(" ", "_")])
-        value = F.coalesce(*[F.when(F.col("attrs")[s] != "", F.col("attrs")[s]) for s in spellings])
-        tests.append(_find(pattern, value))
-    return all_of(tests) if tests else F.lit(True)
-
-
-def event_hits(rules: RuleSet, n: Numbering, log_ids: bool = True) -> Column:
-    """Event-log rules, indexed by event id. With `log_ids` the id of event-log
-    records counts too, not only that of log lines."""
-    by_id: dict[int, list] = defaultdict(list)
+    for r in rules.tokens:
+        tests = [index.test(["process_low"], "contains", [POWERSHELL]), index.test(["command_low"], "contains", [r["token"]])]
+        index.entry(index.rule(r, "PowershellArgs", r["token"]), tests, group="token", patterns=[re.escape(r["token"])])
+
+
+def event_hits(rules: RuleSet, index: Index, log_ids: bool = True) -> None:
+    """Event-log rules, by event id. With `log_ids` the id of event-log records
+    counts too, not only that of log lines."""
     for rule in rules.events:
-        if rule["event_ids"]:
-            pair = (event_condition(rule), n.add(rule, "EventsMatching"))
-            for event_id in dict.fromkeys(rule["event_ids"]):
-                by_id[event_id].append(pair)
-    if not by_id:
-        return F.expr(NONE)
-    seen = F.coalesce(f("event_id"), f("log_event_id")) if log_ids else f("event_id")
-    chain = F.when(F.lit(False), F.expr(NONE))
-    for event_id, pairs in by_id.items():
-        chain = chain.when(seen == event_id, _collect(pairs))
-    # One hash test keeps events without a rule out of the chain.
-    return _gated(seen.isin(list(by_id)), chain.otherwise(F.expr(NONE)))
+        if not rule["event_ids"]:
+            continue
+        tests = [index.test(fields, "find", [rule[c]]) for c, fields in (
+            ("log_file", ["channel", "log_name", "log_file"]), ("log_names", ["channel", "log_name"])) if rule[c]]
+        for name, pattern in rule["payload"].items():
+            snake = "".join("_" + c.lower() if c.isupper() and i else c.lower() for i, c in enumerate(name)).replace(" ", "_")
+            tests.append(index.test([], "find", [pattern], names=list(dict.fromkeys([name, snake, name.lower().replace(" ", "_")]))))
+        index.entry(index.rule(rule, "EventsMatching"), tests, keys=[f"{'id' if log_ids else 'own_id'}:{i}" for i in rule["event_ids"]])
 
 
 def host_suffixes(host: Column) -> Column:
@@ -195,120 +136,138 @@ def host_suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def _any_like(values: Column, pattern: str) -> Column:
-    return F.exists(values, lambda v: v.rlike(pattern))
-
-
-def excluded_network(rules: RuleSet, wide: bool = True) -> Column:
+def _exclusions(rules: RuleSet) -> Index:
     """Common domains and host/port pairs that never count."""
-    hosts = [f("domain"), f("remote_host")] + ([f("remote_domain"), f("remote_host_name")] if wide else [])
-    target = F.coalesce(*hosts)
-    tests = [_find(p, target) for p in rules.common_domains]
-    tests += [(f("remote_port") == number) & _find(p, target) for p, number in rules.host_ports]
-    return any_of(tests) if tests else F.lit(False)
+    index = Index(FACETS)
+    for pattern in rules.common_domains:
+        index.entry(index.rule({"rule_id": ""}, "Excluded"), [index.test(["target"], "find", [pattern])], group="common", patterns=[pattern])
+    for pattern, number in rules.host_ports:
+        index.entry(index.rule({"rule_id": ""}, "Excluded"), [index.test(["target"], "find", [pattern])], keys=[f"port:{number}"])
+    return index
 
 
-def domain_hits(rules: RuleSet, n: Numbering, wide: bool = True, one_label: bool = False) -> Column:
+def excluded_network(rules: RuleSet, wide: bool = True) -> Column:
+    """Whether the event's network target is one that never counts."""
+    index = _exclusions(rules)
+    if not index.entries:
+        return F.lit(False)
+    target = f("target") if wide else F.coalesce(f("domain"), f("remote_host"))
+    tests, none = [], F.expr("cast(map() as map<string,string>)")
+    if (pattern := index.pattern("common")) is not None:
+        tests.append(F.coalesce(target.rlike(pattern), F.lit(False)))
+    if index.keys:
+        found = index.under(F.array(F.concat(F.lit("port:"), f("remote_port").cast("string"))), none)
+        facets = F.array(*[target if n == "target" else F.lit(None).cast("string") for n in FACETS])
+        held = index.holding(found, facets, F.lit(""), none)
+        tests.append(F.when(target.isNotNull() & (F.size(found) > 0), F.size(held) > 0).otherwise(F.lit(False)))
+    return any_of(tests)
+
+
+def domain_hits(rules: RuleSet, index: Index, wide: bool = True, one_label: bool = False) -> None:
     """Domain rules on the domain, remote host and URL host of an event.
 
-    `**.name` globs are looked up by host suffix (a hash test per label); other
-    globs stay regexes. `one_label` restricts `**.` to a single leading label.
+    `**.name` globs are looked up by host suffix; other globs stay patterns.
+    `one_label` restricts `**.` to a single leading label.
     """
-    if not rules.domains:
-        return F.expr(NONE)
-    hosts = [f("domain"), f("remote_host"), f("url_host")] + ([f("remote_domain"), f("remote_host_name")] if wide else [])
-    some = any_of([h.isNotNull() for h in hosts])
-    present = F.array_distinct(F.transform(F.array_compact(F.array(*hosts)), F.lower))
-
-    def base_of(rule: dict) -> str | None:
-        base = rule["glob"].removeprefix("**.")
-        plain = rule["glob"].startswith("**.") and "*" not in base and not one_label
-        return base if plain else None
-
-    known = sorted({base_of(r) for r in rules.domains} - {None})
-    suffixes = F.flatten(F.transform(present, host_suffixes))
-    matched = F.filter(suffixes, lambda s: s.isin(known)) if known else F.expr("cast(array() as array<string>)")
-    pairs, residual = [], False
+    hosts = ["domain", "remote_host", "url_host"] + (["remote_domain", "remote_host_name"] if wide else [])
+    index.hosts, index.exclude = hosts, (rules, wide)
     for rule in rules.domains:
-        number, base = n.add(rule, "Domain", rule["provider"]), base_of(rule)
-        if base is not None:
-            pairs.append((F.array_contains(matched, base), number))
+        base, number = rule["glob"].removeprefix("**."), index.rule(rule, "Domain", rule["provider"])
+        if rule["glob"].startswith("**.") and "*" not in base:
+            # With one label, that of the leading ones that may be missing is cut by the test.
+            tests = [index.test(hosts, "find", [anywhere(domain_glob(rule["glob"], True))])] if one_label else []
+            index.entry(number, tests, keys=[f"host:{base}"])
         else:
-            pairs.append((_any_like(present, anywhere(domain_glob(rule["glob"], one_label))), number))
-            residual = True
-    gate = some if residual else some & (F.size(matched) > 0)
-    return _gated(gate & ~excluded_network(rules, wide), _collect(pairs))
+            pattern = anywhere(domain_glob(rule["glob"], one_label))
+            index.entry(number, [index.test(hosts, "find", [pattern])], group="domain", patterns=[pattern])
 
 
-def remote_hits(rules: RuleSet, n: Numbering) -> Column:
+def remote_hits(rules: RuleSet, index: Index) -> None:
     """Remote-management paths: entries are alternatives, the fields of an
     entry must all hold."""
-    pairs, names, stems, open_rule = [], set(), set(), False
     for rule in rules.remote:
-        entries = []
+        shown = {"rule_id": rule["rule_id"], "analysis_type": REMOTE_TYPE, "score": REMOTE_SCORE}
+        number = None
         for entry in rule["entries"]:
-            tests = []
-            if entry["name"]:
-                tests.append(F.coalesce(f("name_low") == entry["name"], F.lit(False)) | F.coalesce(f("process_low") == entry["name"], F.lit(False)))
-                names.add(entry["name"])
-            if entry["stem"]:
-                tests.append(F.coalesce(f("stem_low") == entry["stem"], F.lit(False)) | F.coalesce(f("process_stem_low") == entry["stem"], F.lit(False)))
-                stems.add(entry["stem"])
-            open_rule |= not (entry["name"] or entry["stem"])
-            if entry["path"]:
-                tests.append(_find(entry["path"], f("path"), f("process_path_low")))
+            tests, keys = [], []
             if entry["extensions"]:
-                tests.append(f("name_ext").isin(entry["extensions"]))
-            if tests:
-                entries.append(all_of(tests))
-        if entries:
-            shown = {"rule_id": rule["rule_id"], "analysis_type": REMOTE_TYPE, "score": REMOTE_SCORE}
-            pairs.append((any_of(entries), n.add(shown, "RemoteManagement", rule["tool"])))
-    if not pairs:
-        return F.expr(NONE)
-    gate = f("name").isNotNull() | f("path").isNotNull()
-    if not open_rule:
-        # Every entry names a file, so a hash test on the names decides first.
-        tests = [f(c).isin(list(names)) for c in ("name_low", "process_low") if names]
-        tests += [f(c).isin(list(stems)) for c in ("stem_low", "process_stem_low") if stems]
-        gate = any_of([F.coalesce(t, F.lit(False)) for t in tests])
-    return _gated(gate, _collect(pairs))
-
-
-def tool_hits(rules: RuleSet, n: Numbering) -> Column:
+                tests.append(index.test(["name_ext"], "in", entry["extensions"]))
+                keys = [f"name_ext:{e}" for e in entry["extensions"]]
+            if entry["path"]:
+                tests.append(index.test(["path", "process_path_low"], "find", [entry["path"]]))
+            if entry["stem"]:
+                tests.append(index.test(["stem_low", "process_stem_low"], "in", [entry["stem"]]))
+                keys = [f"stem:{entry['stem']}"]
+            if entry["name"]:
+                tests.append(index.test(["name_low", "process_low"], "in", [entry["name"]]))
+                keys = [f"name:{entry['name']}"]
+            if not tests:
+                continue
+            number = index.rule(shown, "RemoteManagement", rule["tool"]) if number is None else number
+            if keys:
+                index.entry(number, tests, keys=keys)
+            else:
+                index.entry(number, tests, group="remote", patterns=[entry["path"]])
+
+
+def tool_hits(rules: RuleSet, index: Index) -> None:
     """Transfer-tool file names, optionally limited to event types."""
-    pairs, known = [], set()
     for rule in rules.tools:
-        tests = []
+        number = index.rule(rule, "ExecutableType", rule["tool"]) if rule["entries"] else None
         for entry in rule["entries"]:
-            test = f("name_low") == entry["name"]
-            known.add(entry["name"])
-            if entry["event_types"]:
-                test = test & F.col("event_type").isin(entry["event_types"])
-            tests.append(test)
-        if tests:
-            pairs.append((any_of(tests), n.add(rule, "ExecutableType", rule["tool"])))
-    return _gated(f("name_low").isin(list(known)), _collect(pairs)) if pairs else F.expr(NONE)
+            index.entry(number, [index.test(["name_low"], "in", [entry["name"]])], keys=[f"name:{entry['name']}"], types=entry["event_types"])
 
 
-def library_hits(rules: RuleSet, n: Numbering) -> Column:
+def library_hits(rules: RuleSet, index: Index) -> None:
     """Paths of loaded libraries; `{0}` in the text is the file name."""
-    pairs, wanted = [], set()
     for rule in rules.libraries:
-        extensions = rule["extensions"] or LIBRARY_EXTENSIONS
-        wanted |= set(extensions)
-        tests = [f("library_ext").isin(extensions)]
-        if rule["path"]:
-            tests.append(_find(rule["path"], f("path")))
+        if not (rule["path"] or rule["stem"]):
+            continue
+        shown = {"rule_id": rule["rule_id"], "analysis_type": LIBRARY_TYPE, "score": rule["score"], "justification": rule["justification"]}
+        tests = [index.test(["library_ext"], "in", rule["extensions"] or LIBRARY_EXTENSIONS), index.test(["path"], "find", [rule["path"] or ""])]
         if rule["stem"]:
-            tests.append(_find(rule["stem"], f("stem_low")))
-        if len(tests) > 1:
-            shown = {
-                "rule_id": rule["rule_id"], "analysis_type": LIBRARY_TYPE, "score": rule["score"],
-                "justification": rule["justification"],
-            }
-            pairs.append((all_of(tests), n.add(shown, "LibNotOnDisk")))
-    return _gated(f("path").isNotNull() & f("library_ext").isin(list(wanted)), _collect(pairs)) if pairs else F.expr(NONE)
+            tests.append(index.test(["stem_low"], "find", [rule["stem"]]))
+        gate = "path" if rule["path"] else "stem"
+        index.entry(index.rule(shown, "LibNotOnDisk"), tests, group=f"library {gate}", patterns=[rule[gate]])
+
+
+def _keys(index: Index) -> Column | None:
+    """What of a row the index has keys for."""
+    text = lambda kind, col: F.concat(F.lit(f"{kind}:"), col.cast("string"))
+    of = {
+        "id": [F.coalesce(f("event_id"), f("log_event_id"))], "own_id": [f("event_id")], "name": [f("name_low"), f("process_low")],
+        "stem": [f("stem_low"), f("process_stem_low")], "name_ext": [f("name_ext")],
+    }
+    keys = [text(kind, c) for kind, columns in of.items() if kind in index.kinds() for c in columns]
+    return F.array_compact(F.array(*keys)) if keys else None
+
+
+def _candidates(index: Index) -> Column:
+    """Numbers of the entries whose key or gate fits the row."""
+    found = []
+    index.part("groups")
+    if (keys := _keys(index)) is not None:
+        found.append(index.under(keys, F.col("attrs")))
+    gates = {f"file {c}": fields for c, fields in FILE_CRITERIA.items()} | {
+        "remote": ["path", "process_path_low"], "library path": ["path"], "library stem": ["stem_low"]}
+    for group, fields in gates.items():
+        if (pattern := index.pattern(group)) is not None:
+            gate = _find(pattern, *map(f, fields))
+            found.append(index.of_group(group, (f("library_ext") != "") & gate if group.startswith("library") else gate))
+    if (pattern := index.pattern("token")) is not None:
+        found.append(index.of_group("token", f("process_low").contains(POWERSHELL) & _find(pattern, f("command_low"))))
+    if "host" in index.kinds() or index.groups.get("domain"):
+        hosts, (rules, wide) = [f(h) for h in index.hosts], index.exclude
+        present = F.array_distinct(F.transform(F.array_compact(F.array(*hosts)), F.lower))
+        named = []
+        if "host" in index.kinds():
+            suffixes = F.transform(F.flatten(F.transform(present, host_suffixes)), lambda s: F.concat(F.lit("host:"), s))
+            named.append(index.under(suffixes, F.col("attrs")))
+        if (pattern := index.pattern("domain")) is not None:
+            named.append(index.of_group("domain", _find(pattern, *hosts)))
+        some = any_of([h.isNotNull() for h in hosts])
+        found.append(F.when(some & ~excluded_network(rules, wide), F.concat(*named)).otherwise(F.expr(NO_ENTRIES)))
+    return F.concat(*found) if found else F.expr(NO_ENTRIES)
 
 
 def template_fields() -> Column:
@@ -319,25 +278,13 @@ def template_fields() -> Column:
     return overlay(base, F.col("attrs"))
 
 
-def spell_out(numbers: Column, entries: list[dict]) -> Column:
-    """Hit numbers -> hit structs. Rows without hits skip all of it."""
-    if not entries:
-        return F.expr(NO_HITS)
-    table = F.array(*[
-        F.struct(
-            F.lit(e["rule_id"]).alias("rule_id"), F.lit(e["plugin"]).alias("plugin"), F.lit(e["analysis_type"]).alias("analysis_type"),
-            F.lit(e["score"]).alias("score"), F.lit(e["justification"]).alias("justification"),
-            F.array(*[F.lit(m) for m in e["mitre"]]).cast("array<string>").alias("mitre"), F.lit(e["tool"]).cast("string").alias("tool"),
-        )
-        for e in entries
-    ])
-    templated = any("${" in e["justification"] for e in entries)
+def spell_out(numbers: Column, rules: Column) -> Column:
+    """Rule numbers -> hit structs. Rows without hits skip all of it."""
 
     def hit(number: Column) -> Column:
-        e = F.get(table, number)
+        e = F.get(rules, number)
         text = F.replace(e["justification"], F.lit("{0}"), F.coalesce(f("name"), F.lit("")))
-        if templated:
-            text = F.when(text.contains("${"), fill_template(text, template_fields())).otherwise(text)
+        text = F.when(text.contains("${"), fill_template(text, template_fields())).otherwise(text)
         return F.struct(
             e["rule_id"].alias("rule_id"), e["plugin"].alias("plugin"), e["analysis_type"].alias("analysis_type"),
             e["score"].alias("score"), text.alias("justification"), e["mitre"].alias("mitre"),
@@ -356,13 +303,16 @@ def detect(df: DataFrame, rules: RuleSet, plugins: tuple = PLUGINS, **options: d
     `options` maps a plugin name to keyword arguments, such as
     `domain_hits={"one_label": True}`.
     """
-    n = Numbering()
-    wide = with_facets(df)
-    numbers = F.concat(*[p(rules, n, **options.get(p.__name__, {})) for p in plugins])
-    # The conditions stay in generated code; only their result meets the lambda
-    # of `array_compact`. Numbers ascend in rule order, so sorting restores it.
-    marked = wide.withColumn("_found", once(numbers)).withColumn("_hits", once(F.sort_array(F.array_compact("_found"))))
-    return marked.withColumn("detections", spell_out(F.col("_hits"), n.entries)).select(*df.columns, "detections")
+    index = Index(FACETS)
+    for p in plugins:
+        p(rules, index, **options.get(p.__name__, {}))
+    if not index.entries:
+        return df.withColumn("detections", F.expr(NO_HITS))
+    # Keys and gates are evaluated once per event; tests only where one fits.
+    marked = with_facets(df).withColumn("_some", once(_candidates(index)))
+    held = index.holding(F.col("_some"), F.array(*[f(n) for n in FACETS]), F.col("event_type"), F.col("attrs"))
+    marked = marked.withColumn("_hits", once(F.when(F.size("_some") > 0, held).otherwise(F.expr(NO_ENTRIES))))
+    return marked.withColumn("detections", spell_out(F.col("_hits"), index.part("rules"))).select(*df.columns, "detections")
 
 
 def detections(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -388,7 +338,9 @@ def fold(df: DataFrame, rules: RuleSet, prefix: str = "cloudrules") -> DataFrame
         if rules.impact else F.lit(None).cast("string")
     )
     added = {
+        # The short text names five rules; where there are more, all are listed beside it.
         f"{prefix}_rule": join_capped(names),
+        f"{prefix}_rules": F.when(F.size(names) > 5, F.array_join(names, "; ")),
         f"{prefix}_rule_id": F.array_join(F.array_distinct(F.transform(hits, lambda d: d["rule_id"])), "; "),
         f"{prefix}_score": highest(scores, SCORE_RANK),
         f"{prefix}_detection_count": F.size(hits).cast("string"),
@@ -453,6 +405,7 @@ def tag_sigma(df: DataFrame, found: DataFrame, prefix: str = "hayabusa") -> Data
     total = F.aggregate(s, F.lit(0).cast("long"), lambda acc, d: acc + d["n"])
     added = {
         f"{prefix}_rule": join_capped(F.transform(s, lambda d: d["title"])),
+        f"{prefix}_rules": F.when(F.size(s) > 5, F.array_join(F.transform(s, lambda d: d["title"]), "; ")),
         f"{prefix}_rule_id": F.array_join(F.filter(F.transform(s, lambda d: d["rule_id"]), lambda r: r != ""), "; "),
         f"{prefix}_level": highest(levels, LEVEL_RANK),
         f"{prefix}_detection_count": total.cast("string"),
@@ -475,7 +428,7 @@ def drop_excluded_sigma(df: DataFrame, excluded: set[str], prefix: str = "hayabu
         return df
     ids = F.transform(F.split(F.coalesce(F.col("attrs")[f"{prefix}_rule_id"], F.lit("")), "; "), F.trim)
     hit = F.exists(ids, lambda i: i.isin(sorted(excluded)))
-    gone = [f"{prefix}_{n}" for n in ("rule", "rule_id", "level", "detection_count")]
+    gone = [f"{prefix}_{n}" for n in ("rule", "rules", "rule_id", "level", "detection_count")]
     attrs = F.map_filter("attrs", lambda k, _: ~k.isin(gone))
     tags = F.filter("tags", lambda t: ~t.startswith(prefix) & (t != "sigma"))
     return df.withColumn("_hit", hit).withColumn("tags", F.when(F.col("_hit"), tags).otherwise(F.col("tags"))).withColumn(

@@ -72,9 +72,39 @@ RULES = [
 ]
 
 
-def rule_set(spark) -> RuleSet:
-    """The rules above, through the same preparation as a rule file."""
-    rows = [(i, rid, 1, plugin, True, json.dumps(body), True) for i, (rid, plugin, body) in enumerate(RULES)]
+#: A rule set of the usual size, and a domain feed.
+BULK, FEED = 60, 10_000
+
+
+def bulk_rules(n: int, globs: int) -> list[tuple]:
+    """`n` rules of each of six plugins and `globs` domain globs that look at all events
+    and hit none of the test tables."""
+    file_keys = ("fileName", "fileNameNoExt", "path", "parentProcess", "taskName")
+    many = [
+        ("FileCorrelatedCloudRulePlugin_v1", "rules", [
+            {"matches": {file_keys[i % 5]: rf"(?:bulk|mass)[_-]tool{i}\b", "extensions": ["exe", "dll"], "arguments": [f"--bulk{i}"][:i % 2]},
+             "result": result("BULK", "NOTABLE", "${file_name}")} for i in range(n)]),
+        ("PowershellArgsCloudRulePlugin_v1", "rules", [{"argToken": f"-bulk{i}", "result": result("BULK", "NOTABLE")} for i in range(n)]),
+        ("EventsMatchingCloudRulePlugin_v1", "rules", [
+            {"matches": {"eventIds": [4624, 20_000 + i], "logNames": "Security", "payload": {"TargetUserName": rf"^bulk{i}\$"}},
+             "result": result("BULK", "NOTABLE")} for i in range(n)]),
+        ("RemoteManagementCloudRulePlugin_v1", "rules", [
+            {"rmmRecord": {"id": f"Bulk{i}"}, "matchesPath": [{"fileName": f"bulk{i}.exe"}, {"fileNameNoExt": f"mass{i}", "path": "/opt/**"}]} for i in range(n)]),
+        ("ExecutableTypeCloudRulePlugin_v1", "rules", [
+            {"record": {"id": f"Bulk{i}", "newResult": result("BULK", "UNKNOWN")}, "matches": [{"fileName": f"bulk{i}.exe"}]} for i in range(n)]),
+        ("LibNotOnDiskCloudRulePlugin_v1", "rules", [
+            {"libToMatch": {"path": f"/bulk{i}/**"}, "analysisResultData": {"score": "UNKNOWN", "justification": "{0}"}} for i in range(n)]),
+        ("DomainCloudRulePlugin_v1", "domains", [
+            {"serviceProvider": "Feed", "domainStarPattern": f"**.feed{i}.invalid" if i % 50 else f"cdn*.feed{i}.invalid", "newResultARData": result("FEED", "UNKNOWN")}
+            for i in range(globs)]),
+    ]
+    return [(f"BULK{k}", plugin, {name: rules}) for k, (plugin, name, rules) in enumerate(many)]
+
+
+def rule_set(spark, bulk: int = BULK, globs: int = BULK) -> RuleSet:
+    """The rules above among a bulk of others, through the same preparation as a
+    rule file."""
+    rows = [(i, rid, 1, plugin, True, json.dumps(body), True) for i, (rid, plugin, body) in enumerate(RULES + bulk_rules(bulk, globs))]
     schema = "rule_order int, rule_id string, version int, plugin string, enabled boolean, payload string, has_metadata boolean"
     return prepare_rules(spark, spark.createDataFrame(rows, schema))
 
@@ -122,14 +152,14 @@ k AS (SELECT * FROM h WHERE NOT (coalesce(regexp_matches(target, '(?i)^a\\.b\\.m
 UNION ALL SELECT id, 'Org' FROM k WHERE host = 'example.org' OR host LIKE '%.example.org' UNION ALL SELECT id, 'Blog' FROM k WHERE regexp_matches(host, '^blog\\.[^.]*\\.example\\.[^.]*$')
 UNION ALL SELECT id, 'Transfer' FROM k WHERE remote_host = 'files.transfer.test'""")
 def domain_rules(spark, sf):
-    return _hits(web_timeline(spark, sf), rule_set(spark), detect.domain_hits).select("id", "tool_name")
+    return _hits(web_timeline(spark, sf), rule_set(spark, globs=FEED), detect.domain_hits).select("id", "tool_name")
 
 
 @query("g05_domain_rules_one_label", f"""{_DOMAIN} SELECT id, 'Mega' AS tool_name FROM k WHERE regexp_matches(domain, '^(.[^.]*\\.)?mega\\.example$')
 UNION ALL SELECT id, 'Org' FROM k WHERE regexp_matches(host, '^(.[^.]*\\.)?example\\.org$') UNION ALL SELECT id, 'Blog' FROM k WHERE regexp_matches(host, '^blog\\.[^.]*\\.example\\.[^.]*$')
 UNION ALL SELECT id, 'Transfer' FROM k WHERE remote_host = 'files.transfer.test'""")
 def domain_rules_one_label(spark, sf):
-    rules = rule_set(spark)
+    rules = rule_set(spark, globs=FEED)
     return _hits(web_timeline(spark, sf), rules, detect.domain_hits, domain_hits={"one_label": True}).select("id", "tool_name")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,7 +75,8 @@ def current_rules(rules: DataFrame) -> DataFrame:
 @dataclass
 class RuleSet:
     """Prepared rules. A rule set is hand-written configuration (hundreds of
-    entries), so it lives on the driver and turns into literals of the plan."""
+    entries, or a feed of some ten thousand domains), so it lives on the driver; events
+    meet it as data (`operators.rule_index`). Its size is checked."""
 
     files: list[dict] = field(default_factory=list)
     tokens: list[dict] = field(default_factory=list)
@@ -87,7 +89,16 @@ class RuleSet:
     sigma_excluded: set[str] = field(default_factory=set)
     common_domains: list[str] = field(default_factory=list)
     host_ports: list[tuple[str, int]] = field(default_factory=list)
-    dropped_patterns: int = 0
+    #: Rules that were left out, and why: a bad pattern must not widen its rule.
+    dropped: list[tuple[str, str]] = field(default_factory=list)
+
+
+class BadPattern(ValueError):
+    pass
+
+
+#: Characters of payloads that the driver takes; a rule set is hand-written or a feed.
+MOST_CHARS = 64 << 20
 
 
 def event_types_of(data_types: list[str] | None) -> list[str]:
@@ -104,17 +115,14 @@ def _result(rule_id: str, data: dict | None) -> dict:
 
 
 def prepare_rules(spark: SparkSession, rules: DataFrame) -> RuleSet:
-    """Current rules -> `RuleSet`. Patterns the JVM rejects are dropped and
-    counted; a criterion without a usable pattern counts as not set."""
+    """Current rules -> `RuleSet`. A rule with a pattern that the JVM rejects is left
+    out as a whole, and so is a payload that is no JSON; both are told in `dropped`."""
     out = RuleSet()
 
     def usable(pattern: str | None) -> str | None:
-        if not pattern:
-            return None
-        if is_valid(spark, anywhere(pattern)):
-            return anywhere(pattern)
-        out.dropped_patterns += 1
-        return None
+        if pattern and not is_valid(spark, anywhere(pattern)):
+            raise BadPattern(pattern)
+        return anywhere(pattern) if pattern else None
 
     def usable_all(patterns: list[str] | None) -> list[str]:
         return [p for p in map(usable, patterns or []) if p]
@@ -125,33 +133,50 @@ def prepare_rules(spark: SparkSession, rules: DataFrame) -> RuleSet:
     def lower(value: str | None) -> str:
         return (value or "").lower()
 
-    for row in current_rules(rules).orderBy("rule_order").toLocalIterator():
+    def kept(rid: str, made: list[dict] | None, make: Callable[[dict], dict]) -> list[dict]:
+        found = []
+        for r in made or []:
+            try:
+                found.append(make(r))
+            except BadPattern as e:
+                out.dropped.append((rid, f"bad pattern {e}"))
+        return found
+
+    current = current_rules(rules)
+    if (size := current.agg(F.sum(F.length("payload"))).first()[0] or 0) > MOST_CHARS:
+        raise ValueError(f"a rule set of {size} characters is too large for the driver")
+    for row in current.orderBy("rule_order").toLocalIterator():
+        rid, plugin = row["rule_id"], row["plugin"]
         try:
             body = json.loads(row["payload"] or "{}")
         except ValueError:
+            out.dropped.append((rid, "payload is no JSON"))
             continue
-        rid, plugin = row["rule_id"], row["plugin"]
         if plugin == FILE_PLUGIN:
-            for r in body.get("rules") or []:
+            def file_rule(r: dict) -> dict:
                 m = r.get("matches") or {}
-                out.files.append(_result(rid, r.get("result")) | {
+                return _result(rid, r.get("result")) | {
                     "event_types": event_types_of(m.get("dataTypes")),
                     "extensions": usable_all(m.get("extensions")), "arguments": usable_all(m.get("arguments")),
                 } | {k: usable(m.get(v)) for k, v in {
                     "name": "fileName", "stem": "fileNameNoExt", "path": "path", "parent": "parentProcess",
                     "sources": "sources", "signed": "fileSignedStatus", "task": "taskName",
-                }.items()})
+                }.items()}
+
+            out.files += kept(rid, body.get("rules"), file_rule)
         elif plugin == TOKEN_PLUGIN:
             out.tokens += [_result(rid, r.get("result")) | {"token": lower(r.get("argToken"))} for r in body.get("rules") or []]
         elif plugin == EVENT_PLUGIN:
-            for r in body.get("rules") or []:
+            def event_rule(r: dict) -> dict:
                 m = r.get("matches") or {}
                 payload = {k: usable(v) for k, v in (m.get("payload") or {}).items()}
-                out.events.append(_result(rid, r.get("result")) | {
+                return _result(rid, r.get("result")) | {
                     "event_ids": [int(i) for i in m.get("eventIds") or []],
                     "log_file": usable(m.get("logFileName")), "log_names": usable(m.get("logNames")),
                     "payload": {k: v for k, v in payload.items() if v},
-                })
+                }
+
+            out.events += kept(rid, body.get("rules"), event_rule)
         elif plugin == DOMAIN_PLUGIN:
             out.domains += [
                 _result(rid, d.get("newResultARData"))
@@ -195,9 +220,8 @@ def prepare_rules(spark: SparkSession, rules: DataFrame) -> RuleSet:
         elif plugin == SIGMA_PLUGIN:
             out.sigma_excluded |= {line["guid"] for line in body.get("excludeRulesLines") or []}
         elif plugin == COMMON_DOMAIN_PLUGIN:
-            out.common_domains += usable_all([d.get("host") for d in body.get("commonBitsJobDomains") or []])
+            out.common_domains += filter(None, kept(rid, body.get("commonBitsJobDomains"), lambda d: usable(d.get("host"))))
         elif plugin == HOST_PORT_PLUGIN:
-            for p in body.get("excludedHostPorts") or []:
-                if usable(p.get("host")):
-                    out.host_ports.append((anywhere(p["host"]), int(p.get("port") or 0)))
+            pairs = kept(rid, body.get("excludedHostPorts"), lambda p: (usable(p.get("host")), int(p.get("port") or 0)))
+            out.host_ports += [(host, port) for host, port in pairs if host]
     return out

@@ -203,14 +203,17 @@ def test_rule_file(spark, tmp_path):
     new = {"rules": [
         rule("A", 1, {"rules": [{"argToken": "old", "result": {}}]}), rule("A", 2, {"rules": [{"argToken": "NEW", "result": {"score": "NOTABLE"}}]}),
         rule("B", 1, {"rules": [{"argToken": "off", "result": {}}]}, enabled=False), rule("C", 1, None, meta=False),
-        rule("D", 1, {"rules": [{"matches": {"fileName": "([", "path": "ok"}, "result": {}}]}, "FileCorrelatedCloudRulePlugin_v1"),
+        rule("D", 1, {"rules": [{"matches": {"fileName": "([", "path": "ok"}, "result": {}}, {"matches": {"path": "fine"}, "result": {}}]}, "FileCorrelatedCloudRulePlugin_v1"),
+        rule("E", 1, "no JSON"), rule("F", 1, {"commonBitsJobDomains": [{"host": "a("}, {"host": "b"}]}, "CommonBitsJobDomainCloudRulePlugin_v1"),
     ]}
     (tmp_path / "CloudRules_rv001.json").write_text(json.dumps(old))
     with gzip.open(tmp_path / "CloudRules_rv002.json.gz", "wt") as fh:
         json.dump(new, fh)
     rules = rule_src.prepare_rules(spark, rule_src.read_rules(spark, str(tmp_path)))
     assert [t["token"] for t in rules.tokens] == ["new"]
-    assert rules.dropped_patterns == 1 and rules.files[0]["name"] is None and rules.files[0]["path"] == "(?i)ok"
+    # A rule with a bad pattern is left out, and told; it does not match more.
+    assert [r["path"] for r in rules.files] == ["(?i)fine"] and rules.common_domains == ["(?i)b"]
+    assert rules.dropped == [("D", "bad pattern (["), ("E", "payload is no JSON"), ("F", "bad pattern a(")]
 
 
 def test_sigma_file(spark, capture):
