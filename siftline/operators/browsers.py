@@ -63,6 +63,7 @@ def _linux(kind: str, desc: str, message: Column, at: Column, browser: Column, e
         event_type=event_type, data_type=f"linux:browser:{kind}", message=message,
         times=[(at, desc), (collected(), desc)],
         source=(LINUX, F.concat(F.lit("Linux Collector - "), browser)), attrs=attrs | {"browser": browser},
+        whole=rec("url") if kind == "history" else None,
     )
 
 

@@ -81,6 +81,8 @@ class Emit:
     spread: Column | None = None
     significance: Column | None = None
     suspicious: Column | None = None
+    #: The whole text where the message shows a part of it.
+    whole: Column | None = None
 
 
 def word() -> Column:
@@ -129,6 +131,7 @@ def build(df: DataFrame, spec: Emit) -> DataFrame:
         (spec.significance if spec.significance is not None else F.lit(None).cast("string")).alias("ct_significance"),
         (F.coalesce(spec.suspicious, F.lit(False)) if spec.suspicious is not None else F.lit(False)).alias("is_suspicious"),
         attrs.alias("attrs"),
+        (F.lit(None).cast("string") if spec.whole is None else F.md5(spec.whole.cast("binary"))).alias("content"),
     )
 
 
@@ -141,31 +144,29 @@ def concat_events(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def key_digest(keys: list[str], salt: int) -> Column:
+    """64 bits of the key; (x, NULL) and (NULL, x) are told apart."""
+    return F.xxhash64(F.lit(salt), *[c for k in keys for c in (F.col(k), F.col(k).isNull())])
+
+
 def emit(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Deduplicate: one event per key, the first in source order wins.
 
-    The winner is picked by a `min` over a struct led by `seq`, which combines
-    on the map side, so a key that holds a large share of all rows shrinks to
-    one row per task before the shuffle. A window would send them all to one.
+    Rows meet under 128 bits of the key, two numbers, so sorting and comparing them
+    touches no text. The winner is picked by `seq` (and, of one record's, by a digest of
+    the row) with an aggregate that combines on the map side: a key that holds a large
+    share of all rows shrinks to one row per task before the shuffle. A window would
+    send them all to one.
     """
-    keys = keys or DEDUPE_KEY
-    rest = ["seq"] + [c for c in df.columns if c not in keys and c != "seq" and not _is_map(df, c)]
-    maps = [c for c in df.columns if _is_map(df, c)]
-    packed = [F.col(c) for c in rest] + [F.array_sort(F.map_entries(c)).alias(c) for c in maps]
+    keys = [k for k in keys or DEDUPE_KEY if k in df.columns]
+    plain = [c for c in df.columns if not _is_map(df, c)]
+    order = F.struct("seq", F.xxhash64(*plain, *[F.array_sort(F.map_keys(c)) for c in df.columns if c not in plain]))
     kept = (
         df.where(F.col("datetime").isNotNull())
-        .groupBy(*keys)
-        .agg(F.min(F.struct(*packed)).alias("_first"))
+        .groupBy(key_digest(keys, 1).alias("_k1"), key_digest(keys, 2).alias("_k2"))
+        .agg(F.min_by(F.struct(*df.columns), order).alias("_first"))
     )
-    columns = []
-    for c in df.columns:
-        if c in keys:
-            columns.append(F.col(c))
-        elif c in maps:
-            columns.append(F.map_from_entries(F.col(f"_first.{c}")).alias(c))
-        else:
-            columns.append(F.col(f"_first.{c}").alias(c))
-    return kept.select(*columns)
+    return kept.select("_first.*")
 
 
 def _is_map(df: DataFrame, name: str) -> bool:

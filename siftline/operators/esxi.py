@@ -409,7 +409,7 @@ def environment(df: DataFrame) -> DataFrame:
     name, value = F.substring_index(line, "=", 1), F.regexp_replace(line, "^[^=]*=", "")
     return build(df.where(line.contains("=") & (name != "")), Emit(
         event_type="esxi_environment", data_type="esxi:system:environment",
-        message=F.concat(F.lit("Environment: "), name, F.lit(" = "), ellipsis(value, 100)),
+        message=F.concat(F.lit("Environment: "), name, F.lit(" = "), ellipsis(value, 100)), whole=value,
         times=[(collected(), "Collection Time (Environment Variable)")], source=_source("Environment"),
         attrs={"variable_name": name, "variable_value": value},
     ))

@@ -16,7 +16,7 @@ def mark(ids: DataFrame, site: str, finding: str | None, note: str | None, seq:
     """Log entries that set (or, with None, clear) the finding of the events in
     `ids` (column `event_id`)."""
     return ids.select(
-        F.lit(site).alias("site_id"), F.col("event_id").cast("long"), F.lit(seq).cast("long").alias("seq"),
+        F.lit(site).alias("site_id"), "event_id", F.lit(seq).cast("long").alias("seq"),
         F.lit(finding).cast("string").alias("finding"), F.lit(note).cast("string").alias("finding_note"),
     )
 

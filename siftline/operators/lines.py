@@ -110,7 +110,7 @@ def dash_table(texts: DataFrame, text: str = "text") -> DataFrame:
         return F.transform(
             F.col("_starts"),
             lambda s, i: F.trim(
-                F.substring(row, s, F.coalesce(F.get(F.col("_starts"), i + 1) - s, F.lit(1 << 20)))
+                F.substring(row, s, F.coalesce(F.get(F.col("_starts"), i + 1) - s, F.length(row)))
             ),
         )
 

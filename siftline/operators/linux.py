@@ -57,7 +57,7 @@ def processes(df: DataFrame) -> DataFrame:
     return build(df, Emit(
         where=rec("pid") != "",
         event_type="running_process", data_type="linux:process:running",
-        message=say("Running: {b} (PID:{pid}) {d}", b=base, d=ellipsis(shown, 200)),
+        message=say("Running: {b} (PID:{pid}) {d}", b=base, d=ellipsis(shown, 200)), whole=shown,
         times=[
             (event_time(rec("collection_timestamp")), "Collection Time (Process Running)"),
             (collected(), "Collection Time (Process Running)"),
@@ -147,7 +147,7 @@ def firewall(df: DataFrame) -> DataFrame:
     single = Emit(
         where=F.col("line").startswith("-A "),
         event_type="firewall_rule", data_type="linux:firewall:rule",
-        message=say("{label} rule: {r}", r=ellipsis(F.col("line"), 200)),
+        message=say("{label} rule: {r}", r=ellipsis(F.col("line"), 200)), whole=F.col("line"),
         times=[(collected(), "Collection Time (Firewall Rule)")],
         source=_source(rec("label")),
         attrs={"setting": "label", "rule": F.col("line")},
@@ -406,7 +406,7 @@ def cron_lines(df: DataFrame) -> DataFrame:
     return build(_content(df), Emit(
         where=~(text.contains("=") & ~text.rlike("[ \t]")),
         event_type="scheduled_task", data_type="linux:cron:entry",
-        message=F.concat(F.lit("Cron entry: "), ellipsis(text, 200)),
+        message=F.concat(F.lit("Cron entry: "), ellipsis(text, 200)), whole=text,
         times=[(collected(), "Collection Time (Scheduled Task)")],
         source=_source("cron"),
         attrs={
@@ -452,7 +452,7 @@ def key_lines(df: DataFrame) -> DataFrame:
     return _content(df).withColumn("_parts", parts).where(F.size("_parts") >= 2).withColumn(
         "rec", F.create_map(
             F.lit("type"), F.get("_parts", F.lit(0)), F.lit("data"), F.get("_parts", F.lit(1)),
-            F.lit("comment"), F.array_join(F.slice("_parts", 3, 1 << 20), " "),
+            F.lit("comment"), F.array_join(F.slice("_parts", F.lit(3), F.size("_parts")), " "),
         )
     )
 
@@ -523,7 +523,7 @@ def history_emit(data_type: str, source: tuple) -> Emit:
     cmd = F.col("cmd")
     return Emit(
         event_type="shell_command", data_type=data_type,
-        message=F.concat(F.lit("Shell command: "), ellipsis(cmd, 200), opt(" (User: {u})", u=user)),
+        message=F.concat(F.lit("Shell command: "), ellipsis(cmd, 200), opt(" (User: {u})", u=user)), whole=cmd,
         times=[(F.col("at"), "Shell Command Recorded"), (F.col("mtime"), "Shell Command Recorded")],
         source=source,
         attrs={"command": cmd, "user_id": user, "shell_file": base_name(F.col("rel")), "line": F.col("line_no")},
@@ -702,13 +702,14 @@ def environment(df: DataFrame) -> DataFrame:
     """`NAME=value` lines; values of secret-looking names are redacted."""
     line = F.trim("line")
     name = F.substring_index(line, "=", 1)
-    value = ellipsis(redact_secret(name, F.regexp_replace(line, "^[^=]*=", "")), 200)
+    whole = redact_secret(name, F.regexp_replace(line, "^[^=]*=", ""))
+    value = ellipsis(whole, 200)
     return build(df, Emit(
         where=line.contains("="),
         event_type="os_config", data_type="linux:os:env_var",
-        message=F.concat(F.lit("Environment: "), name, F.lit("="), value),
+        message=F.concat(F.lit("Environment: "), name, F.lit("="), value), whole=whole,
         times=[(collected(), "Environment Variable")], source=_source("env"),
-        attrs={"setting": name, "value": value, "group": F.lit("Environment"), "var_name": name, "var_value": value},
+        attrs={"setting": name, "value": value, "group": F.lit("Environment"), "var_name": name, "var_value": value, "whole_value": F.when(whole != value, whole)},
     ))
 
 
@@ -718,7 +719,7 @@ def _status(kind: str, label: str, setting: str, group: str, lead: str, desc: st
     return Emit(
         where=(rec("kind") == kind) & (body != ""),
         event_type="os_config", data_type=f"linux:os:{setting}",
-        message=F.concat(F.lit(lead), ellipsis(shown, 200)),
+        message=F.concat(F.lit(lead), ellipsis(shown, 200)), whole=shown,
         times=[(collected(), desc)], source=_source(label),
         attrs={"setting": F.lit(setting), "group": F.lit(group), "detail": body},
     )

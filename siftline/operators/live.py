@@ -43,7 +43,7 @@ def processes(df: DataFrame) -> DataFrame:
     )
     return build(df, Emit(
         event_type="running_process", data_type="ct:memory:process",
-        message=F.concat(say("Running: {n} (PID:{pid})", n=name), opt(" {c}", c=ellipsis(rec("command_line"), 100))),
+        message=F.concat(say("Running: {n} (PID:{pid})", n=name), opt(" {c}", c=ellipsis(rec("command_line"), 100))), whole=rec("command_line"),
         times=[
             (event_time(rec("start_time")), "Process Start Time"), (collected(), "Collection Time (Process Running)"),
         ],
@@ -51,7 +51,7 @@ def processes(df: DataFrame) -> DataFrame:
         attrs={
             "process_name": name, "process_path": "path", "command_line": "command_line", "pid": "pid",
             "ppid": "ppid", "user_id": user, "user_domain": domain, "md5": "md5", "memory_mb": "memory_mb",
-            "loaded_modules": loaded,
+            "loaded_modules": loaded, "all_modules": F.when(F.size(modules) > 50, F.array_join(modules, "; ")),
         },
     ))
 
@@ -189,7 +189,7 @@ def services(df: DataFrame) -> DataFrame:
 def startup_items(df: DataFrame) -> DataFrame:
     return build(df, Emit(
         event_type="startup_item", data_type="windows:registry:run",
-        message=F.concat(say("Startup item: {name}"), opt(" ({c})", c=ellipsis(rec("command"), 80))),
+        message=F.concat(say("Startup item: {name}"), opt(" ({c})", c=ellipsis(rec("command"), 80))), whole=rec("command"),
         times=[(collected(), "Collection Time (Startup Configuration)")],
         source=_source("Startup Items"),
         attrs={
@@ -231,7 +231,7 @@ def accessed_data(df: DataFrame) -> DataFrame:
 def os_config(df: DataFrame) -> DataFrame:
     return build(df, Emit(
         event_type="os_config", data_type="ct:os:config_setting",
-        message=F.concat(say("OS Config: {name}"), opt(" = {v}", v=ellipsis(rec("value"), 80))),
+        message=F.concat(say("OS Config: {name}"), opt(" = {v}", v=ellipsis(rec("value"), 80))), whole=rec("value"),
         times=[(collected(), "Collection Time (OS Configuration)")],
         source=_source("OS Configuration"),
         attrs={"setting": "name", "value": "value", "group": "category", "detail": "detail"},

@@ -43,7 +43,7 @@ def processes(df: DataFrame) -> DataFrame:
     return build(df, Emit(
         where=F.coalesce(pid, F.lit(0)) != 0,
         event_type="running_process", data_type="darwin:process:running",
-        message=say("Running: {b} (PID:{pid}) {c}", b=base_name(program), c=ellipsis(rec("cmd"), 120)),
+        message=say("Running: {b} (PID:{pid}) {c}", b=base_name(program), c=ellipsis(rec("cmd"), 120)), whole=rec("cmd"),
         times=[(collected(), "Collection Time (Process Running)")],
         source=_source("ps auxwwe"),
         attrs={"process_name": base_name(program), "process_path": program, "command_line": "cmd", "pid": "pid"}
@@ -524,7 +524,7 @@ def unified_log(df: DataFrame) -> DataFrame:
     return build(df, Emit(
         where=(text != "") | (process != ""),
         event_type="os_log", data_type="darwin:unifiedlog:event",
-        message=say("[{s}] {p}: {t}", s=subsystem, p=process, t=ellipsis(text, 1024)),
+        message=say("[{s}] {p}: {t}", s=subsystem, p=process, t=ellipsis(text, 1024)), whole=text,
         times=[(at, "Unified Log Event")], source=_source("UnifiedLog"),
         attrs={
             "subsystem": subsystem, "category": pick("category", "Category"), "process": process,

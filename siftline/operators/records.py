@@ -239,45 +239,70 @@ def powershell_history(df: DataFrame) -> DataFrame:
     ))
 
 
-def occurrences(df: DataFrame, text: Column, patterns: list[str], width: int = CONTEXT_WIDTH) -> DataFrame:
-    """Every non-overlapping occurrence of each literal pattern in the whole
-    text: `pattern`, `offset` (0-based) and `context` of ±`width` characters.
+def _overlaps_itself(pattern: str) -> bool:
+    return any(pattern.startswith(pattern[i:]) for i in range(1, len(pattern)))
 
-    Offsets are the running length of the pieces between occurrences, so the
-    text is split once per pattern; nothing is shuffled.
+
+def occurrences(df: DataFrame, text: Column, patterns: list[str], width: int = CONTEXT_WIDTH, block: int = 1 << 20) -> DataFrame:
+    """Every occurrence of each literal pattern in the whole text: `pattern`, `offset`
+    (0-based) and `context` of ±`width` characters.
+
+    The text is cut into blocks of characters, each with a margin of its neighbours,
+    so what goes on is no more than the text once. One pattern of all alternatives then
+    cuts a block where an occurrence begins, and the context is taken there, before rows
+    multiply. Nothing is shuffled. A pattern that may overlap itself would need what
+    stands before the block; such patterns are refused.
     """
-    def found(pattern: str) -> Column:
-        pieces = F.split(text, r"\Q" + pattern + r"\E", -1)
-        ends = F.transform(
-            F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p)
-        )
+    if wrong := [p for p in patterns if not p or _overlaps_itself(p)]:
+        raise ValueError(f"patterns that are empty or overlap themselves: {wrong}")
+    longest = max(map(len, patterns))
+    margin = max(width, longest)
+    known = F.array(*map(F.lit, patterns))
+    begins = "(?=" + "|".join(r"\Q" + p + r"\E" for p in patterns) + ")"
+
+    def around(blocks: Column) -> Column:
+        def one(piece: Column, i: Column) -> Column:
+            before, behind = F.when(i > 0, F.get(blocks, i - 1)), F.get(blocks, i + 1)
+            lead = F.coalesce(F.substring(before, F.length(before) - margin + 1, F.lit(margin)), F.lit(""))
+            return F.struct((i.cast("long") * block).alias("base"), F.length(lead).alias("lead"), F.length(piece).alias("size"),
+                            F.concat(lead, piece, F.coalesce(F.substring(behind, F.lit(1), F.lit(margin)), F.lit(""))).alias("text"))
+        return F.transform(blocks, one)
+
+    def hits(b: Column) -> Column:
+        pieces = F.split(b["text"], begins, -1)
         starts = F.aggregate(
-            ends,
-            F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all")),
-            lambda acc, n: F.struct(
-                (acc["at"] + n + len(pattern)).alias("at"), F.array_append(acc["all"], acc["at"] + n).alias("all")
-            ),
-            lambda acc: acc["all"],
-        )
-        return F.transform(starts, lambda o: F.struct(F.lit(pattern).alias("pattern"), o.alias("offset")))
-
-    hits = F.flatten(F.array(*[F.when(text.contains(p), found(p)).otherwise(F.expr("cast(array() as array<struct<pattern:string,offset:int>>)")) for p in patterns]))
-    begin = F.greatest(F.col("offset") - width, F.lit(0))
-    return (
-        df.withColumn("_text", text)
-        .select("*", F.inline(hits))
-        .withColumn("context", printable(F.substring(F.col("_text"), begin + 1, F.col("offset") + width - begin)))
-        .drop("_text")
-    )
+            F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all")),
+            lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["all"], acc["at"] + F.length(p)).alias("all")),
+            lambda acc: acc["all"])
+        # Java finds nothing before a first occurrence at the very start.
+        starts = F.when(b["text"].rlike("^" + begins), F.array_union(F.array(F.lit(0)), starts)).otherwise(starts)
+        own = F.filter(starts, lambda o: (o >= b["lead"]) & (o < b["lead"] + b["size"]))
+
+        def here(o: Column) -> Column:
+            begin = F.greatest(o - width, F.lit(0))
+            told = printable(F.substring(b["text"], begin + 1, o + width - begin))
+            found = F.filter(known, lambda p: F.startswith(F.substring(b["text"], o + 1, F.lit(longest)), p))
+            return F.transform(found, lambda p: F.struct(p.alias("pattern"), (b["base"] + o - b["lead"]).alias("offset"), told.alias("context")))
+
+        return F.flatten(F.transform(own, here))
+
+    # Texts without any of the patterns go no further.
+    some = df.withColumn("_text", text).where(F.col("_text").rlike("|".join(r"\Q" + p + r"\E" for p in patterns)))
+    whole = some.withColumn("_blocks", F.regexp_extract_all("_text", F.lit("(?s).{1,%d}" % block), 0)).drop("_text")
+    blocks = whole.select(*df.columns, F.explode(around(F.col("_blocks"))).alias("_block"))
+    return blocks.withColumn("_hits", hits(F.col("_block"))).drop("_block").select(*df.columns, F.inline("_hits"))
 
 
 @builder("wmi_repository")
 def repository_keywords(df: DataFrame) -> DataFrame:
     """Persistence keywords in repository text (`rec`: text, file)."""
     df = occurrences(df, rec("text"), REPOSITORY_PATTERNS)
+    # Rows go on without the text.
+    df = df.withColumn("rec", F.map_filter("rec", lambda k, _: k != "text"))
     return build(df, Emit(
         event_type="wmi_persistence", data_type="windows:wmi:persistence",
         message=F.concat(F.lit("WMI: "), F.col("pattern"), F.lit(" found in OBJECTS.DATA")),
         times=[(collected(), "WMI Repository Analysis (Collection Time)")], source=("CT-WMI", "WMI Repository"),
-        attrs={"pattern": F.col("pattern"), "context": F.col("context"), "file": "file"},
+        attrs={"pattern": F.col("pattern"), "context": F.col("context"), "file": "file", "offset": F.col("offset")},
+        whole=F.concat_ws("\u0000", rec("file"), "pattern", F.col("offset").cast("string")),
     ))

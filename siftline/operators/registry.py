@@ -156,7 +156,7 @@ def user_values(df: DataFrame) -> DataFrame:
         "registry_typedurls", "windows:registry:typedurls", "TypedURLs Key Modified",
         ellipsis(F.concat(F.lit("Browser URL typed: "), url), 200),
         at(r"Software\Microsoft\Internet Explorer\TypedURLs") & rec("value_name").startswith("url") & (url != ""),
-        attrs={"url": "value_string", "entry_number": "value_name"},
+        attrs={"url": "value_string", "entry_number": "value_name"}, whole=url,
     )
     query = utf16_text()
     searched = _registry(
@@ -189,7 +189,7 @@ def user_lists(df: DataFrame) -> DataFrame:
     return build_all(folded, [
         _registry(
             "registry_typedpaths", "windows:registry:typedurls", "TypedPaths Key Modified",
-            ellipsis(F.concat(F.lit("Explorer path typed: "), texts), 200), paths_key, attrs={"typed_paths": texts},
+            ellipsis(F.concat(F.lit("Explorer path typed: "), texts), 200), paths_key, attrs={"typed_paths": texts}, whole=texts,
         ),
         _registry(
             "registry_runmru", "windows:registry:mrulist", "RunMRU Key Modified",
@@ -204,9 +204,8 @@ def user_lists(df: DataFrame) -> DataFrame:
 
 @builder("registry.shell_bags")
 def shell_bags(df: DataFrame) -> DataFrame:
-    """Folder keys, at most ten levels below the top one."""
-    rest = F.size(F.split(rec("key_path"), r"\\")) - F.lit(SHELL_BAGS.count("\\") + 1)
-    df = per_key(df, {}, (at(SHELL_BAGS) | under(SHELL_BAGS)) & (rest <= 10))
+    """Folder keys, at any depth."""
+    df = per_key(df, {}, at(SHELL_BAGS) | under(SHELL_BAGS))
     return build(df, _registry(
         "registry_shellbag", "windows:registry:bagmru", "ShellBag Key Modified",
         F.concat(F.lit("Folder accessed (ShellBag): "), key_name()), F.lit(True),

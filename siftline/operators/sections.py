@@ -70,7 +70,7 @@ def processes(df: DataFrame) -> DataFrame:
         event_type="running_process", data_type="ct:memory:process",
         message=F.concat(
             say("Running: {n} (PID:{pid})", n=_program()), opt(" {a}", a=ellipsis(rec("args"), 100))
-        ),
+        ), whole=rec("args"),
         times=[(start, "Process Start Time"), (collected(), "Collection Time (Process Running)")],
         source=("CT-Memory", "SystemAPI - Running Processes"),
         attrs=common | {"pid": "pid"},
@@ -319,7 +319,7 @@ def log_lines(df: DataFrame) -> DataFrame:
 def os_settings(df: DataFrame) -> DataFrame:
     return build(_info(df), with_analysis(Emit(
         event_type="os_config", data_type="ct:os:config_setting",
-        message=F.concat(say("OS Config: {setting}"), opt(" = {v}", v=ellipsis(rec("value"), 80))),
+        message=F.concat(say("OS Config: {setting}"), opt(" = {v}", v=ellipsis(rec("value"), 80))), whole=rec("value"),
         times=[
             (collected(), "Collection Time (OS Configuration)"),
             (epoch_ms(info("lastWriteTime")), "Collection Time (OS Configuration)"),

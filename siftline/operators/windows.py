@@ -221,6 +221,7 @@ def evtx_events(df: DataFrame) -> DataFrame:
                 "record_number": "record_id", "user_sid": "user_sid",
             },
             spread=F.col("_fields"),
+            whole=F.when((eid == 4104) & F.col("_fields")["ScriptBlockText"].isNotNull(), F.col("_fields")["ScriptBlockText"]),
         ),
     )
 

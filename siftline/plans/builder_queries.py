@@ -460,15 +460,22 @@ def keyword_occurrences(spark, sf):
     )
 
 
-@query("c38_repository_events", """SELECT 'u' || (doc_id % 5) AS upload_id, 'WMI: ' || p || ' found in OBJECTS.DATA' AS message, min(doc_id) AS seq FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'cmd.exe' ELSE 'mshta' END AS p FROM documents) GROUP BY 1, 2""")
+# Hits of one pattern at different places of a file are different events.
+@query("c38_repository_events", """SELECT 'u' || (doc_id % 5) AS upload_id, 'WMI: ' || p || ' found in OBJECTS.DATA' AS message, CAST(o AS VARCHAR) AS at, min(doc_id) AS seq FROM (
+ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'cmd.exe' ELSE 'mshta' END AS p, length(text) + 1 + unnest(CASE WHEN doc_id % 3 = 0 THEN [0, 8] ELSE [0] END) AS o FROM documents) GROUP BY doc_id % 5, p, o""")
 def repository_events(spark, sf):
     docs = read(spark, sf, "documents").withColumn("seq", F.col("doc_id"))
     body = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit(" cmd.exe cmd.exe")).otherwise(F.lit(" mshta")))
     recs = as_records(docs, {"text": body, "file": F.lit("OBJECTS.DATA")}, upload=F.concat(F.lit("u"), (F.col("doc_id") % 5).cast("string")))
-    return emit(records.repository_keywords(recs)).select("upload_id", "message", "seq")
+    return emit(records.repository_keywords(recs)).select("upload_id", "message", F.col("attrs")["offset"].alias("at"), "seq")
 
 
-@query("c43_cloud_and_mail", f"""{WITH_EVENTS} SELECT event_type, count(*) AS n FROM (SELECT CASE k % 4 WHEN 0 THEN 'entra_signin' WHEN 1 THEN 'entra_audit' WHEN 2 THEN 'mdo_url_click' ELSE 'mdo_email_event' END AS event_type FROM ev) GROUP BY 1""")
+@query("c43_cloud_and_mail", f"""{WITH_EVENTS}, e AS (SELECT *, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '.000Z' AS w FROM ev)
+SELECT id AS seq, w AS at, CASE k % 4 WHEN 0 THEN 'Entra ID Sign-In Event' WHEN 1 THEN 'Entra ID Audit Event' ELSE 'MDO Event Time' END AS timestamp_desc,
+ CASE WHEN k % 4 < 2 THEN 'Entra: u' || user_id || ' ->  from 9.9.9.9 (' || id || ')' WHEN k % 4 = 2 THEN 'MDO URL Click: http://x/' || id ELSE 'MDO Email: u' || user_id || ' -> : ' || id END AS message,
+ CASE k % 4 WHEN 0 THEN 'entra_signin' WHEN 1 THEN 'entra_audit' WHEN 2 THEN 'mdo_url_click' ELSE 'mdo_email_event' END AS event_type,
+ CASE WHEN k % 4 < 2 THEN CAST(id AS VARCHAR) END AS resource, CASE WHEN k % 4 >= 2 THEN CAST(id AS VARCHAR) END AS mail_id, CASE WHEN k % 4 = 2 THEN 'http://x/' || id END AS url,
+ CASE k % 4 WHEN 0 THEN 4 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 3 END AS n_attrs FROM e""")
 def cloud_and_mail(spark, sf):
     df = raw_events(spark, sf).withColumn("seq", F.col("id"))
     k, at, user = F.col("k"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.concat(F.lit("u"), F.col("user_id").cast("string"))
@@ -480,14 +487,19 @@ def cloud_and_mail(spark, sf):
         "ClickTime": F.when(k % 4 == 2, at), "Timestamp": at, "NetworkMessageId": F.col("id"), "SenderAddress": user, "Subject": F.col("id"),
         "Url": F.concat(F.lit("http://x/"), F.col("id").cast("string")),
     })
-    return run_all({"cloud": cloud, "mail": mail}).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    a = F.col("attrs")
+    return shown(run_all({"cloud": cloud, "mail": mail}), a["resourceDisplayName"].alias("resource"), a["networkMessageId"].alias("mail_id"), a["url"].alias("url"),
+                 F.size(a).alias("n_attrs"))
 
 
-@query("k01_run_all", f"""{WITH_EVENTS} SELECT event_type, count(*) AS n FROM (SELECT DISTINCT 'dns_cache_entry' AS event_type, user_id FROM ev UNION ALL SELECT DISTINCT 'routing_entry', user_id FROM ev) GROUP BY 1""")
+@query("k01_run_all", f"""{WITH_EVENTS}, first AS (SELECT user_id, min(id) AS seq FROM ev GROUP BY user_id)
+SELECT seq, '{COLLECTED}' AS at, 'Collection Time (DNS Cache Snapshot)' AS timestamp_desc, 'DNS Cache: ' || user_id || ' -> 1.1.1.1' AS message, 'dns_cache_entry' AS event_type, CAST(user_id AS VARCHAR) AS hostname, NULL AS destination FROM first
+UNION ALL SELECT seq, '{COLLECTED}', 'Collection Time (Routing Table Snapshot)', 'Route: ' || user_id || ' (direct)', 'routing_entry', NULL, CAST(user_id AS VARCHAR) FROM first""")
 def run_registered(spark, sf):
     df = raw_events(spark, sf).withColumn("seq", F.col("id"))
     user = F.col("user_id").cast("string")
-    return run_all({
+    out = run_all({
         "live.dns_cache": as_records(df, {"name": user, "data": F.lit("1.1.1.1")}),
         "live.routing_table": as_records(df, {"destination": user}),
-    }).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    })
+    return shown(out, F.col("attrs")["hostname"].alias("hostname"), F.col("attrs")["destination"].alias("destination"))

@@ -27,12 +27,15 @@ EVENT_SCHEMA = T.StructType(
         T.StructField("ct_significance", T.StringType()),
         T.StructField("is_suspicious", T.BooleanType()),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+        # Digest of the whole text of which the message shows a part, NULL where it
+        # shows all; events are told apart by it.
+        T.StructField("content", T.StringType()),
     ]
 )
 
 EVENT_COLUMNS = [f.name for f in EVENT_SCHEMA.fields]
 
-DEDUPE_KEY = ["upload_id", "datetime", "timestamp_desc", "message", "event_type"]
+DEDUPE_KEY = ["upload_id", "datetime", "timestamp_desc", "message", "event_type", "content"]
 
 # Columns of the stored table that a field filter addresses directly; any other
 # name is looked up in the attribute bag.

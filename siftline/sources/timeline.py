@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from siftline.functions.text import blank_to_null, strip_control_escapes
 from siftline.functions.times import INGEST_FORMATS
 from siftline.functions.values import drop_empty, loose_boolean, once, parse_map
-from siftline.schema import EVENT_COLUMNS, PROMOTED
+from siftline.operators.build import key_digest
+from siftline.schema import DEDUPE_KEY, EVENT_COLUMNS, EVENT_SCHEMA, PROMOTED
 
 BASE_KEYS = [
     "datetime", "timestamp_desc", "message", "event_type", "data_type", "source_short", "source_long", "host_name",
@@ -48,7 +49,7 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(text("event_type"), F.lit("unknown")).alias("event_type"), text("data_type").alias("data_type"),
         text("source_short").alias("source_short"), text("source_long").alias("source_long"),
         text("ct_significance").alias("ct_significance"),
-        loose_boolean(F.col("attrs")["is_suspicious"]).alias("is_suspicious"), "attrs",
+        loose_boolean(F.col("attrs")["is_suspicious"]).alias("is_suspicious"), "attrs", F.lit(None).cast("string").alias("content"),
     )
     reason = F.when(F.col("attrs").isNull(), F.lit("not a JSON object")).otherwise(F.lit("unreadable datetime"))
     bad = parsed.where(F.col("_at").isNull()).select("upload_id", "site_id", "seq", "line", reason.alias("reason"))
@@ -99,10 +100,15 @@ def write_timeline(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
 
 
 def with_id(df: DataFrame) -> DataFrame:
-    """Deterministic event id out of the capture and the dedupe key."""
-    return df.withColumn(
-        "id", F.xxhash64("upload_id", "datetime", "timestamp_desc", "message", "event_type")
-    )
+    """Deterministic event id: 128 bits of the dedupe key, in which the capture is."""
+    keys = [k for k in DEDUPE_KEY if k in df.columns]
+    return df.withColumn("id", F.concat(*[F.lpad(F.lower(F.hex(key_digest(keys, salt))), 16, "0") for salt in (1, 2)]))
+
+
+def event_columns(df: DataFrame) -> DataFrame:
+    """The event columns; those that `df` lacks are NULL."""
+    kinds = {f.name: f.dataType for f in EVENT_SCHEMA.fields}
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in EVENT_COLUMNS])
 
 
 def promote(df: DataFrame) -> DataFrame:
@@ -118,7 +124,7 @@ def save_events(df: DataFrame, path: str) -> None:
     over many tasks and join small ones; inside a file rows are sorted by type
     and time, so that row-group statistics prune.
     """
-    out = promote(with_id(df.select(*EVENT_COLUMNS)))
+    out = promote(with_id(event_columns(df)))
     (
         out.hint("rebalance", "site_id", "upload_id")
         .sortWithinPartitions("site_id", "upload_id", "event_type", "datetime")

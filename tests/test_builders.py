@@ -353,7 +353,51 @@ def test_small_kinds(spark):
     assert {(r["message"], r["is_suspicious"], r["attrs"]["user_sid"]) for r in ps} == {("PS> ls", False, "S-1-5-21-9"), ("PS> iex (x)", True, "S-1-5-21-9")}
     hits = recs.occurrences(records(spark, [{"text": "ab" * 3 + "mshta" + "\u0001" + "mshta"}]), F.col("rec")["text"], ["mshta", "none"], width=3)
     assert [(r["pattern"], r["offset"], r["context"]) for r in hits.orderBy("offset").collect()] == [("mshta", 6, "babmsh"), ("mshta", 12, "ta.msh")]
+    # Occurrences across blocks, at both ends, and of a pattern that ends inside another.
+    text = "mshta" + "é" * 18 + "cmd.exemshta" + "x" * 7 + "certutil"
+    found = recs.occurrences(records(spark, [{"text": text}]), F.col("rec")["text"], ["mshta", "cmd.exe", "certutil", "exem"], width=4, block=10)
+    assert sorted((r["offset"], r["pattern"], r["context"]) for r in found.collect()) == [
+        (0, "mshta", "msht"), (23, "cmd.exe", "....cmd."), (27, "exem", "cmd.exem"), (30, "mshta", ".exemsht"), (42, "certutil", "xxxxcert")]
+    assert "rec" in found.columns and "_text" not in found.columns
+    with pytest.raises(ValueError, match="overlap"):
+        recs.occurrences(records(spark, [{"text": text}]), F.col("rec")["text"], ["abca"])
     rows = records(spark, [{"TimeStamp": "45292.0", "AppId": "5", "UserId": "6", "ConnectedTime": "9"}])
     ids = spark.createDataFrame([("u1", 6, "bob")], "upload_id string, id_index long, name string")
     assert messages(recs.usage_connectivity(recs.name_usage_ids(rows, ids, "Network"))) == ["Network connectivity: Network-5 (user: bob, connected: 9s)"]
     assert messages(recs.usage_application(recs.name_usage_ids(rows, ids))) == ["App usage: App-5 (user: bob, fg: 0, bg: 0)"]
+
+
+# ---------------------------------------------------------- events told apart
+
+def test_events_are_told_apart_by_their_whole_text(spark):
+    from siftline.operators.build import emit
+
+    long = "run " + "x" * 300
+    df = lines(spark, "\n".join([long + " one", long + " two", long + " two"]), file="u/.bash_history")
+    out = emit(BUILDERS["linux.shell_history"](df)).collect()
+    assert sorted(r["attrs"]["command"][-3:] for r in out) == ["one", "two"] and len({r["message"] for r in out}) == 1
+    hits = emit(BUILDERS["wmi_repository"](records(spark, [{"file": "f", "text": "mshta mshta mshta"}, {"file": "f", "text": "mshta"}]))).collect()
+    assert sorted(int(r["attrs"]["offset"]) for r in hits) == [0, 6, 12] and all("text" not in r["attrs"] for r in hits)
+    modules = '[' + ",".join(f'"m{i}"' for i in range(60)) + ']'
+    process = BUILDERS["live.processes"](records(spark, [{"name": "a", "pid": "1", "modules": modules}])).collect()[0]["attrs"]
+    assert process["loaded_modules"] == "60 modules loaded" and process["all_modules"].count(";") == 59
+    deep = records(spark, [{"hive": "U", "key_path": registry.SHELL_BAGS + r"\0" * 14, "key_time": "2024-01-01T00:00:00Z"}])
+    assert BUILDERS["registry.shell_bags"](deep).count() == 1
+
+
+def test_first_of_equal_events_stays(spark):
+    from siftline.operators.build import emit
+
+    rows = [(s, m, {"k": str(s)}) for s in (5, 3, 9) for m in ("a", "b", None)]
+    df = spark.createDataFrame(rows, "seq long, message string, attrs map<string,string>").withColumns({
+        "upload_id": F.lit("u"), "datetime": F.lit("2024-01-01").cast("timestamp"), "timestamp_desc": F.lit(None).cast("string"), "event_type": F.lit("t")})
+    assert {(r["message"], r["seq"], r["attrs"]["k"]) for r in emit(df.repartition(3)).collect()} == {("a", 3, "3"), ("b", 3, "3"), (None, 3, "3")}
+
+
+def test_event_ids_tell_null_places_apart(spark):
+    from siftline.sources.timeline import with_id
+
+    df = spark.createDataFrame([("x", None, None), (None, "x", None), (None, None, "x"), ("x", None, None)], "timestamp_desc string, message string, content string")
+    df = df.withColumns({"upload_id": F.lit("u"), "datetime": F.lit(0).cast("timestamp"), "event_type": F.lit("t")})
+    ids = [r["id"] for r in with_id(df).collect()]
+    assert ids[0] == ids[3] and len(set(ids)) == 3 and all(len(i) == 32 for i in ids)
