@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftline.functions.times import iso_ms
 from siftline.functions.values import attribute_map
 from siftline.plans.detection_queries import rule_set
-from siftline.plans.mapping import WITH_EVENTS
+from siftline.plans.mapping import WITH_EVENTS, read
 from siftline.plans.registry import query
 from siftline.session import shared_folder
 from siftline.streaming import jobs
@@ -58,6 +58,28 @@ _BASE = f"""{WITH_EVENTS}, e AS (SELECT *, 'u' || (user_id % 4) AS upload_id, 'h
  'user ' || user_id || CASE WHEN user_id % 3 = 0 THEN ' anydesk' ELSE '' END AS message, CASE WHEN kind = 'error' THEN 'logon_failed' ELSE kind END AS event_type FROM ev)"""
 
 
+@query("j01_stream_captures", f"""{_BASE}, t AS (SELECT *, h - INTERVAL 1 YEAR * (user_id % 3) AS w FROM e)
+SELECT DISTINCT 's0' AS site_id, upload_id, strftime(w, '{ISO}') AS datetime, message, event_type FROM t""")
+def stream_captures(spark, sf):
+    """Captures that arrive in three batches and hold events years apart; the first
+    file of all lands twice."""
+    landing, table, ckpt = (shared_folder(spark, f"captures-{n}") for n in ("landing", "table", "ckpt"))
+    user = F.col("user_id").cast("string")
+    events = read(spark, sf, "events").select(
+        F.lit("s0").alias("site"), F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string")).alias("capture"), (F.col("event_id") % 3).alias("batch"),
+        F.to_json(F.struct(
+            iso_ms(F.date_trunc("hour", F.col("ts").cast("timestamp")) - F.make_ym_interval(F.col("user_id").cast("int") % 3, F.lit(0))).alias("datetime"),
+            F.lit("d").alias("timestamp_desc"), F.when(F.col("event_type") == "error", F.lit("logon_failed")).otherwise(F.col("event_type")).alias("event_type"),
+            F.concat(F.lit("user "), user, F.when(F.col("user_id") % 3 == 0, F.lit(" anydesk")).otherwise(F.lit(""))).alias("message"),
+        )).alias("value"))
+    for part in (events.where("batch = 0"), events.where("batch = 1"), events.where("batch <> 1")):
+        part.select("site", "capture", "value").write.mode("append").partitionBy("site", "capture").text(landing)
+        jobs.stream_captures(spark, landing, table, ckpt).awaitTermination()
+    # Folder names are the captures' keys here.
+    name = lambda c: F.substring_index(c, "=", -1).alias(c)
+    return spark.read.parquet(table).select(name("site_id"), name("upload_id"), iso_ms(F.col("datetime")).alias("datetime"), "message", "event_type")
+
+
 @query("j02_stream_dedupe", f"{_BASE} SELECT DISTINCT upload_id, strftime(h, '{ISO}') AS datetime, message, event_type FROM e")
 def stream_dedupe(spark, sf):
     out = _finish(spark, jobs.dedupe_stream(_stream(spark, sf)), "append")

@@ -133,6 +133,15 @@ def save_events(df: DataFrame, path: str) -> None:
     )
 
 
+def add_events(df: DataFrame, path: str) -> None:
+    """Append events to their captures' partitions as further files."""
+    out = promote(with_id(event_columns(df)))
+    (
+        out.hint("rebalance", "site_id", "upload_id").sortWithinPartitions("site_id", "upload_id", "event_type", "datetime")
+        .write.mode("append").partitionBy("site_id", "upload_id").parquet(path)
+    )
+
+
 def load_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
-from siftline.operators.build import emit
+from siftline.functions.values import any_of
+from siftline.operators.build import emit, key_digest
 from siftline.operators.detect import detect, fold
 from siftline.operators.filters import NOTABLE
 from siftline.operators.summaries import NOISY_EVENTS, REMOTE_TOOLS, remote_tool
 from siftline.schema import DEDUPE_KEY, EVENT_COLUMNS, EVENT_SCHEMA
 from siftline.sources.rules import RuleSet
-from siftline.sources.timeline import parse_lines, promote, save_events, with_id
+from siftline.sources.timeline import add_events, event_columns, parse_lines, promote, save_events, with_id
 
 LANDING = r"/([^/]+)/([^/]+)/[^/]*$"
 
@@ -35,14 +38,19 @@ def arriving_events(spark: SparkSession, landing: str, max_files: int = 1000) ->
     return parse_lines(arriving_lines(spark, landing, max_files))[0]
 
 
-def dedupe_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop repeats of the dedupe key that arrive within `delay` of the first.
+def dedupe_stream(events: DataFrame, life: str = "30 days", arrived: Column | None = None) -> DataFrame:
+    """Drop repeats of the dedupe key that arrive while their capture is open, that is
+    within `life` of the key's first arrival; then its state is freed.
 
-    The watermark follows the time of arrival. Captures hold years of events in
-    any order, so a watermark on the event's own time would drop history.
+    The state holds 128 bits of a key, no text. The clock is that of arrival
+    (`arrived`, by default now): captures hold years of events in any order, so a
+    watermark on the event's own time would drop history. `stream_captures` knows no
+    such end, for it asks the table.
     """
-    arriving = events.withColumn("_arrived", F.current_timestamp())
-    return arriving.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(DEDUPE_KEY).drop("_arrived")
+    keys = [k for k in DEDUPE_KEY if k in events.columns]
+    arriving = events.withColumns({
+        "_arrived": F.current_timestamp() if arrived is None else arrived, "_k1": key_digest(keys, 1), "_k2": key_digest(keys, 2)})
+    return arriving.withWatermark("_arrived", life).dropDuplicatesWithinWatermark(["_k1", "_k2"]).drop("_arrived", "_k1", "_k2")
 
 
 def stream_timeline(
@@ -62,33 +70,50 @@ def stream_timeline(
 
 
 def stream_captures(spark: SparkSession, landing: str, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Like `stream_timeline`, but whole captures stay deduplicated: a micro-batch
-    is laid together with what the table holds of its captures, and the result
-    replaces these. A capture may so arrive in any number of files and batches, and
-    files that land again add nothing. The merged rows are staged beside the
-    checkpoint first, so a failed batch is repeated from the old table."""
+    """Like `stream_timeline`, but whole captures stay deduplicated, however long they
+    are open: of a micro-batch only those events are added, as new files, whose id the
+    table does not hold. Only ids are read, and only of the captures in the batch. So a
+    capture may arrive in any number of files and batches, what is written grows with
+    the batch alone, and files that land again, or a batch that is repeated after a
+    failure, add nothing. `close_captures` joins a capture's files when it is complete."""
     def load(batch: DataFrame, number: int) -> None:
-        new = emit(batch.withColumn("seq", F.monotonically_increasing_id()))
-        held = _stored(spark, table)
-        if held is not None:
-            carried = new.select("site_id", "upload_id").distinct()
-            old = held.select(*EVENT_COLUMNS).join(carried, ["site_id", "upload_id"], "left_semi")
-            # Stored rows come first, so the first arrival of an event wins.
-            new = emit(old.withColumn("seq", F.col("seq") - F.lit(1 << 62)).unionByName(new.select(*EVENT_COLUMNS))).withColumn(
-                "seq", F.when(F.col("seq") < 0, F.col("seq") + F.lit(1 << 62)).otherwise(F.col("seq")))
         staged = f"{checkpoint}/staged/{number}"
-        new.select(*EVENT_COLUMNS).write.mode("overwrite").parquet(staged)
-        save_events(spark.read.schema(EVENT_SCHEMA).parquet(staged), table)
+        new = event_columns(emit(batch.withColumn("seq", F.monotonically_increasing_id())))
+        with_id(new).write.mode("overwrite").parquet(staged)
+        rows = spark.read.schema(StructType([*EVENT_SCHEMA.fields, StructField("id", StringType())])).parquet(staged)
+        captures = rows.select("site_id", "upload_id").distinct().collect()
+        held = stored(spark, table)
+        if held is not None and captures:
+            rows = rows.join(of_captures(held, captures).select("id"), "id", "left_anti")
+        add_events(rows, table)
 
     writer = arriving_events(spark, landing).writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
-def _stored(spark: SparkSession, table: str) -> DataFrame | None:
+def of_captures(events: DataFrame, captures: list) -> DataFrame:
+    """Rows of the named captures ((site_id, upload_id) pairs): literal conditions, so
+    that only their partitions are listed and read."""
+    return events.where(any_of([(F.col("site_id") == s) & (F.col("upload_id") == u) for s, u in captures]))
+
+
+def close_captures(spark: SparkSession, table: str, captures: list, staging: str) -> None:
+    """Rewrite the named captures' files, one set each, sorted for pruning. The rows are
+    staged first, so a failure leaves the old files or the new ones, and a repeat ends
+    in the same table."""
+    rows = event_columns(of_captures(stored(spark, table), captures))
+    rows.write.mode("overwrite").parquet(staging)
+    save_events(spark.read.schema(EVENT_SCHEMA).parquet(staging), table)
+
+
+def stored(spark: SparkSession, table: str) -> DataFrame | None:
     """The event table, None where there is none yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.parquet(table) if there else None
+    try:
+        return spark.read.parquet(table)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def type_counters(events: DataFrame) -> DataFrame:

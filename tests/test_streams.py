@@ -1,9 +1,13 @@
 """Stream jobs over files that land while they run."""
 
 import json
+from pathlib import Path
 
+from pyspark.sql import functions as F
 
+from siftline.plans import mapping
 from siftline.plans.detection_queries import rule_set
+from siftline.sources.timeline import save_events
 from siftline.streaming import jobs
 
 
@@ -43,6 +47,59 @@ def test_a_capture_in_several_batches_is_kept_whole(spark, tmp_path):
     assert rows["u1", "first"]["user"] == "x" and spark.read.parquet(table).count() == 5
 
 
+def files_of(table):
+    return {str(p): p.stat().st_mtime_ns for p in Path(table).rglob("*.parquet")}
+
+
+def test_a_batch_adds_files_and_leaves_the_others(spark, tmp_path):
+    landing, table, ckpt = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "c")
+    run = lambda: jobs.stream_captures(spark, str(landing), table, ckpt).awaitTermination()
+    land(landing, "s1", "u1", "a.jsonl", [line(i, f"m{i}") for i in range(50)])
+    run()
+    first = files_of(table)
+    land(landing, "s1", "u1", "b.jsonl", [line(i, f"m{i}") for i in range(45, 55)])
+    run()
+    second = files_of(table)
+    assert first.items() <= second.items() and spark.read.parquet(table).count() == 55
+    assert sum(spark.read.parquet(p).count() for p in second.keys() - first.keys()) == 5
+    # The same lines again add no row; closing joins the files and keeps the rows.
+    land(landing, "s1", "u1", "c.jsonl", [line(i, f"m{i}") for i in range(55)])
+    run()
+    before = sorted(r["id"] for r in spark.read.parquet(table).select("id").collect())
+    land(landing, "s1", "u2", "a.jsonl", [line(1, "other")])
+    run()
+    jobs.close_captures(spark, table, [("s1", "u1")], str(tmp_path / "staging"))
+    assert sorted(r["id"] for r in spark.read.parquet(table).where("upload_id = 'u1'").select("id").collect()) == before
+    assert len([p for p in files_of(table) if "u1" in p]) == 1 and spark.read.parquet(table).count() == 56
+
+
+def test_only_the_captures_of_a_batch_are_read(spark, tmp_path):
+    table = str(tmp_path / "t")
+    save_events(mapping.timeline(spark, "/root/testdata/sf0.001").drop("id"), table)
+    plan = jobs.of_captures(spark.read.parquet(table), [("s1", "u3")]).select("id")._jdf.queryExecution().executedPlan().toString()
+    pruned = plan[plan.index("PartitionFilters"):]
+    assert "site_id" in pruned and "upload_id" in pruned and "ReadSchema: struct<id:string>" in plan
+
+
+def test_a_repeat_is_dropped_while_its_capture_is_open(spark, tmp_path):
+    out, ckpt = str(tmp_path / "o"), str(tmp_path / "c")
+
+    def arrive(day, *messages):
+        # The clock is in the data; "tick" moves it on.
+        land(tmp_path / "in", "s", "u", f"{day}.jsonl", [line(1, m, arrived=f"2024-01-{day:02d}T00:00:00Z") for m in messages])
+        events = jobs.arriving_events(spark, str(tmp_path / "in"))
+        kept = jobs.dedupe_stream(events, "10 days", arrived=F.col("attrs")["arrived"].cast("timestamp"))
+        kept.select("message").writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).outputMode(
+            "append").trigger(availableNow=True).start().awaitTermination()
+        return sorted(r["message"] for r in spark.read.parquet(out).collect())
+
+    assert arrive(1, "a", "a", "b") == ["a", "b"]
+    assert arrive(2, "a", "c") == ["a", "b", "c"]
+    assert arrive(9, "b") == ["a", "b", "c"]
+    arrive(25, "tick")
+    assert arrive(26, "a").count("a") == 2
+
+
 def test_history_is_not_late(spark, tmp_path):
     landing, table, ckpt = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "c")
     at = lambda day, text: dict(line(1, text), datetime=f"{day}T00:00:00.000Z")
