@@ -16,6 +16,10 @@ RUNTIME_SETTINGS = {
     # The JVM does not compile methods beyond this size; wide builders run faster
     # as split functions than as one interpreted method.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Bytes that a charset does not know are replaced; they never end a job.
+    "spark.sql.legacy.codingErrorAction": "true",
+    # The state of open captures may outgrow an executor's heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Attribute maps are laid over each other: the later value of a key wins.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }

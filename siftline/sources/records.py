@@ -14,10 +14,9 @@ from pyspark.sql import types as T
 from siftline.functions.labels import full_channel
 from siftline.functions.times import event_time
 from siftline.functions.values import first_non_empty, once, parse_map, parse_maps
-from siftline.operators.lines import dash_table, split_lines
+from siftline.operators.lines import split_lines
 from siftline.schema import MANIFEST_SCHEMA
-
-CAPTURE = r"([^/]+)/(?:live|artifacts|sections|manifest\.json)"
+from siftline.sources.texts import csv_rows, dash_rows, read_lines, read_texts, upload_of
 
 LIVE_KINDS = [
     "processes", "connections", "dns_cache", "arp_cache", "routing_table", "logon_sessions", "user_accounts",
@@ -34,10 +33,6 @@ def file_path() -> Column:
     return F.col("_metadata.file_path")
 
 
-def upload_of(path: Column, pattern: str = CAPTURE) -> Column:
-    return F.regexp_extract(path, pattern, 1)
-
-
 def read_manifests(spark: SparkSession, paths: str | list[str], site_id: str = "", default_platform: str = "windows") -> DataFrame:
     """One row per capture: host (`unknown` when empty), platform, collection
     time."""
@@ -108,23 +103,8 @@ def read_sections(spark: SparkSession, paths: str | list[str]) -> dict[str, Data
     return {f"section.{k}": parsed.where(F.col("kind") == k).drop("kind") for k in SECTION_KINDS}
 
 
-def read_texts(spark: SparkSession, paths: str | list[str], root: str = "") -> DataFrame:
-    """Whole small text files with `rel` (path below `root`), size, mtime."""
-    raw = spark.read.format("binaryFile").load(paths)
-    rel = F.regexp_replace("path", "^.*/" + root + "/" if root else "^.*/", "")
-    return _numbered(raw.select(
-        upload_of(F.col("path")).alias("upload_id"), F.col("path").alias("file"), rel.alias("rel"),
-        F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("text"),
-    ))
-
-
-def read_lines(spark: SparkSession, paths: str | list[str], root: str = "") -> DataFrame:
-    """Text files -> line frame."""
-    return split_lines(read_texts(spark, paths, root))
-
-
 def read_dash_tables(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return dash_table(read_texts(spark, paths))
+    return dash_rows(read_lines(spark, paths))
 
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:
@@ -160,10 +140,9 @@ def read_dhcp(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_mail(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Mail-security CSV export; the columns decide the kind."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths)
-    flat = [c for n in df.columns for c in (F.lit(n.strip()), F.trim(F.coalesce(F.col(f"`{n}`"), F.lit(""))))]
-    return _numbered(df.select(upload_of(file_path()).alias("upload_id"), F.create_map(*flat).alias("rec")))
+    """Mail-security CSV exports, each with its own heading; the columns decide the
+    kind."""
+    return csv_rows(read_lines(spark, paths)).select("upload_id", "rec", "seq")
 
 
 def read_cloud(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -257,3 +257,74 @@ def test_rules_order_does_not_matter_for_the_set_of_hits(spark):
     row = fold(detect(df, rules), rules).first()
     assert row["tags"][0] == "cloudrules" and row["attrs"]["cloudrules_detection_count"] == "2"
     assert len(RULES) == 12
+
+
+# ------------------------------------------------------------- files as they are
+
+def test_odd_bytes_are_replaced_and_told(spark, tmp_path):
+    from siftline.sources import texts
+
+    art = tmp_path / "cap1" / "artifacts"
+    art.mkdir(parents=True)
+    (art / "latin.txt").write_bytes("caf\xe9 one\ntwo\n".encode("latin-1"))
+    (art / "good.txt").write_bytes("﻿café\r\nx".encode())
+    (art / "wide.txt").write_bytes("é1\ncut".encode("utf-16") + b"\x00")
+    (art / "big.txt").write_bytes(b"\xfe\xff" + "é2".encode("utf-16-be"))
+    rows = {r["rel"]: r for r in texts.read_texts(spark, str(art)).collect()}
+    assert {k: (r["encoding"], r["text"]) for k, r in rows.items()} == {
+        "latin.txt": ("replaced", "caf� one\ntwo\n"), "good.txt": ("utf-8", "café\r\nx"), "wide.txt": ("utf-16", "é1\ncut"), "big.txt": ("utf-16", "é2")}
+    assert [r["file"].rsplit("/", 1)[1] for r in texts.text_problems(texts.read_texts(spark, str(art))).collect()] == ["latin.txt"]
+    lines = texts.read_lines(spark, [str(art / "latin.txt"), str(art / "good.txt")]).orderBy("rel", "line_no").collect()
+    assert [(r["rel"], r["line_no"], r["line"]) for r in lines] == [("good.txt", 1, "café"), ("good.txt", 2, "x"), ("latin.txt", 1, "caf� one"), ("latin.txt", 2, "two")]
+    wide = texts.read_lines(spark, str(art / "wide.txt"), encoding="UTF-16LE").orderBy("line_no").collect()
+    assert [r["line"] for r in wide][:1] == ["é1"]
+
+
+def test_line_numbers_of_files_that_are_cut(spark, tmp_path):
+    from siftline.sources import texts
+
+    folder = tmp_path / "cap1" / "live"
+    folder.mkdir(parents=True)
+    for name, n in (("a.txt", 900), ("b.txt", 1), ("c.txt", 400)):
+        (folder / name).write_text("".join(f"{name} {i}\n" if i % 7 else "\n" for i in range(1, n + 1)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        df = texts.read_lines(spark, str(folder))
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 1301 and len({(r["file"], r["line_no"]) for r in rows}) == 1301
+    assert all(r["line"] == (f"{r['rel']} {r['line_no']}" if r["line_no"] % 7 else "") for r in rows)
+
+
+def test_mail_exports_with_headings_of_their_own(spark, capture):
+    art = capture / "artifacts"
+    (art / "clicks.csv").write_text('ClickTime, Url ,ClickAction\n2024-01-01T00:00:00Z,http://a/,"Allowed, then"\n2024-01-02T00:00:00Z,"http://b/\nc ""q""",x\n')
+    (art / "mails.csv").write_text("NetworkMessageId,Timestamp,Subject,SenderAddress\nm1,2024-01-03T00:00:00Z,Hi,me@x\n")
+    rows = [r["rec"] for r in src.read_mail(spark, str(art / "*.csv")).collect()]
+    assert sorted(rows, key=lambda r: sorted(r.items())) == sorted([
+        {"ClickTime": "2024-01-01T00:00:00Z", "Url": "http://a/", "ClickAction": "Allowed, then"},
+        {"ClickTime": "2024-01-02T00:00:00Z", "Url": 'http://b/\nc "q"', "ClickAction": "x"},
+        {"NetworkMessageId": "m1", "Timestamp": "2024-01-03T00:00:00Z", "Subject": "Hi", "SenderAddress": "me@x"}], key=lambda r: sorted(r.items()))
+
+
+def test_a_task_in_utf16(spark, capture):
+    xml = '<?xml version="1.0" encoding="UTF-16"?><Task><RegistrationInfo><Date>2024-01-01T00:00:00Z</Date><Author>Jörg</Author><URI>\\T</URI></RegistrationInfo></Task>'
+    (capture / "artifacts" / "Tasks" / "T.xml").write_bytes(xml.encode("utf-16"))
+    (capture / "artifacts" / "Tasks" / "bad.xml").write_bytes(b"\xff\xfe\x00<")
+    rows = [r["rec"] for r in src.read_tasks(spark, str(capture / "artifacts" / "Tasks")).collect()]
+    assert {(r["author"], r["uri"]) for r in rows} == {("Jörg", "\\T"), ("", "")}
+
+
+def test_dash_tables_line_by_line(spark, capture):
+    from siftline.operators.lines import dash_table
+    from siftline.sources import texts
+
+    body = "note\n\nName   Size  Last cell\n-----  ----  ---------\na      1     x y z\n\nbéc    22\n-----  ----\nc      3\n"
+    for n, text in enumerate((body, "no table\n", "----\nx\n", "H\n---\nv\n")):
+        (capture / "live" / f"t{n}.txt").write_text(text)
+    paths = [str(capture / "live" / f"t{n}.txt") for n in range(4)]
+    new = {(r["file"][-6:], r["row_no"], tuple(sorted(r["rec"].items()))) for r in src.read_dash_tables(spark, paths).collect()}
+    old = {(r["file"][-6:], r["row_no"], tuple(sorted(r["rec"].items()))) for r in dash_table(texts.read_texts(spark, paths)).collect()}
+    assert new == old and len(new) == 3
