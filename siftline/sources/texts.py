@@ -9,7 +9,7 @@ within a file. Bytes that are no text never end a job: they become U+FFFD, and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.operators.lines import CHUNK, carry_forward
@@ -62,10 +62,13 @@ def text_problems(texts: DataFrame) -> DataFrame:
     return texts.where("encoding = 'replaced'").select("upload_id", "file", F.lit("bytes that are no UTF-8 were replaced").alias("reason"))
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], root: str = "", encoding: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str], root: str = "", encoding: str | None = None, reader: DataFrameReader | None = None) -> DataFrame:
     """Lines of text files, numbered from 1: upload_id, file, rel, size, mtime, seq,
-    line_no, line. `encoding` (UTF-16LE, UTF-16BE) is needed where lines are not UTF-8."""
-    reader = spark.read if encoding is None else spark.read.option("encoding", encoding).option("lineSep", "\n")
+    line_no, line. `encoding` (UTF-16LE, UTF-16BE) is needed where lines are not UTF-8; `reader`
+    brings options of its own."""
+    reader = reader or spark.read
+    if encoding is not None:
+        reader = reader.option("encoding", encoding).option("lineSep", "\n")
     meta = lambda name: F.col(f"_metadata.{name}")
     line = F.make_valid_utf8("value") if encoding is None else F.regexp_replace(F.decode(F.col("value").cast("binary"), encoding), "\r$", "")
     raw = reader.text(paths).select(
