@@ -74,9 +74,12 @@ def read_json_arrays(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _numbered(whole.select(upload_of(F.col("file")).alias("upload_id"), "file", F.explode(items).alias("rec")))
 
 
-def read_live(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Live-state arrays; `kind` is the file name without its ending."""
+def read_live(spark: SparkSession, paths: str | list[str], kind: str | None = None) -> DataFrame:
+    """Live-state arrays; `kind` is the file name without its ending where it is not
+    given."""
     df = read_json_arrays(spark, paths)
+    if kind is not None:
+        return df.withColumn("kind", F.lit(kind))
     return df.withColumn("kind", F.regexp_extract("file", r"([^/]+)\.json$", 1)).where(F.col("kind").isin(LIVE_KINDS))
 
 
