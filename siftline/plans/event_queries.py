@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftline.operators import filters as flt
-from siftline.operators import findings, paging, summaries
+from siftline.operators import findings, kept, paging, summaries
 from siftline.operators.build import concat_events, emit
 from siftline.plans.mapping import (
     WITH_EVENTS, WITH_FILES, WITH_PAGES, WITH_TIMELINE, file_timeline, raw_events, read, timeline, web_timeline,
 )
-from siftline.plans.registry import query
-from siftline.sources.timeline import event_json, parse_lines
+from siftline.plans.registry import ORACLES, query
+from siftline.session import shared_folder
+from siftline.sources.timeline import event_json, parse_lines, save_events
 
 ISO = "%Y-%m-%dT%H:%M:%S.%gZ"
 LOGONS = "event_type IN ('windows_logon', 'windows_authentication', 'windows_rdp', 'session_logon')"
@@ -276,6 +277,37 @@ def remote_access(spark, sf):
     )
 
 
+def _kept(spark, df, name):
+    """The event table and the place of its kept summaries."""
+    table, store = shared_folder(spark, f"{name}-events"), shared_folder(spark, f"{name}-kept")
+    save_events(df, table)
+    return table, store
+
+
+@query("f08_cached_read", f"""{_TOOLS_SQL} SELECT {_TOOL_NAMES}[tool + 1] AS tool_name, {_TOOL_CATS}[tool + 1] AS category, CAST(count(*) AS BIGINT) AS event_count,
+ string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS event_types, strftime(min(datetime), '{ISO}') AS first_seen, strftime(max(datetime), '{ISO}') AS last_seen
+ FROM g WHERE tool IS NOT NULL GROUP BY tool""")
+def cached_read(spark, sf):
+    table, store = _kept(spark, _with_tool_messages(timeline(spark, sf)), "f08")
+    kept.refresh(spark, table, store)
+    found = kept.cached_remote_access(spark, table, store)
+    return found.select(
+        "tool_name", "category", "event_count", F.array_join("event_types", ",").alias("event_types"),
+        summaries.iso_ms(F.col("first_seen")).alias("first_seen"), summaries.iso_ms(F.col("last_seen")).alias("last_seen"))
+
+
+@query("f08_refresh", ORACLES["f04_logon_summary"])
+def refreshed_logons(spark, sf):
+    """Kept for half of the events, then renewed for the captures that get the rest:
+    the same as the summary of all events."""
+    df = timeline(spark, sf)
+    table, store = _kept(spark, df.where("seq % 2 = 0 OR upload_id IN ('u1', 'u5')"), "f08r")
+    kept.refresh(spark, table, store)
+    save_events(df.where("upload_id NOT IN ('u1', 'u5')"), table)
+    kept.refresh(spark, table, store)
+    return kept.kept_logons(kept.states(spark, store, "logons"))
+
+
 @query("f09_remote_headline", f"""{_TOOLS_SQL}, t AS (SELECT {_TOOL_CATS}[tool + 1] AS category, count(*) AS n FROM g WHERE tool IS NOT NULL GROUP BY tool, 1)
 SELECT count(*) AS total_tools, sum(n)::BIGINT AS total_events, count(*) FILTER (category IN ('Dual-Use / Suspicious', 'Tunneling', 'Lateral Movement')) AS suspicious_count FROM t""")
 def remote_headline(spark, sf):
