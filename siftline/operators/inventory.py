@@ -35,27 +35,31 @@ def policy_entries(df: DataFrame) -> DataFrame:
     )
 
 
-def ancestors(entries: DataFrame) -> DataFrame:
-    """(dir, child) for every directory on every path."""
-    parts = F.split("path", "/")
-    depth = F.size(parts)
+def ancestors(entries: DataFrame, keys: list[str] = CAPTURE) -> DataFrame:
+    """(dir, child) for every directory on every path of a capture (`keys`).
+
+    Rolled up from the bottom: paths are cut to their directories first, which are far
+    fewer, and only these give their own ancestors.
+    """
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    pairs = entries.where(F.contains("path", F.lit("/"))).select(*keys, parent.alias("dir"), F.col("path").alias("child")).distinct()
+    parts, steps = F.split("dir", "/"), F.size(F.split("dir", "/"))
 
     def prefix(i: Column) -> Column:
         return F.array_join(F.slice(parts, F.lit(1), i), "/")
 
-    paths = entries.select("path").distinct().where(F.contains("path", F.lit("/")))
-    steps = F.transform(
-        F.sequence(F.lit(1), depth - 1), lambda i: F.struct(prefix(i).alias("dir"), prefix(i + 1).alias("child"))
-    )
-    return paths.select(F.inline(steps)).where(F.col("dir") != "").distinct()
+    above = F.when(steps > 1, F.transform(F.sequence(F.lit(1), steps - 1), lambda i: F.struct(prefix(i).alias("dir"), prefix(i + 1).alias("child"))))
+    higher = pairs.select(*keys, "dir").distinct().select(*keys, F.inline(above))
+    return pairs.unionByName(higher).where(F.col("dir") != "").distinct()
 
 
-def policy_totals(entries: DataFrame) -> DataFrame:
-    """Entries, distinct paths, policies and directories, in one aggregation."""
-    rows = entries.select("path", "policy", F.lit(None).cast("string").alias("dir")).unionByName(
-        ancestors(entries).select("dir").distinct(), allowMissingColumns=True
+def policy_totals(entries: DataFrame, keys: list[str] = CAPTURE) -> DataFrame:
+    """Entries, distinct paths, policies and directories of a capture, in one
+    aggregation."""
+    rows = entries.select(*keys, "path", "policy", F.lit(None).cast("string").alias("dir")).unionByName(
+        ancestors(entries, keys).select(*keys, "dir").distinct(), allowMissingColumns=True
     )
-    return rows.agg(
+    return rows.groupBy(*keys).agg(
         F.count("path").alias("entries"), F.count_distinct("path").alias("paths"),
         F.count_distinct("policy").alias("policies"), F.count("dir").alias("directories"),
     )
@@ -74,8 +78,8 @@ def policies(entries: DataFrame, keys: list[str] = CAPTURE) -> DataFrame:
     )
 
 
-def policy_facets(entries: DataFrame) -> DataFrame:
-    """Counts per file extension and per kind of timestamp."""
+def policy_facets(entries: DataFrame, keys: list[str] = CAPTURE) -> DataFrame:
+    """Counts per file extension and per kind of timestamp of a capture."""
     name = F.coalesce(F.col("name"), F.lit(""))
     ext = F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
     facet = F.array(
@@ -85,13 +89,13 @@ def policy_facets(entries: DataFrame) -> DataFrame:
             F.when(name == "", F.lit(None)).when(ext == "", F.lit("(no extension)")).otherwise(ext).alias("value"),
         ),
     )
-    return entries.select(F.inline(facet)).where(F.col("value").isNotNull()).groupBy("facet", "value").agg(
+    return entries.select(*keys, F.inline(facet)).where(F.col("value").isNotNull()).groupBy(*keys, "facet", "value").agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
-def policy_tree(entries: DataFrame, n: int = 3) -> DataFrame:
-    return first_children(ancestors(entries), n)
+def policy_tree(entries: DataFrame, n: int = 3, keys: list[str] = CAPTURE) -> DataFrame:
+    return first_children(ancestors(entries, keys), n, keys)
 
 
 # ---------------------------------------------------------- collected files

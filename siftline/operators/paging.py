@@ -93,13 +93,14 @@ def counts_with_total(df: DataFrame, name: str) -> DataFrame:
     return counts.unionByName(total)
 
 
-def first_children(pairs: DataFrame, n: int = 3) -> DataFrame:
-    """Distinct (dir, child) pairs -> first n children per directory by name,
-    and how many more there are."""
-    pairs = pairs.select("dir", "child").distinct()
-    counts = pairs.groupBy("dir").agg(F.count(F.lit(1)).alias("total"))
-    head = newest_per_group(pairs, ["dir"], [F.col("child").asc()], n)
-    listed = head.groupBy("dir").agg(F.array_join(F.array_sort(F.collect_list("child")), "|").alias("children"))
-    return listed.join(counts, "dir").select(
-        "dir", "children", F.greatest(F.col("total") - n, F.lit(0)).alias("more")
+def first_children(pairs: DataFrame, n: int = 3, keys: list[str] | None = None) -> DataFrame:
+    """Distinct (dir, child) pairs -> first n children per directory (and `keys`) by
+    name, and how many more there are."""
+    group = [*(keys or []), "dir"]
+    pairs = pairs.select(*group, "child").distinct()
+    counts = pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("total"))
+    head = newest_per_group(pairs, group, [F.col("child").asc()], n)
+    listed = head.groupBy(*group).agg(F.array_join(F.array_sort(F.collect_list("child")), "|").alias("children"))
+    return listed.join(counts, group).select(
+        *group, "children", F.greatest(F.col("total") - n, F.lit(0)).alias("more")
     )

@@ -93,8 +93,9 @@ def _policy_events(spark, sf):
     return df.withColumn("attrs", attribute_map({"filePath": path, "fileName": name, "fileSize": F.col("attrs")["file_size"]}))
 
 
-@query("f15_policy_totals", f"""{_POLICY} SELECT (SELECT count(*) FROM pe) AS entries, (SELECT count(DISTINCT path) FROM pe) AS paths, (SELECT count(DISTINCT policy) FROM pe) AS policies,
- (SELECT count(DISTINCT d) FROM (SELECT unnest(['/c', '/c/SYSVOL', '/c/SYSVOL/domain', '/c/SYSVOL/domain/Policies', '/c/SYSVOL/domain/Policies/' || policy, CASE WHEN l_suppkey % 2 = 0 THEN '/c/SYSVOL/domain/Policies/' || policy || '/Machine' END]) AS d FROM pe)) AS directories""")
+# The same path in two captures is two paths.
+@query("f15_policy_totals", f"""{_POLICY}, dirs AS (SELECT DISTINCT upload_id, unnest(['/c', '/c/SYSVOL', '/c/SYSVOL/domain', '/c/SYSVOL/domain/Policies', '/c/SYSVOL/domain/Policies/' || policy, CASE WHEN l_suppkey % 2 = 0 THEN '/c/SYSVOL/domain/Policies/' || policy || '/Machine' END]) AS d FROM pe)
+SELECT upload_id, count(*) AS entries, count(DISTINCT path) AS paths, count(DISTINCT policy) AS policies, any_value(n) AS directories FROM pe JOIN (SELECT upload_id, count(d) AS n FROM dirs GROUP BY 1) USING (upload_id) GROUP BY 1""")
 def policy_totals(spark, sf):
     return inventory.policy_totals(inventory.policy_entries(_policy_events(spark, sf)))
 
@@ -105,14 +106,14 @@ def policies(spark, sf):
     return inventory.policies(inventory.policy_entries(_policy_events(spark, sf)))
 
 
-@query("f15_policy_facets", f"""{_POLICY} SELECT 'time' AS facet, timestamp_desc AS value, count(*) AS n FROM pe GROUP BY 2 UNION ALL
- SELECT 'extension', CASE l_partkey % 6 WHEN 0 THEN '.exe' WHEN 1 THEN '.dll' WHEN 2 THEN '.sys' WHEN 3 THEN '.txt' WHEN 4 THEN '.gz' ELSE '(no extension)' END, count(*) FROM pe GROUP BY 2""")
+@query("f15_policy_facets", f"""{_POLICY} SELECT upload_id, 'time' AS facet, timestamp_desc AS value, count(*) AS n FROM pe GROUP BY 1, 3 UNION ALL
+ SELECT upload_id, 'extension', CASE l_partkey % 6 WHEN 0 THEN '.exe' WHEN 1 THEN '.dll' WHEN 2 THEN '.sys' WHEN 3 THEN '.txt' WHEN 4 THEN '.gz' ELSE '(no extension)' END, count(*) FROM pe GROUP BY 1, 3""")
 def policy_facets(spark, sf):
     return inventory.policy_facets(inventory.policy_entries(_policy_events(spark, sf)))
 
 
-@query("f15_policy_tree", f"""{_POLICY}, parts AS (SELECT DISTINCT string_split(path, '/') AS p FROM pe), steps AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS dir, array_to_string(p[1:i+1], '/') AS child FROM parts, unnest(range(1, len(p))) AS t(i)),
- r AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY child) AS rn, count(*) OVER (PARTITION BY dir) AS c FROM steps WHERE dir <> '') SELECT dir, string_agg(child, '|' ORDER BY child) AS children, greatest(max(c) - 3, 0) AS more FROM r WHERE rn <= 3 GROUP BY 1""")
+@query("f15_policy_tree", f"""{_POLICY}, parts AS (SELECT DISTINCT upload_id, string_split(path, '/') AS p FROM pe), steps AS (SELECT DISTINCT upload_id, array_to_string(p[1:i], '/') AS dir, array_to_string(p[1:i+1], '/') AS child FROM parts, unnest(range(1, len(p))) AS t(i)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY upload_id, dir ORDER BY child) AS rn, count(*) OVER (PARTITION BY upload_id, dir) AS c FROM steps WHERE dir <> '') SELECT upload_id, dir, string_agg(child, '|' ORDER BY child) AS children, greatest(max(c) - 3, 0) AS more FROM r WHERE rn <= 3 GROUP BY 1, 2""")
 def policy_tree(spark, sf):
     return inventory.policy_tree(inventory.policy_entries(_policy_events(spark, sf)))
 
