@@ -68,7 +68,7 @@ CHANNEL_EVENT_IDS = {
         5139, 5141, 5152, 5153, 5154, 5155, 5156, 5157, 5158, 5159, 6416,
     ],
     "System": [104, 1074, 6005, 6006, 6008, 6009, 6013, 7026, 7034, 7036, 7040, 7045],
-    "Microsoft-Windows-Sysmon/Operational": [1, 2, 3, *range(5, 16), *range(17, 21), 26],
+    "Microsoft-Windows-Sysmon/Operational": [1, 2, 3, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 17, 18, 19, 20, 26],
     "Windows PowerShell": [400, 403, 500, 501, 600, 800],
     "Microsoft-Windows-PowerShell/Operational": [
         410, 411, 420, 4100, 4103, 4104, 4105, 4106, 40961, 40962,
@@ -156,7 +156,7 @@ def provider(channel: Column) -> Column:
 def channel_of_event_id(event_id: Column) -> Column:
     """Channel of a well-known event id, else NULL."""
     chain = F.when(F.lit(False), F.lit(""))
-    # Terminal-session ids are listed before Sysmon, which shares some of them.
+    # The first channel in the list that has an id gets it.
     for name, ids in CHANNEL_EVENT_IDS.items():
         chain = chain.when(event_id.cast("int").isin(ids), F.lit(name))
     return chain

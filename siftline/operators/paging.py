@@ -49,6 +49,7 @@ def numbered(df: DataFrame, by: str = "datetime", direction: str = "desc") -> Da
     keys = df.select("id", key.alias("_key"))
     keys.repartitionByRange(main, tie).withColumn("_range", F.spark_partition_id()).write.parquet(path)
     kept = df.sparkSession.read.parquet(path)
+    # One row a range, so this window is as small as the number of ranges.
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
         "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
