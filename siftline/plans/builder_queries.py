@@ -117,7 +117,7 @@ def _entries(spark, sf):
     return own.unionByName(ext)
 
 
-_TREE = """WITH RECURSIVE t AS (SELECT p_partkey AS key, '\\f' || p_partkey AS path FROM part WHERE p_partkey = 1
+_TREE = """WITH RECURSIVE t AS (SELECT p_partkey AS key, '\\f' || p_partkey AS path FROM part WHERE p_partkey <= 1
  UNION ALL SELECT p_partkey, t.path || '\\f' || p_partkey FROM part JOIN t ON p_partkey // 2 = t.key WHERE p_partkey > 1 AND p_partkey NOT IN (100, 101))"""
 
 
@@ -129,7 +129,7 @@ def resolve_paths(spark, sf):
     return paths.select(key.alias("key"), F.concat(F.lit("C:\\"), "path").alias("path"))
 
 
-@query("c08_merge_extensions", """SELECT p_partkey AS key, 'f' || p_partkey AS file_name, TRUE AS has_si, TRUE AS has_fn FROM part WHERE p_partkey > 0""")
+@query("c08_merge_extensions", """SELECT p_partkey AS key, 'f' || p_partkey AS file_name, TRUE AS has_si, TRUE AS has_fn FROM part""")
 def merge_extensions(spark, sf):
     base = files.merge_extension_records(_entries(spark, sf))
     key = F.call_function("div", F.col("record_num") - 1000, F.lit(2).cast("long"))
