@@ -7,8 +7,10 @@ repeated lines, share of repeated words) has a Mahalanobis distance
 under the group's minimum-covariance-determinant estimate, and too far is rejected.
 
 The estimate takes concentration steps for all groups at once: mean and covariance
-over the nearest `SUPPORT` of a group, new distances, again. It starts from the
-medians. Quantiles of a group are read from counts of fine bins, so nothing sorts
+over the nearest `SUPPORT` of a group, new distances, again. It does so from several
+fixed starts (`STARTS`: a quantile of every statistic and a scale), and the one that
+ends in the least determinant is a group's estimate. Up to a quarter of a group may so
+be outliers, wherever they lie; more would be part of any such estimate. Quantiles of a group are read from counts of fine bins, so nothing sorts
 or gathers a group, and results do not depend on how rows are spread. Covariances
 get `FLOORS` squared on the diagonal: many groups have statistics that hardly vary,
 and a difference that is small in itself is no reason to reject. They are narrow
@@ -34,6 +36,9 @@ from siftline.llm.common import SPACES, WORD, written
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SUPPORT, STEPS, MIN_GROUP = 0.75, 5, 64
+#: Where the concentration steps begin: a quantile of each statistic, and how many of
+#: the least standard deviations count as one.
+STARTS = ((0.5, 1.0), (0.25, 1.0), (0.75, 1.0), (0.5, 4.0))
 #: Least standard deviations that count, in the order of `_vector`.
 FLOORS = (0.06, 0.04, 0.10, 0.07)
 #: Share of clean documents that a normal vector keeps.
@@ -166,26 +171,36 @@ def fit(stats: DataFrame) -> DataFrame:
     ), lambda g: g.isNotNull()).alias("gs"))
     rows = passed.join(wanted, "g0").select(F.explode("gs").alias("g"), *_X)
 
+    rows = written(rows, "quality-rows")
     bins = rows.select("g", F.posexplode(F.array(*[F.floor(F.col(x) / (f / 8)) for x, f in zip(_X, FLOORS, strict=True)])).alias("d", "b"))
-    medians = _bin_quantile(bins, ["g", "d"], F.col("b"), 0.5, "b").groupBy("g").agg(
-        *[((F.max(F.when(F.col("d") == i, F.col("b"))) + 0.5) * (FLOORS[i] / 8)).alias(f"m{i}") for i in range(_D)])
-    parameters = medians.withColumns({
-        f"c{i}{j}": F.lit(FLOORS[i] if i == j else 0.0) for i in range(_D) for j in range(i + 1)})
+    starts = []
+    for s, (fraction, scale) in enumerate(STARTS):
+        center = _bin_quantile(bins, ["g", "d"], F.col("b"), fraction, "b").groupBy("g").agg(
+            *[((F.max(F.when(F.col("d") == i, F.col("b"))) + 0.5) * (FLOORS[i] / 8)).alias(f"m{i}") for i in range(_D)])
+        starts.append(center.withColumns({"s": F.lit(s)} | {
+            f"c{i}{j}": F.lit(FLOORS[i] * scale if i == j else 0.0) for i in range(_D) for j in range(i + 1)}))
+    parameters = starts[0]
+    for other in starts[1:]:
+        parameters = parameters.unionByName(other)
     for _ in range(STEPS):
-        parameters = written(parameters.select(*_PARAMETERS), "quality-step")
+        # Tables of a row a group and start, whose size Spark sees before it joins.
+        parameters = written(parameters.select("s", *_PARAMETERS), "quality-step")
         placed = rows.join(parameters, "g").withColumn("d2", _by_parameters()).withColumn(
             "bin", F.floor(F.log2(F.col("d2") + 1e-6) * 32))
-        edges = _bin_quantile(placed, ["g"], F.col("bin"), SUPPORT, "edge")
-        near = placed.join(edges, "g").where(F.col("bin") <= F.col("edge"))
-        sums = near.groupBy("g").agg(
+        edges = written(_bin_quantile(placed, ["g", "s"], F.col("bin"), SUPPORT, "edge"), "quality-edges")
+        near = placed.join(edges, ["g", "s"]).where(F.col("bin") <= F.col("edge"))
+        sums = near.groupBy("g", "s").agg(
             *[F.avg(F.col(_X[i]) - F.col(f"m{i}")).alias(f"a{i}") for i in range(_D)],
             *[F.avg((F.col(_X[i]) - F.col(f"m{i}")) * (F.col(_X[j]) - F.col(f"m{j}"))).alias(f"p{i}{j}") for i, j in _PAIRS],
             *[F.first(f"m{i}").alias(f"m{i}") for i in range(_D)],
         )
-        parameters = _cholesky(sums.select("g", *[(F.col(f"m{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(_D)], *[
+        parameters = _cholesky(sums.select("g", "s", *[(F.col(f"m{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(_D)], *[
             (_CONSISTENCY * (F.col(f"p{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) + F.lit(FLOORS[i] ** 2 if i == j else 0.0)).alias(f"v{i}{j}")
             for i, j in _PAIRS]))
-    return written(parameters.select(*_PARAMETERS), "quality-parameters")
+    # The least determinant, in steps that no rounding reaches; then the first start.
+    size = F.round(sum((F.log(f"c{i}{i}") for i in range(_D)), F.lit(0.0)), 6)
+    best = parameters.groupBy("g").agg(F.min_by(F.struct(*_PARAMETERS[1:]), F.struct(size, "s")).alias("best")).select("g", "best.*")
+    return written(best.select(*_PARAMETERS), "quality-parameters")
 
 
 def judge(stats: DataFrame, parameters: DataFrame) -> DataFrame:
