@@ -2,10 +2,10 @@
 tokenizer library, and joined to the pre-token frequencies of the documents; no
 document's ids are made.
 
-The most frequent pre-tokens (at most `HOT` of at most `HOT_BYTES` bytes, so a
-proven size) are broadcast: they are nearly all occurrences, and their join keys
-would be the hot ones. All other pre-tokens take a shuffled equi join, in which
-no key is frequent. Both parts are exact and do not depend on the input's size.
+The most frequent pre-tokens, of any length (at most `HOT`, and of at most `HOT_BYTES`
+bytes together, so a proven size), are broadcast: they are nearly all occurrences, and
+their join keys would be the hot ones. All other pre-tokens take a shuffled equi join,
+in which no key is frequent. Both parts are exact and do not depend on the input's size.
 
 A null text counts as empty (0 tokens). Special strings in a text are one token
 each, as is the library's default. Rows that share an id are counted one by one.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from siftline.llm import vocabulary
 from siftline.llm.common import Memo, arrow_map, written
 
-HOT, HOT_BYTES = 1 << 19, 32
+HOT, HOT_BYTES = 1 << 19, 16 << 20
 _PART_SPANS = 1 << 18
 
 
@@ -81,19 +81,19 @@ def piece_counts(found: DataFrame, file: str) -> DataFrame:
 
 
 def _hot(counted: DataFrame, limit: int) -> dict[str, int]:
-    """The most frequent short pre-tokens, at most `limit`: those above the
-    lowest power of 2^(1/4) that leaves no more."""
-    short = counted.where(F.octet_length("pretoken") <= HOT_BYTES)
+    """The most frequent pre-tokens, at most `limit` and of at most `HOT_BYTES` bytes:
+    those above the lowest power of 2^(1/4) that leaves no more."""
     step = F.floor(4 * F.log2("n")).cast("int")
-    total, least = 0, None
-    for r in short.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
-        total += r["count"]
-        if total > limit:
+    total, size, least = 0, 0, None
+    sums = counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("pretoken")).alias("b"))
+    for r in sums.orderBy(F.desc("step")).collect():
+        total, size = total + r["c"], size + r["b"]
+        if total > limit or size > HOT_BYTES:
             break
         least = r["step"]
     if least is None:
         return {}
-    kept = short.where(step >= least).select("pretoken", "pieces").toArrow()
+    kept = counted.where(step >= least).select("pretoken", "pieces").toArrow()
     return dict(zip(kept.column(0).to_pylist(), kept.column(1).to_pylist(), strict=True))
 
 
