@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftline.session import configure, shared_folder
 
@@ -20,11 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+ROWS_A_FILE = 100_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """`df` as a table in the shared folder: it is computed once, and a lost
-    executor costs a later reader nothing but its own task."""
+    executor costs a later reader nothing but its own task. `rows`: a bound on its
+    narrow rows, where one is known; it keeps small tables from many tiny files."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // ROWS_A_FILE + 1)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -38,7 +43,7 @@ def unit_interval(hashed: Column) -> Column:
     return (F.shiftrightunsigned(hashed, 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def arrow_map(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
+def arrow_map(df: DataFrame, fn, schema: str | StructType, rows: int = 512) -> DataFrame:
     """`mapInArrow` with small batches: documents may be very long, and a batch
     is held in a Python worker's memory."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -24,6 +24,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from siftline.llm import vocabulary
 from siftline.llm.common import Memo, arrow_map
@@ -158,20 +159,21 @@ def encoder(file: str) -> Encoder:
 
 
 def encode(docs: DataFrame, text: str = "text", file: str | None = None, ids: str = "ids") -> DataFrame:
-    """All columns of `docs` and `ids`, the token ids of the text."""
+    """All columns of `docs` and `ids`, the token ids of the text (null: none); a column
+    of that name is replaced. Repeated rows are kept."""
     file = file or vocabulary.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _span_ids(file)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
-            made = [list(chain.from_iterable(map(memo.__getitem__, vocabulary.spans(t or "")))) for t in texts]
-            kept = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(made, pa.list_(pa.int32()))], names)
-
-    names = [*docs.columns, ids]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{ids}` array<int>"
-    return arrow_map(docs.withColumn("_text", F.col(text)), run, schema)
+            made = [list(chain.from_iterable(map(memo.__getitem__, vocabulary.spans(t or "")))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32()))], ["row", "made"])
+
+    # The row travels as one column, so no name of its own can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    schema = StructType([rows.schema["row"], StructField("made", ArrayType(IntegerType()))])
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c != ids]
+    return arrow_map(rows, run, schema).select(*kept, F.col("made").alias(ids))
 
 
 @lru_cache(maxsize=1)
