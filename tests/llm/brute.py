@@ -17,9 +17,9 @@ def words(text):
     return WORD.findall((text or "").encode())
 
 
-def shingles(text):
+def shingles(text, k=5):
     w = [x.lower() for x in words(text)]
-    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
 
 
 def near(docs, percent):
@@ -44,6 +44,79 @@ def near(docs, percent):
     return {i: (len(s), i if i is None else root(i)) for i, s in sets.items()}
 
 
+def near_sets(docs, k, percent):
+    """docs: (id, text) → rows (id, set size, smallest id reachable); every row is a
+    set of its own, null ids have no links."""
+    sets = [(i, shingles(t, k)) for i, t in docs]
+    up = list(range(len(sets)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, (i, x) in enumerate(sets):
+        for b, (j, y) in enumerate(sets[:a]):
+            if x and y and i is not None and j is not None and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                both = len(x & y)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    up[root(a)] = root(b)
+    least = {}
+    for a, (i, _) in enumerate(sets):
+        if i is not None:
+            least[root(a)] = min(i, least.get(root(a), i))
+    return [(i, len(x), None if i is None else least[root(a)]) for a, (i, x) in enumerate(sets)]
+
+
+def variants(docs, damage=97, least_length=5, least_count=3):
+    """docs: (id, text) → rows (word, form, root, n, n_near, form_n)."""
+    counts = Counter()
+    for i, t in docs:
+        for w in re.findall("[A-Za-z\u00C0-\u00FF]+", t or ""):
+            w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w)
+            h = zlib.crc32(f"{i}:{w}".encode())
+            if i is not None and h % damage == 0:
+                w = w[:h % len(w)] + w[h % len(w) + 1:]
+            counts[w] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= least_length and c >= least_count}
+    letters = {c for w in n for c in w}
+    near, form = {}, {}
+    for w in n:
+        edits = {w[:i] + w[i + 1:] for i in range(len(w))} | {w[:i] + c + w[i + k:] for i in range(len(w) + 1) for c in letters for k in (0, 1)}
+        near[w] = [v for v in edits if v in n and v != w]
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= 2 * n[w] else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return [(w, form[w], root(w), c, len(near[w]), n.get(form[w])) for w, c in n.items()]
+
+
+def trie(turns, borrowed=lambda c: (None, 0)):
+    """turns: (conv, turn, role, text) → rows of `prefix_trie.trie`; borrowed: conv →
+    (conversation, how many turns)."""
+    own = defaultdict(list)
+    for c, t, role, text in turns:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append(((t is not None, t or 0, hashlib.md5(f"{len(role)}:{role}{text}".encode()).digest()), role, text))
+    own = {c: [x[1:] for x in sorted(s)] for c, s in own.items()}
+    whole = {c: own.get(borrowed(c)[0], [])[:borrowed(c)[1]] + s[borrowed(c)[1]:] for c, s in own.items()}
+    members = defaultdict(list)
+    for c, s in whole.items():
+        for d in range(len(s) + 1):
+            members[tuple(s[:d])].append(c)
+    children, leaves, saved = Counter(p[:-1] for p in members if p), Counter(), Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            saved[p[:d]] += (len(m) - 1) * len(p[-1][1]) if p else 0
+            leaves[p[:d]] += children[p] == 0
+    ends = {p: ",".join(map(str, sorted(c for c in m if len(whole[c]) == len(p)))) for p, m in members.items()}
+    return [(min(m), len(p), min(members[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p], hashlib.sha256(ends[p].encode()).hexdigest())
+            for p, m in members.items()]
+
+
 def windows_removed(docs, window):
     """docs: (id, text) → rows (id, words, removed, sha of the kept words)."""
     first = {}

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from siftline.llm import (
-    ann, huffman, lsh_forest, mixing, prefix_bpe, quality, queries, sharding, substring_dedup, token_counts, token_files,
+    ann, families, huffman, lsh_forest, mixing, prefix_bpe, quality, queries, sharding, substring_dedup, token_counts, token_files,
     toxicity, vocabulary, words,
 )
 from tests.llm import brute
@@ -62,7 +62,7 @@ def test_token_counts(case):
     t = vocabulary.tokenizer(vocabulary.path("byte_bpe_50k.json"))
     expected = [(i, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 1024) for i, x, *_ in rows]
     assert got(token_counts.count_tokens(df), "doc_id", "n_bytes", "n_tokens", "over_limit") == want(expected)
-    # Nothing is common: everything takes the join.
+    # Nothing is common: everything takes the join. Long pre-tokens are as good as others.
     assert got(token_counts.count_tokens(df, hot=0), "doc_id", "n_bytes", "n_tokens", "over_limit") == want(expected)
 
 
@@ -73,9 +73,10 @@ def test_byte_bpe(case):
     ids = [(i, x or "", own.encode_ordinary(x or "")) for i, x, *_ in rows]
     expected = [(i, len(n), hashlib.sha256(" ".join(map(str, n)).encode()).hexdigest(), hashlib.sha256(x.encode()).hexdigest()) for i, x, n in ids]
     assert got(prefix_bpe.digests(df), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want(expected)
-    kept = prefix_bpe.encode(df.drop("ids"))
-    assert got(kept, "doc_id", "ids") == want((i, n) for i, _, n in ids)
-    assert kept.columns == [*df.drop("ids").columns, "ids"]
+    for docs in (df.drop("ids"), df.withColumns({"ids": F.lit("x"), "_text": F.lit("y"), "row": F.lit(1), "made": F.lit(2)})):
+        kept = prefix_bpe.encode(docs)
+        assert got(kept, "doc_id", "ids") == want((i, n) for i, _, n in ids)
+        assert kept.columns == [*[c for c in docs.columns if c != "ids"], "ids"]
 
 
 def test_prefix_table_follows_appends_and_edits():
@@ -182,6 +183,38 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert all(r["kept"] == (r["quality"] == 1) for r in rows) and {r["kept"] for r in rows} == {True, False}
 
 
+def least_determinant(x, starts=40):
+    """The covariance estimate of a group, from many random starts, with exact
+    distances; (mean, covariance)."""
+    rnd, best = np.random.default_rng(5), None
+    for _ in range(starts):
+        some = rnd.choice(len(x), 8, replace=False)
+        mean, cov = x[some].mean(axis=0), np.cov(x[some].T, bias=True) + np.diag(np.square(quality.FLOORS))
+        for _ in range(30):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            near = x[np.argsort(d, kind="stable")[: int(np.ceil(quality.SUPPORT * len(x)))]]
+            mean, cov = near.mean(axis=0), quality._CONSISTENCY * np.cov(near.T, bias=True) + np.diag(np.square(quality.FLOORS))
+        if best is None or np.linalg.det(cov) < best[0]:
+            best = np.linalg.det(cov), mean, cov
+    return best[1:]
+
+
+@pytest.mark.parametrize("far", [[0.8, 0, 0, 0], [-0.7, 0, 0, 0], [0.5, 0.3, 0.4, 0.3], [0, 0, 0.9, 0]])
+def test_quality_finds_the_least_determinant(spark, far):
+    rnd = np.random.default_rng(8)
+    x = np.abs(rnd.normal(size=(600, 4)) * [0.05, 0.02, 0.05, 0.03] + [1.6, 0, 0, 0])
+    # Nearly a quarter lies close together, far from the rest.
+    x[:140] = [1.6, 0, 0, 0] + np.array(far) + rnd.normal(size=(140, 4)) * 0.01
+    stats = spark.createDataFrame([(i, "g", "l", False, *map(float, r)) for i, r in enumerate(x)],
+                                  "key int, g0 string, g1 string, base_failed boolean, x0 double, x1 double, x2 double, x3 double")
+    out = {r["key"]: r for r in quality.judge(stats, quality.fit(stats)).collect()}
+    mean, cov = least_determinant(x)
+    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    sure = np.abs(np.log(d / quality.CUTOFF)) > 0.15
+    assert sure.mean() > 0.97 and not any(out[i]["kept"] for i in range(140))
+    assert all(out[i]["kept"] == (d[i] <= quality.CUTOFF) for i in np.flatnonzero(sure).tolist())
+
+
 def test_quality_rejects_outliers_of_each_statistic(spark):
     def own(i, n):
         return [f"word{i * 1000 + k:06d}" for k in range(n)]
@@ -211,7 +244,8 @@ def test_near_duplicates(case):
             assert r["component_id"] is None and r["kept"]
     kept = lsh_forest.keep_one(df)
     assert kept.columns == df.columns
-    assert got(kept, "doc_id") == want((r["doc_id"],) for r in out if r["kept"])
+    # One row of each; the text of the row without a key is kept with one.
+    assert got(kept, "doc_id") == want({(r["doc_id"],) for r in out if r["kept"] and r["doc_id"] is not None})
 
 
 def test_near_duplicates_with_tiny_regions_and_chunks(spark, monkeypatch):
@@ -223,11 +257,30 @@ def test_near_duplicates_with_tiny_regions_and_chunks(spark, monkeypatch):
             w[rnd.randrange(90)] = f"e{rnd.randrange(10 ** 6)}"
         rows.append((i, " ".join(w)))
     expected = brute.near(rows, 85)
-    monkeypatch.setattr(lsh_forest, "DENSE", 8), monkeypatch.setattr(lsh_forest, "CHUNK_NODES", 20)
+    monkeypatch.setattr(lsh_forest, "DENSE", 8), monkeypatch.setattr(families, "CHUNK_NODES", 20)
     out = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == expected
 
 
+def test_one_row_of_each_document_stays(spark):
+    rows = [(1, "a b c d e f", 1), (1, "a b c d e f", 2), (2, "A b c d e f", 3), (None, "a b c d e f", 4), (None, "q r s", 5),
+            (None, "q r s", 5), (None, None, 6), (3, None, 7), (4, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _kept_key int").withColumns({c: F.lit("x") for c in ("id", "row", "digest", "n")})
+    kept = lsh_forest.keep_one(df)
+    assert kept.columns == df.columns
+    assert got(kept, "doc_id", "text") == want([(1, "a b c d e f"), (None, "q r s"), (3, None), (4, "")])
+
+
+def test_share_of_missed_pairs():
+    # Sets that agree in each of the hashes by chance, as often as they are similar.
+    rnd = np.random.default_rng(1)
+    same = rnd.random((4000, lsh_forest.HASHES)) < 0.7
+    for trees in (5, 20):
+        met = same[:, lsh_forest._PATHS[:trees]].all(axis=2).any(axis=1)
+        assert abs((~met).mean() - lsh_forest.missed(70, trees)) < 0.03
+    assert all(lsh_forest.missed(p, lsh_forest.trees_for(p)) <= 1e-6 for p in (80, 85, 95))
+
+
 @pytest.mark.parametrize("hot", [4096, 0])
 def test_substrings(case, hot):
     df, rows = case
