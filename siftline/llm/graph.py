@@ -13,15 +13,16 @@ def components(edges: DataFrame) -> DataFrame:
     it can reach. Each round hangs every node below its smallest neighbour, follows
     those links to their roots and contracts the graph to the roots."""
     edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    labels = None
-    while not edges.isEmpty():
+    labels, n_nodes = None, 2 * edges.count()
+    n = n_nodes
+    while n:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         roots = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select(
-            "node", F.least("node", "low").alias("up")), "roots")
+            "node", F.least("node", "low").alias("up")), "roots", n)
         while True:
             above = roots.select(F.col("node").alias("up"), F.col("up").alias("further"))
             jumped = written(roots.join(above, "up").select("node", F.col("further").alias("up"),
-                                                            (F.col("further") != F.col("up")).alias("moved")), "roots")
+                                                            (F.col("further") != F.col("up")).alias("moved")), "roots", n)
             roots = jumped.select("node", "up")
             if jumped.where("moved").isEmpty():
                 break
@@ -29,8 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
             labels = roots.select("node", F.col("up").alias("comp"))
         else:
             to = roots.select(F.col("node").alias("comp"), "up")
-            labels = written(labels.join(to, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+            labels = written(labels.join(to, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels", n_nodes)
         to_a, to_b = roots.select(F.col("node").alias("a"), F.col("up").alias("ua")), roots.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         edges = written(edges.join(to_a, "a").join(to_b, "b").where("ua <> ub").select(
-            F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
+            F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges", n)
+        n = 2 * edges.count()
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))

@@ -2,7 +2,7 @@
 
 * Turns are numbered per conversation in a range-partitioned sort, so no task holds a
   long conversation; from then on a turn is 16 bytes (the digest of role and text)
-  and a length, packed in runs of at most `RUN` turns.
+  and a length, packed in runs of a bounded number of turns.
 * The digest of a prefix is a sum over its (depth, turn) pairs in two 64-bit lanes, so
   a long conversation's runs are summed apart and then offset.
 * A count-min sketch counts all prefix digests (counts above one are all alike). It
@@ -43,7 +43,7 @@ _EMPTY = hashlib.sha256(b"").hexdigest()
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def _packed(conversations: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+def _packed(conversations: DataFrame, conv: str, turn: str, role: str, text: str, most: int) -> DataFrame:
     """Runs of turns: conv, start (place of the first), ids, chars (packed), n (turns
     of the conversation), runs (of the conversation)."""
     who, said = F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit(""))
@@ -79,10 +79,10 @@ def _packed(conversations: DataFrame, conv: str, turn: str, role: str, text: str
                     close()
                     of, run_no = c, 0
                 while a < b:
-                    end = min(b, a + RUN - len(held))
+                    end = min(b, a + most - len(held))
                     held.extend(ids[a:end]), sizes.append(chars[a:end])
                     a = end
-                    if len(held) == RUN:
+                    if len(held) == most:
                         close()
             if len(out) >= 256:
                 yield done()
@@ -168,6 +168,8 @@ def _sketch(runs: DataFrame, bits: int) -> np.ndarray:
     Tasks hand out the blocks they touched; blocks of one place are added up as they
     stream by."""
 
+    size = min(_BLOCK, 1 << bits)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros((ROWS, 1 << bits), np.uint8)
         for batch in batches:
@@ -177,7 +179,7 @@ def _sketch(runs: DataFrame, bits: int) -> np.ndarray:
                     at, n = np.unique(at, return_counts=True)
                     row[at] = np.minimum(row[at] + n, 2)
         for i, row in enumerate(cells):
-            blocks = row.reshape(-1, _BLOCK)
+            blocks = row.reshape(-1, size)
             for b in np.flatnonzero(blocks.any(axis=1)).tolist():
                 yield pa.RecordBatch.from_pylist([{"row": i, "block": b, "once": np.packbits(blocks[b] >= 1).tobytes(),
                                                    "twice": np.packbits(blocks[b] >= 2).tobytes()}], block_kind)
@@ -205,7 +207,7 @@ def _sketch(runs: DataFrame, bits: int) -> np.ndarray:
     whole = arrow_map(parts.repartition("row", "block").sortWithinPartitions("row", "block"), add, kind, rows=16)
     table = np.zeros((ROWS, (1 << bits) // 8), np.uint8)
     for r in whole.select("row", "block", "twice").collect():  # at most 3 x 2^bits bits
-        table[r["row"], r["block"] * (_BLOCK // 8): (r["block"] + 1) * (_BLOCK // 8)] = np.frombuffer(r["twice"], np.uint8)
+        table[r["row"], r["block"] * (size // 8): (r["block"] + 1) * (size // 8)] = np.frombuffer(r["twice"], np.uint8)
     return table
 
 
@@ -293,13 +295,13 @@ def _ends(shared: DataFrame) -> DataFrame:
     return arrow_map(blocks, digest, "d1 long, d2 long, ends string", rows=64)
 
 
-def _to_ancestors(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+def _to_ancestors(shared: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     """(d1, d2, n_leaves, saved): sums over every shared node's subtree."""
     weight = (F.col("n_convs") - 1) * F.col("chars")
     leaf = (F.col("n_children") == 0).cast("long")
     own = nodes.select("conv", "depth", weight.alias("saved"), leaf.alias("leaves")).where("saved > 0 or leaves > 0")
     rows = shared.select("conv", "depth", "d1", "d2", F.col("opens").cast("long").alias("opens")).join(own, ["conv", "depth"], "left").select(
-        "conv", "depth", F.floor(F.col("depth") / RUN).alias("run"), "d1", "d2", F.coalesce("saved", F.lit(0)).alias("saved"),
+        "conv", "depth", F.floor(F.col("depth") / most).alias("run"), "d1", "d2", F.coalesce("saved", F.lit(0)).alias("saved"),
         (F.coalesce("leaves", F.lit(0)) + F.col("opens")).alias("leaves"))
     below = Window.partitionBy("conv", "run").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = rows.select("conv", "run", "depth", "d1", "d2", F.sum("saved").over(below).alias("saved"), F.sum("leaves").over(below).alias("leaves"))
@@ -314,14 +316,14 @@ def _to_ancestors(shared: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def trie(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
-         base: Column | None = None, head: Column | None = None, most_head: int = 0, most_bits: int = MOST_BITS) -> DataFrame:
+         base: Column | None = None, head: Column | None = None, most_head: int = 0, most_bits: int = MOST_BITS, run: int = RUN) -> DataFrame:
     """One row per distinct prefix: conv_id (smallest conversation that starts with
     it), depth, parent_conv_id (null: the root), n_convs, n_children, n_leaves (of the
     subtree), saved_tokens (summed over the subtree: n_convs less one, times the
     characters of a node's last text), ends_sha256 (of the ids that end there).
     `base`, `head` (over the column `conv`): the first `head` turns, `most_head` at most,
     are replaced by those of conversation `base`."""
-    packed = written(_packed(conversations, conv, turn, role, text), "packed")
+    packed = written(_packed(conversations, conv, turn, role, text, run), "packed")
     runs = written(_rebuilt(packed, F.lit(None).cast("long") if base is None else base, F.lit(0) if head is None else head, most_head), "runs")
     n = runs.agg(F.sum(F.length("lanes"))).first()[0] or 0
     bits = min(most_bits, max(LEAST_BITS, int(4 * n / 16 + 1).bit_length()))
@@ -337,7 +339,7 @@ def trie(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         "n_children", F.coalesce("inner", F.lit(0)) + F.col("opens")).drop("inner", "opens"), "nodes")
     root = nodes.where("depth = 0").select("conv").first()
 
-    full = nodes.join(_to_ancestors(shared, nodes), ["d1", "d2"], "left").join(_ends(shared), ["d1", "d2"], "left").select(
+    full = nodes.join(_to_ancestors(shared, nodes, run), ["d1", "d2"], "left").join(_ends(shared), ["d1", "d2"], "left").select(
         "conv", "depth", "p1", "p2", "n_convs", "n_children", "n_leaves", F.coalesce("saved", F.lit(0)).alias("saved"), F.coalesce("ends", F.lit(_EMPTY)).alias("ends"))
     tails = prefixes.where("tail").select(
         "conv", "depth", "p1", "p2", "fresh", F.lit(1).cast("long").alias("n_convs"), (~F.col("last")).cast("long").alias("n_children"),

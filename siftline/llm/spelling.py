@@ -138,10 +138,11 @@ def near_words(words: DataFrame, crowd: int = CROWD) -> DataFrame:
 def _roots(forms: DataFrame) -> DataFrame:
     """(word, root) of links (word, form)."""
     up = written(forms.select("word", F.col("form").alias("up")), "forms")
+    n = up.count()
     while True:
         above = up.select(F.col("word").alias("up"), F.col("up").alias("further"))
         jumped = written(up.join(above, "up", "left").select(
-            "word", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("moved")), "forms")
+            "word", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("moved")), "forms", n)
         up = jumped.select("word", "up")
         if jumped.where("moved").isEmpty():
             return up.withColumnRenamed("up", "root")
