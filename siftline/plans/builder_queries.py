@@ -475,7 +475,7 @@ SELECT id AS seq, w AS at, CASE k % 4 WHEN 0 THEN 'Entra ID Sign-In Event' WHEN
  CASE WHEN k % 4 < 2 THEN 'Entra: u' || user_id || ' ->  from 9.9.9.9 (' || id || ')' WHEN k % 4 = 2 THEN 'MDO URL Click: http://x/' || id ELSE 'MDO Email: u' || user_id || ' -> : ' || id END AS message,
  CASE k % 4 WHEN 0 THEN 'entra_signin' WHEN 1 THEN 'entra_audit' WHEN 2 THEN 'mdo_url_click' ELSE 'mdo_email_event' END AS event_type,
  CASE WHEN k % 4 < 2 THEN CAST(id AS VARCHAR) END AS resource, CASE WHEN k % 4 >= 2 THEN CAST(id AS VARCHAR) END AS mail_id, CASE WHEN k % 4 = 2 THEN 'http://x/' || id END AS url,
- CASE k % 4 WHEN 0 THEN 4 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 3 END AS n_attrs FROM e""")
+ CASE k % 4 WHEN 0 THEN 5 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 3 END AS n_attrs FROM e""")
 def cloud_and_mail(spark, sf):
     df = raw_events(spark, sf).withColumn("seq", F.col("id"))
     k, at, user = F.col("k"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.concat(F.lit("u"), F.col("user_id").cast("string"))
