@@ -39,7 +39,9 @@ FIT_ROWS, FIT_BYTES, MAX_LISTS, PER_LIST, BLOCK = 65_536, 1 << 26, 16_384, 512,
 #: A list is looked at up to this ratio of its centroid's distance to the nearest
 #: one's; a vector stands in lists up to the other ratio, `COPIES` at most.
 SEARCH_RATIO, BORDER_RATIO, COPIES = 1.1, 1.04, 4
-_DEGREE, _ENTRIES, _STEPS = 24, 16, 8
+#: A query looks at the nearest lists of so many times k vectors in any case.
+LOOKED = 64
+_DEGREE, _ENTRIES, _STEPS = 24, 4, 8
 #: Rows a task holds, and candidates beyond k + 1 that near-ties may need.
 _HELD, _SPARE = 1 << 18, 4
 
@@ -81,11 +83,13 @@ class CentroidGraph:
                     links[i].add(j), links[j].add(i)
                 links[i].update(random.integers(0, n, 4).tolist())
         self.links = [np.fromiter(s, np.int64) for s in links]
-        self.entries = random.permutation(n)[:_ENTRIES]
+        # Centroids come in the order of the splits, so these lie all over; their number
+        # follows the root of all, and a walk is not caught in a cluster.
+        self.entries = np.unique(np.linspace(0, n - 1, min(n, 16 + _ENTRIES * int(np.sqrt(n)))).astype(np.int64))
 
-    def within(self, v: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    def within(self, v: np.ndarray, ratio: float, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Centroids whose distance to `v` is at most `ratio` times the nearest
-        one's, nearest first, and the distances: a best-first walk that ends when
+        one's, and the `least` nearest, nearest first, and the distances: a best-first walk that ends when
         the nearest open centroid is clearly beyond that bound."""
         seen = np.zeros(len(self.centroids), bool)
         heap: list[tuple[float, int]] = []
@@ -104,7 +108,7 @@ class CentroidGraph:
         steps = 0
         while heap and seen.sum() < len(seen):
             d, i = heapq.heappop(heap)
-            if steps >= _STEPS and d > ratio * best:
+            if steps >= max(_STEPS, least) and d > ratio * best:
                 break
             steps += 1
             new = self.links[i][~seen[self.links[i]]]
@@ -112,7 +116,7 @@ class CentroidGraph:
                 look(np.unique(new))
         i, d = np.concatenate(ids), np.concatenate(dists)
         order = np.argsort(d, kind="stable")
-        order = order[d[order] <= ratio * best + 1e-12]
+        order = order[(d[order] <= ratio * best + 1e-12) | (np.arange(len(order)) < least)]
         return i[order], d[order]
 
 
@@ -173,7 +177,7 @@ def nearest(
                 which, place = [], []
                 for i, v in enumerate(_matrix(b.column(1), dim)):
                     last = np.sqrt(max(0.0, longest - float((v ** 2).sum()))) if is_entry else 0.0
-                    found, _ = graph.value.within(np.append(v, last), ratio)
+                    found, _ = graph.value.within(np.append(v, last), ratio, 1 if is_entry else -(-LOOKED * k // per_list))
                     found = found[:most]
                     which.append(np.full(len(found), i)), place.append(found)
                 taken = np.concatenate(which) if which else np.zeros(0, np.int64)

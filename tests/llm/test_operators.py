@@ -338,6 +338,31 @@ def test_nearest(spark):
     assert ann.nearest(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_walk_finds_the_lists_among_thousands():
+    rnd = np.random.default_rng(6)
+    centers = rnd.normal(size=(60, 24))
+    centroids = centers[rnd.integers(0, 60, 4000)] + 0.4 * rnd.normal(size=(4000, 24))
+    graph = ann.CentroidGraph(centroids)
+    hits = 0
+    for v in centroids[:200] + 0.3 * rnd.normal(size=(200, 24)):
+        d = np.sqrt(((centroids - v) ** 2).sum(axis=1))
+        wanted = set(np.flatnonzero(d <= ann.SEARCH_RATIO * d.min()).tolist())
+        hits += wanted <= set(graph.within(v, ann.SEARCH_RATIO)[0].tolist())
+        found, _ = graph.within(v, ann.SEARCH_RATIO, 10)
+        assert len(found) >= 10 and found[0] == d.argmin()
+    assert hits >= 198
+
+
+def test_nearest_recall_with_many_small_lists(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    expected = brute.nearest([(r["vec_id"], r["embedding"]) for r in df.collect()], 20)
+    found = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, per_list=16).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert all(len(found[q]) == 20 for q in expected)
+    assert sum(len(found[q] & {i for i, _ in x}) / 20 for q, x in expected.items()) / len(expected) >= 0.9
+
+
 def test_nearest_recall(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     expected = brute.nearest(rows, 20)
