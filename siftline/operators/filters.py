@@ -86,14 +86,14 @@ def where_events(df: DataFrame, spec: dict) -> DataFrame:
 
 def words_match(message: Column, query: str) -> Column:
     """All words of the query occur in the message (stop words apart)."""
-    words = [w for w in dict.fromkeys(_split_words(query)) if w not in STOP_WORDS]
+    words = [w for w in dict.fromkeys(split_words(query)) if w not in STOP_WORDS]
     if not words:
         return F.lit(False)
     tokens = F.split(F.lower(F.coalesce(message, F.lit(""))), r"[^\p{L}\p{N}_]+")
     return all_of([F.array_contains(tokens, w) for w in words])
 
 
-def _split_words(text: str) -> list[str]:
+def split_words(text: str) -> list[str]:
     return "".join(c if c.isalnum() or c == "_" else " " for c in text.lower()).split()
 
 

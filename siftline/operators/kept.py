@@ -16,10 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.times import iso_ms
-from siftline.operators.filters import NOTABLE, attr
+from siftline.functions.values import any_of
+from siftline.operators.filters import NOTABLE, STOP_WORDS, attr, search, split_words
 from siftline.operators.summaries import LOGON_EVENTS, REMOTE_TOOLS, remote_access
 
 CAPTURE = ["site_id", "upload_id"]
+SEPARATORS = r"[^\p{L}\p{N}_]+"
+#: So many captures are named as literals; more are joined.
+NAMED = 1000
 
 
 def type_states(events: DataFrame) -> DataFrame:
@@ -47,7 +51,17 @@ def remote_states(events: DataFrame) -> DataFrame:
     return remote_access(events, CAPTURE).select(*CAPTURE, "tool_name", "event_count", "event_types", "first_seen", "last_seen")
 
 
-STATES: dict[str, Callable[[DataFrame], DataFrame]] = {"types": type_states, "logons": logon_states, "remote": remote_states}
+def gram_states(events: DataFrame) -> DataFrame:
+    """Three-letter pieces of all words that the events of a capture hold: words are
+    made distinct first, so the pieces come from a capture's vocabulary, not its text."""
+    texts = F.concat(F.array(F.coalesce("message", F.lit(""))), F.map_keys("attrs"), F.map_values("attrs"))
+    words = F.array_distinct(F.flatten(F.transform(texts, lambda t: F.split(F.lower(F.coalesce(t, F.lit(""))), SEPARATORS))))
+    distinct = events.select(*CAPTURE, F.explode(words).alias("word")).where(F.length("word") >= 3).distinct()
+    pieces = F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring("word", i, F.lit(3)))
+    return distinct.select(*CAPTURE, F.explode(pieces).alias("gram")).distinct()
+
+
+STATES: dict[str, Callable[[DataFrame], DataFrame]] = {"types": type_states, "logons": logon_states, "remote": remote_states, "grams": gram_states}
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -132,3 +146,30 @@ def cached_remote_access(spark: SparkSession, table: str, store: str, site: str
     """The kept result; states that are missing or old are made first."""
     refresh(spark, table, store)
     return kept_remote_access(states(spark, store, "remote", site, upload))
+
+
+def grams_of(query: str) -> list[str]:
+    """Pieces that any record a search finds must hold in its capture. All words of
+    the query are in a found record, whole or as parts of longer ones, whichever of the
+    search's tests is met; stop words are only when the text itself is."""
+    words = [w for w in split_words(query) if w not in STOP_WORDS]
+    return sorted({w[i:i + 3] for w in words for i in range(len(w) - 2)})
+
+
+def search_events(spark: SparkSession, table: str, store: str, query: str, site: str | None = None) -> DataFrame:
+    """Free search over the stored events, reading only captures that may hold what
+    is asked; the exact test follows, so the rows are those of `filters.search`. States
+    that are missing or old are made first."""
+    refresh(spark, table, store)
+    events, wanted = spark.read.parquet(table), grams_of(query)
+    if site is not None:
+        events = events.where(F.col("site_id") == site)
+    if wanted:
+        held = states(spark, store, "grams", site).where(F.col("gram").isin(wanted)).groupBy(*CAPTURE).agg(F.count(F.lit(1)).alias("n"))
+        captures = held.where(F.col("n") == len(wanted)).select(*CAPTURE)
+        named = captures.limit(NAMED + 1).collect()
+        if len(named) > NAMED:
+            events = events.join(captures, CAPTURE, "left_semi")
+        else:
+            events = events.where(any_of([(F.col("site_id") == s) & (F.col("upload_id") == u) for s, u in named]) if named else F.lit(False))
+    return events.where(search(events, query))

@@ -308,6 +308,13 @@ def refreshed_logons(spark, sf):
     return kept.kept_logons(kept.states(spark, store, "logons"))
 
 
+@query("d03_search_stored", ORACLES["d03_search_record"])
+def search_stored(spark, sf):
+    """The same search over the stored events, reading only captures that may match."""
+    table, store = _kept(spark, timeline(spark, sf), "d03")
+    return kept.search_events(spark, table, store, "dom3").select(F.col("seq").alias("id"))
+
+
 @query("f09_remote_headline", f"""{_TOOLS_SQL}, t AS (SELECT {_TOOL_CATS}[tool + 1] AS category, count(*) AS n FROM g WHERE tool IS NOT NULL GROUP BY tool, 1)
 SELECT count(*) AS total_tools, sum(n)::BIGINT AS total_events, count(*) FILTER (category IN ('Dual-Use / Suspicious', 'Tunneling', 'Lateral Movement')) AS suspicious_count FROM t""")
 def remote_headline(spark, sf):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from siftline.operators import kept, summaries
+from siftline.operators import filters, kept, summaries
 from siftline.plans import mapping
 from siftline.sources.timeline import add_events, save_events
 
@@ -43,3 +43,18 @@ def test_a_read_touches_the_store_alone(spark, tmp_path):
     assert table not in plan and "PartitionFilters: [isnotnull(site_id" in plan
     stamp = kept.stamps(spark.read.parquet(table))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<>" in stamp
+
+
+def test_search_reads_only_captures_that_may_match(spark, tmp_path):
+    table, store = str(tmp_path / "t"), str(tmp_path / "s")
+    df = mapping.timeline(spark, SF)
+    odd = df.limit(1).withColumns({"upload_id": F.lit("odd"), "message": F.lit("Une CAFÉ-crème 50% off the_menu"), "attrs": F.create_map(F.lit("MiXed"), F.lit("x\\y.exe"))})
+    save_events(df.unionByName(odd), table)
+    events = spark.read.parquet(table)
+    for query in ("dom3", "by user1", "café", "50% off", "% o", "crème café", "fé-cr", "the_menu", "mixed", "x\\y", "y.exe", "nothing like it", "the", "ab", "user12 view"):
+        want = rows(events.where(filters.search(events, query)), "id")
+        assert rows(kept.search_events(spark, table, store, query), "id") == want, query
+    assert rows(kept.search_events(spark, table, store, "café", "s0"), "id") == rows(events.where(filters.search(events, "café") & (F.col("site_id") == "s0")), "id")
+    plan = kept.search_events(spark, table, store, "café")._jdf.queryExecution().executedPlan().toString()
+    filters_ = plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    assert "odd" in filters_ and "u3" not in filters_
