@@ -12,8 +12,9 @@ sequence). Equal sets are one node.
   group has is dropped.
 * Bound: groups that meet in the matrix are compared through the unions of their
   members' smallest hashes: a token of a query that the other group's union lacks is
-  lacking in all its members. A group is opened for another only if some query's bound
-  reaches the threshold; both are one family then.
+  lacking in all its members. A group is opened for another only if they share enough
+  rows of the matrix and some query's bound reaches the threshold; both are one family
+  then.
 * Rows of the matrix that many groups share are first walked along, in two orders; what
   comes together needs no more pairs. Then each row pairs the groups outside its largest
   family with all others. So groups of copies give rows linear in their size.
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 from siftline.llm import families
 from siftline.llm.common import arrow_map, written
 from siftline.llm.graph import components
+from siftline.llm.screen import asked_texts, bitmap, marked
 from siftline.llm.words import mixed, runs, shingles, words_of
 
 WORDS, PERCENT = 4, 85
@@ -144,9 +146,15 @@ def _marks(picked: DataFrame, weights, words: int, percent: int) -> DataFrame:
 def _qualified(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of groups of which one is to be opened for the other."""
 
-    def bound(queries: list[dict], members: list[dict]) -> bool:
-        union = np.unique(np.concatenate([np.frombuffer(m["probe"], "<u4") for m in members]))
-        low, high, reach = min(m["n"] for m in members), max(m["n"] for m in members), min(m["reach"] for m in members)
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(r["g"], np.unique(np.concatenate([np.frombuffer(m["probe"], "<u4") for m in r["members"]])).tobytes(), min(m["n"] for m in r["members"]),
+                    max(m["n"] for m in r["members"]), min(m["reach"] for m in r["members"])) for r in batch.to_pylist()]
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["g", "union", "low", "high", "reach"])
+
+    def bound(queries: list[dict], other: dict) -> bool:
+        union, low, high, reach = np.frombuffer(other["union"], "<u4"), other["low"], other["high"], other["reach"]
         for q in queries:
             least = max(low, int(_needed(q["n"], percent)))
             if least > min(high, 100 * q["n"] // percent):
@@ -161,11 +169,14 @@ def _qualified(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r["a"], r["b"]) for r in batch.to_pylist() if bound(*sorted((r["x"], r["y"]), key=len))]
+            rows = [(r["a"], r["b"]) for r in batch.to_pylist() if bound(r["x"], r["y"])]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    of = lambda g, m: groups.select(F.col("g").alias(g), F.col("members").alias(m))
-    return arrow_map(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b"), run, "a long, b long", rows=64)
+    groups = written(groups, "groups")
+    unions = arrow_map(groups, united, "g long, union binary, low long, high long, reach long", rows=64)
+    queries = groups.select(F.col("g").alias("a"), F.col("members").alias("x"))
+    others = unions.select(F.col("g").alias("b"), F.struct("union", "low", "high", "reach").alias("y"))
+    return arrow_map(pairs.join(queries, "a").join(others, "b"), run, "a long, b long", rows=64)
 
 
 def _fits(a: str, b: str, percent: int):
@@ -182,7 +193,7 @@ def _walk(matrix: DataFrame, family: DataFrame | None, turn: int, percent: int)
     """Neighbours of different families in the rows that many groups share; a row is
     walked in slices."""
     place = F.xxhash64(F.lit(turn), "g")
-    rows = _with_family(matrix.where(F.col("groups") > WALKED), family).withColumn("slice", F.pmod(place, F.ceil(F.col("groups") / 512)))
+    rows = _with_family(matrix, family).withColumn("slice", F.pmod(place, F.ceil(F.col("groups") / 512)))
     ahead = Window.partitionBy("token", "slice").orderBy(place)
     found = rows.select(F.struct("g", "fam", "low", "high").alias("a"), F.lead(F.struct("g", "fam", "low", "high")).over(ahead).alias("b"))
     return found.where((F.col("a.fam") != F.col("b.fam")) & _fits("a", "b", percent)).select(
@@ -199,22 +210,55 @@ def _rest(matrix: DataFrame, family: DataFrame | None, percent: int) -> DataFram
     every = rows.select("token", F.col("a").alias("b"))
     met = small.join(every, "token").where(
         (F.col("a.fam") != F.col("b.fam")) & ((F.col("b.fam") == F.col("top")) | (F.col("a.g") < F.col("b.g"))) & _fits("a", "b", percent))
-    return met.select(F.least("a.g", "b.g").alias("a"), F.greatest("a.g", "b.g").alias("b")).distinct()
+    # A pair comes once for each row that it shares.
+    pairs = met.groupBy(F.least("a.g", "b.g").alias("a"), F.greatest("a.g", "b.g").alias("b")).agg(
+        F.count(F.lit(1)).alias("rows"), F.first(_least_rows(percent)).alias("least"))
+    return pairs.where("rows >= least").select("a", "b")
+
+
+def _least_rows(percent: int):
+    """So many rows of the matrix are shared by groups of which two sets link. Of two
+    sets, that whose first tokens end earlier has its others behind all first tokens of
+    the other: an overlap is at most the shared first tokens and the larger of the two
+    rests. It is least for the most unequal sizes."""
+
+    def of(one: str, other: str):
+        large = F.col(f"{one}.high")
+        small = F.greatest(F.col(f"{other}.low"), F.ceil(large * percent / 100))
+        return F.ceil((large + small) * percent / (100 + percent)) - F.ceil(F.greatest(large, small) * percent / 100) + 1
+
+    return F.least(of("a", "b"), of("b", "a"))
+
 
+def _matrix(marks: DataFrame) -> DataFrame:
+    """(token, g, low, high) of the tokens that several groups have, and of some others
+    that the bitmap lets through."""
+    shared = written(marks.select("g", F.explode("prefix").alias("token")).groupBy("token").agg(
+        F.min("g").alias("first"), F.max("g").alias("last")).where("first < last").select("token"), "shared-tokens")
+    bits = bitmap(shared)
 
-def _families(marks: DataFrame, group: DataFrame, percent: int) -> DataFrame:
+    def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            tokens, lengths = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            maybe = marked(bits.value, tokens)
+            g, n = (np.repeat(batch.column(i).to_numpy(), lengths)[maybe] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[maybe]), pa.array(g), pa.array(n)], ["token", "g", "n"])
+
+    rows = arrow_map(marks.select("g", "n", "prefix"), screened, "token long, g long, n long")
+    return written(rows.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high")), "matrix")
+
+
+def _families(marks: DataFrame, percent: int) -> DataFrame:
     """(node, comp): of every group that was opened for another, its family."""
-    marks = marks.join(group, "digest")
-    matrix = marks.select("g", "n", F.explode("prefix").alias("token")).groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    matrix = written(matrix.join(several, "token"), "matrix")
-    groups = written(marks.join(matrix.select("g").distinct(), "g", "left_semi").groupBy("g").agg(
-        F.collect_set(F.struct("n", "probe", "reach")).alias("members")), "groups")
-    ties, family = None, None
-    crowded = not matrix.where(F.col("groups") > WALKED).isEmpty()
-    for turn in (0, 1, 2) if crowded else (2,):
-        pairs = _walk(matrix, family, turn, percent) if turn < 2 else _rest(matrix, family, percent)
-        found = written(_qualified(written(pairs, "group-pairs"), groups, percent), "ties")
+    matrix, ties, family = _matrix(marks), None, None
+    crowded = written(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > WALKED), "crowded-rows")
+    walked = matrix.join(crowded, "token")
+    for turn in (2,) if crowded.isEmpty() else (0, 1, 2):
+        pairs = written(_walk(walked, family, turn, percent) if turn < 2 else _rest(matrix, family, percent), "group-pairs")
+        asked = written(pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct(), "asked-groups")
+        groups = marks.join(asked, "g", "left_semi").groupBy("g").agg(F.collect_set(F.struct("n", "probe", "reach")).alias("members"))
+        found = written(_qualified(pairs, groups, percent), "ties")
         ties = found if ties is None else ties.unionByName(found)
         family = components(ties)
     return family
@@ -232,16 +276,20 @@ def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words: i
         F.min("key").alias("key"), F.max("n").alias("n"), F.max("least").alias("least")), "nodes")
 
     # Pieces of the groups of one smallest hash.
-    pieces = nodes.groupBy("least").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).select(
-        "least", F.ceil(F.greatest(F.col("c") / GROUP, F.col("s") / GROUP_TOKENS)).alias("pieces")).where("pieces > 1")
-    piece = F.pmod(F.xxhash64("digest"), F.coalesce("pieces", F.lit(1)))
-    nodes = written(nodes.join(pieces, "least", "left").select("digest", "key", "n", F.xxhash64("least", piece).alias("g")), "grouped")
+    pieces = written(nodes.groupBy("least").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).select(
+        "least", F.ceil(F.greatest(F.col("c") / GROUP, F.col("s") / GROUP_TOKENS)).alias("pieces")).where("pieces > 1"), "pieces")
+
+    def grouped(df: DataFrame, *columns: str) -> DataFrame:
+        piece = F.pmod(F.xxhash64("digest"), F.coalesce("pieces", F.lit(1)))
+        return df.join(pieces, "least", "left").select(*columns, F.xxhash64("least", piece).alias("g"))
+
     marks = written(_marks(picked.where("key is not null").select("text"), weights, words, percent), "marks")
-    family = _families(marks, nodes.select("digest", "g"), percent)
+    family = _families(grouped(marks, "n", "prefix", "probe", "reach"), percent)
 
+    nodes = grouped(nodes, "digest", "key", "n")
     placed = nodes.join(family.withColumnRenamed("node", "g"), "g", "left").select(
         F.coalesce("comp", "g").alias("comp"), F.col("digest").alias("node"), "key", "n")
-    placed = families.chunked(placed).select("comp", "node", "key", "chunks")
+    placed = written(families.chunked(placed).select("comp", "node", "key", "chunks"), "placed")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,8 +299,9 @@ def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words: i
             shingles_ = pa.array([s.tobytes() for s in made], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], shingles_], ["comp", "node", "chunks", "shingles"]).filter(own)
 
-    texts = placed.join(picked, "key").select("comp", "node", "chunks", "text")
-    sets = written(arrow_map(texts, full, "comp long, node binary, chunks int, shingles binary"), "sets")
+    some = asked_texts(picked, placed.select("key"))
+    texts = placed.join(some, "key").select("comp", "node", "chunks", "text")
+    sets = written(arrow_map(texts, full, "comp long, node binary, chunks int, shingles binary", rows=64), "sets")
     linked = written(families.linked(sets, "binary", percent).join(nodes.select(F.col("digest").alias("node"), "key"), "node"), "linked")
     least = linked.groupBy("comp").agg(F.min("key").alias("component_id"))
     of_set = linked.join(least, "comp").select(F.col("node").alias("digest"), "component_id")
