@@ -4,29 +4,29 @@ A document's set are its distinct 5-word shingles (A-Z lower-cased; fewer words:
 the whole sequence). Equal sets are one node, named by their smallest key. Nodes
 get `HASHES` minimum hashes; each of `trees_for` trees orders them by some of these.
 
-* Regions: nodes that share the first `DEPTH` values of a tree. Two sets at the
-  threshold share a region in one tree or more but for 3 in 10 million cases.
-* Adaptive depth: a region of more than `DENSE` nodes is cut along the tree's order,
-  by the next values, and, where these are equal too, into parts. Neighbours of
-  longest common prefix so meet first. Only if a region's nodes have not come
-  together then, its parts are compared with each other, so no cut loses a pair.
-* Inside a part, nodes are compared by their hashes' low bytes, within the task.
+* Regions: nodes that share the first `DEPTH` values of a tree, which is where its
+  order has neighbours of a long common prefix. Two sets at the threshold share no
+  region of any tree in one case of a million (`missed`; all trees draw from the same
+  hashes, so this is a mean over how many of these agree).
+* Adaptive depth: regions of more than `DENSE` nodes are joined whole, first those of
+  two trees, then the others' with what has come together as one node. So a group of
+  copies costs a row per node in the first trees and hardly any in the others.
+* In other regions nodes are compared by their hashes' low bytes, within the task;
+  again first in some trees, and then only in regions that still hold two families.
   Pairs that may reach the threshold (about one in a million that do is below
   `agreeing`) are not emitted, only each node's head among those they tie it to.
-* Families, the components of these ties, are confirmed on full sets: a task gets
-  a family's sets once and tests pairs that no chain of links has joined yet. A
-  family beyond a task's size is cut into chunks, which are paired only where
-  the chunks themselves did not make it one component.
-
-Nothing is capped: every pair that shares a region is compared. Texts without
-words are linked with nothing, nor are rows without a key; rows that share a key
-are one document. Repeated rows are kept.
+* Families, the components of these ties, are confirmed on full sets (`families`).
+
+Nothing is capped: every pair that shares a region is compared or in one family. Texts
+without words are linked with nothing, nor are rows without a key; rows that share a
+key are one document. `near_duplicates` keeps repeated rows, `keep_one` does not.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import pairwise
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,26 +34,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm import families
 from siftline.llm.common import arrow_map, written
 from siftline.llm.graph import components
+from siftline.llm.screen import asked_texts
 from siftline.llm.words import mixed, runs, shingles, words_of
 
-WORDS, HASHES, MOST_TREES, DEPTH, BELOW = 5, 128, 128, 6, 8
-DENSE, CHUNK_NODES, CHUNK_SHINGLES = 512, 2048, 1 << 22
+WORDS, HASHES, MOST_TREES, DEPTH, MISSED = 5, 128, 128, 5, 1e-6
+DENSE, FIRST_DENSE, FIRST_TREES = 512, 2, 4
 
 _random = np.random.Generator(np.random.PCG64(8))
 _FACTOR = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _TERM = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-_PATHS = np.stack([_random.permutation(HASHES)[: DEPTH + BELOW] for _ in range(MOST_TREES)])
+_PATHS = np.stack([_random.permutation(HASHES)[:DEPTH] for _ in range(MOST_TREES)])
+
+
+def missed(percent: int, trees: int) -> float:
+    """How often sets of that similarity share no region: a mean over the number of
+    agreeing hashes, as all trees draw theirs from the same ones."""
+    p = percent / 100
+    return sum(comb(HASHES, x) * p ** x * (1 - p) ** (HASHES - x) * (1 - comb(x, DEPTH) / comb(HASHES, DEPTH)) ** trees for x in range(HASHES + 1))
 
 
 def trees_for(percent: int) -> int:
-    """So many trees that sets of that similarity all part in each of them in 3 of
-    10 million cases (32 for 85 %, 50 for 80 %)."""
-    n = int(np.ceil(np.log(3e-7) / np.log1p(-(percent / 100) ** DEPTH))) if percent < 100 else 1
-    if n > MOST_TREES:
-        raise ValueError("the similarity is too low for this forest")
-    return n
+    """So many trees that `missed` is at most one in a million (36 for 85 %, 57 for 80 %)."""
+    for n in range(1, MOST_TREES + 1):
+        if missed(percent, n) <= MISSED:
+            return n
+    raise ValueError("the similarity is too low for this forest")
 
 
 def agreeing(percent: int) -> int:
@@ -79,35 +87,30 @@ def _signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, kind: str, n_trees: int) -> DataFrame:
-    """key, n_shingles, digest of the set, low bytes of the signature, and per
-    tree the region and the place in it."""
+    """key, n_shingles, digest of the set, low bytes of the signature, and the region
+    in every tree."""
     trees, paths = np.arange(n_trees, dtype=np.uint64), _PATHS[:n_trees]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, low, regions, places = [], [], [], [], []
+            n, digest, low, regions = [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist()):
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 if not len(s):
-                    low.append(None), regions.append(None), places.append(None)
+                    low.append(None), regions.append(None)
                     continue
                 values = _signature(s)
                 key = trees
                 for i in range(DEPTH):
                     key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[paths[:, i]])
-                place = values.astype(np.uint8)[paths[:, DEPTH:]].copy().view(">u8")[:, 0].astype(np.uint64)
                 low.append(values.astype(np.uint8).tobytes())
                 regions.append(key.view(np.int64).tolist())
-                places.append(place.view(np.int64).tolist())
-            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(low, pa.binary()),
-                 pa.array(regions, longs), pa.array(places, longs)],
-                ["key", "n_shingles", "digest", "low", "regions", "places"])
+                 pa.array(regions, pa.list_(pa.int64()))], ["key", "n_shingles", "digest", "low", "regions"])
 
-    return arrow_map(docs, run, f"key {kind}, n_shingles long, digest binary, low binary, "
-                                "regions array<long>, places array<long>")
+    return arrow_map(docs, run, f"key {kind}, n_shingles long, digest binary, low binary, regions array<long>")
 
 
 def _heads(ties: np.ndarray) -> np.ndarray:
@@ -129,13 +132,14 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tie_parts(parts: DataFrame, low: DataFrame, kind: str, least: int) -> DataFrame:
-    """Ties (a, b) inside every part (part, nodes): a node and the first node of
-    those that may be similar, over chains."""
+def _tie_regions(members: DataFrame, kind: str, least: int) -> DataFrame:
+    """Ties (a, b) inside every region (region, node, low): a node and the first node
+    of those that may be similar, over chains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
+            node_type = batch.schema.types[0].value_type.field("node").type
             for nodes in batch.column(0).to_pylist():
                 nodes.sort(key=lambda x: x["node"])
                 names = [x["node"] for x in nodes]
@@ -143,51 +147,49 @@ def _tie_parts(parts: DataFrame, low: DataFrame, kind: str, least: int) -> DataF
                 for i, h in enumerate(_heads(_agreement(bytes_, bytes_) >= least)):
                     if h != i:
                         a.append(names[h]), b.append(names[i])
-            yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.types[0].value_type.field("node").type),
-                                              pa.array(b, batch.schema.types[0].value_type.field("node").type)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, node_type), pa.array(b, node_type)], ["a", "b"])
 
-    members = parts.select("part", F.explode("nodes").alias("node")).join(low, "node")
-    grouped = members.groupBy("part").agg(F.collect_list(F.struct("node", "low")).alias("nodes")).select("nodes")
+    grouped = members.groupBy("region").agg(F.collect_list(F.struct("node", "low")).alias("nodes")).select("nodes")
     return arrow_map(grouped, run, f"a {kind}, b {kind}", rows=64)
 
 
-def _families_linked(grouped: DataFrame, kind: str, percent: int) -> DataFrame:
-    """Links (a, b) inside every group (members: node, low, shingles)."""
-
-    least = agreeing(percent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            node_type = batch.schema.types[0].value_type.field("node").type
-            for members in batch.column(0):
-                rows = members.values
-                names = rows.field("node").to_pylist()
-                sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.field("shingles")]
-                bytes_ = np.frombuffer(b"".join(rows.field("low").to_pylist()), np.uint8).reshape(-1, HASHES)
-                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-                head = np.arange(len(names))
-                for at in range(0, len(names), 256):
-                    near = _agreement(bytes_[at: at + 256], bytes_)
-                    x, y = np.nonzero(near >= least)
-                    later = y > x + at
-                    x, y = x[later], y[later]
-                    for i in np.argsort(-near[x, y], kind="stable").tolist():
-                        p, q = int(x[i]) + at, int(y[i])
-                        if head[p] == head[q] or 100 * min(sizes[p], sizes[q]) < percent * max(sizes[p], sizes[q]):
-                            continue
-                        p, q = (p, q) if sizes[p] <= sizes[q] else (q, p)
-                        found = sets[q][np.minimum(np.searchsorted(sets[q], sets[p]), sizes[q] - 1)]
-                        both = int((found == sets[p]).sum())
-                        if 100 * both >= percent * (int(sizes[p]) + int(sizes[q]) - both):
-                            old, new = max(head[p], head[q]), min(head[p], head[q])
-                            head[head == old] = new
-                for i, h in enumerate(head):
-                    if h != i:
-                        a.append(names[h]), b.append(names[i])
-            yield pa.RecordBatch.from_arrays([pa.array(a, node_type), pa.array(b, node_type)], ["a", "b"])
-
-    return arrow_map(grouped, run, f"a {kind}, b {kind}", rows=4)
+def _candidate_families(nodes: DataFrame, kind: str, percent: int) -> DataFrame:
+    """(node, comp) of nodes (node, low, regions) that ties bring together."""
+    n_trees = trees_for(percent)
+    ties, family = None, None
+
+    def more(found: DataFrame, name: str) -> None:
+        nonlocal ties, family
+        found = written(found, name)
+        if not found.isEmpty():
+            ties = found if ties is None else ties.unionByName(found)
+            family = components(ties)
+
+    def places(first: int, end: int) -> DataFrame:
+        """(node, fam, region) in the trees from `first` to before `end`."""
+        held = nodes.select("node", "regions")
+        if family is not None:
+            held = held.join(family.withColumnRenamed("comp", "fam"), "node", "left")
+        fam = F.coalesce("fam", "node") if family is not None else F.col("node")
+        return held.select("node", fam.alias("fam"), F.explode(F.slice("regions", first + 1, end - first)).alias("region"))
+
+    def open_regions(rows: DataFrame) -> DataFrame:
+        """Regions of two families or more: size, first (the smallest family)."""
+        return rows.groupBy("region").agg(
+            F.count(F.lit(1)).alias("size"), F.min("fam").alias("first"), F.max("fam").alias("last")).where("first < last").drop("last")
+
+    for trees in ((0, FIRST_DENSE), (FIRST_DENSE, n_trees)):
+        rows = places(*trees)
+        dense = written(open_regions(rows).where(F.col("size") > DENSE), "dense-regions")
+        if not dense.isEmpty():
+            held = rows.select("region", "fam").distinct().join(dense, "region").where("fam <> first")
+            more(held.select(F.col("first").alias("a"), F.col("fam").alias("b")).distinct(), "dense-ties")
+    for trees in ((0, FIRST_TREES), (FIRST_TREES, n_trees)):
+        rows = places(*trees)
+        sparse = written(open_regions(rows).where(F.col("size") <= DENSE).select("region"), "sparse-regions")
+        members = rows.select("node", "region").join(sparse, "region").join(nodes.select("node", "low"), "node")
+        more(_tie_regions(members, kind, agreeing(percent)), "sparse-ties")
+    return nodes.select("node", F.col("node").alias("comp")).limit(0) if family is None else family
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -199,61 +201,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     sketches = written(_sketches(picked, kind, trees_for(percent)), "sketches")
     with_set = sketches.where("key is not null and n_shingles > 0")
     nodes = written(with_set.groupBy("digest").agg(
-        F.min("key").alias("node"), F.max("low").alias("low"), F.max("n_shingles").alias("n"),
-        F.max(F.struct("regions", "places")).alias("forest")), "nodes")
-
-    # Regions of two nodes or more, and in the dense ones their parts.
-    rows = nodes.select("node", F.inline(F.arrays_zip(F.col("forest.regions").alias("region"), F.col("forest.places").alias("place"))))
-    regions = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(rows.join(regions, "region"), "regions")
-    cut = members.withColumn("slice", F.when(F.col("size") <= DENSE, F.lit(0).cast("long")).otherwise(
-        F.expr(f"shiftrightunsigned(place, 64 - cast(ceil(log2(size / {DENSE // 2})) as int))")))
-    dense = cut.where(F.col("size") > DENSE).groupBy("region", "slice").agg(F.count(F.lit(1)).alias("held"))
-    cut = cut.join(dense, ["region", "slice"], "left").withColumn(
-        "piece", F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("held", F.lit(1)) / DENSE)))
-    whole = cut.groupBy("region", "slice", "piece").agg(F.sort_array(F.collect_set("node")).alias("nodes"), F.max("size").alias("size"))
-    whole = written(whole, "parts")
-    low = nodes.select("node", "low")
-    # The same nodes meet in many trees.
-    parts = whole.where(F.size("nodes") > 1).select(F.xxhash64("nodes").alias("part"), "nodes").dropDuplicates(["part"])
-    ties = _tie_parts(parts, low, kind, agreeing(percent))
-    ties = written(ties, "ties")
-    family = components(ties)
-    crossed = whole.where(F.col("size") > DENSE)
-    open_ = crossed.select("region", F.explode("nodes").alias("node")).join(family, "node", "left").groupBy("region").agg(
-        F.min(F.coalesce("comp", "node")).alias("low"), F.max(F.coalesce("comp", "node")).alias("high")).where("low <> high").select("region")
-    apart = written(crossed.join(open_, "region").select("region", F.xxhash64("slice", "piece").alias("p"), "nodes"), "open-regions")
-    if not apart.isEmpty():
-        other = apart.select("region", F.col("p").alias("q"), F.col("nodes").alias("more"))
-        pairs = apart.join(other, "region").where("p < q").select(
-            F.xxhash64("region", "p", "q").alias("part"), F.array_union("nodes", "more").alias("nodes"))
-        ties = written(ties.unionByName(_tie_parts(pairs, low, kind, agreeing(percent))), "ties")
-        family = components(ties)
-
-    # Families in chunks of what a task can hold.
-    placed = family.join(nodes.select("node", "low", "n"), "node")
-    sizes = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).select(
-        "comp", F.ceil(F.greatest(F.col("c") / CHUNK_NODES, F.col("s") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    placed = placed.join(sizes, "comp").withColumn("chunk", F.pmod(F.hash("node"), F.col("chunks")))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        F.min("key").alias("node"), F.max(F.struct("low", "n_shingles", "regions")).alias("made")).select(
+        "digest", "node", F.col("made.low").alias("low"), F.col("made.n_shingles").alias("n"), F.col("made.regions").alias("regions")), "nodes")
+    family = _candidate_families(nodes, kind, percent)
+    placed = written(families.chunked(family.join(nodes.select("node", "n"), "node")).select("comp", "node", "chunks"), "placed")
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [s.tobytes() for s in shingle_sets(batch.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *batch.columns[5:], pa.array(made, pa.binary())],
-                                             ["comp", "node", "chunk", "chunks", "low", "shingles"])
-
-    texts = placed.join(picked.withColumnRenamed("key", "node"), "node").select("comp", "node", "chunk", "chunks", "text", "low")
-    full = written(arrow_map(texts, sets, f"comp {kind}, node {kind}, chunk int, chunks int, low binary, shingles binary"), "sets")
-    member = F.collect_list(F.struct("node", "low", "shingles")).alias("members")
-    links = written(_families_linked(full.groupBy("comp", "chunk").agg(member).select("members"), kind, percent), "links")
-    linked = components(links)
-    wide = full.where("chunks > 1").join(linked.withColumnRenamed("comp", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
-    split = written(wide.groupBy("comp").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("comp"), "split-families")
-    if not split.isEmpty():
-        spread = full.join(split, "comp").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where(
-            F.col("with") != F.col("chunk")).groupBy("comp", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
-        links = written(links.unionByName(_families_linked(spread.agg(member).select("members"), kind, percent)), "links")
-        linked = components(links)
+            made = [s.tobytes() for s in shingle_sets(batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], ["comp", "node", "chunks", "shingles"])
+
+    some = asked_texts(picked, placed.select(F.col("node").alias("key"))).withColumnRenamed("key", "node")
+    texts = placed.join(some, "node").select("comp", "node", "chunks", "text")
+    sets = written(arrow_map(texts, full, f"comp {kind}, node {kind}, chunks int, shingles binary", rows=64), "sets")
+    linked = families.linked(sets.where(F.length("shingles") > 0), kind, percent)
 
     of_set = nodes.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
     some = with_set.select("key", "n_shingles", "digest").join(of_set, "digest").select("key", "n_shingles", F.col("comp").alias("component_id"))
@@ -264,7 +225,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """The input rows of one document of every component, the smallest key."""
-    kept = near_duplicates(docs, key, text, percent).where(F.col("kept") & F.col(key).isNotNull()).select(
-        F.col(key).alias("_kept_key")).distinct()
-    return docs.join(kept, F.col(key) == F.col("_kept_key"), "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    """One input row of every component: the smallest key's; of several rows of that
+    key one with the least digest of its text. Of the rows without a key one of each
+    text stays, unless a row with a key has that text."""
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), digest.alias("digest"))
+    told = written(near_duplicates(docs, key, text, percent).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept")), "told")
+    first = F.min_by("row", "digest").alias("row")
+    # What goes is less than what stays; texts that stay need not be shuffled for it.
+    odd = told.where("not kept or n > 1").select("id")
+    out = rows.where("id is not null").join(odd, "id", "left_anti").select("row")
+    repeated = told.where("kept and n > 1").select("id")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(repeated, "id", "left_semi").groupBy("id").agg(first).select("row"))
+    lone = rows.where("id is null")
+    if not lone.isEmpty():
+        known = rows.where("id is not null").select("digest")
+        out = out.unionByName(lone.groupBy("digest").agg(first).join(known, "digest", "left_anti").select("row"))
+    return out.select("row.*")
