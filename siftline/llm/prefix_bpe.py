@@ -173,7 +173,7 @@ def encode(docs: DataFrame, text: str = "text", file: str | None = None, ids: st
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
     schema = StructType([rows.schema["row"], StructField("made", ArrayType(IntegerType()))])
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c != ids]
-    return arrow_map(rows, run, schema).select(*kept, F.col("made").alias(ids))
+    return arrow_map(rows, run, schema, rows=64).select(*kept, F.col("made").alias(ids))
 
 
 @lru_cache(maxsize=1)
