@@ -116,11 +116,16 @@ def with_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     ) | never).withColumns({x: v.cast("double") for x, v in zip(_X, vector, strict=True)}).drop("n_lines")
 
 
-def _bin_quantile(df: DataFrame, keys: list[str], bin_: Column, fraction: float, out: str) -> DataFrame:
-    """Per group the bin that holds the quantile: counts of bins, added up."""
+def _summed_bins(df: DataFrame, keys: list[str], bin_: Column) -> DataFrame:
+    """Per group its bins with the rows up to each (_to) and in all (_all)."""
     order = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = df.groupBy(*keys, bin_.cast("long").alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
-    sums = counts.withColumn("_to", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    return counts.withColumn("_to", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+
+
+def _bin_quantile(df: DataFrame, keys: list[str], bin_: Column, fraction: float, out: str) -> DataFrame:
+    """Per group the bin that holds the quantile: counts of bins, added up."""
+    sums = _summed_bins(df, keys, bin_)
     return sums.where(F.col("_to") >= fraction * F.col("_all")).groupBy(*keys).agg(F.min("_bin").alias(out))
 
 
@@ -173,15 +178,14 @@ def fit(stats: DataFrame) -> DataFrame:
 
     rows = written(rows, "quality-rows")
     bins = rows.select("g", F.posexplode(F.array(*[F.floor(F.col(x) / (f / 8)) for x, f in zip(_X, FLOORS, strict=True)])).alias("d", "b"))
-    starts = []
-    for s, (fraction, scale) in enumerate(STARTS):
-        center = _bin_quantile(bins, ["g", "d"], F.col("b"), fraction, "b").groupBy("g").agg(
-            *[((F.max(F.when(F.col("d") == i, F.col("b"))) + 0.5) * (FLOORS[i] / 8)).alias(f"m{i}") for i in range(_D)])
-        starts.append(center.withColumns({"s": F.lit(s)} | {
-            f"c{i}{j}": F.lit(FLOORS[i] * scale if i == j else 0.0) for i in range(_D) for j in range(i + 1)}))
-    parameters = starts[0]
-    for other in starts[1:]:
-        parameters = parameters.unionByName(other)
+    # All quantiles in one pass, then a row a group and start.
+    sums = _summed_bins(bins, ["g", "d"], F.col("b"))
+    at = sums.groupBy("g", "d").agg(*[F.min(F.when(F.col("_to") >= q * F.col("_all"), F.col("_bin"))).alias(f"q{s}") for s, (q, _) in enumerate(STARTS)])
+    centers = at.groupBy("g").agg(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(scale).alias("scale"), *[
+        ((F.max(F.when(F.col("d") == i, F.col(f"q{s}"))) + 0.5) * (FLOORS[i] / 8)).alias(f"m{i}") for i in range(_D)
+    ]) for s, (_, scale) in enumerate(STARTS)]).alias("starts")).select("g", F.inline("starts"))
+    parameters = centers.withColumns({
+        f"c{i}{j}": FLOORS[i] * F.col("scale") if i == j else F.lit(0.0) for i in range(_D) for j in range(i + 1)})
     for _ in range(STEPS):
         # Tables of a row a group and start, whose size Spark sees before it joins.
         parameters = written(parameters.select("s", *_PARAMETERS), "quality-step")
@@ -197,6 +201,8 @@ def fit(stats: DataFrame) -> DataFrame:
         parameters = _cholesky(sums.select("g", "s", *[(F.col(f"m{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(_D)], *[
             (_CONSISTENCY * (F.col(f"p{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) + F.lit(FLOORS[i] ** 2 if i == j else 0.0)).alias(f"v{i}{j}")
             for i, j in _PAIRS]))
+    # As a table first, or the factors' nested expressions would be written out again.
+    parameters = written(parameters.select("s", *_PARAMETERS), "quality-step")
     # The least determinant, in steps that no rounding reaches; then the first start.
     size = F.round(sum((F.log(f"c{i}{i}") for i in range(_D)), F.lit(0.0)), 6)
     best = parameters.groupBy("g").agg(F.min_by(F.struct(*_PARAMETERS[1:]), F.struct(size, "s")).alias("best")).select("g", "best.*")
