@@ -23,6 +23,8 @@ from siftline.sources import timeline as tl
 ISO = "%Y-%m-%dT%H:%M:%S.%gZ"
 NO_RECORD = "cast(map() as map<string,string>)"
 CUSTOMER, SUPPLIER, PART = "customer", "supplier", "part"
+#: Files of one record each that a task writes.
+FILES_A_TASK = 250
 
 
 def table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
@@ -366,9 +368,13 @@ def task_files(spark, sf):
         "</URI></RegistrationInfo><Actions><Exec><Command>run.exe</Command><Arguments>-n "), text(k), F.lit(
         "</Arguments></Exec></Actions><Principals><Principal><UserId>root</UserId></Principal></Principals></Task>"))
     root = shared_folder(spark, "a17")
+    # Definitions of one key share a file. Tasks grow with the files by hundreds and move their
+    # files into place themselves; the folder, not each of its files, is what is listed.
+    one = read(spark, sf, "supplier").groupBy(k.alias("k")).agg(F.concat_ws("\n", F.collect_list(xml)).alias("value"))
     n = read(spark, sf, "supplier").count()
-    read(spark, sf, "supplier").select(xml.alias("value"), k.alias("k")).repartitionByRange(n, "k").select("value").write.text(f"{root}/u0/artifacts")
-    out = records.task_definitions(with_facts(src.read_tasks(spark, f"{root}/*/artifacts/*.txt")))
+    one.repartition(n // FILES_A_TASK + 1).select("value").write.option("maxRecordsPerFile", 1).option(
+        "mapreduce.fileoutputcommitter.algorithm.version", 2).text(f"{root}/u0/artifacts")
+    out = records.task_definitions(with_facts(src.read_tasks(spark, f"{root}/*/artifacts")))
     return out.select(iso_ms(F.col("datetime")).alias("at"), "message", F.col("attrs")["user_id"].alias("user_id"))
 
 
