@@ -104,7 +104,8 @@ def file_hits(rules: RuleSet, index: Index) -> None:
             # Every argument must be found, one of the extensions.
             tests += [index.test(FILE_CRITERIA[c], "find", some) for some in ([[p] for p in patterns] if c == "arguments" else [patterns])]
         tests += [index.test([c], "find", [rule[k]]) for c, k in (("signed", "signed"), ("source", "sources")) if rule[k]]
-        gate = next(iter(asked))
+        # An extension opens the gate to very many files, so it does where nothing else is set.
+        gate = min(asked, key=lambda c: c == "extensions")
         index.entry(index.rule(rule, "FileCorrelated", None), tests, group=f"file {gate}",
                     patterns=asked[gate][:1] if gate == "arguments" else asked[gate], types=rule["event_types"])
 
@@ -253,9 +254,9 @@ def _candidates(index: Index) -> Column:
     for group, fields in gates.items():
         if (pattern := index.pattern(group)) is not None:
             gate = _find(pattern, *map(f, fields))
-            found.append(index.of_group(group, (f("library_ext") != "") & gate if group.startswith("library") else gate))
+            found.append(index.of_group(group, (f("library_ext") != "") & gate if group.startswith("library") else gate, *map(f, fields)))
     if (pattern := index.pattern("token")) is not None:
-        found.append(index.of_group("token", f("process_low").contains(POWERSHELL) & _find(pattern, f("command_low"))))
+        found.append(index.of_group("token", f("process_low").contains(POWERSHELL) & _find(pattern, f("command_low")), f("command_low")))
     if "host" in index.kinds() or index.groups.get("domain"):
         hosts, (rules, wide) = [f(h) for h in index.hosts], index.exclude
         present = F.array_distinct(F.transform(F.array_compact(F.array(*hosts)), F.lower))
@@ -264,7 +265,7 @@ def _candidates(index: Index) -> Column:
             suffixes = F.transform(F.flatten(F.transform(present, host_suffixes)), lambda s: F.concat(F.lit("host:"), s))
             named.append(index.under(suffixes, F.col("attrs")))
         if (pattern := index.pattern("domain")) is not None:
-            named.append(index.of_group("domain", _find(pattern, *hosts)))
+            named.append(index.of_group("domain", _find(pattern, *hosts), *hosts))
         some = any_of([h.isNotNull() for h in hosts])
         found.append(F.when(some & ~excluded_network(rules, wide), F.concat(*named)).otherwise(F.expr(NO_ENTRIES)))
     return F.concat(*found) if found else F.expr(NO_ENTRIES)

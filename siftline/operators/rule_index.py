@@ -3,7 +3,7 @@
 A rule is one or more entries: a list of event types and of tests that must all hold.
 An entry stands under literal keys (an event id, a file name, a stem, an extension, a
 host suffix) or, where its rule has none, in a group whose one combined pattern decides
-whether the entry is looked at. The whole is one row: `buckets` (keys by their checksum),
+whether the group is looked at, and then a literal of each entry's pattern whether it is. The whole is one row: `buckets` (keys by their checksum),
 `groups`, `entries` and `rules`. Spark folds each of these into one constant that goes to
 every task, so the query's plan has the same nodes however many rules there are, rows
 are not multiplied or shuffled, and a row costs a look-up per key. The size is checked.
@@ -26,7 +26,7 @@ MOST_CHARS, CROWDED = 64 << 20, 8
 NO_ENTRIES = "cast(array() as array<int>)"
 TEST = "struct<fields:array<int>,names:array<string>,op:string,texts:array<struct<text:string,literal:string>>>"
 KINDS = {
-    "buckets": "array<array<struct<key:string,entries:array<int>,gate:string,gated:array<int>>>>", "groups": "array<array<int>>",
+    "buckets": "array<array<struct<key:string,entries:array<int>,gate:string,gated:array<int>>>>", "groups": "array<array<struct<literal:string,entries:array<int>>>>",
     "entries": f"array<struct<rule:int,types:array<string>,tests:array<{TEST}>>>",
     "rules": "array<struct<rule_id:string,plugin:string,analysis_type:string,score:string,justification:string,mitre:array<string>,tool:string>>",
 }
@@ -111,7 +111,8 @@ class Index:
         self.rules: list[dict] = []
         self.entries: list[dict] = []
         self.keys: dict[str, list[int]] = defaultdict(list)
-        self.groups: dict[str, list[int]] = defaultdict(list)
+        #: Per group: literal that an entry's pattern needs ('' where none is sure) -> entries.
+        self.groups: dict[str, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
         self.patterns: dict[str, list[str]] = defaultdict(list)
         self._parts: dict[str, Column] | None = None
 
@@ -135,7 +136,8 @@ class Index:
         for key in dict.fromkeys(keys):
             self.keys[key].append(len(self.entries) - 1)
         if group is not None:
-            self.groups[group].append(len(self.entries) - 1)
+            for literal in dict.fromkeys(map(literal_of, patterns)):
+                self.groups[group][literal].append(len(self.entries) - 1)
             self.patterns[group] += patterns
 
     def pattern(self, group: str) -> str | None:
@@ -153,7 +155,7 @@ class Index:
                 buckets[zlib.crc32(key.encode()) % len(buckets)].append({"key": key} | self._under(numbers))
             self.slots, self.order = len(buckets), list(self.groups)
             texts = {k: json.dumps(v) for k, v in {
-                "buckets": buckets, "groups": [self.groups[g] for g in self.order], "entries": self.entries, "rules": self.rules}.items()}
+                "buckets": buckets, "groups": [[{"literal": w, "entries": n} for w, n in self.groups[g].items()] for g in self.order], "entries": self.entries, "rules": self.rules}.items()}
             size = sum(map(len, texts.values()))
             if size > MOST_CHARS:
                 raise ValueError(f"a rule set of {size} characters is too large to go to every task")
@@ -187,8 +189,16 @@ class Index:
 
         return F.flatten(F.transform(keys, look_up))
 
-    def of_group(self, group: str, gate: Column) -> Column:
-        found = F.get(self.part("groups"), F.lit(self.order.index(group)))
+    def of_group(self, group: str, gate: Column, *fields: Column) -> Column:
+        """Numbers of the group's entries whose literal one of the fields holds, where
+        the gate, the group's combined pattern, lets the row in."""
+        listed = F.get(self.part("groups"), F.lit(self.order.index(group)))
+
+        def held(text: Column) -> Column:
+            return F.flatten(F.transform(F.filter(listed, lambda g: F.contains(text, g["literal"])), lambda g: g["entries"]))
+
+        # As a list of one, the text is put together once for all literals.
+        found = F.flatten(F.transform(F.array(F.lower(F.concat_ws("\n", *fields))), held))
         return F.when(F.coalesce(gate, F.lit(False)), found).otherwise(F.expr(NO_ENTRIES))
 
     def holding(self, numbers: Column, facets: Column, event_type: Column, attrs: Column) -> Column:

@@ -38,3 +38,17 @@ def test_tasks_that_write_definitions_grow_by_hundreds_of_files(spark, tmp_path)
     (root,) = set(glob.glob(shared)) - before
     names = [p.rsplit("/", 1)[1] for p in glob.glob(f"{root}/u0/artifacts/part-*")]
     assert len(names) == 602 and len({n[:10] for n in names}) <= 3
+
+
+def test_a_group_gives_only_entries_whose_literal_the_file_holds(spark):
+    df = files(spark, {"file_name": "red_ring.exe", "file_path": "/c/brand11/x/"}, {"file_name": "a.sys", "file_path": "/c/x/economy/"},
+               {"file_name": "mass_tool15.exe", "file_path": "/x/"}, {"file_name": "plain.dll", "file_path": "/bulk12/a/"})
+    assert candidates(spark, df, detect.file_hits) == {0: 1, 1: 0, 2: 2, 3: 0}
+    assert candidates(spark, df, detect.library_hits) == {0: 0, 1: 1, 2: 0, 3: 1}
+
+
+def test_all_file_criteria_still_hold_whichever_opens_the_gate(spark):
+    df = files(spark, {"file_name": "x.exe", "parent_path": "C:\\mass-tool3", "command_line": "y --bulk3"}, {"file_name": "x.txt", "parent_path": "C:\\mass-tool3", "command_line": "y --bulk3"},
+               {"file_name": "x.dll", "task_name": "bulk_tool4"}, {"file_name": "x.dll", "task_name": "bulk_tool"}, {"file_name": "BULK_TOOL0.EXE"})
+    hits = detect.detections(detect.detect(df, rule_set(spark), (detect.file_hits,)), ["id"]).collect()
+    assert sorted((r["id"], r["analysis_type"]) for r in hits) == [(0, "BULK"), (2, "BULK"), (4, "BULK")]
