@@ -311,7 +311,11 @@ def detect(df: DataFrame, rules: RuleSet, plugins: tuple = PLUGINS, **options: d
         return df.withColumn("detections", F.expr(NO_HITS))
     # Keys and gates are evaluated once per event; tests only where one fits.
     marked = with_facets(df).withColumn("_some", once(_candidates(index)))
-    held = index.holding(F.col("_some"), F.array(*[f(n) for n in FACETS]), F.col("event_type"), F.col("attrs"))
+    # What no test looks at stays out, so that Spark does not work it out for every event.
+    used, none = index.used(), F.lit(None).cast("string")
+    facets = F.array(*[f(n) if n in used else none for n in FACETS])
+    marked = marked.withColumn("_facets", once(F.when(F.size("_some") > 0, facets)))
+    held = index.holding(F.col("_some"), F.col("_facets"), F.col("event_type"), F.col("attrs"))
     marked = marked.withColumn("_hits", once(F.when(F.size("_some") > 0, held).otherwise(F.expr(NO_ENTRIES))))
     return marked.withColumn("detections", spell_out(F.col("_hits"), index.part("rules"))).select(*df.columns, "detections")
 

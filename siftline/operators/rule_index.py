@@ -144,6 +144,11 @@ class Index:
         """The combined pattern of a group, None without such entries."""
         return combined(self.patterns[group]) if self.groups.get(group) else None
 
+    def used(self) -> set[str]:
+        """Facets that a test looks at."""
+        asked = {i for e in self.entries for t in e["tests"] for i in t["fields"]}
+        return {name for name, i in self.facets.items() if i in asked}
+
     def kinds(self) -> set[str]:
         return {key.partition(":")[0] for key in self.keys}
 

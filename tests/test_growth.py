@@ -52,3 +52,11 @@ def test_all_file_criteria_still_hold_whichever_opens_the_gate(spark):
                {"file_name": "x.dll", "task_name": "bulk_tool4"}, {"file_name": "x.dll", "task_name": "bulk_tool"}, {"file_name": "BULK_TOOL0.EXE"})
     hits = detect.detections(detect.detect(df, rule_set(spark), (detect.file_hits,)), ["id"]).collect()
     assert sorted((r["id"], r["analysis_type"]) for r in hits) == [(0, "BULK"), (2, "BULK"), (4, "BULK")]
+
+
+def test_facets_that_no_test_looks_at_are_not_worked_out(spark):
+    df = files(spark, {"file_name": "cold_ring.dll"}, {"file_name": "x"})
+    out = detect.detections(detect.detect(df, rule_set(spark), (detect.remote_hits,)), ["id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_f_process_stem_low" in plan and not any(f"_f_{n}#" in plan for n in ("url_host", "log_file", "command", "parent", "task", "signed"))
+    assert [(r["id"], r["tool_name"]) for r in out.collect()] == [(0, "RingTool")]
