@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.values import whole_number
+from siftline.functions.values import once, whole_number
 from siftline.functions.times import install_date, iso_ms
 from siftline.operators.filters import attr, contains_ci
 from siftline.operators.paging import first_children
@@ -28,7 +28,10 @@ def either(df: DataFrame, *names: str) -> Column:
 def policy_entries(df: DataFrame) -> DataFrame:
     """File events on the policy share: path, name, size, kind of time."""
     path = either(df, "filePath", "file_path")
-    return df.where(F.startswith("data_type", F.lit(FILE_DATA)) & contains_ci(path, POLICY_SHARE)).select(
+    # Else the path, and the bag it comes from, would be worked out at each mention.
+    files = df.where(F.startswith("data_type", F.lit(FILE_DATA))).withColumn("_path", once(path))
+    path = F.col("_path")
+    return files.where(contains_ci(path, POLICY_SHARE)).select(
         "id", "upload_id", path.alias("path"), either(df, "fileName", "file_name").alias("name"),
         either(df, "fileSize", "file_size").alias("size"), "datetime", "timestamp_desc",
         F.when(path.rlike(POLICY_PATTERN), F.regexp_extract(path, POLICY_PATTERN, 1)).alias("policy"),
@@ -38,19 +41,17 @@ def policy_entries(df: DataFrame) -> DataFrame:
 def ancestors(entries: DataFrame, keys: list[str] = CAPTURE) -> DataFrame:
     """(dir, child) for every directory on every path of a capture (`keys`).
 
-    Rolled up from the bottom: paths are cut to their directories first, which are far
-    fewer, and only these give their own ancestors.
+    Paths are made distinct first and then give all their levels, so the entries are read
+    once and a row costs no more than its path.
     """
-    parent = F.regexp_replace("path", "/[^/]*$", "")
-    pairs = entries.where(F.contains("path", F.lit("/"))).select(*keys, parent.alias("dir"), F.col("path").alias("child")).distinct()
-    parts, steps = F.split("dir", "/"), F.size(F.split("dir", "/"))
+    paths = entries.where(F.contains("path", F.lit("/"))).select(*keys, "path").distinct()
+    parts = F.split("path", "/")
 
     def prefix(i: Column) -> Column:
         return F.array_join(F.slice(parts, F.lit(1), i), "/")
 
-    above = F.when(steps > 1, F.transform(F.sequence(F.lit(1), steps - 1), lambda i: F.struct(prefix(i).alias("dir"), prefix(i + 1).alias("child"))))
-    higher = pairs.select(*keys, "dir").distinct().select(*keys, F.inline(above))
-    return pairs.unionByName(higher).where(F.col("dir") != "").distinct()
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(prefix(i).alias("dir"), prefix(i + 1).alias("child")))
+    return paths.select(*keys, F.inline(steps)).where(F.col("dir") != "").distinct()
 
 
 def policy_totals(entries: DataFrame, keys: list[str] = CAPTURE) -> DataFrame:

@@ -60,3 +60,16 @@ def test_facets_that_no_test_looks_at_are_not_worked_out(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "_f_process_stem_low" in plan and not any(f"_f_{n}#" in plan for n in ("url_host", "log_file", "command", "parent", "task", "signed"))
     assert [(r["id"], r["tool_name"]) for r in out.collect()] == [(0, "RingTool")]
+
+
+def test_the_tree_reads_the_entries_once(spark, tmp_path):
+    paths = ["/c/SYSVOL/a/x", "/c/SYSVOL/a/y", "/c/SYSVOL/a/x", "/c/SYSVOL/b", "rel/SYSVOL", "none", None, "/", "a//b", "/c/SYSVOL/a/"]
+    spark.createDataFrame([(u, p) for u in ("u0", "u1", None) for p in paths], "upload_id string, path string").write.parquet(str(tmp_path / "e"))
+    entries = spark.read.parquet(str(tmp_path / "e"))
+    want = set()
+    for p in filter(None, paths):
+        parts = p.split("/")
+        want |= {("/".join(parts[:i]), "/".join(parts[:i + 1])) for i in range(1, len(parts)) if "/".join(parts[:i])}
+    got = [tuple(r) for r in inventory.ancestors(entries).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(u, *w) for u in ("u0", "u1", None) for w in want}
+    assert final_plan(inventory.policy_tree(entries)).count("FileScan parquet") == 1
