@@ -42,6 +42,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, shared: str | N
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # Tests read the filters in plans, which are else cut after 100 characters.
+        .config("spark.sql.maxMetadataStringLength", "5000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
