@@ -25,7 +25,6 @@ without an id. Ties go to the smaller id.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +41,11 @@ SEARCH_RATIO, BORDER_RATIO, COPIES = 1.1, 1.04, 4
 #: A query looks at the nearest lists of so many times k vectors in any case.
 LOOKED = 64
 _DEGREE, _ENTRIES, _STEPS = 24, 4, 8
-#: Rows a task holds, and candidates beyond k + 1 that near-ties may need.
-_HELD, _SPARE = 1 << 18, 4
+#: Distances that a walk of many rows keeps.
+_WALKED = 1 << 20
+#: Rows a task holds, and as from how many it cuts them back; candidates beyond k + 1
+#: that near-ties may need.
+_HELD, _CUT, _SPARE = 1 << 18, 1 << 15, 4
 
 
 def _balanced(x: np.ndarray, n: int, random: np.random.Generator) -> np.ndarray:
@@ -83,41 +85,64 @@ class CentroidGraph:
                     links[i].add(j), links[j].add(i)
                 links[i].update(random.integers(0, n, 4).tolist())
         self.links = [np.fromiter(s, np.int64) for s in links]
+        self.degree = np.fromiter(map(len, self.links), np.int64, n)
         # Centroids come in the order of the splits, so these lie all over; their number
         # follows the root of all, and a walk is not caught in a cluster.
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 16 + _ENTRIES * int(np.sqrt(n)))).astype(np.int64))
 
     def within(self, v: np.ndarray, ratio: float, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """Centroids whose distance to `v` is at most `ratio` times the nearest
-        one's, and the `least` nearest, nearest first, and the distances: a best-first walk that ends when
-        the nearest open centroid is clearly beyond that bound."""
-        seen = np.zeros(len(self.centroids), bool)
-        heap: list[tuple[float, int]] = []
-        ids, dists, best = [], [], np.inf
-
-        def look(new: np.ndarray) -> None:
-            nonlocal best
-            seen[new] = True
-            d = np.sqrt(((self.centroids[new] - v) ** 2).sum(axis=1))
-            best = min(best, float(d.min(initial=np.inf)))
-            ids.append(new), dists.append(d)
-            for x in zip(d.tolist(), new.tolist(), strict=True):
-                heapq.heappush(heap, x)
-
-        look(np.unique(self.entries))
-        steps = 0
-        while heap and seen.sum() < len(seen):
-            d, i = heapq.heappop(heap)
-            if steps >= max(_STEPS, least) and d > ratio * best:
+        """`within_all` for one vector: centroids and distances."""
+        return self.within_all(v[None, :], ratio, least)[1:]
+
+    def within_all(self, vs: np.ndarray, ratio: float, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of `vs`, and centroids whose distance to a row is at most `ratio` times
+        the nearest one's, and the `least` nearest, nearest first, and the distances: a
+        best-first walk for each row that ends when its nearest open centroid is clearly
+        beyond that bound. Many rows walk side by side, a step of all at once."""
+        size = max(1, _WALKED // len(self.centroids))
+        parts = [self._walk(vs[at: at + size], ratio, least) for at in range(0, len(vs), size)]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        rows = np.concatenate([p[0] + i * size for i, p in enumerate(parts)])
+        return rows, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+
+    def _walk(self, vs: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(self.centroids)
+        seen = np.full((len(vs), n), np.inf)
+        open_, best = seen.copy(), np.full(len(vs), np.inf)
+
+        def look(row: np.ndarray, new: np.ndarray) -> None:
+            for at in range(0, len(row), 1 << 14):
+                r, c = row[at: at + (1 << 14)], new[at: at + (1 << 14)]
+                d = np.sqrt(((self.centroids[c] - vs[r]) ** 2).sum(axis=1))
+                seen[r, c] = open_[r, c] = d
+                np.minimum.at(best, r, d)
+
+        walking = np.arange(len(vs))
+        look(np.repeat(walking, len(self.entries)), np.tile(self.entries, len(vs)))
+        known, steps = np.full(len(vs), len(self.entries)), 0
+        while True:
+            walking = walking[known[walking] < n]
+            some = open_[walking]
+            c = some.argmin(axis=1)
+            d = some[np.arange(len(c)), c]
+            on = np.isfinite(d) & ((d <= ratio * best[walking]) | (steps < max(_STEPS, least)))
+            walking, c = walking[on], c[on]
+            if not len(walking):
                 break
             steps += 1
-            new = self.links[i][~seen[self.links[i]]]
-            if len(new):
-                look(np.unique(new))
-        i, d = np.concatenate(ids), np.concatenate(dists)
-        order = np.argsort(d, kind="stable")
-        order = order[(d[order] <= ratio * best + 1e-12) | (np.arange(len(order)) < least)]
-        return i[order], d[order]
+            open_[walking, c] = np.inf
+            row, new = np.repeat(walking, self.degree[c]), np.concatenate([self.links[i] for i in c.tolist()])
+            unseen = np.isinf(seen[row, new])
+            look(row[unseen], new[unseen])
+            known += np.bincount(row[unseen], minlength=len(vs))
+        bound = ratio * best + 1e-12
+        if least > 1:
+            bound = np.maximum(bound, np.partition(seen, least - 1, axis=1)[:, least - 1] if least < n else np.inf)
+        row, c = np.nonzero((seen <= bound[:, None]) & np.isfinite(seen))
+        d = seen[row, c]
+        order = np.lexsort((c, d, row))
+        return row[order], c[order], d[order]
 
 
 def _usable(vector: Column) -> Column:
@@ -174,16 +199,13 @@ def nearest(
     def lists(ratio: float, most: int | None, is_entry: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                which, place = [], []
-                for i, v in enumerate(_matrix(b.column(1), dim)):
-                    last = np.sqrt(max(0.0, longest - float((v ** 2).sum()))) if is_entry else 0.0
-                    found, _ = graph.value.within(np.append(v, last), ratio, 1 if is_entry else -(-LOOKED * k // per_list))
-                    found = found[:most]
-                    which.append(np.full(len(found), i)), place.append(found)
-                taken = np.concatenate(which) if which else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.take(pa.array(taken)) for c in b.columns), pa.array(np.concatenate(place) if place else taken)],
-                    [*b.schema.names, "list"])
+                v = _matrix(b.column(1), dim)
+                last = np.sqrt(np.maximum(0.0, longest - (v ** 2).sum(axis=1))) if is_entry else np.zeros(len(v))
+                which, place, _ = graph.value.within_all(np.column_stack([v, last]), ratio, 1 if is_entry else -(-LOOKED * k // per_list))
+                if most is not None:
+                    first = np.arange(len(which)) - np.searchsorted(which, which) < most
+                    which, place = which[first], place[first]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(which)) for c in b.columns), pa.array(place)], [*b.schema.names, "list"])
         return run
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
@@ -201,17 +223,21 @@ def nearest(
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every question's k + 1 best entries of a task's block pairs, with their ids.
-        What is held is cut back to that whenever it has grown to _HELD rows."""
-        names, vectors_, ids_of = {}, [], {}
+        What is held is cut back to that whenever it has doubled; then a question's last
+        is the floor that its further candidates must reach."""
+        names, vectors_, ids_of, floor, most = {}, [], {}, np.zeros(0), _CUT
         held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
 
         def cut_back() -> list[np.ndarray]:
             q, s, e = held
-            _, once = np.unique(np.column_stack([q, e]), axis=0, return_index=True)
+            order = np.lexsort((e, q))
+            q, s, e = q[order], s[order], e[order]
+            once = np.append(True, (q[1:] != q[:-1]) | (e[1:] != e[:-1]))[: len(q)]
             q, s, e = q[once], s[once], e[once]
             order = np.lexsort((e, -s, q))
             q, s, e = q[order], s[order], e[order]
             place = np.arange(len(q)) - np.searchsorted(q, q)
+            floor[q[place == k + _SPARE]] = s[place == k + _SPARE]
             return [x[place <= k + _SPARE] for x in (q, s, e)]
 
         def out() -> pa.RecordBatch:
@@ -236,24 +262,27 @@ def nearest(
                         names[v] = len(vectors_)
                         vectors_.append(v)
                     asks.append(names[v])
-                if scores.shape[1] > k + 1:
-                    # Ties at the border stay, for the smaller id to win.
+                floor = np.append(floor, np.full(len(names) - len(floor), -np.inf))
+                least = floor[asks]
+                if scores.shape[1] > k + 1 and np.count_nonzero(scores >= least[:, None]) > (k + 1) * len(asks):
                     place = scores.shape[1] - k - 1
-                    least = np.partition(scores, place, axis=1)[:, place]
-                    row, col = np.nonzero(scores >= least[:, None] - 1e-12 * np.abs(least[:, None]))
-                else:
-                    row, col = (x.ravel() for x in np.indices(scores.shape))
+                    least = np.maximum(least, np.partition(scores, place, axis=1)[:, place])
+                # Ties at the border stay, for the smaller id to win.
+                row, col = np.nonzero(scores >= (least - 1e-12 * np.abs(least))[:, None])
+                if not len(row):
+                    continue
                 used = np.unique(col)
                 some = pa.array(used)
                 ids_of.update(zip(first[used].tolist(), zip(
                     e.field("ids").take(some).to_pylist(), e.field("v").take(some).to_pylist(), strict=True), strict=True))
                 held = [np.concatenate([h, x]) for h, x in zip(held, (np.asarray(asks)[row], scores[row, col], first[col]), strict=True)]
-                if len(held[0]) > _HELD:
+                if len(held[0]) > most:
                     held = cut_back()
                     ids_of = {i: ids_of[i] for i in set(held[2].tolist())}
+                    most = max(_CUT, 2 * len(held[0]))
                     if len(held[0]) > _HELD // 2:
                         yield out()
-                        names, vectors_, ids_of = {}, [], {}
+                        names, vectors_, ids_of, floor, most = {}, [], {}, np.zeros(0), _CUT
                         held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
         yield out()
 

@@ -353,6 +353,40 @@ def test_walk_finds_the_lists_among_thousands():
     assert hits >= 198
 
 
+def test_walks_go_side_by_side(monkeypatch):
+    rnd = np.random.default_rng(7)
+    centroids = rnd.normal(size=(300, 12))
+    graph, walks = ann.CentroidGraph(centroids), []
+    monkeypatch.setattr(ann, "_WALKED", 300 * 150)
+    real = ann.CentroidGraph._walk
+    monkeypatch.setattr(ann.CentroidGraph, "_walk", lambda self, vs, *a: walks.append(len(vs)) or real(self, vs, *a))
+    vs = np.concatenate([rnd.normal(size=(398, 12)), centroids[:2]])
+    d = np.sqrt(((vs[:, None] - centroids[None]) ** 2).sum(axis=2))
+    for ratio, least in ((1.2, 1), (1.0, 5), (1.1, 400)):
+        rows, found, dist = graph.within_all(vs, ratio, least)
+        assert np.allclose(dist, d[rows, found]) and (np.diff(rows) >= 0).all() and (np.diff(dist)[np.diff(rows) == 0] >= 0).all()
+        bound = np.maximum(ratio * d.min(axis=1) + 1e-12, np.sort(d, axis=1)[:, min(least, 300) - 1])
+        assert len(found) >= 0.99 * (d <= bound[:, None]).sum()
+    # A task's rows in a few walks, not each in one of its own.
+    assert walks == [150, 150, 100] * 3 and len(graph.within_all(vs[:0], 1.1)[0]) == 0
+
+
+def test_floor_of_a_question_keeps_its_nearest(spark, monkeypatch):
+    monkeypatch.setattr(ann, "_CUT", 64)
+    rnd = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rnd.integers(-2, 3, (400, 4)))]
+    rows = [(i, v) for i, v in rows if any(v)]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, search_ratio=99.0, per_list=16)
+    found = {}
+    for r in out.collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, hits in found.items():
+        own = dict(rows)[q]
+        best = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, v in rows if i != q)[:20]
+        assert sorted(hits) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert len(found) >= 19
+
+
 def test_nearest_recall_with_many_small_lists(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     expected = brute.nearest([(r["vec_id"], r["embedding"]) for r in df.collect()], 20)
