@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from siftline.llm import families
 from siftline.llm.common import arrow_map, written
 from siftline.llm.graph import components
-from siftline.llm.screen import asked_texts
+from siftline.llm.screen import asked_texts, may_be_among
 from siftline.llm.words import mixed, runs, shingles, words_of
 
 WORDS, HASHES, MOST_TREES, DEPTH, MISSED = 5, 128, 128, 5, 1e-6
@@ -233,12 +233,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     told = written(near_duplicates(docs, key, text, percent).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(
         F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept")), "told")
     first = F.min_by("row", "digest").alias("row")
-    # What goes is less than what stays; texts that stay need not be shuffled for it.
+    # What goes is less than what stays; texts that surely stay are not shuffled for it.
     odd = told.where("not kept or n > 1").select("id")
-    out = rows.where("id is not null").join(odd, "id", "left_anti").select("row")
+    maybe = may_be_among(F.col("id"), odd)
+    asked = rows.where(maybe)
+    out = rows.where(F.col("id").isNotNull() & ~maybe).select("row").unionByName(asked.join(odd, "id", "left_anti").select("row"))
     repeated = told.where("kept and n > 1").select("id")
     if not repeated.isEmpty():
-        out = out.unionByName(rows.join(repeated, "id", "left_semi").groupBy("id").agg(first).select("row"))
+        out = out.unionByName(asked.join(repeated, "id", "left_semi").groupBy("id").agg(first).select("row"))
     lone = rows.where("id is null")
     if not lone.isEmpty():
         known = rows.where("id is not null").select("digest")

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import arrow_map, written
+from siftline.llm.screen import may_be_among
 from siftline.llm.words import runs, shingles, words_of
 
 WINDOW, GRAM = 50, 8
@@ -170,7 +171,7 @@ def _owned_windows(docs: DataFrame, kind: str, window: int, hot_spans: int) -> t
     owners = base.join(firsts.withColumnRenamed("first", "key"), ["digest", "key"]).dropDuplicates(["digest"]).select(
         "digest", "key", F.explode("anchors").alias("anchor"))
     shared = owners.groupBy("anchor").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("anchor")
-    wanted = owners.join(shared, "anchor").groupBy("digest", "key").agg(F.collect_list("anchor").alias("anchors"))
+    wanted = written(owners.join(shared, "anchor").groupBy("digest", "key").agg(F.collect_list("anchor").alias("anchors")), "wanted")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["digest", "key", "start", "anchor", "span", "n", "words"]
@@ -188,7 +189,8 @@ def _owned_windows(docs: DataFrame, kind: str, window: int, hot_spans: int) -> t
             types = (pa.string(), b.schema.types[1], pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(rows[n], t) for n, t in zip(names, types, strict=True)], names)
 
-    chosen = docs.join(wanted, ["key", "digest"]).select("digest", "key", "text", "anchors")
+    # Texts without a shared anchor are not shuffled.
+    chosen = docs.where(may_be_among(F.col("key"), wanted.select("key"))).join(wanted, ["key", "digest"]).select("digest", "key", "text", "anchors")
     seen = written(arrow_map(chosen, spans, f"digest string, key {kind}, start int, anchor long, span binary, n int, words binary"), "spans")
     references = seen.groupBy("anchor", "span").agg(F.min("key").alias("owner"), F.max("n").alias("n"), F.max("words").alias("words"))
     references = written(references, "references")
@@ -232,7 +234,11 @@ def _cut(docs: DataFrame, key: str, text: str, window: int, hot_spans: int) -> t
     taken = found.groupBy("digest", "key").agg(F.flatten(F.collect_list("at")).alias("at"))
     plan = texts.where("key <> first").select("key", "digest", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("at")) \
         .unionByName(taken.select("key", "digest", F.lit(False).alias("copy"), "at"))
-    return rows.join(plan, ["key", "digest"], "left").select("doc", "key", "text", "copy", "at"), kind
+    plan = written(plan, "removal-plan")
+    # Texts that surely lose nothing stay where they are.
+    maybe = may_be_among(F.col("key"), plan.select("key"))
+    whole = rows.where(~maybe).select("doc", "key", "text", F.lit(None).cast("boolean").alias("copy"), F.lit(None).cast("array<int>").alias("at"))
+    return whole.unionByName(rows.where(maybe).join(plan, ["key", "digest"], "left").select("doc", "key", "text", "copy", "at")), kind
 
 
 def _kept_words(text: str | None, copy: bool | None, at: list[int] | None, window: int) -> tuple[list[bytes], list[bytes], np.ndarray]:

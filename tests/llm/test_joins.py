@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.llm import families, group_join, prefix_trie, queries, spelling
+from siftline.llm import families, group_join, lsh_forest, prefix_trie, queries, screen, spelling, substring_dedup
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -101,6 +101,30 @@ def test_group_join_query(spark):
     assert out.columns == ["doc_id", "n_shingles", "component_id"] and got(out) == want(brute.near_sets(rows, 4, 85))
 
 
+def test_screen_lets_few_others_through(spark):
+    keys = spark.range(0, 4000, 2).withColumnRenamed("id", "key")
+    held = screen.bitmap(keys.select(F.xxhash64("key").alias("hash"))).value
+    hashes = [r["h"] for r in spark.range(40_000).select("id", F.xxhash64("id").alias("h")).orderBy("id").collect()]
+    maybe = screen.marked(held, np.array(hashes))
+    assert maybe[:4000:2].all() and maybe[1:4000:2].mean() < 0.05 and maybe[4000:].mean() < 0.05
+    asked = spark.range(40_000).select(F.when(F.col("id") != 8, F.col("id")).alias("id"))
+    kept = {r["id"] for r in asked.where(screen.may_be_among(F.col("id"), keys)).collect()}
+    assert None not in kept and kept == {i for i in np.flatnonzero(maybe).tolist() if i != 8}
+    assert asked.where(screen.may_be_among(F.col("id"), keys.limit(0))).count() == 0
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    # Joins get the texts that may go or lose words, and the rest passes them by.
+    rnd = random.Random(4)
+    rows = [(i, " ".join(f"v{rnd.randrange(10 ** 6)}" for _ in range(60))) for i in range(3000)]
+    rows += [(3000 + i, rows[i][1]) for i in range(10)] + [(None, rows[20][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for out in (lsh_forest.keep_one(df, percent=80), substring_dedup.remove(df)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" in plan and "ArrowEvalPython" in plan
+        assert {r["doc_id"] for r in out.collect() if r["doc_id"] is not None} == set(range(3000))
+
+
 def test_joined_sets():
     rnd = np.random.default_rng(2)
     for _ in range(60):
