@@ -172,7 +172,12 @@ def _qualified(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
             rows = [(r["a"], r["b"]) for r in batch.to_pylist() if bound(r["x"], r["y"])]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    groups = written(groups, "groups")
+    groups = written(groups.withColumn("size", F.size("members")), "groups")
+    # Links show from either side: the smaller group's members go to the larger's union.
+    sizes = groups.select(F.col("g"), "size")
+    first = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
+    turned = F.col("size_a") > F.col("size_b")
+    pairs = first.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
     unions = arrow_map(groups, united, "g long, union binary, low long, high long, reach long", rows=64)
     queries = groups.select(F.col("g").alias("a"), F.col("members").alias("x"))
     others = unions.select(F.col("g").alias("b"), F.struct("union", "low", "high", "reach").alias("y"))

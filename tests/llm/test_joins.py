@@ -125,6 +125,15 @@ def test_texts_that_stay_are_not_shuffled(spark):
         assert {r["doc_id"] for r in out.collect() if r["doc_id"] is not None} == set(range(3000))
 
 
+def test_smaller_group_asks_the_larger(spark):
+    probe = bytearray(np.arange(10, dtype="<u4").tobytes())
+    groups = spark.createDataFrame(
+        [(1, [(10, probe, 1 << 32), (11, probe, 1 << 32)]), (2, [(10, probe, 1 << 32)]), (3, [(10, bytearray(np.arange(50, 60, dtype="<u4").tobytes()), 1 << 32)])],
+        "g long, members array<struct<n long, probe binary, reach long>>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    assert got(group_join._qualified(pairs, groups, 85)) == [(2, 1)]
+
+
 def test_joined_sets():
     rnd = np.random.default_rng(2)
     for _ in range(60):
