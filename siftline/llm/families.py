@@ -10,7 +10,7 @@ never paired with itself, so rows grow with a family times the blocks of its res
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +56,11 @@ def joined(sets: list[np.ndarray], head: np.ndarray, percent: int) -> np.ndarray
                 head[np.isin(head, near)] = to
 
 
-def _links(groups: DataFrame, kind: str, percent: int) -> DataFrame:
+def _hashes(held: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(s.as_buffer(), np.uint64) for s in held]
+
+
+def _links(groups: DataFrame, kind: str, percent: int, sets_of: Callable[[pa.Array], list[np.ndarray]]) -> DataFrame:
     """Links (a, b) within every group (members: node, own, shingles), from each
     component's first node; nodes of one `own` are joined beforehand."""
 
@@ -67,8 +71,7 @@ def _links(groups: DataFrame, kind: str, percent: int) -> DataFrame:
             for members in batch.column(0):
                 rows = members.values
                 names, own = rows.field("node").to_pylist(), rows.field("own").dictionary_encode().indices.to_numpy(zero_copy_only=False)
-                sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.field("shingles")]
-                head, first = joined(sets, own, percent), {}
+                head, first = joined(sets_of(rows.field("shingles")), own, percent), {}
                 for i, h in enumerate(head.tolist()):
                     if (j := first.setdefault(h, i)) != i:
                         a.append(names[j]), b.append(names[i])
@@ -84,10 +87,10 @@ def chunked(placed: DataFrame) -> DataFrame:
     return placed.join(sizes, "comp")
 
 
-def linked(sets: DataFrame, kind: str, percent: int) -> DataFrame:
+def linked(sets: DataFrame, kind: str, percent: int, sets_of: Callable[[pa.Array], list[np.ndarray]] = _hashes) -> DataFrame:
     """(node, comp): per node with a link the smallest node that links reach. `sets`:
-    a written table of comp, node, chunks, shingles (sorted 64-bit hashes); repeated
-    rows are one node."""
+    a written table of comp, node, chunks, shingles (sorted 64-bit hashes, or what
+    `sets_of` makes them of); repeated rows are one node."""
     members = F.collect_set(F.struct("node", "own", "shingles")).alias("members")
     links, labels = None, None
     for turn in (0, 1):
@@ -95,7 +98,7 @@ def linked(sets: DataFrame, kind: str, percent: int) -> DataFrame:
         rows = sets.withColumn("own", F.col("node")) if labels is None else _apart(sets, labels).where("small > 0")
         chunk = F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("chunks"))
         groups = rows.withColumn("chunk", chunk).groupBy("comp", "chunk").agg(members).select("members")
-        found = written(_links(groups, kind, percent), "links")
+        found = written(_links(groups, kind, percent, sets_of), "links")
         links = found if links is None else written(links.unionByName(found), "links")
         labels = components(links)
         if sets.where("chunks > 1").isEmpty():
@@ -109,7 +112,7 @@ def linked(sets: DataFrame, kind: str, percent: int) -> DataFrame:
     small = rows.where("not large").select(
         "comp", "node", "own", "shingles", slice_.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
     crossed = every.unionByName(small).groupBy("comp", "i", "j").agg(members).select("members")
-    return components(written(links.unionByName(_links(crossed, kind, percent)), "links"))
+    return components(written(links.unionByName(_links(crossed, kind, percent, sets_of)), "links"))
 
 
 def _apart(sets: DataFrame, labels: DataFrame) -> DataFrame:

@@ -15,9 +15,11 @@ sequence). Equal sets are one node.
   lacking in all its members. A group is opened for another only if they share enough
   rows of the matrix and some query's bound reaches the threshold; both are one family
   then.
-* Rows of the matrix that many groups share are first walked along, in two orders; what
-  comes together needs no more pairs. Then each row pairs the groups outside its largest
-  family with all others. So groups of copies give rows linear in their size.
+* Rows of the matrix that many groups share are first walked along, in two orders, and
+  neighbours that keep meeting are compared; what comes together needs no more pairs.
+  Then each of these rows pairs the groups outside its largest family with all others,
+  and a row of few groups pairs all of them. So groups of copies give rows linear in
+  their size.
 * Families are verified on full sets (`families`): the result is exact, but for
   collisions of 64-bit hashes.
 
@@ -29,7 +31,7 @@ ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -41,12 +43,13 @@ from pyspark.sql import functions as F
 from siftline.llm import families
 from siftline.llm.common import arrow_map, written
 from siftline.llm.graph import components
-from siftline.llm.screen import asked_texts, bitmap, marked
+from siftline.llm.screen import asked_texts, bitmap, marked, may_be_among
 from siftline.llm.words import mixed, runs, shingles, words_of
 
 WORDS, PERCENT = 4, 85
 GROUP, GROUP_TOKENS, WALKED = 64, 1 << 20, 16
 CELL_BITS, _BLOCKS = 20, 16
+SIDE = "g", "fam", "low", "high"
 
 
 def _sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
@@ -119,28 +122,46 @@ def _weights(sized: DataFrame) -> np.ndarray:
     return np.log2(np.maximum(whole / max(whole.mean(), 1), 1)).astype(np.uint8)
 
 
-def _marks(picked: DataFrame, weights, words: int, percent: int) -> DataFrame:
-    """Per document with words: digest, least, n, prefix (its first tokens in the
-    matrix' order), probe (its smallest hashes, in 32 bits), reach (below it the probe is
-    complete)."""
+def _marks(picked: DataFrame, kind: str, weights, words: int, percent: int) -> DataFrame:
+    """Per document with words: key, digest, least, n, prefix (its first tokens in the
+    matrix' order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for s in _sets(batch.column(0).to_pylist(), words):
+            at, out = [], []
+            for i, s in enumerate(_sets(batch.column(1).to_pylist(), words)):
                 if not len(s):
                     continue
                 first = len(s) - int(_needed(len(s), percent)) + 1
                 order = np.lexsort((mixed(s), weights.value[_cells(s)]))[:first]
-                short, most = (s >> np.uint64(32)).astype("<u4"), min(len(s), 2 * first)
-                out.append((_digest(s), int(s[:1].view(np.int64)[0]), len(s), s[order].view(np.int64).tolist(), short[:most].tobytes(),
-                            int(short[most - 1]) if most < len(s) else 1 << 32))
+                at.append(i), out.append((_digest(s), int(s[:1].view(np.int64)[0]), len(s), s[order].view(np.int64).tolist()))
             if out:
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))],
+                    ["key", "digest", "least", "n", "prefix"])
+
+    return arrow_map(picked, run, f"key {kind}, digest binary, least long, n long, prefix array<long>")
+
+
+def _probes(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Per text with words: digest, least, n, probe (its smallest hashes, in 32 bits),
+    reach (below it the probe is complete)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for s in _sets(batch.column(0).to_pylist(), words):
+                if not len(s):
+                    continue
+                short, most = (s >> np.uint64(32)).astype("<u4"), min(len(s), 2 * (len(s) - int(_needed(len(s), percent)) + 1))
+                out.append((_digest(s), int(s[:1].view(np.int64)[0]), len(s), short[:most].tobytes(), int(short[most - 1]) if most < len(s) else 1 << 32))
+            if out:
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
-                                                 ["digest", "least", "n", "prefix", "probe", "reach"])
+                                                 ["digest", "least", "n", "probe", "reach"])
 
-    return arrow_map(picked, run, "digest binary, least long, n long, prefix array<long>, probe binary, reach long")
+    return arrow_map(texts, run, "digest binary, least long, n long, probe binary, reach long")
 
 
 def _qualified(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -178,8 +199,10 @@ def _qualified(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     first = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
     turned = F.col("size_a") > F.col("size_b")
     pairs = first.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
-    unions = arrow_map(groups, united, "g long, union binary, low long, high long, reach long", rows=64)
-    queries = groups.select(F.col("g").alias("a"), F.col("members").alias("x"))
+    pairs = written(pairs, "turned-pairs")
+    # Most groups are on one side only.
+    unions = arrow_map(groups.where(may_be_among(F.col("g"), pairs.select("b"))), united, "g long, union binary, low long, high long, reach long", rows=64)
+    queries = groups.where(may_be_among(F.col("g"), pairs.select("a"))).select(F.col("g").alias("a"), F.col("members").alias("x"))
     others = unions.select(F.col("g").alias("b"), F.struct("union", "low", "high", "reach").alias("y"))
     return arrow_map(pairs.join(queries, "a").join(others, "b"), run, "a long, b long", rows=64)
 
@@ -196,29 +219,41 @@ def _with_family(matrix: DataFrame, family: DataFrame | None) -> DataFrame:
 
 def _walk(matrix: DataFrame, family: DataFrame | None, turn: int, percent: int) -> DataFrame:
     """Neighbours of different families in the rows that many groups share; a row is
-    walked in slices."""
+    walked in slices, which are the same ones in rows of about the same size. Groups
+    that link are neighbours in most rows that they share; others meet here and there,
+    and are left to `_rest`."""
     place = F.xxhash64(F.lit(turn), "g")
-    rows = _with_family(matrix, family).withColumn("slice", F.pmod(place, F.ceil(F.col("groups") / 512)))
+    slices = F.pow(F.lit(2), F.ceil(F.log2(F.ceil(F.col("groups") / 512)))).cast("long")
+    rows = _with_family(matrix, family).withColumn("slice", F.pmod(place, slices))
     ahead = Window.partitionBy("token", "slice").orderBy(place)
-    found = rows.select(F.struct("g", "fam", "low", "high").alias("a"), F.lead(F.struct("g", "fam", "low", "high")).over(ahead).alias("b"))
-    return found.where((F.col("a.fam") != F.col("b.fam")) & _fits("a", "b", percent)).select(
-        F.least("a.g", "b.g").alias("a"), F.greatest("a.g", "b.g").alias("b")).distinct()
+    found = rows.select(F.struct(*SIDE).alias("a"), F.lead(F.struct(*SIDE)).over(ahead).alias("b"))
+    return _meeting(found, percent).where("rows * 2 >= least").select("a", "b")
 
 
-def _rest(matrix: DataFrame, family: DataFrame | None, percent: int) -> DataFrame:
-    """All pairs of groups of different families that share a row of the matrix."""
+def _rest(matrix: DataFrame, crowded: DataFrame | None, family: DataFrame | None, percent: int) -> DataFrame:
+    """All pairs of groups of different families that share rows enough of the matrix."""
     rows = _with_family(matrix, family)
-    largest = rows.groupBy("token", "fam").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(
-        F.max(F.struct("c", "fam")).alias("top"), F.count(F.lit(1)).alias("fams")).where("fams > 1").select("token", F.col("top.fam").alias("top"))
-    rows = written(rows.join(largest, "token").select("token", "top", F.struct("g", "fam", "low", "high").alias("a")), "open-rows")
-    small = rows.where(F.col("a.fam") != F.col("top"))
-    every = rows.select("token", F.col("a").alias("b"))
-    met = small.join(every, "token").where(
-        (F.col("a.fam") != F.col("b.fam")) & ((F.col("b.fam") == F.col("top")) | (F.col("a.g") < F.col("b.g"))) & _fits("a", "b", percent))
-    # A pair comes once for each row that it shares.
-    pairs = met.groupBy(F.least("a.g", "b.g").alias("a"), F.greatest("a.g", "b.g").alias("b")).agg(
-        F.count(F.lit(1)).alias("rows"), F.first(_least_rows(percent)).alias("least"))
-    return pairs.where("rows >= least").select("a", "b")
+    few = rows if crowded is None else rows.join(crowded.select("token"), "token", "left_anti")
+    few = few.groupBy("token").agg(F.collect_list(F.struct(*SIDE)).alias("row")).where(F.size("row") > 1)  # WALKED at most
+    each = F.transform("row", lambda x, i: F.transform(F.slice("row", i + 2, F.size("row")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    met = few.select(F.explode(F.flatten(each)).alias("pair")).select("pair.a", "pair.b")
+    if crowded is not None:
+        rows = rows.join(crowded.select("token"), "token")
+        largest = rows.groupBy("token", "fam").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(
+            F.max(F.struct("c", "fam")).alias("top"), F.count(F.lit(1)).alias("fams")).where("fams > 1").select("token", F.col("top.fam").alias("top"))
+        rows = written(rows.join(largest, "token").select("token", "top", F.struct(*SIDE).alias("a")), "open-rows")
+        small = rows.where(F.col("a.fam") != F.col("top"))
+        every = rows.select("token", F.col("a").alias("b"))
+        met = met.unionByName(small.join(every, "token").where((F.col("b.fam") == F.col("top")) | (F.col("a.g") < F.col("b.g"))).select("a", "b"))
+    return _meeting(met, percent).where("rows >= least").select("a", "b")
+
+
+def _meeting(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of groups, of `met` (one row for each row of the matrix that they
+    share): how many rows, and the least that a link needs for the sizes in any."""
+    return met.where((F.col("a.fam") != F.col("b.fam")) & _fits("a", "b", percent)).groupBy(
+        F.least("a.g", "b.g").alias("a"), F.greatest("a.g", "b.g").alias("b")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(_least_rows(percent)).alias("least"))
 
 
 def _least_rows(percent: int):
@@ -254,15 +289,17 @@ def _matrix(marks: DataFrame) -> DataFrame:
     return written(rows.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high")), "matrix")
 
 
-def _families(marks: DataFrame, percent: int) -> DataFrame:
-    """(node, comp): of every group that was opened for another, its family."""
+def _families(marks: DataFrame, probes: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(node, comp): of every group that was opened for another, its family. `probes`
+    gives those (g, n, probe, reach) of the members of groups (g)."""
     matrix, ties, family = _matrix(marks), None, None
     crowded = written(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > WALKED), "crowded-rows")
-    walked = matrix.join(crowded, "token")
-    for turn in (2,) if crowded.isEmpty() else (0, 1, 2):
-        pairs = written(_walk(walked, family, turn, percent) if turn < 2 else _rest(matrix, family, percent), "group-pairs")
+    crowded = None if crowded.isEmpty() else crowded
+    for turn in (2,) if crowded is None else (0, 1, 2):
+        pairs = written(_walk(matrix.join(crowded, "token"), family, turn, percent) if turn < 2
+                        else _rest(matrix, crowded, family, percent), "group-pairs")
         asked = written(pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct(), "asked-groups")
-        groups = marks.join(asked, "g", "left_semi").groupBy("g").agg(F.collect_set(F.struct("n", "probe", "reach")).alias("members"))
+        groups = probes(asked).groupBy("g").agg(F.collect_set(F.struct("n", "probe", "reach")).alias("members"))
         found = written(_qualified(pairs, groups, percent), "ties")
         ties = found if ties is None else ties.unionByName(found)
         family = components(ties)
@@ -288,8 +325,13 @@ def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words: i
         piece = F.pmod(F.xxhash64("digest"), F.coalesce("pieces", F.lit(1)))
         return df.join(pieces, "least", "left").select(*columns, F.xxhash64("least", piece).alias("g"))
 
-    marks = written(_marks(picked.where("key is not null").select("text"), weights, words, percent), "marks")
-    family = _families(grouped(marks, "n", "prefix", "probe", "reach"), percent)
+    marks = grouped(written(_marks(picked.where("key is not null"), kind, weights, words, percent), "marks"), "key", "n", "prefix")
+
+    def probes(asked: DataFrame) -> DataFrame:
+        some = picked.where(may_be_among(F.col("key"), marks.join(asked, "g", "left_semi").select("key")))
+        return grouped(_probes(some.select("text"), words, percent), "n", "probe", "reach").join(asked, "g", "left_semi")
+
+    family = _families(marks, probes, percent)
 
     nodes = grouped(nodes, "digest", "key", "n")
     placed = nodes.join(family.withColumnRenamed("node", "g"), "g", "left").select(
@@ -298,16 +340,15 @@ def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words: i
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = list(_sets(batch.column(3).to_pylist(), words))
             # Another text of the same key is another node's.
-            own = pa.array([_digest(s) == d for s, d in zip(made, batch.column(1).to_pylist(), strict=True)], pa.bool_())
-            shingles_ = pa.array([s.tobytes() for s in made], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], shingles_], ["comp", "node", "chunks", "shingles"]).filter(own)
+            own = [_digest(s) == d for s, d in zip(_sets(batch.column(3).to_pylist(), words), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns, ["comp", "node", "chunks", "shingles"]).filter(pa.array(own, pa.bool_()))
 
     some = asked_texts(picked, placed.select("key"))
     texts = placed.join(some, "key").select("comp", "node", "chunks", "text")
-    sets = written(arrow_map(texts, full, "comp long, node binary, chunks int, shingles binary", rows=64), "sets")
-    linked = written(families.linked(sets, "binary", percent).join(nodes.select(F.col("digest").alias("node"), "key"), "node"), "linked")
+    # Texts go to the families, which are about half as large as their sets.
+    sets = written(arrow_map(texts, full, "comp long, node binary, chunks int, shingles string", rows=64), "sets")
+    linked = written(families.linked(sets, "binary", percent, lambda held: list(_sets(held.to_pylist(), words))).join(nodes.select(F.col("digest").alias("node"), "key"), "node"), "linked")
     least = linked.groupBy("comp").agg(F.min("key").alias("component_id"))
     of_set = linked.join(least, "comp").select(F.col("node").alias("digest"), "component_id")
     of_node = nodes.join(of_set, "digest", "left").select("digest", F.coalesce("component_id", "key").alias("component_id"))

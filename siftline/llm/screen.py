@@ -18,10 +18,10 @@ MOST_BITS, MOST_PROBES = 27, 4
 
 def bitmap(hashes: DataFrame):
     """Bits for the cells of every 64-bit value, and how many a value has, as a broadcast;
-    tasks hand out the blocks that they set. Eight bits of room a value, 2^27 at most; the
+    tasks hand out the blocks that they set. Sixteen bits of room a value, 2^27 at most; the
     fuller they are, the fewer a value sets."""
     n = hashes.count()
-    bits = min(MOST_BITS, max(16, (8 * n).bit_length()))
+    bits = min(MOST_BITS, max(16, (16 * n).bit_length()))
     size, probes = min(1 << bits, 1 << 19), max(1, min(MOST_PROBES, round(0.7 * (1 << bits) / max(n, 1))))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -125,6 +125,24 @@ def test_texts_that_stay_are_not_shuffled(spark):
         assert {r["doc_id"] for r in out.collect() if r["doc_id"] is not None} == set(range(3000))
 
 
+def test_walk_compares_neighbours_that_keep_meeting(spark):
+    # Sets of 200 tokens link with 15 shared rows at least; a common word is one row.
+    rows = [(t, g, 200, 200, 2) for t in range(15) for g in (1, 2)] + [(t, t, 200, 200, 20) for t in range(20, 40)]
+    rows = [(40 if t >= 20 else t, g, low, high, n) for t, g, low, high, n in rows]
+    matrix = spark.createDataFrame(rows, "token long, g long, low long, high long, groups long")
+    assert got(group_join._walk(matrix, None, 0, 85)) == [(1, 2)]
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_least_rows_are_of_the_sizes_that_may_link(spark, crowded):
+    # Group 1 has sets of 100 and 200 tokens; that of 100 links with group 2's of 110.
+    rows = [(t, 1, 100, 200 if t else 100) for t in range(8)] + [(t, 2, 110, 110) for t in range(8)] + [(9, 1, 200, 200), (9, 3, 200, 200)]
+    matrix = spark.createDataFrame(rows, "token long, g long, low long, high long")
+    some = spark.createDataFrame([(t, 2) for t in range(4)], "token long, groups long") if crowded else None
+    found = group_join._rest(matrix, some, None, 85)
+    assert got(found) == [(1, 2)] and (crowded or "Join" not in found._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_smaller_group_asks_the_larger(spark):
     probe = bytearray(np.arange(10, dtype="<u4").tobytes())
     groups = spark.createDataFrame(
