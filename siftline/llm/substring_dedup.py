@@ -201,20 +201,30 @@ def _owned_windows(docs: DataFrame, kind: str, window: int, hot_spans: int) -> t
     shards = int(total // SHARD_WORDS) + 1
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for b in batches:
-            held = b.column(0).to_pylist()
-            for shard in held:
-                ids: dict[bytes, int] = {}
-                sequences = [[ids.setdefault(w, len(ids)) for w in x["words"].split(b" ")] for x in shard]
-                automaton = Automaton(sequences, [x["owner"] for x in shard])
-                firsts = [automaton.first_owners(s, window) for s in sequences]
-                owner = b.schema.types[0].value_type.field("owner").type
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["span"] for x in shard], pa.binary()), pa.array(firsts, pa.list_(owner))], ["span", "owners"])
-
-    grouped = pieces.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).agg(
-        F.collect_list(F.struct("span", "owner", "words")).alias("held")).select("held")
-    answers = written(arrow_map(grouped, stream, f"span binary, owners array<{kind}>", rows=4), "first-owners")
+            for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if x[0] != at and held:
+                    yield from answered(held, b.schema.types[2])
+                    held = []
+                at = x[0]
+                held.append(x[1:])
+        if held:
+            yield from answered(held, b.schema.types[2])
+
+    def answered(shard: list[tuple], owner: pa.DataType) -> Iterator[pa.RecordBatch]:
+        ids: dict[bytes, int] = {}
+        sequences = [[ids.setdefault(w, len(ids)) for w in words.split(b" ")] for _, _, words in shard]
+        automaton = Automaton(sequences, [own for _, own, _ in shard])
+        for i in range(0, len(shard), 512):
+            firsts = [automaton.first_owners(s, window) for s in sequences[i: i + 512]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([span for span, _, _ in shard[i: i + 512]], pa.binary()), pa.array(firsts, pa.list_(owner))], ["span", "owners"])
+
+    # A shard comes to its task row by row and is never one row of the JVM's.
+    dealt = pieces.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "span", "owner", "words") \
+        .repartition("shard").sortWithinPartitions("shard")
+    answers = written(arrow_map(dealt, stream, f"span binary, owners array<{kind}>"), "first-owners")
     if any_hot:
         answers = answers.unionByName(_by_windows(references.join(crowded.select("anchor"), "anchor", "left_semi"), kind, window, hot_spans))
     mine = seen.select("digest", "key", "start", "span").join(answers, "span")

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_PIECE = 1 << 20
+# Some arrays are eight times as long, and a worker keeps what it once needed.
+_PIECE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _OF_BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64)
