@@ -312,6 +312,16 @@ def test_substrings_of_a_passage_in_many_documents(spark, monkeypatch, hot):
     assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == want(brute.windows_removed(rows, 50))
 
 
+def test_shards_come_row_by_row(spark, monkeypatch):
+    # A shard that is one row would be whole in the JVM's memory and in a batch.
+    given, real = {}, substring_dedup.arrow_map
+    monkeypatch.setattr(substring_dedup, "arrow_map", lambda df, fn, schema, **more: given.update({str(schema): df.schema.simpleString()}) or real(df, fn, schema, **more))
+    rows = [(i, " ".join([f"own{i}", PASSAGE, f"own{-i}"])) for i in range(4)]
+    out = substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == want(brute.windows_removed(rows, 50))
+    assert "array" not in given["span binary, owners array<bigint>"]
+
+
 def test_automaton_owners():
     rnd = random.Random(5)
     docs = [[rnd.randrange(3) for _ in range(rnd.randrange(1, 40))] for _ in range(12)]
