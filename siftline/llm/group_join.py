@@ -3,8 +3,10 @@
 A document's set are its distinct shingles (A-Z lower-cased; fewer words: the whole
 sequence). Equal sets are one node.
 
-* Groups: nodes of one smallest shingle hash (similar sets share it more often than
-  not), in pieces of `GROUP` nodes. Members of a group are a family from the start.
+* Groups: nodes of the same `LOWEST` smallest shingle hashes (similar sets share them
+  more often than not, others hardly ever, where a single one would bring together any
+  two sets with a common passage), in pieces of `GROUP` nodes. Members of a group are a
+  family from the start.
 * Matrix: tokens are ordered by how common their cell of a small count table is, then
   by hash, so that a shared passage comes last. Two sets at the threshold share one of
   their first n - ceil(t n) + 1 tokens. The matrix holds, for each such token, the
@@ -31,6 +33,7 @@ ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
@@ -47,7 +50,7 @@ from siftline.llm.screen import asked_texts, bitmap, marked, may_be_among
 from siftline.llm.words import mixed, runs, shingles, words_of
 
 WORDS, PERCENT = 4, 85
-GROUP, GROUP_TOKENS, WALKED = 64, 1 << 20, 16
+LOWEST, GROUP, GROUP_TOKENS, WALKED = 2, 64, 1 << 20, 16
 CELL_BITS, _BLOCKS = 20, 16
 SIDE = "g", "fam", "low", "high"
 
@@ -64,6 +67,20 @@ def _digest(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
+def _least(s: np.ndarray) -> int | None:
+    """One number for the smallest hashes of a set."""
+    return int.from_bytes(xxhash.xxh3_64_digest(s[:LOWEST].tobytes()), "big", signed=True) if len(s) else None
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts by their bytes' places, as most are small."""
+    return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(held: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(held), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def _cells(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
@@ -74,7 +91,7 @@ def _needed(n: np.ndarray | int, percent: int):
 
 
 def _sized(picked: DataFrame, kind: str, words: int) -> DataFrame:
-    """Per document: key, n, digest, least (hash); and per task the counts of its
+    """Per document: key, n, digest, least (of its smallest hashes); and per task the counts of its
     tokens by cell, in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,13 +99,12 @@ def _sized(picked: DataFrame, kind: str, words: int) -> DataFrame:
         for batch in batches:
             n, digests, least, key_type = [], [], [], batch.schema.types[0]
             for s in _sets(batch.column(1).to_pylist(), words):
-                n.append(len(s)), digests.append(_digest(s))
-                least.append(int(s[:1].view(np.int64)[0]) if len(s) else None)
+                n.append(len(s)), digests.append(_digest(s)), least.append(_least(s))
                 np.add.at(counts, _cells(s), 1)
             none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(least, pa.int64()), *none], names)
         if key_type is not None:
-            blocks = [(i, b.astype("<u4").tobytes()) for i, b in enumerate(counts.reshape(_BLOCKS, -1)) if b.any()]
+            blocks = [(i, _packed(b)) for i, b in enumerate(counts.reshape(_BLOCKS, -1)) if b.any()]
             m = len(blocks)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(m, key_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()),
@@ -109,7 +125,7 @@ def _weights(sized: DataFrame) -> np.ndarray:
                     if at is not None:
                         yield pa.RecordBatch.from_pylist([{"block": at, "counts": total.tobytes()}], kind)
                     at, total = block, np.zeros((1 << CELL_BITS) // _BLOCKS, np.int64)
-                total += np.frombuffer(counts, "<u4")
+                total += _unpacked(counts)
         if at is not None:
             yield pa.RecordBatch.from_pylist([{"block": at, "counts": total.tobytes()}], kind)
 
@@ -134,7 +150,7 @@ def _marks(picked: DataFrame, kind: str, weights, words: int, percent: int) -> D
                     continue
                 first = len(s) - int(_needed(len(s), percent)) + 1
                 order = np.lexsort((mixed(s), weights.value[_cells(s)]))[:first]
-                at.append(i), out.append((_digest(s), int(s[:1].view(np.int64)[0]), len(s), s[order].view(np.int64).tolist()))
+                at.append(i), out.append((_digest(s), _least(s), len(s), s[order].view(np.int64).tolist()))
             if out:
                 kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
@@ -155,7 +171,7 @@ def _probes(texts: DataFrame, words: int, percent: int) -> DataFrame:
                 if not len(s):
                     continue
                 short, most = (s >> np.uint64(32)).astype("<u4"), min(len(s), 2 * (len(s) - int(_needed(len(s), percent)) + 1))
-                out.append((_digest(s), int(s[:1].view(np.int64)[0]), len(s), short[:most].tobytes(), int(short[most - 1]) if most < len(s) else 1 << 32))
+                out.append((_digest(s), _least(s), len(s), short[:most].tobytes(), int(short[most - 1]) if most < len(s) else 1 << 32))
             if out:
                 kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
@@ -317,7 +333,7 @@ def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words: i
     nodes = written(rows.where("key is not null and digest is not null").groupBy("digest").agg(
         F.min("key").alias("key"), F.max("n").alias("n"), F.max("least").alias("least")), "nodes")
 
-    # Pieces of the groups of one smallest hash.
+    # Pieces of the groups of the same smallest hashes.
     pieces = written(nodes.groupBy("least").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).select(
         "least", F.ceil(F.greatest(F.col("c") / GROUP, F.col("s") / GROUP_TOKENS)).alias("pieces")).where("pieces > 1"), "pieces")
 

@@ -143,6 +143,24 @@ def test_least_rows_are_of_the_sizes_that_may_link(spark, crowded):
     assert got(found) == [(1, 2)] and (crowded or "Join" not in found._jdf.queryExecution().optimizedPlan().toString())
 
 
+def test_a_common_passage_brings_no_sets_together(spark, monkeypatch):
+    # Of 57 shingles 5 are common: one in eleven texts has its smallest hash among them.
+    rnd = random.Random(8)
+    rows = [(i, " ".join([*(f"o{rnd.randrange(10 ** 9)}" for _ in range(52)), *(f"c{j}" for j in range(8))])) for i in range(600)]
+    rows += [(1000 + i, text.replace("c7", "c8")) for i, text in rows[:4]]
+    placed, real = [], families.chunked
+    monkeypatch.setattr(families, "chunked", lambda df: placed.append(real(df).count()) or real(df))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(group_join.near_sets(df)) == want(brute.near_sets(rows, 4, 85)) and 8 <= placed[0] < 25
+
+
+def test_counts_of_cells_are_handed_out_small():
+    counts = np.random.default_rng(5).poisson(4, 1 << 16)
+    counts[7] = (1 << 32) - 1
+    held = group_join._packed(counts)
+    assert (group_join._unpacked(held) == counts).all() and len(held) < counts.size
+
+
 def test_smaller_group_asks_the_larger(spark):
     probe = bytearray(np.arange(10, dtype="<u4").tobytes())
     groups = spark.createDataFrame(
