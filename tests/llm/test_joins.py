@@ -144,10 +144,10 @@ def test_least_rows_are_of_the_sizes_that_may_link(spark, crowded):
 
 
 def test_a_common_passage_brings_no_sets_together(spark, monkeypatch):
-    # Of 57 shingles 5 are common: one in eleven texts has its smallest hash among them.
+    # Five of the 57 shingles of a text are common, and one of those is the smallest of 300.
     rnd = random.Random(8)
-    rows = [(i, " ".join([*(f"o{rnd.randrange(10 ** 9)}" for _ in range(52)), *(f"c{j}" for j in range(8))])) for i in range(600)]
-    rows += [(1000 + i, text.replace("c7", "c8")) for i, text in rows[:4]]
+    rows = [(i, " ".join([*(f"o{rnd.randrange(10 ** 9)}" for _ in range(52)), *(f"d{j}" for j in range(8))])) for i in range(600)]
+    rows += [(1000 + i, text.replace("d7", "d8")) for i, text in rows[:4]]
     placed, real = [], families.chunked
     monkeypatch.setattr(families, "chunked", lambda df: placed.append(real(df).count()) or real(df))
     df = spark.createDataFrame(rows, "doc_id long, text string")
